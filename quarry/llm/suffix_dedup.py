@@ -44,7 +44,7 @@ from .common import merged_spans, text_bytes, written
 
 #: Bytes of a trigger, and the text bytes handled at a time.
 TRIGGER = 32
-PART = 4 << 20
+PART = 2 << 20
 #: An odd multiplier for rolling hashes modulo 2^64, its inverse, and a bit mixer (the 64-bit golden ratio).
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -255,7 +255,7 @@ def _flagged_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _phrases(length: int, buckets: int):
     """bucket >= 0: phrases to resolve with other parts; bucket -1: spans found repeated within the part."""
     span = length - TRIGGER + 1
-    tall, empty = np.arange(1, span, dtype=np.int64), b""
+    tall, deep, empty = np.arange(1, span, dtype=np.int32), np.arange(length, dtype=np.int32), b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, part in parts(batches, length):
@@ -275,8 +275,9 @@ def _phrases(length: int, buckets: int):
             pick = pick[np.lexsort((part.trigger[pick] + place[part.piece[pick]], keys["text_hash"][row[pick]], keys["order_key"][row[pick]]))]
             trigger, owner = part.trigger[pick], row[pick]
             least, most = trigger - part.last[pick], trigger - part.first[pick]
-            before = part.text[np.maximum(trigger[:, None] - tall, 0)]
-            after = part.text[np.minimum(trigger[:, None] + np.arange(length), len(part.text) - 1)]
+            at = trigger.astype(np.int32)[:, None]
+            before = part.text[np.maximum(at - tall, 0)]
+            after = part.text[np.minimum(at + deep, len(part.text) - 1)]
             # a phrase that stands alone here cannot repeat anything here
             _, group, count = np.unique(part.hash[pick], return_inverse=True, return_counts=True)
             several = np.flatnonzero(count[group] > 1)
