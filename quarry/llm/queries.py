@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_density, media, mixing, packing, simhash, suffix_dedup
-from .common import table, written
+from . import ann, html_density, media, mixing, packing, simhash, suffix_dedup, toxicity
+from .common import crc_fold, table, written
 
 
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*shown)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), crc_fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    scored = toxicity.classify(docs, model)
+    predicted = (F.col("toxic_score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), predicted.alias("predicted"), F.col("toxic_flag").alias("flagged"))
+
+
 def op5_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, keep_ids=False)
