@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_density, media, mixing, packing, simhash, suffix_dedup, toxicity
+from . import ann, html_density, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
 from .common import crc_fold, table, written
 
 
@@ -56,6 +56,13 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = quality.grade(docs, quality.fit(docs))
+    keep = (F.col("quality_score") >= 0.5).alias("keep")
+    return graded.select("doc_id", F.col("weak_label").alias("weak_label"), F.col("quality_score").alias("score"), keep)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     mixed = mixing.mix(written(docs, "sizes"), F.col("words"), weights=(5, 2, 1), share=1.5, most=2.0)

@@ -44,7 +44,7 @@ from .common import merged_spans, text_bytes, written
 
 #: Bytes of a trigger, and the text bytes handled at a time.
 TRIGGER = 32
-PART = 2 << 20
+PART = 1 << 20
 #: An odd multiplier for rolling hashes modulo 2^64, its inverse, and a bit mixer (the 64-bit golden ratio).
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -66,11 +66,15 @@ def rolling(text: np.ndarray, width: int) -> np.ndarray:
     """Hash of text[i : i + width] at each i, mixed so that its high bits are evenly spread."""
     n = len(text)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[text] * _POWERS[:n], out=sums[1:])
-    h = (sums[width:] - sums[:-width]) * _INVERSE[: n + 1 - width]
+    values = _BYTES[text]
+    values *= _POWERS[:n]
+    np.cumsum(values, out=sums[1:])
+    h = sums[width:] - sums[:-width]
+    h *= _INVERSE[: n + 1 - width]
     h ^= h >> np.uint64(32)
     h *= MIX
-    return h ^ h >> np.uint64(29)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Part:
@@ -117,7 +121,8 @@ def parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.R
     """The texts of each batch, whole, in parts of bounded size."""
     for batch in batches:
         pieces, size = [], 0
-        for row, text in enumerate(text_bytes(batch["text"])):
+        texts = (text for at in range(0, batch.num_rows, 256) for text in text_bytes(batch["text"].slice(at, 256)))
+        for row, text in enumerate(texts):
             for at in range(0, max(1, len(text) - length + 1), PART // 2):
                 piece = text[at : at + PART // 2 + length - 1]
                 if pieces and size + len(piece) > PART:
