@@ -56,25 +56,25 @@ def labellers(text: Column) -> dict[str, Column]:
     }
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 300, prior_good: tuple[float, float] = (0.98, 1.0), prior_poor: tuple[float, float] = (0.4, 0.2)) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns (-1: abstains): share of good documents, P(vote 1 | good), P(vote 0 | poor).
 
-    Labellers are taken as independent given the class; each starts better than
-    chance, and a light prior keeps estimates off 0 and 1.  Abstaining tells
-    nothing.
+    Labellers are taken as independent given the class.  Poor documents are of
+    several kinds, each seen by a few labellers only, so the priors (mean, and
+    weight as a share of the documents) say that a labeller seldom calls a good
+    document poor and misses many poor ones.  Abstaining tells nothing.
     """
-    good, right_good, right_poor = 0.8, np.full(votes.shape[1], 0.8), np.full(votes.shape[1], 0.7)
+    n = counts.sum()
+    good, right_good, right_poor = 0.8, np.full(votes.shape[1], prior_good[0]), np.full(votes.shape[1], prior_poor[0])
+    yes, cast = votes == 1, votes >= 0
     for _ in range(rounds):
         p = posterior(votes, good, right_good, right_poor)
-        yes, no = votes == 1, votes == 0
         w1, w0 = counts * p, counts * (1 - p)
-        new = (
-            (w1.sum() + 8) / (counts.sum() + 10),
-            (w1 @ yes + 8) / (w1 @ (yes | no) + 10),
-            (w0 @ no + 7) / (w0 @ (yes | no) + 10),
-        )
-        step = max(abs(new[0] - good), np.abs(new[1] - right_good).max(initial=0), np.abs(new[2] - right_poor).max(initial=0))
-        good, right_good, right_poor = new
+        new_good = (w1.sum() + 8) / (n + 10)
+        new_right = (w1 @ yes + prior_good[0] * prior_good[1] * n) / (w1 @ cast + prior_good[1] * n)
+        new_poor = (w0 @ (cast & ~yes) + prior_poor[0] * prior_poor[1] * n) / (w0 @ cast + prior_poor[1] * n)
+        step = max(abs(new_good - good), np.abs(new_right - right_good).max(initial=0), np.abs(new_poor - right_poor).max(initial=0))
+        good, right_good, right_poor = new_good, new_right, new_poor
         if step < 1e-7:
             break
     return good, right_good, right_poor
