@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,12 +92,13 @@ def posterior(votes: np.ndarray, good: float, right_good: np.ndarray, right_poor
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and L2-normalised weights of a text's words and of its runs of like characters."""
     counts: dict[str, int] = {}
-    for word in text.split():
-        counts["w" + word.lower()] = counts.get("w" + word.lower(), 0) + 1
+    n = 0
+    for word, times in Counter(text.split()).items():
+        n += times
+        counts["w" + word.lower()] = counts.get("w" + word.lower(), 0) + times
         for run in SHAPE.findall(word):
             kind = "A" if run.isupper() else "a" if run.isalpha() else "0" if run.isdigit() else run
-            counts["s" + kind] = counts.get("s" + kind, 0) + 1
-    n = sum(v for k, v in counts.items() if k[0] == "w")
+            counts["s" + kind] = counts.get("s" + kind, 0) + times
     counts[f"n{min(12, n.bit_length())}"] = max(1, n // 4)
     counts[f"d{10 * sum(k[0] == 'w' for k in counts) // max(1, n)}"] = max(1, n // 4)
     weight = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
@@ -141,11 +143,12 @@ def with_votes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str
 
 
 def fit(docs: DataFrame, text: str = "text", id_column: str = "doc_id", fit_rows: int = FIT_ROWS, seed: int = 5) -> Scorer:
-    voted, names = with_votes(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")), "_text")
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
+    voted, names = with_votes(rows, "_text")
     patterns = voted.groupBy(*names).count().toPandas()  # at most 3^labellers rows
     votes, counts = patterns[names].to_numpy(), patterns["count"].to_numpy(np.float64)
     good, right_good, right_poor = estimate(votes, counts) if len(votes) else (0.5, np.full(len(names), 0.5), np.full(len(names), 0.5))
-    sample = voted.orderBy(F.xxhash64(F.lit(seed), "_id", "_text"), "_id").limit(fit_rows).toPandas()
+    sample = with_votes(rows.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id", "_text").limit(fit_rows), "_text")[0].toPandas()
     target = posterior(sample[names].to_numpy().reshape(len(sample), len(names)), good, right_good, right_poor)
     weight, offset = fit_linear([x or "" for x in sample["_text"]], target, seed=seed)
     return Scorer(weight, offset, good, right_good, right_poor)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_density, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
+from . import ann, html_density, language_model, media, mixing, packing, quality, simhash, suffix_dedup, toxicity
 from .common import crc_fold, table, written
 
 
@@ -56,6 +56,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_fold("doc_id", 7) == 2
+    scored = language_model.perplexity(docs, learn=~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     graded = quality.grade(docs, quality.fit(docs))
