@@ -19,7 +19,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_bytes, written
@@ -188,3 +188,134 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
     joined = groups.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- near copies by similarity: several fingerprints propose pairs, shingle sets decide
+
+#: Fingerprints (of words, by different seeds) that propose pairs, and their threshold on the anchor bits.
+TABLES, SLACK = 6, 2
+#: Share of the bits of all fingerprints in which texts of similarity 0.8 hardly ever differ.
+FAR = 0.2
+
+
+def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Word fingerprints of each text, and its number of distinct shingles of ``words`` words."""
+    out: list[list[int]] = []
+    for text in text_bytes(batch["text"]):
+        words = list(dict.fromkeys(text.lower().split()))
+        rows = []
+        for seed in range(TABLES):
+            parts = [np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), words[at : at + SHINGLE_BLOCK]), np.uint64) for at in range(0, len(words), SHINGLE_BLOCK)]
+            rows.append(np.int64(np.uint64(majority(parts))) if parts else np.int64(0))
+        out.append([int(x) for x in rows])
+    return pa.record_batch({"node": batch["node"], "fps": pa.array(out, pa.list_(pa.int64()))})
+
+
+def _shingle_sets(words: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = []
+        for text in text_bytes(batch["text"]):
+            parts = list(shingle_hashes(text, words)) or [np.zeros(0, np.uint64)]
+            sets.append(np.unique(np.concatenate(parts)).tobytes())
+        return pa.record_batch({"node": batch["node"], "shingles": pa.array(sets, pa.binary())})
+
+    return run
+
+
+def _similar(at_least: float) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= at_least * max(len(x), len(y)) else 0
+            keep.append(bool(both) and both >= at_least * (len(x) + len(y) - both))
+        mask = pa.array(keep, pa.bool_())
+        return pa.record_batch({"u": batch["u"].filter(mask), "v": batch["v"].filter(mask)})
+
+    return run
+
+
+def _table_anchors(batches):
+    """(table, anchor, node, fps) for all anchors within covering radius plus half the threshold.
+
+    Of two fingerprints within the threshold, one half-way between them has its
+    home within the radius; so both reach that anchor.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            fps = part["fps"].flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES)
+            for t in range(TABLES):
+                row, anchor = anchors(np.ascontiguousarray(fps[:, t]), SLACK // 2)
+                take = pa.array(row)
+                yield pa.record_batch({"table": pa.array(np.full(len(row), t, np.int32)), "anchor": pa.array(anchor), "node": part["node"].take(take), "fps": part["fps"].take(take)})
+
+
+def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root): texts, by node (long), that share a chain of links of at least ``similarity``.
+
+    ``texts`` has node and text, a row for each different text.  Links are
+    pairs whose Jaccard similarity over distinct shingles is high enough, among
+    all pairs that fingerprints propose.  At each anchor the smallest node is
+    compared to all others first; only pairs that this leaves in different
+    classes are compared one by one, so a group of copies costs in proportion
+    to its size.
+    """
+    sketches = written(map_batches(texts.select("node", "text"), _sketch, "node long, fps array<long>"), "sketches")
+    places = sketches.mapInArrow(_table_anchors, "table int, anchor long, node long, fps array<long>")
+    at = ["table", "anchor"]
+    shared = places.select(*at, "node").groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
+    met = written(places.join(shared, at), "anchors")
+    bits = F.lit(0)
+    for t in range(TABLES):
+        bits = bits + F.bit_count(F.col("a")[t].bitwiseXOR(F.col("b")[t]))
+    near = bits <= int(FAR * 64 * TABLES)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (u, v) whose fingerprints are near enough on the whole."""
+        fps = lambda node, name: sketches.select(F.col("node").alias(node), F.col("fps").alias(name))
+        return pairs.distinct().join(fps("u", "a"), "u").join(fps("v", "b"), "v").where(near).select("u", "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "candidates")
+        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        sets = written(map_batches(texts.join(nodes, "node", "left_semi").select("node", "text"), _shingle_sets(words), "node long, shingles binary"), "shingles")
+        side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
+        return map_batches(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v"), _similar(similarity), "u long, v long")
+
+    first = written(verified(candidates(met.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")))), "links")
+    roots = written(connected_components(first), "roots")
+    rooted = met.join(roots, "node", "left").select(*at, "node", F.coalesce("root", "node").alias("root"), F.col("fps"))
+    # anchors whose members are all of one class have nothing left to compare
+    mixed = rooted.groupBy(*at).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*at)
+    open_ = written(rooted.join(mixed, at, "left_semi"), "open")
+    mask = F.lit((1 << 2 * BLOCK) - 1).cast("long")
+    one = lambda end, fp, root: open_.select(*at, F.col("node").alias(end), F.col("root").alias(root), F.element_at("fps", F.col("table") + 1).bitwiseAND(mask).alias(fp))
+    close = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= SLACK)
+    rest = one("u", "fu", "ru").join(one("v", "fv", "rv"), at).where(close).select("u", "v")
+    second = verified(candidates(rest))
+    return connected_components(first.union(second))
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each group of near copies does: that of the smallest id.
+
+    Groups are chained by equal texts and by the links of ``similar_texts``.
+    Null texts count as empty, and texts without words are copies of one
+    another.  A row without an id stays only if its group has no other; of rows
+    equal in id and text one stays.  All columns of ``docs`` are kept.
+    """
+    number, node = F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.nullif(F.trim(F.col(text)), F.lit("")), F.lit("")))
+    keys = written(docs.select(number.alias("_id"), node.alias("_node")), "text-keys")
+    least = keys.groupBy("_node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("least"))
+    owners = least.select("_node", F.col("least.id").alias("_id"))
+    with_keys = docs.withColumns({"_id": number, "_node": node})
+    on = lambda left, right: left["_node"].eqNullSafe(right["_node"]) & left["_id"].eqNullSafe(right["_id"])
+    texts = with_keys.select("_id", "_node", F.col(text).alias("text")).join(owners.withColumnRenamed("_node", "_n").withColumnRenamed("_id", "_i"), (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))
+    texts = written(texts.groupBy(F.col("_node").alias("node")).agg(F.first("text").alias("text")), "texts")
+    found = similar_texts(texts, words, similarity)
+    classed = least.join(found, F.col("_node") == F.col("node"), "left").select("_node", "least", F.coalesce("root", "_node").alias("root"))
+    stays = classed.groupBy("root").agg(F.min(F.struct("least", "_node")).alias("s")).select(F.col("s._node").alias("_n"), F.col("s.least.id").alias("_i"))
+    kept = with_keys.join(stays, (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))
+    first = Window.partitionBy("_node", "_id").orderBy(*[F.col(c) for c in docs.columns if dict(docs.dtypes)[c] in ("string", "bigint", "int")])
+    return kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
