@@ -39,20 +39,18 @@ def abstains(answer: Column) -> Column:
     return F.startswith(F.upper(F.trim(answer)), F.lit(ABSTAINS))
 
 
-def contained(texts: DataFrame, quotes: DataFrame, words: int = 8) -> DataFrame:
+def contained(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """(doc_id, item_id, at): where a text holds a quotation, at its first place (from 1).
 
-    Candidates share the quotation's rarest-looking run: both sides meet on a
-    hash of ``words``-word runs, the quotation by its first one, and containment
-    is checked then.  Quotations of fewer words are compared as one run.
+    Candidates share the quotation's longest inner word (its first and last may
+    be parts of words of the text); containment is checked on those alone.
+    Quotations of fewer than three words have no inner word and are left out.
     """
-    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), " "))
-    split = lambda c: F.split(c, " ")
-    if words < 2:
-        raise ValueError("runs of at least two words")
-    # the first and last word of a quotation may be cut inside a text's word: inner words are compared
-    inner = F.slice(split(F.col("text")), 2, words)
-    asked = quotes.where(F.size(split(F.col("text"))) >= words + 2).select("item_id", F.col("text").alias("quote"), F.array_join(inner, " ").alias("run"))
-    held = texts.select("doc_id", "text", F.explode(F.array_distinct(runs(split(F.col("text")), words))).alias("run"))
-    met = held.join(asked, "run").where(F.instr(F.col("text"), F.col("quote")) > 0)
-    return met.select("doc_id", "item_id", F.instr(F.col("text"), F.col("quote")).alias("at"))
+    words = F.split(F.col("text"), " ")
+    inner = F.filter(words, lambda w, i: (i > 0) & (i < F.size(words) - 1) & (w != ""))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = quotes.select("item_id", F.col("text").alias("quote"), longest.alias("word")).where("word IS NOT NULL")
+    held = texts.select("doc_id", F.explode(F.array_distinct(words)).alias("word"))
+    met = held.join(asked, "word").select("doc_id", "item_id", "quote")
+    at = F.instr(F.col("text"), F.col("quote"))
+    return met.join(texts.select("doc_id", "text"), "doc_id").where(at > 0).select("doc_id", "item_id", at.alias("at"))

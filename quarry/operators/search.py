@@ -56,8 +56,7 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = LEG, allowed: Column
     """
     grouped = "group" in queries.columns and "group" in vectors.columns
     extra = ["group"] if grouped else []
-    sizes = vectors.agg(F.count(F.lit(1)).alias("n")).crossJoin(queries.agg(F.count(F.lit(1)).alias("m"))).first()
-    rows, asks = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-sizes["m"] // BLOCK))
+    rows, asks = (max(1, -(-df.count() // BLOCK)) for df in (vectors, queries))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select(spread("id", rows).cast("int").alias("rb"), each(asks).alias("qb"), "id", "vector", *extra)
