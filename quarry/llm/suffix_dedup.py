@@ -77,6 +77,11 @@ def rolling(text: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a trigger is dealt: by its low bits, as triggers are the least in their high ones."""
+    return (h & np.uint64(buckets - 1)).astype(np.int64)
+
+
 class Part:
     """Some documents' bytes, or a section of one; ``base`` is a piece's offset in its document."""
 
@@ -205,13 +210,13 @@ def _triggers(length: int, buckets: int):
             if not len(part.hash):
                 continue
             key = batch["join_key"].to_numpy(zero_copy_only=False)[part.row[part.piece]]
-            order = np.argsort(part.hash, kind="stable")
-            h, key = part.hash[order], key[order]
+            bucket = bucket_of(part.hash, buckets)
+            order = np.lexsort((part.hash, bucket))
+            h, key, bucket = part.hash[order], key[order], bucket[order]
             same = h[1:] == h[:-1]
             twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
             # a hash met twice here goes out once, marked by the missing document
             once = ~np.concatenate(([False], same))
-            bucket = (h >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
             out = [(-1, _packed(h[twice]), _packed(key[twice]), _packed(np.zeros(0, np.uint8)), int(twice.sum()))] if twice.any() else []
             for ends in np.split(np.flatnonzero(once), np.flatnonzero(np.diff(bucket[once])) + 1):
                 out.append((int(bucket[ends[0]]), _packed(h[ends]), _packed(key[ends]), _packed(twice[ends]), len(ends)))
@@ -226,12 +231,11 @@ def _triggers(length: int, buckets: int):
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each bucket, from batches sorted by bucket."""
     rows: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["bucket"] != rows[0]["bucket"]:
-                yield rows
-                rows = []
-            rows.append(row)
+    for row in (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist()):
+        if rows and row["bucket"] != rows[0]["bucket"]:
+            yield rows
+            rows = []
+        rows.append(row)
     if rows:
         yield rows
 
@@ -299,7 +303,7 @@ def _phrases(length: int, buckets: int):
             stay = np.flatnonzero(open_.any(axis=1))
             least[stay] = open_[stay].argmax(axis=1)
             most[stay] = span - 1 - open_[stay][:, ::-1].argmax(axis=1)
-            bucket = (part.hash[pick] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+            bucket = bucket_of(part.hash[pick], buckets)
             stay = stay[np.argsort(bucket[stay], kind="stable")]
             inside_b, inside_a = tall[None, :] <= most[:, None], np.arange(length)[None, :] < length - least[:, None]
             for ends in np.split(stay, np.flatnonzero(np.diff(bucket[stay])) + 1):
