@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -54,12 +55,13 @@ class Extractive:
     name, native_citations = "extractive", True
 
     def generate(self, system: str, documents: list[dict], question: str) -> tuple[str, list[dict]]:
-        words = set(question.lower().split())
+        words_of = lambda text: set(re.findall(r"\w+", text.lower()))
+        words = words_of(question)
         quotes, shown = [], []
         for d in documents:
             at, best = 0, (0, 0, "")
             for line in d["text"].split("\n"):
-                shared = len(words & set(line.lower().split()))
+                shared = len(words & words_of(line))
                 if shared > best[0] and line != expand.MARK:
                     best = (shared, at, line)
                 at += len(line) + 1
