@@ -76,25 +76,36 @@ class Model:
         v, o, b, m = np.split(np.array(x, np.float32), sizes)
         return Model(v.reshape(-1, DIM), o.reshape(-1, DIM), b, m.reshape(CONTEXT, DIM))
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.vectors[context[:, j]] * self.mix[j] for j in range(CONTEXT))
-
-    def log_norm(self, context: np.ndarray) -> np.ndarray:
-        """Log of the normaliser of each context, in blocks."""
-        out = np.empty(len(context))
-        for at in range(0, len(context), 4096):
-            z = self.predicted(context[at : at + 4096]) @ self.out.T + self.bias
-            top = z.max(axis=1)
-            out[at : at + 4096] = top + np.log(np.exp(z - top[:, None]).sum(axis=1, dtype=np.float64))
-        return out
-
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probability of each target class; equal contexts are normalised once."""
-        key = context[:, 0].astype(np.int64) * (CLASSES + 1) + context[:, 1]
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        norm = self.log_norm(context[first])[back]
-        score = np.einsum("nd,nd->n", self.predicted(context), self.out[target]) + self.bias[target]
-        return score - norm
+        return Normalised(self)(context, target)
+
+
+class Normalised:
+    """Natural log-probabilities under a model, by tables of all pairs of classes.
+
+    A score is a sum over the places of the context, so its exponential is a
+    product, and the normalisers of all contexts are one product of matrices.
+    """
+
+    def __init__(self, model: Model):
+        self.near, self.far = ((model.vectors * model.mix[j]).astype(np.float64) @ model.out.T.astype(np.float64) for j in range(CONTEXT))
+        self.near += model.bias
+        top_near, top_far = self.near.max(axis=1, keepdims=True), self.far.max(axis=1, keepdims=True)
+        self.log_norm = np.log(np.exp(self.near - top_near) @ np.exp(self.far - top_far).T) + top_near + top_far.T
+
+    def __call__(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        first, second = context[:, 0], context[:, 1]
+        return self.near[first, target] + self.far[second, target] - self.log_norm[first, second]
+
+
+def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` added up by ``index``, as an array of n rows."""
+    order = np.argsort(index, kind="stable")
+    own = index[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    out = np.zeros((n, *values.shape[1:]), values.dtype)
+    out[own[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
 def start_model(counts: np.ndarray, seed: int = 13) -> Model:
@@ -138,13 +149,10 @@ class Trainer:
         h = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
         dr = g[:, None] * own + h @ other
         index = np.concatenate((target, noise))
-        d_out, d_bias = np.zeros_like(m.out), np.zeros_like(m.bias)
-        np.add.at(d_out, index, np.concatenate((g[:, None] * r, h.T @ r)))
-        np.add.at(d_bias, index, np.concatenate((g, h.sum(axis=0))))
-        d_vectors, d_mix = np.zeros_like(m.vectors), np.zeros_like(m.mix)
-        for j, p in enumerate(parts):
-            np.add.at(d_vectors, context[:, j], dr * m.mix[j])
-            d_mix[j] = (dr * p).sum(axis=0) / len(target)
+        d_out = summed(index, np.concatenate((g[:, None] * r, h.T @ r)), CLASSES)
+        d_bias = np.bincount(index, np.concatenate((g, h.sum(axis=0))), CLASSES).astype(np.float32)
+        d_vectors = summed(context.T.ravel(), np.concatenate([dr * m.mix[j] for j in range(CONTEXT)]), CLASSES + 1)
+        d_mix = np.stack([np.einsum("nd,nd->d", dr, p) for p in parts]) / len(target)
         for param, grad, seen in ((m.vectors, d_vectors / len(target) ** 0.5, self.seen_v), (m.out, d_out / len(target) ** 0.5, self.seen_o)):
             seen += (grad**2).mean(axis=1)
             param -= self.rate * grad / np.sqrt(seen)[:, None]
@@ -343,6 +351,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
+        log_prob = Normalised(model)
         base_norm = np.log10(known.total_tokens + known.total_types + 1) if known.total_tokens + known.total_types else 0.0
         shared_norm = np.log10(known.counts[FREQUENT:] + known.types + 1.0)
         for batch in batches:
@@ -361,7 +370,7 @@ def _score(shared, buckets: int):
                 sizes = np.array([len(t) for t in texts])
                 filled = np.flatnonzero(sizes)
                 classes = known.classes(words)
-                log = model.log_prob(contexts(classes, sizes[filled]), classes) / np.log(10)
+                log = log_prob(contexts(classes, sizes[filled]), classes) / np.log(10)
                 rare = classes >= FREQUENT
                 log[rare] += np.log10(c[rare] + 1.0) - shared_norm[classes[rare] - FREQUENT]
                 start = (np.cumsum(sizes) - sizes)[filled]
