@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_sample, written
 
 #: Bound of the sample that the index is fitted on.
 SAMPLE_ROWS = 8192
@@ -182,7 +182,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
     rows = base.where(fits).dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1).drop("_n")
     asked = valid(queries, id_column, vector_column).where(fits).dropDuplicates(["vec_id"])
-    sample = base.where(fits).select("vector", F.xxhash64(F.lit(seed), "vec_id").alias("_h"), "vec_id").orderBy("_h", "vec_id").limit(SAMPLE_ROWS).toPandas()
+    sample = bounded_sample(base.where(fits), SAMPLE_ROWS, ["vec_id"], seed).toPandas()
     x = np.unique(_matrix(sample["vector"], dim), axis=0)
     x = x[np.random.default_rng(seed).permutation(len(x))]
     router = fit(x, parts if len(x) >= 4 * parts else 1, k, recall, seed)

@@ -61,6 +61,17 @@ def crc_fold(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int) -> DataFrame:
+    """At most ``rows`` rows by a seeded hash of ``keys``, in its order.
+
+    A threshold on the hash leaves about twice as many before they are ordered,
+    so that tasks and driver never hold more than that in all.
+    """
+    share = min(1.0, 2 * rows / max(1, df.count()))
+    mark = F.xxhash64(F.lit(seed), *keys)
+    return df.withColumn("_mark", mark).where(F.pmod("_mark", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("_mark", *keys).limit(rows).drop("_mark")
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, salts: int = 256) -> DataFrame:
     """Number the rows of each key from 0 without bringing a key into one task.
 

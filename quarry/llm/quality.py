@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import bounded_sample, text_bytes
 
 BUCKETS = 1 << 14
 #: Bound of the rows that the scorer is fitted on; labellers are estimated on all rows.
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, text: str = "text", id_column: str = "doc_id", fit_rows
     patterns = voted.groupBy(*names).count().toPandas()  # at most 3^labellers rows
     votes, counts = patterns[names].to_numpy(), patterns["count"].to_numpy(np.float64)
     good, right_good, right_poor = estimate(votes, counts) if len(votes) else (0.5, np.full(len(names), 0.5), np.full(len(names), 0.5))
-    sample = with_votes(rows.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id", "_text").limit(fit_rows), "_text")[0].toPandas()
+    sample = with_votes(bounded_sample(rows, fit_rows, ["_id", "_text"], seed), "_text")[0].toPandas()
     target = posterior(sample[names].to_numpy().reshape(len(sample), len(names)), good, right_good, right_poor)
     weight, offset = fit_linear([x or "" for x in sample["_text"]], target, seed=seed)
     return Scorer(weight, offset, good, right_good, right_poor)
