@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_bytes
+from .common import bounded_sample, map_batches, text_bytes
 
 BUCKETS = 1 << 14
 #: Bound of the rows that the scorer is fitted on; labellers are estimated on all rows.
@@ -29,32 +29,35 @@ FIT_ROWS = 6000
 SHAPE = re.compile(r"[A-Z]+|[a-z]+|[^\W\d_]+|\d+|\s+|[^\w\s]|_", re.ASCII)
 
 
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes by name: 1, 0, or null to abstain.  Null texts count as empty."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(t), F.lit(1))
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    share = lambda pattern: (chars - F.length(F.regexp_replace(t, pattern, ""))) / chars
-    symbols, capitals, letters = share(r"[^\p{L}\p{N}\s.,;:'\"()?!-]"), share(r"\p{Lu}"), share(r"\p{L}")
-    distinct = F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(x) > 20)
-    repeated = 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    ends = F.length(F.regexp_replace(t, r"[^.!?]", "")) / F.greatest(n, F.lit(1))
-    mean = F.length(F.regexp_replace(t, r"\s+", "")) / F.greatest(n, F.lit(1))
-    marked = F.size(F.filter(words, lambda w: w.rlike(r"[^\p{L}\p{N}]{2}$|^[^\p{L}\p{N}]+$"))) / F.greatest(n, F.lit(1))
-    vote = lambda good, poor: F.when(poor, 0).when(good, 1)
-    return {
-        "length": vote(n >= 40, n < 8),
-        "symbols": vote(symbols < 0.005, symbols > 0.03),
-        "marks": vote(marked < 0.02, marked > 0.2),
-        "capitals": vote(capitals.between(0.002, 0.1), capitals > 0.3),
-        "letters": vote(letters > 0.75, letters < 0.68),
-        "variety": vote((n >= 20) & (distinct > 0.4), (n >= 20) & (distinct < 0.25)),
-        "lines": vote((F.size(lines) >= 3) & (repeated < 0.05), repeated > 0.3),
-        "sentences": vote(ends.between(0.02, 0.3), (n >= 20) & ~ends.between(0.005, 0.5)),
-        "words": vote(mean.between(3, 9), ~mean.between(2, 14)),
-    }
+#: The labellers, in the order of their votes.
+LABELLERS = ("length", "symbols", "marks", "capitals", "letters", "variety", "lines", "sentences", "words")
+PLAIN = frozenset(".,;:'\"()?!-")
+
+
+def votes_of(text: str) -> list[int]:
+    """Votes of all labellers on a text: 1 (good), 0 (poor) or -1 (abstains)."""
+    kinds, times = Counter(text), Counter(text.split())
+    chars, n = max(1, len(text)), sum(times.values())
+    count = lambda is_: sum(v for c, v in kinds.items() if is_(c))
+    symbols = count(lambda c: not (c.isalnum() or c.isspace() or c in PLAIN)) / chars
+    capitals, letters = count(str.isupper) / chars, count(str.isalpha) / chars
+    marked = sum(v for w, v in times.items() if not w[-1].isalnum() and not w[-2:-1].isalnum()) / max(1, n)
+    lines = [x for x in text.split("\n") if len(x) > 20]
+    repeated = 1 - len(set(lines)) / max(1, len(lines))
+    ends, mean = sum(kinds[c] for c in ".!?") / max(1, n), (len(text) - count(str.isspace)) / max(1, n)
+    distinct = len(times) / max(1, n)
+    vote = lambda good, poor: 0 if poor else 1 if good else -1
+    return [
+        vote(n >= 40, n < 8),
+        vote(symbols < 0.005, symbols > 0.03),
+        vote(marked < 0.02, marked > 0.2),
+        vote(0.002 <= capitals <= 0.1, capitals > 0.3),
+        vote(letters > 0.75, letters < 0.68),
+        vote(n >= 20 and distinct > 0.4, n >= 20 and distinct < 0.25),
+        vote(len(lines) >= 3 and repeated < 0.05, repeated > 0.3 and len(lines) > 0),
+        vote(0.02 <= ends <= 0.3, n >= 20 and not 0.005 <= ends <= 0.5),
+        vote(3 <= mean <= 9, not 2 <= mean <= 14),
+    ]
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 300, prior_good: tuple[float, float] = (0.98, 1.0), prior_poor: tuple[float, float] = (0.4, 0.2)) -> tuple[float, np.ndarray, np.ndarray]:
@@ -135,22 +138,23 @@ def fit_linear(texts: list[str], target: np.ndarray, epochs: int = 12, rate: flo
     return weight, offset
 
 
-def with_votes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    votes = labellers(F.col(text))
-    names = [f"vote_{k}" for k in votes]
-    kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, *[F.coalesce(v, F.lit(-1)).cast("int").alias(n) for n, v in zip(names, votes.values(), strict=True)]), names
+NAMES = [f"vote_{k}" for k in LABELLERS]
+
+
+def _votes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = np.array([votes_of(x.decode()) for x in text_bytes(batch["_text"])], np.int32).reshape(-1, len(NAMES))
+    return pa.record_batch({n: pa.array(np.ascontiguousarray(rows[:, i])) for i, n in enumerate(NAMES)})
 
 
 def fit(docs: DataFrame, text: str = "text", id_column: str = "doc_id", fit_rows: int = FIT_ROWS, seed: int = 5) -> Scorer:
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
-    voted, names = with_votes(rows, "_text")
-    patterns = voted.groupBy(*names).count().toPandas()  # at most 3^labellers rows
-    votes, counts = patterns[names].to_numpy(), patterns["count"].to_numpy(np.float64)
-    good, right_good, right_poor = estimate(votes, counts) if len(votes) else (0.5, np.full(len(names), 0.5), np.full(len(names), 0.5))
-    sample = with_votes(bounded_sample(rows, fit_rows, ["_id", "_text"], seed), "_text")[0].toPandas()
-    target = posterior(sample[names].to_numpy().reshape(len(sample), len(names)), good, right_good, right_poor)
-    weight, offset = fit_linear([x or "" for x in sample["_text"]], target, seed=seed)
+    voted = map_batches(rows.select("_text"), _votes, ", ".join(f"{n} int" for n in NAMES))
+    patterns = voted.groupBy(*NAMES).count().toPandas()  # at most 3^labellers rows
+    votes, counts = patterns[NAMES].to_numpy(), patterns["count"].to_numpy(np.float64)
+    good, right_good, right_poor = estimate(votes, counts) if len(votes) else (0.5, *np.full((2, len(NAMES)), 0.5))
+    texts = [x or "" for x in bounded_sample(rows, fit_rows, ["_id", "_text"], seed).toPandas()["_text"]]
+    target = posterior(np.array([votes_of(t) for t in texts]).reshape(len(texts), len(NAMES)), good, right_good, right_poor)
+    weight, offset = fit_linear(texts, target, seed=seed)
     return Scorer(weight, offset, good, right_good, right_poor)
 
 
@@ -161,19 +165,20 @@ def grade(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     replaced; repeated rows repeat; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # BUCKETS numbers
-    columns = [c for c in docs.columns if c not in ("weak_label", "quality_score")]
-    voted, names = with_votes(docs.select(*columns), text)
-    columns = [c for c in columns if c not in names]
+    columns = [c for c in docs.columns if c not in ("weak_label", "quality_score", *NAMES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            if batch.num_rows:
-                votes = np.stack([batch[n].to_numpy() for n in names], axis=1)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = [x.decode() for x in text_bytes(part["_text"])]
+                votes = np.array([votes_of(t) for t in texts], np.int32).reshape(-1, len(NAMES))
                 weak = posterior(votes, model.share, model.right_good, model.right_poor)
-                scores = model([x.decode() for x in text_bytes(batch["_text"])])
-                yield pa.record_batch({"row": batch["row"], "weak_label": pa.array(weak), "quality_score": pa.array(scores)})
+                found = {n: pa.array(np.ascontiguousarray(votes[:, i])) for i, n in enumerate(NAMES)}
+                yield pa.record_batch({"row": part["row"], **found, "weak_label": pa.array(weak), "quality_score": pa.array(model(texts))})
 
-    rows = voted.select(F.struct(*[F.col(c) for c in [*columns, *names]]).alias("row"), F.col(text).alias("_text"), *names)
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, weak_label double, quality_score double")
-    return out.select("row.*", "weak_label", "quality_score")
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(text).alias("_text"))
+    votes = ", ".join(f"{n} int" for n in NAMES)
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {votes}, weak_label double, quality_score double")
+    return out.select("row.*", *NAMES, "weak_label", "quality_score")
