@@ -18,7 +18,7 @@ from quarry.operators.temporal import search_filter
 
 #: Limits of a request, and what is said without any candidate.
 MAX_TOKENS, PROMPT_VERSION = 8192, "v1"
-NO_CANDIDATES = "Não encontrei dispositivos aplicáveis a esta consulta na data de referência."
+NO_CANDIDATES = "Não encontrei nenhum dispositivo no corpus que trate do que foi perguntado, na data de referência da consulta."
 
 
 @dataclass(frozen=True)
@@ -89,10 +89,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes:
     The filter on time, norms and types comes before each leg is cut.
     """
     live = chunks.where(search_filter(date, norms, types))
-    posts = search.postings(chunks, "text", "chunk_no").join(live.select(F.col("chunk_no").alias("id")), "id", "left_semi")
-    weights = search.postings(chunks, "text", "chunk_no")
-    n = chunks.count()
-    idf = search.idf(weights, n)
+    whole = search.postings(chunks, "text", "chunk_no")
+    posts, idf = whole.join(live.select(F.col("chunk_no").alias("id")), "id", "left_semi"), search.idf(whole, chunks.count())
     asked = questions.select("query_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
     w = F.col("idf") * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("length") / search.AVERAGE))
     scored = asked.join(posts, "term").join(idf, "term").groupBy("query_id", "id").agg(F.round(F.sum(w), 6).alias("score"))
