@@ -247,7 +247,7 @@ def assign(parts: DataFrame, capacity: int = 1024, salts: int = 256) -> DataFram
         (F.col("_sequence") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_slot") + F.col("length") * (nth % F.col("_each"))).cast("long").alias("offset"),
     )
-    alone = salted_rank(full.withColumn("_all", F.lit(0)), ["_all"], order, "_rank", salts)
+    alone = salted_rank(full.withColumn("_all", F.lit(0)), ["_all"], order, "_rank", 32 * salts)
     alone = alone.select(*parts.columns, (F.col("_rank") + F.lit(packed)).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return put.union(alone)
 
