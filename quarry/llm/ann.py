@@ -215,7 +215,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
     right = probing.join(grid, "part").select("part", pick("query_blocks").alias("qb"), each("row_blocks").alias("rb"), "vec_id", "vector")
 
     def compare(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        """The k best of a block of rows for each query of a block, as one row of lists."""
+        out: dict[str, list] = {"query_id": [], "part": [], "far": [], "ids": []}
         if len(own) and len(ask):
             ids, q_ids = own["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
             m, q = _matrix(own["vector"], dim), _matrix(ask["vector"], dim)
@@ -225,16 +226,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
             for at in range(0, len(q), 256):
                 near = q[at : at + 256] @ m.T
                 top = np.sort(np.argpartition(-near, some - 1, axis=1)[:, :some], axis=1)
-                # all ties with the last are kept, then scored one way for every block
+                # those near the cut are kept too, and all are scored one way in every block
                 exact = (m[top] * q[at : at + 256, None, :]).sum(axis=2)
                 exact[ids[top] == q_ids[at : at + 256, None]] = -np.inf
                 best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(exact, best, 1)
                 kept = np.isfinite(score)
-                out.append(pd.DataFrame({"query_id": np.repeat(q_ids[at : at + 256], kept.sum(axis=1)), "vec_id": ids[np.take_along_axis(top, best, 1)[kept]], "score": score[kept]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    keys = ["part", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for row, (b, s, ok) in enumerate(zip(np.take_along_axis(top, best, 1), score, kept, strict=True)):
+                    out["query_id"].append(q_ids[at + row])
+                    out["far"].append(0.0 - s[ok])
+                    out["ids"].append(ids[b[ok]])
+            out["part"] = [int(own["part"].iloc[0])] * len(out["query_id"])
+        return pd.DataFrame(out)
+
+    def merged(df: DataFrame, *keys: str) -> DataFrame:
+        """The k best of the lists of a key: a few for each part, then one for each part probed."""
+        return df.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+    blocks_of = ["part", "rb", "qb"]
+    found = left.groupBy(*blocks_of).cogroup(right.groupBy(*blocks_of)).applyInPandas(compare, "query_id long, part long, far array<double>, ids array<long>")
+    best = merged(merged(found.select("query_id", "part", F.arrays_zip("far", "ids").alias("best")), "query_id", "part"), "query_id")
+    each_best = best.select("query_id", F.posexplode("best").alias("rank", "b"))
+    return each_best.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.ids").alias("vec_id"), (0.0 - F.col("b.far")).alias("score"))
