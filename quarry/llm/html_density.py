@@ -217,6 +217,9 @@ def main_text(page: str) -> str:
     upto = next((i for i, x in enumerate(path) if tree.tag[x] == "body"), len(path) - 1)
     threshold = min(density[x] for x in path[: upto + 1])
     holder = next((x for x in path if tree.tag[x] in ("article", "main")), None)
+    if holder is None:  # a short article may weigh less than what stands around it
+        named = [x for x in range(n) if tree.tag[x] in ("article", "main") and not gone[x] and density[x] > 0]
+        holder = max(named, key=lambda x: total[x] + density[x], default=None)
     marked = bytearray(n)
     for node in range(n):
         if density[node] >= threshold and not gone[node] and not marked[node]:

@@ -52,6 +52,11 @@ def test_main_text(part, around, holder):
     assert html_density.main_text(page) == text
 
 
+def test_short_article_among_dense_blocks():
+    around = "<div>" + "some words that are not the article at all " * 6 + "</div>"
+    assert html_density.main_text(f"<body>{around}<article><p>Short.</p></article>{around}</body>") == "Short."
+
+
 def test_dense_block_without_hints():
     words = " ".join("word" for _ in range(60))
     links = "".join(f"<a href=/{i}>link {i}</a> " for i in range(30))
