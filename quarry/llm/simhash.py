@@ -236,65 +236,72 @@ def _similar(at_least: float) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
 
 
 def _table_anchors(batches):
-    """(table, anchor, node, fps) for all anchors within covering radius plus half the threshold.
+    """(place, node) for all anchors of all tables within covering radius plus half the threshold.
 
     Of two fingerprints within the threshold, one half-way between them has its
-    home within the radius; so both reach that anchor.
+    home within the radius; so both reach that anchor.  A place is an anchor
+    with the number of its table above its bits.
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
             fps = part["fps"].flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES)
             for t in range(TABLES):
                 row, anchor = anchors(np.ascontiguousarray(fps[:, t]), SLACK // 2)
-                take = pa.array(row)
-                yield pa.record_batch({"table": pa.array(np.full(len(row), t, np.int32)), "anchor": pa.array(anchor), "node": part["node"].take(take), "fps": part["fps"].take(take)})
+                yield pa.record_batch({"place": pa.array(anchor | t << 2 * BLOCK), "node": part["node"].take(pa.array(row))})
 
 
-def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar_texts(texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): texts, by node (long), that share a chain of links of at least ``similarity``.
 
-    ``texts`` has node and text, a row for each different text.  Links are
+    ``texts`` has node, id and text; rows of one node hold one text, and
+    ``owners`` names the id whose row stands for it.  Links are
     pairs whose Jaccard similarity over distinct shingles is high enough, among
     all pairs that fingerprints propose.  At each anchor the smallest node is
     compared to all others first; only pairs that this leaves in different
     classes are compared one by one, so a group of copies costs in proportion
-    to its size.
+    to its size.  Texts themselves are dealt out once, those alone that share
+    an anchor with another.
     """
-    sketches = written(map_batches(texts.select("node", "text"), _sketch, "node long, fps array<long>"), "sketches")
-    places = sketches.mapInArrow(_table_anchors, "table int, anchor long, node long, fps array<long>")
-    at = ["table", "anchor"]
-    shared = places.select(*at, "node").groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    met = written(places.join(shared, at), "anchors")
+    sketched = map_batches(texts.select("node", "text"), _sketch, "node long, fps array<long>")
+    sketches = written(sketched.groupBy("node").agg(F.min("fps").alias("fps")), "sketches")
+    places = sketches.mapInArrow(_table_anchors, "place long, node long")
+    shared = places.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
+    met = written(places.join(shared, "place"), "anchors")
     bits = F.lit(0)
     for t in range(TABLES):
         bits = bits + F.bit_count(F.col("a")[t].bitwiseXOR(F.col("b")[t]))
-    near = bits <= int(FAR * 64 * TABLES)
+    fps = lambda node, name: sketches.select(F.col("node").alias(node), F.col("fps").alias(name))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (u, v) whose fingerprints are near enough on the whole."""
-        fps = lambda node, name: sketches.select(F.col("node").alias(node), F.col("fps").alias(name))
+        near = bits <= int(FAR * 64 * TABLES)
         return pairs.distinct().join(fps("u", "a"), "u").join(fps("v", "b"), "v").where(near).select("u", "v")
 
+    star = written(candidates(met.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))), "candidates")
+    # whatever is compared later shares an anchor too; one text of each such node is dealt out
+    nodes = met.select("node").distinct()
+    owned = nodes.join(owners, "node").select(F.col("node").alias("_n"), F.col("id").alias("_i"))
+    own = texts.join(owned, (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")
+    held = map_batches(own.select("node", "text"), _shingle_sets(words), "node long, shingles binary")
+    sets = written(held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "candidates")
-        nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        sets = written(map_batches(texts.join(nodes, "node", "left_semi").select("node", "text"), _shingle_sets(words), "node long, shingles binary"), "shingles")
         side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
         return map_batches(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v"), _similar(similarity), "u long, v long")
 
-    first = written(verified(candidates(met.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")))), "links")
+    first = written(verified(star), "links")
     roots = written(connected_components(first), "roots")
-    rooted = met.join(roots, "node", "left").select(*at, "node", F.coalesce("root", "node").alias("root"), F.col("fps"))
+    rooted = met.join(roots, "node", "left").select("place", "node", F.coalesce("root", "node").alias("root"))
     # anchors whose members are all of one class have nothing left to compare
-    mixed = rooted.groupBy(*at).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*at)
-    open_ = written(rooted.join(mixed, at, "left_semi"), "open")
-    mask = F.lit((1 << 2 * BLOCK) - 1).cast("long")
-    one = lambda end, fp, root: open_.select(*at, F.col("node").alias(end), F.col("root").alias(root), F.element_at("fps", F.col("table") + 1).bitwiseAND(mask).alias(fp))
+    mixed = rooted.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("place")
+    open_ = rooted.join(mixed, "place", "left_semi")
+    one = F.element_at("fps", (F.shiftright("place", 2 * BLOCK) + 1).cast("int")).bitwiseAND(F.lit((1 << 2 * BLOCK) - 1).cast("long"))
+    open_ = written(open_.join(sketches, "node").select("place", "node", "root", one.alias("fp")), "open")
+    end = lambda node, fp, root: open_.select("place", F.col("node").alias(node), F.col("root").alias(root), F.col("fp").alias(fp))
     close = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= SLACK)
-    rest = one("u", "fu", "ru").join(one("v", "fv", "rv"), at).where(close).select("u", "v")
-    second = verified(candidates(rest))
-    return connected_components(first.union(second))
+    rest = end("u", "fu", "ru").join(end("v", "fv", "rv"), "place").where(close).select("u", "v")
+    return connected_components(first.union(verified(candidates(rest))))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -308,14 +315,10 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     number, node = F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.nullif(F.trim(F.col(text)), F.lit("")), F.lit("")))
     keys = written(docs.select(number.alias("_id"), node.alias("_node")), "text-keys")
     least = keys.groupBy("_node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("least"))
-    owners = least.select("_node", F.col("least.id").alias("_id"))
-    with_keys = docs.withColumns({"_id": number, "_node": node})
-    on = lambda left, right: left["_node"].eqNullSafe(right["_node"]) & left["_id"].eqNullSafe(right["_id"])
-    texts = with_keys.select("_id", "_node", F.col(text).alias("text")).join(owners.withColumnRenamed("_node", "_n").withColumnRenamed("_id", "_i"), (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))
-    texts = written(texts.groupBy(F.col("_node").alias("node")).agg(F.first("text").alias("text")), "texts")
-    found = similar_texts(texts, words, similarity)
+    owners = least.select(F.col("_node").alias("node"), F.col("least.id").alias("id"))
+    found = similar_texts(docs.select(node.alias("node"), number.alias("id"), F.col(text).alias("text")), owners, words, similarity)
     classed = least.join(found, F.col("_node") == F.col("node"), "left").select("_node", "least", F.coalesce("root", "_node").alias("root"))
     stays = classed.groupBy("root").agg(F.min(F.struct("least", "_node")).alias("s")).select(F.col("s._node").alias("_n"), F.col("s.least.id").alias("_i"))
-    kept = with_keys.join(stays, (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))
+    kept = docs.withColumns({"_id": number, "_node": node}).join(stays, (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))
     first = Window.partitionBy("_node", "_id").orderBy(*[F.col(c) for c in docs.columns if dict(docs.dtypes)[c] in ("string", "bigint", "int")])
     return kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
