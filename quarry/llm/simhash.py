@@ -12,17 +12,19 @@ one is at home and the other a replica.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache, partial
 from itertools import combinations, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_bytes, written
+from .common import bounded_sample, map_batches, text_bytes, written
 from .components import connected_components, thinned
 
 BLOCK = 23
@@ -190,33 +192,97 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- near copies by similarity: several fingerprints propose pairs, shingle sets decide
+# ---- near copies by similarity: fingerprints join groups early, prefixes of the shingle sets propose every other pair
 
 #: Fingerprints (of words, by different seeds) that propose pairs, and their threshold on the anchor bits.
 TABLES, SLACK = 6, 2
 #: Share of the bits of all fingerprints in which texts of similarity 0.8 hardly ever differ.
 FAR = 0.2
+#: Texts whose shingles are counted, and how many frequent shingles at most are put last: cost depends on it, results do not.
+COUNTED_TEXTS, LAST_SHINGLES = 8192, 100_000
+#: Bounds of the bits that mark the texts whose shingle sets are wanted.
+MARK_BITS = (1 << 16, 1 << 26)
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Word fingerprints of each text, and its number of distinct shingles of ``words`` words."""
-    out: list[list[int]] = []
-    for text in text_bytes(batch["text"]):
-        words = list(dict.fromkeys(text.lower().split()))
-        rows = []
-        for seed in range(TABLES):
-            parts = [np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), words[at : at + SHINGLE_BLOCK]), np.uint64) for at in range(0, len(words), SHINGLE_BLOCK)]
-            rows.append(np.int64(np.uint64(majority(parts))) if parts else np.int64(0))
-        out.append([int(x) for x in rows])
-    return pa.record_batch({"node": batch["node"], "fps": pa.array(out, pa.list_(pa.int64()))})
+def least_common(size: int, similarity: float) -> int:
+    """Shingles that a set of ``size`` has at least in common with any that is similar enough."""
+    return math.ceil(similarity * size - 1e-9)
 
 
-def _shingle_sets(words: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def prefix(shingles: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
+    """The first of a sorted set of shingles, in one order for all texts, so many that two similar sets share one.
+
+    A similar set leaves out fewer than the prefix holds.  The shingles in
+    ``last`` (sorted) come after all others, else the order is by hash.
+    """
+    n = len(shingles)
+    late = np.zeros(n, bool)
+    if n and len(last):
+        late = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
+    return np.concatenate((shingles[~late], shingles[late]))[: n - least_common(n, similarity) + 1 if n else 0]
+
+
+def _shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.concatenate(list(shingle_hashes(text, words)) or [np.zeros(0, np.uint64)]))
+
+
+def _sketch(words: int, similarity: float, last) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Word fingerprints of each text, its number of distinct shingles, and the prefix of their set."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = []
+        out, sizes, keys = [], [], []
         for text in text_bytes(batch["text"]):
-            parts = list(shingle_hashes(text, words)) or [np.zeros(0, np.uint64)]
-            sets.append(np.unique(np.concatenate(parts)).tobytes())
+            own = list(dict.fromkeys(text.lower().split()))
+            rows = []
+            for seed in range(TABLES):
+                parts = [np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), own[at : at + SHINGLE_BLOCK]), np.uint64) for at in range(0, len(own), SHINGLE_BLOCK)]
+                rows.append(np.int64(np.uint64(majority(parts))) if parts else np.int64(0))
+            out.append([int(x) for x in rows])
+            shingles = _shingle_set(text, words)
+            sizes.append(len(shingles))
+            keys.append(prefix(shingles, similarity, last.value).view(np.int64))
+        return pa.record_batch({"node": batch["node"], "fps": pa.array(out, pa.list_(pa.int64())), "size": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Sorted shingles that several of a bounded sample of texts hold."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_shingle_set(text, words) for text in text_bytes(batch["text"])]
+        return pa.record_batch({"key": pa.array(np.concatenate(sets).view(np.int64))})
+
+    sample = bounded_sample(texts.select("node", "text"), COUNTED_TEXTS, ["node"], 3)
+    counts = map_batches(sample.repartition(16, "node"), run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "key").limit(LAST_SHINGLES).select("key").toPandas()["key"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bit for each remainder of the nodes, packed: texts without theirs are none of them."""
+    bits = min(MARK_BITS[1], max(MARK_BITS[0], 1 << (16 * nodes.count()).bit_length()))
+
+    def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(MARK_BITS[0], np.uint8)
+        part[own["bit"].to_numpy() % MARK_BITS[0]] = 1
+        return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(part).tobytes()]})
+
+    bit = F.pmod("node", F.lit(bits))
+    found = nodes.select(bit.alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / MARK_BITS[0])).groupBy("chunk").applyInPandas(pack, "chunk long, bits binary")
+    out = np.zeros((bits // MARK_BITS[0], MARK_BITS[0] // 8), np.uint8)
+    for row in found.toLocalIterator():  # 8 KB each, 1,024 at most
+        out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _shingle_sets(words: int, marks) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Shingle sets of the texts whose node is marked."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bit = batch["node"].to_numpy() % (8 * len(marks.value))
+        batch = batch.filter(pa.array(marks.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 == 1))
+        sets = [_shingle_set(text, words).tobytes() for text in text_bytes(batch["text"])]
         return pa.record_batch({"node": batch["node"], "shingles": pa.array(sets, pa.binary())})
 
     return run
@@ -251,57 +317,56 @@ def _table_anchors(batches):
                 yield pa.record_batch({"place": pa.array(anchor | t << 2 * BLOCK), "node": part["node"].take(pa.array(row))})
 
 
-def similar_texts(texts: DataFrame, owners: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): texts, by node (long), that share a chain of links of at least ``similarity``.
 
-    ``texts`` has node, id and text; rows of one node hold one text, and
-    ``owners`` names the id whose row stands for it.  Links are
-    pairs whose Jaccard similarity over distinct shingles is high enough, among
-    all pairs that fingerprints propose.  At each anchor the smallest node is
-    compared to all others first; only pairs that this leaves in different
-    classes are compared one by one, so a group of copies costs in proportion
-    to its size.  Texts themselves are dealt out once, those alone that share
-    an anchor with another.
+    ``texts`` has node and text; rows of one node hold one text.  Links are all
+    pairs whose Jaccard similarity over distinct shingles is high enough.
+    Fingerprints come first: at each anchor the smallest node is compared to all
+    others, so a group of copies costs in proportion to its size.  Then every
+    pair of different classes is compared whose shingle sets share enough of
+    their prefixes, which no similar pair fails to do: no link between classes
+    is missed.  Texts themselves are never dealt out, and shingle sets only of
+    those that are compared.
     """
-    sketched = map_batches(texts.select("node", "text"), _sketch, "node long, fps array<long>")
-    sketches = written(sketched.groupBy("node").agg(F.min("fps").alias("fps")), "sketches")
-    places = sketches.mapInArrow(_table_anchors, "place long, node long")
+    spark = texts.sparkSession
+    last = spark.sparkContext.broadcast(_frequent(texts, words))
+    sketched = map_batches(texts.select("node", "text"), _sketch(words, similarity, last), "node long, fps array<long>, size long, keys array<long>")
+    sketches = written(sketched.groupBy("node").agg(F.min(F.struct("fps", "size", "keys")).alias("s")).select("node", "s.*"), "sketches")
+    places = sketches.select("node", "fps").mapInArrow(_table_anchors, "place long, node long")
     shared = places.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    met = written(places.join(shared, "place"), "anchors")
     bits = F.lit(0)
     for t in range(TABLES):
         bits = bits + F.bit_count(F.col("a")[t].bitwiseXOR(F.col("b")[t]))
     fps = lambda node, name: sketches.select(F.col("node").alias(node), F.col("fps").alias(name))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (u, v) whose fingerprints are near enough on the whole."""
-        near = bits <= int(FAR * 64 * TABLES)
-        return pairs.distinct().join(fps("u", "a"), "u").join(fps("v", "b"), "v").where(near).select("u", "v")
-
-    star = written(candidates(met.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))), "candidates")
-    # whatever is compared later shares an anchor too; one text of each such node is dealt out
-    nodes = met.select("node").distinct()
-    owned = nodes.join(owners, "node").select(F.col("node").alias("_n"), F.col("id").alias("_i"))
-    own = texts.join(owned, (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")
-    held = map_batches(own.select("node", "text"), _shingle_sets(words), "node long, shingles binary")
-    sets = written(held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+    met = places.join(shared, "place").where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    near = bits <= int(FAR * 64 * TABLES)
+    star = written(met.join(fps("u", "a"), "u").join(fps("v", "b"), "v").where(near).select("u", "v"), "candidates")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a written table) that are similar enough."""
+        marks = spark.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+        held = map_batches(texts.select("node", "text"), _shingle_sets(words, marks), "node long, shingles binary")
+        sets = written(held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
         side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
         return map_batches(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v"), _similar(similarity), "u long, v long")
 
     first = written(verified(star), "links")
     roots = written(connected_components(first), "roots")
-    rooted = met.join(roots, "node", "left").select("place", "node", F.coalesce("root", "node").alias("root"))
-    # anchors whose members are all of one class have nothing left to compare
-    mixed = rooted.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("place")
-    open_ = rooted.join(mixed, "place", "left_semi")
-    one = F.element_at("fps", (F.shiftright("place", 2 * BLOCK) + 1).cast("int")).bitwiseAND(F.lit((1 << 2 * BLOCK) - 1).cast("long"))
-    open_ = written(open_.join(sketches, "node").select("place", "node", "root", one.alias("fp")), "open")
-    end = lambda node, fp, root: open_.select("place", F.col("node").alias(node), F.col("root").alias(root), F.col("fp").alias(fp))
-    close = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= SLACK)
-    rest = end("u", "fu", "ru").join(end("v", "fv", "rv"), "place").where(close).select("u", "v")
-    return connected_components(first.union(verified(candidates(rest))))
+    keyed = sketches.select("node", "size", F.explode("keys").alias("key"))
+    held = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    rooted = written(held, "prefixes").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    # keys whose texts are all of one class have nothing left to compare
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = written(rooted.join(mixed, "key", "left_semi"), "open")
+    end = lambda node, size, root: open_.select("key", F.col("node").alias(node), F.col("size").alias(size), F.col("root").alias(root))
+    sizes = F.least("su", "sv") >= F.greatest("su", "sv") * similarity - 1e-9
+    pairs = end("u", "su", "ru").join(end("v", "sv", "rv"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & sizes)
+    counted = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("su").alias("su"), F.min("sv").alias("sv"))
+    # what the prefixes of both do not share lies behind the end of one of them
+    most = F.col("n") + F.ceil(F.greatest("su", "sv") * similarity - 1e-9) - 1
+    rest = counted.where(most >= (F.col("su") + F.col("sv")) * (similarity / (1 + similarity)) - 1e-6).select("u", "v")
+    return connected_components(first.union(verified(written(rest, "rest"))))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -315,8 +380,7 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     number, node = F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.nullif(F.trim(F.col(text)), F.lit("")), F.lit("")))
     keys = written(docs.select(number.alias("_id"), node.alias("_node")), "text-keys")
     least = keys.groupBy("_node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("least"))
-    owners = least.select(F.col("_node").alias("node"), F.col("least.id").alias("id"))
-    found = similar_texts(docs.select(node.alias("node"), number.alias("id"), F.col(text).alias("text")), owners, words, similarity)
+    found = similar_texts(docs.select(node.alias("node"), F.col(text).alias("text")), words, similarity)
     classed = least.join(found, F.col("_node") == F.col("node"), "left").select("_node", "least", F.coalesce("root", "_node").alias("root"))
     stays = classed.groupBy("root").agg(F.min(F.struct("least", "_node")).alias("s")).select(F.col("s._node").alias("_n"), F.col("s.least.id").alias("_i"))
     kept = docs.withColumns({"_id": number, "_node": node}).join(stays, (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))

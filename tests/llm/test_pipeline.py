@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from quarry.llm import simhash
 
@@ -42,6 +43,35 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert simhash.distinct_documents(odd.limit(0)).count() == 0
 
 
+def test_texts_that_share_all_but_a_block_are_near_copies(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    rows, expected = [], set()
+    for i in range(300):  # of five texts one has a copy with a block of new words put in or in place of others
+        words = [word() for _ in range(rnd.choice([150, 400]))]
+        rows.append((2 * i, " ".join(words)))
+        expected.add(2 * i)
+        if i % 5 == 0:
+            n, replaced, at = len(words), i % 2, rnd.randrange(10, len(words) // 2)
+            block = int(n * rnd.uniform(0.06, 0.08)) if replaced else int(n * rnd.uniform(0.14, 0.18))
+            rows.append((2 * i + 1, " ".join(words[:at] + [word() for _ in range(block)] + words[at + replaced * block :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash.distinct_documents(docs.repartition(5)).collect()}
+    assert survivors(rows) == expected and got == expected
+
+
+def test_similar_sets_share_a_prefix():
+    rnd = np.random.default_rng(3)
+    last = np.sort(rnd.integers(0, 1 << 62, 50).astype(np.uint64))
+    for _ in range(300):
+        n = int(rnd.integers(1, 60))
+        x = np.union1d(rnd.integers(0, 1 << 62, n).astype(np.uint64), rnd.choice(last, n // 4))
+        y = np.union1d(rnd.permutation(x)[: rnd.integers(0, len(x) + 1)], rnd.integers(0, 1 << 62, rnd.integers(0, n // 4 + 1)).astype(np.uint64))
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            assert len(np.intersect1d(simhash.prefix(x, 0.8, last), simhash.prefix(y, 0.8, last)))
+    assert not len(simhash.prefix(x[:0], 0.8, last))
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     out, docs = [spark.read.parquet(f"{DATA}/documents.parquet")], None
