@@ -4,8 +4,8 @@ Documents are counted by exact token length, source by source.  A source whose
 target is q times its size, plus a rest, gives all its documents q times; the
 rest is a subset-sum problem over the length histogram: an even share of each
 length first, then single documents from the longest down, then a bounded
-knapsack over the small budget that is left.  Which documents of a length are
-taken follows a seeded hash.  Only histograms are gathered, never documents.
+knapsack over the small budget that is left, or over more of it as long as the
+sum is not met.  Which documents of a length are taken follows a seeded hash.  Only histograms are gathered, never documents.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import salted_rank
 
-#: Budget (tokens) that the dynamic program fits exactly; larger rests shrink first, by whole documents.
+#: Budget (tokens) that the dynamic program fits at first; larger rests shrink by whole documents.
 EXACT_BUDGET = 8192
+#: Sums that it tells apart at most.
+MAX_BUDGET = 1 << 24
 
 
 def word_count(text: Column) -> Column:
@@ -49,48 +51,88 @@ def targets(sizes: list[tuple], weights: tuple[float, ...] = (5, 2, 1), share: f
         capped |= over
 
 
-def knapsack(lengths: np.ndarray, supply: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length, at most ``supply``, to come as near to ``budget`` as can be without going over."""
-    reach, layers = 1, []
-    full = (1 << (budget + 1)) - 1
-    for k in np.argsort(lengths, kind="stable")[::-1]:
-        left, step = min(int(supply[k]), budget // int(lengths[k])), 1
+def knapsack(lengths: np.ndarray, supply: np.ndarray, budget: int, over: int = 0) -> np.ndarray:
+    """How many of each length, at most ``supply``, to come as near to ``budget`` as can be, at most ``over`` above it.
+
+    Lengths are divided by what they have in common; budgets over MAX_BUDGET
+    are fitted in coarser units first, then what is left of them.
+    """
+    counts = np.zeros(len(lengths), np.int64)
+    can = np.flatnonzero((supply > 0) & (lengths > 0) & (lengths <= budget + over))
+    if budget + over <= 0 or not len(can):
+        return counts
+    unit = int(np.gcd.reduce(lengths[can].astype(np.int64)))
+    coarse = (budget + over) // unit > MAX_BUDGET
+    if coarse:
+        unit = -(-(budget + over) // MAX_BUDGET)
+    # rounded up, lengths never go over a bound that must hold
+    most, steps = (budget + over) // unit, {int(k): max(1, int(lengths[k]) // unit) if coarse and over else -(-int(lengths[k]) // unit) for k in can}
+    above = abs((budget // unit + 1) * unit - budget) < budget % unit
+    goal = min(most, budget // unit + above)
+    first, layers = np.full(most + 1, -1, np.int32), []  # by which layer a sum was reached first
+    first[0] = 0
+    for k in sorted(steps, key=steps.get, reverse=True):
+        left, step = min(int(supply[k]), most // steps[k]), 1
         while left > 0:
             take = min(left, step)
-            layers.append((k, take, reach))
-            reach |= reach << (take * int(lengths[k])) & full
+            by = take * steps[k]
+            layers.append((k, take))
+            new = np.flatnonzero((first[:-by] >= 0) & (first[by:] < 0))
+            first[new + by] = len(layers)
             left, step = left - take, step * 2
-        if reach >> budget & 1:
+        if first[goal] >= 0:
             break
-    room, counts = reach.bit_length() - 1, np.zeros(len(lengths), np.int64)
-    for k, take, before in reversed(layers):
-        if not before >> room & 1:
-            counts[k] += take
-            room -= take * int(lengths[k])
+    sums = np.flatnonzero(first >= 0)
+    room = int(sums[np.argmin(np.abs(sums * unit - budget))])  # of two the lower
+    while room:
+        k, take = layers[first[room] - 1]
+        counts[k] += take
+        room -= take * steps[k]
+    if coarse and counts.any():
+        counts += knapsack(lengths, supply - counts, budget - int((counts * lengths).sum()))
     return counts
 
 
+def _fit(lengths: np.ndarray, supply: np.ndarray, goal: int, reserve: int) -> np.ndarray:
+    """An even share of each length and single documents up to the last ``reserve`` tokens, which the knapsack fits."""
+    total = int((lengths * supply).sum())
+    counts = supply * max(0, goal - reserve) // total
+    rest = goal - int((counts * lengths).sum())
+    for k in np.argsort(lengths, kind="stable")[::-1]:
+        if rest <= reserve:
+            break
+        more = min(int(supply[k] - counts[k]), (rest - reserve) // int(lengths[k]))
+        if more > 0:
+            counts[k] += more
+            rest -= more * int(lengths[k])
+    left = lengths[supply > counts]
+    return counts + knapsack(lengths, supply - counts, rest, int(left.max()) if len(left) else 0)
+
+
 def fit(lengths: np.ndarray, supply: np.ndarray, budget: float) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes near ``budget``."""
+    """How many documents of each length to take so that their sum comes near ``budget``, from below or above.
+
+    If the sum is not met with the last EXACT_BUDGET tokens, more and more of
+    the budget is left to the knapsack, at last all of it.
+    """
     counts = np.zeros(len(lengths), np.int64)
     total, goal = int((lengths * supply).sum()), int(round(budget))
-    used = lengths > 0
+    used = np.flatnonzero((lengths > 0) & (supply > 0))
     if goal <= 0 or not total:
         return counts
     if goal >= total:
-        return np.where(used, supply, 0)
-    counts[used] = np.minimum(supply[used], supply[used] * max(0, goal - EXACT_BUDGET) // total)
-    rest = goal - int((counts * lengths).sum())
-    for k in np.argsort(lengths, kind="stable")[::-1]:
-        if rest <= EXACT_BUDGET:
+        return np.where(lengths > 0, supply, 0)
+    own, stock = lengths[used].astype(np.int64), supply[used].astype(np.int64)
+    unit, reserve, best = int(np.gcd.reduce(own)), EXACT_BUDGET, None
+    while True:
+        found = _fit(own, stock, goal, reserve)
+        miss = abs(int((found * own).sum()) - goal)
+        if best is None or miss < best[0]:
+            best = miss, found
+        if best[0] <= min(goal % unit, -goal % unit) or reserve >= goal:
             break
-        if used[k]:
-            more = min(int(supply[k] - counts[k]), (rest - EXACT_BUDGET) // int(lengths[k]))
-            if more > 0:
-                counts[k] += more
-                rest -= more * int(lengths[k])
-    small = np.flatnonzero(used & (lengths <= rest) & (supply > counts))
-    counts[small] += knapsack(lengths[small], supply[small] - counts[small], int(min(rest, 4 * EXACT_BUDGET)))
+        reserve *= 8
+    counts[used] = best[1]
     return counts
 
 

@@ -85,6 +85,24 @@ def test_knapsack_is_exact():
         assert (counts <= supply).all() and int(counts @ lengths) == max(s for s in sums if s <= budget)
 
 
+@pytest.mark.parametrize("scale", [1, 37, 30_011, 3_000_017])
+def test_fit_finds_the_nearest_sum_of_long_documents(scale):
+    rnd = random.Random(scale)
+    for _ in range(8):
+        lengths = np.array(sorted({scale * rnd.randint(1, 12) + rnd.randint(0, scale // 10) for _ in range(3)}))
+        supply = np.array([rnd.randint(1, 3) for _ in lengths])
+        budget = rnd.randint(1, int(lengths @ supply) - 1)
+        sums = {0}
+        for length, n in zip(lengths, supply, strict=True):
+            sums = {s + int(length) * k for s in sums for k in range(n + 1)}
+        counts = mixing.fit(lengths, supply, budget)
+        miss = min(abs(s - budget) for s in sums)
+        assert (counts <= supply).all() and abs(int(counts @ lengths) - budget) == miss or scale > 1e6 and abs(int(counts @ lengths) - budget) <= miss + 100
+    assert mixing.fit(np.array([100_000]), np.array([3]), 105_000).tolist() == [1]
+    assert mixing.fit(np.array([70_000, 100_000]), np.array([4, 4]), 210_000).tolist() == [3, 0]
+    assert mixing.fit(np.array([100_000]), np.array([2]), 70_000).tolist() == [1]
+
+
 def test_targets_are_shared_again():
     assert mixing.targets([("a", 10), ("b", 100), ("c", 100)]) == [20, pytest.approx(295 * 2 / 3), pytest.approx(295 / 3)]
     assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [0]
