@@ -222,20 +222,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
             m, q = _matrix(own["vector"], dim), _matrix(ask["vector"], dim)
             order = np.argsort(ids, kind="stable")
             ids, m = ids[order], m[order]
-            some = min(len(ids), k + 9)
+            some = min(len(ids), k + 1)  # the query's own row may be among them
+            error = 4 * dim * np.finfo(float).eps * np.sqrt((m**2).sum(axis=1).max() * (q**2).sum(axis=1))
             for at in range(0, len(q), 256):
                 near = q[at : at + 256] @ m.T
-                top = np.sort(np.argpartition(-near, some - 1, axis=1)[:, :some], axis=1)
-                # those near the cut are kept too, and all are scored one way in every block
-                exact = (m[top] * q[at : at + 256, None, :]).sum(axis=2)
-                exact[ids[top] == q_ids[at : at + 256, None]] = -np.inf
-                best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(exact, best, 1)
-                kept = np.isfinite(score)
-                for row, (b, s, ok) in enumerate(zip(np.take_along_axis(top, best, 1), score, kept, strict=True)):
-                    out["query_id"].append(q_ids[at + row])
-                    out["far"].append(0.0 - s[ok])
-                    out["ids"].append(ids[b[ok]])
+                cut = np.partition(near, len(ids) - some, axis=1)[:, len(ids) - some] - error[at : at + 256]
+                # all that may tie with the last are kept, and all are scored one way in every block
+                row, col = np.nonzero(near >= cut[:, None])
+                exact = np.concatenate([(m[col[i : i + 65536]] * q[at + row[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)])
+                other = np.flatnonzero((ids[col] != q_ids[at + row]) & np.isfinite(exact))
+                other = other[np.lexsort((col[other], -exact[other], row[other]))]
+                start = np.searchsorted(row[other], np.arange(len(near) + 1))
+                for i in range(len(near)):
+                    best = other[start[i] : min(start[i + 1], start[i] + k)]
+                    out["query_id"].append(q_ids[at + i])
+                    out["far"].append(0.0 - exact[best])
+                    out["ids"].append(ids[col[best]])
             out["part"] = [int(own["part"].iloc[0])] * len(out["query_id"])
         return pd.DataFrame(out)
 

@@ -35,6 +35,21 @@ def test_recall_and_order(spark, partitions):
     assert asked == 20 * 75 and found / asked >= 0.9
 
 
+@pytest.mark.parametrize("better", [9, 12, 15, 19])
+def test_ties_in_the_middle_of_a_list(spark, better):
+    dim, n, rng = 8, 1200, np.random.default_rng(better)
+    x = rng.normal(size=(n, dim))
+    x[:, 0] = -1.0
+    order = rng.permutation(n)
+    x[order[:300]] = [0.5] + [0.0] * (dim - 1)  # copies of one vector
+    x[order[300 : 300 + better], 0] = 1 + np.arange(better)
+    queries = [(n + j, [1.0 + j] + [0.0] * (dim - 1)) for j in range(20)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(frame, spark.createDataFrame(queries, "vec_id long, embedding array<double>"), k=20, parts=1).orderBy("query_id", "rank").toPandas()
+    best = [*order[300 : 300 + better][::-1], *np.sort(order[:300])[: 20 - better]]
+    assert got.groupby("query_id")["vec_id"].apply(list).tolist() == [best] * 20
+
+
 def test_few_and_no_rows(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = ann.search(frame, frame.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect()
