@@ -216,19 +216,23 @@ def main_text(page: str) -> str:
     # from the body on; a page without one counts from its root
     upto = next((i for i, x in enumerate(path) if tree.tag[x] == "body"), len(path) - 1)
     threshold = min(density[x] for x in path[: upto + 1])
-    holder = next((x for x in path if tree.tag[x] in ("article", "main")), None)
-    if holder is None:  # a short article may weigh less than what stands around it
-        named = [x for x in range(n) if tree.tag[x] in ("article", "main") and not gone[x] and density[x] > 0]
-        holder = max(named, key=lambda x: total[x] + density[x], default=None)
+    span = lambda x: (x, tree.end[x] or n)
     marked = bytearray(n)
     for node in range(n):
         if density[node] >= threshold and not gone[node] and not marked[node]:
-            top = best[node]
-            marked[top : tree.end[top] or n] = b"\1" * ((tree.end[top] or n) - top)
-    if holder is not None:  # the whole of the element that says it is the article
-        marked = bytearray(n)
-        end = tree.end[holder] or n
-        marked[holder:end] = b"\1" * (end - holder)
+            begin, end = span(best[node])
+            marked[begin:end] = b"\1" * (end - begin)
+    named = [x for x in range(n) if tree.tag[x] in ("article", "main") and not gone[x] and density[x] > 0]
+    if named:  # the page says where its articles are: what is dense outside of them is none, and those that are dense stay whole
+        passing = [x for x in named if density[x] >= threshold] or [max(named, key=lambda x: total[x] + density[x])]
+        kept = bytearray(n)
+        for x in passing:
+            begin, end = span(x)
+            if tree.tag[x] == "main" and any(x < y < end and tree.tag[y] == "article" for y in passing):
+                kept[begin:end] = bytes(a | b for a, b in zip(kept[begin:end], marked[begin:end], strict=True))
+            else:
+                kept[begin:end] = b"\1" * (end - begin)
+        marked = kept
     return " ".join("".join(piece for node, piece in tree.pieces if marked[node] and not gone[node]).split())
 
 

@@ -57,6 +57,17 @@ def test_short_article_among_dense_blocks():
     assert html_density.main_text(f"<body>{around}<article><p>Short.</p></article>{around}</body>") == "Short."
 
 
+def test_several_articles():
+    text = lambda name: f"<p>{name} " + f"some words of the text called {name}, to be read. " * 8 + "</p>"
+    plain = lambda *names: " ".join(f"{x} " + " ".join([f"some words of the text called {x}, to be read."] * 8) for x in names)
+    links = "".join(f"<a href=/{i}>link {i}</a> " for i in range(30))
+    siblings = f"<article>{text('A')}{text('B')}</article><article>{text('C')}</article><article>{text('D')}</article>"
+    assert html_density.main_text(f"<body><div>{links}</div>{siblings}</body>") == plain(*"ABCD")
+    nested = f"<article>{text('A')}<article>{text('B')}{text('C')}</article><article>{text('D')}</article></article>"
+    assert html_density.main_text(f"<body><div>{links}</div>{nested}</body>") == plain(*"ABCD")
+    assert html_density.main_text(f"<body><div>{links}</div><main>{text('A')}<article>{text('B')}</article>{text('C')}</main></body>") == plain(*"ABC")
+
+
 def test_dense_block_without_hints():
     words = " ".join("word" for _ in range(60))
     links = "".join(f"<a href=/{i}>link {i}</a> " for i in range(30))
