@@ -3,8 +3,9 @@
 For every DOM node: characters per tag, adjusted by how much of its text is in
 links; then the sum of its children's densities.  The subtree of the largest
 sum is content, and so is the best subtree of any node as dense as the thinnest
-node on the way from the body to it.  What is never article text (scripts,
-forms, menus, notices, comments of readers, ...) is taken out of the tree first.
+node on the way from the body to it.  Nothing but the densities chooses between
+elements; what is never article text, which they cannot know (scripts, forms,
+menus, notices, comments of readers, ...), is taken out of the tree first.
 """
 
 from __future__ import annotations
@@ -164,9 +165,30 @@ def _dropped(tree: Tree) -> list[bool]:
     return inside
 
 
+def _boxes(tree: Tree) -> list[int]:
+    """For every node the nearest one, itself included, that counts as a tag: formatting within a line does not, links do."""
+    box = list(range(len(tree.tag)))
+    for node in range(1, len(box)):
+        if tree.tag[node] != "a" and tree.tag[node] in INLINE or tree.tag[node] == "br":
+            box[node] = box[tree.parent[node]]
+    return box
+
+
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density of a subtree; ``ratio``: the share of link characters in the whole page.
+
+    Characters per tag, times the logarithm of how much of characters and tags
+    is outside of links, to a base that grows with the characters in links.
+    """
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + ratio * chars + math.e)
+    spread = math.log(max(1.0, chars / lc * t / lt))
+    return chars / t * spread / max(math.log(base), 1e-9) if base > 1 + 1e-9 else chars / t * spread
+
+
 def densities(tree: Tree, gone: list[bool]) -> tuple[list[float], list[float]]:
     """Composite density of every node, and the sum over its children."""
-    n = len(tree.tag)
+    n, box = len(tree.tag), _boxes(tree)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for node in range(1, n):
@@ -174,13 +196,13 @@ def densities(tree: Tree, gone: list[bool]) -> tuple[list[float], list[float]]:
     for node, piece in tree.pieces:
         if not gone[node]:
             size = len("".join(piece.split()))
-            chars[node] += size
+            chars[box[node]] += size
             if in_link[node]:
-                link_chars[node] += size
+                link_chars[box[node]] += size
     for node in range(n - 1, 0, -1):
-        if gone[node]:
+        if gone[node] or box[node] != node:
             continue
-        up = tree.parent[node]
+        up = box[tree.parent[node]]
         chars[up] += chars[node]
         tags[up] += tags[node] + 1
         link_chars[up] += link_chars[node]
@@ -189,50 +211,56 @@ def densities(tree: Tree, gone: list[bool]) -> tuple[list[float], list[float]]:
     density, total = [0.0] * n, [0.0] * n
     for node in range(n):
         if chars[node] and not gone[node]:
-            c, t, lc, lt = chars[node], max(1, tags[node]), max(1, link_chars[node]), max(1, link_tags[node])
-            base = math.log(c / max(1, c - link_chars[node]) * link_chars[node] + ratio * c + math.e)
-            density[node] = c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9) / math.log(max(base, 1.0) + 1e-9) if base > 1 + 1e-9 else c / t * math.log(max(1.0, c / lc * t / lt))
+            density[node] = composite(chars[node], tags[node], link_chars[node], link_tags[node], ratio)
     for node in range(1, n):
-        total[tree.parent[node]] += density[node]
+        if box[node] == node:
+            total[box[tree.parent[node]]] += density[node]
     return density, total
 
 
-def main_text(page: str) -> str:
-    """The article's text: blocks in page order, joined by one space; '' if there is none."""
-    tree = parse(page)
-    gone = _dropped(tree)
-    density, total = densities(tree, gone)
+def choose(tree: Tree, gone: list[bool], density: list[float], total: list[float]) -> bytearray:
+    """A mark for every node that the densities take.
+
+    The subtree of the largest sum is content.  The thinnest node on the way
+    from the body to it sets a threshold, and of every other node at least as
+    dense the subtree of its largest sum is content too.  Of equal sums the
+    outermost, then the first in page order, wins.
+    """
     n = len(tree.tag)
     best = list(range(n))
     for node in range(n - 1, 0, -1):
         up = tree.parent[node]
-        if not gone[node] and total[best[node]] > total[best[up]]:
+        more, own = total[best[node]], total[best[up]]
+        if not gone[node] and (more > own or more == own and best[up] != up):
             best[up] = best[node]
-    chosen = best[0]
-    path, node = [chosen], chosen
-    while node:
-        node = tree.parent[node]
-        path.append(node)
+    path = [best[0]]
+    while path[-1]:
+        path.append(tree.parent[path[-1]])
     # from the body on; a page without one counts from its root
     upto = next((i for i, x in enumerate(path) if tree.tag[x] == "body"), len(path) - 1)
-    threshold = min(density[x] for x in path[: upto + 1])
-    span = lambda x: (x, tree.end[x] or n)
+    box = _boxes(tree)
+    threshold = min(density[x] for x in path[: upto + 1] if box[x] == x)
     marked = bytearray(n)
     for node in range(n):
-        if density[node] >= threshold and not gone[node] and not marked[node]:
-            begin, end = span(best[node])
+        if density[node] > 0 and density[node] >= threshold and not marked[node]:
+            begin, end = best[node], tree.end[best[node]] or n
             marked[begin:end] = b"\1" * (end - begin)
-    named = [x for x in range(n) if tree.tag[x] in ("article", "main") and not gone[x] and density[x] > 0]
-    if named:  # the page says where its articles are: what is dense outside of them is none, and those that are dense stay whole
-        passing = [x for x in named if density[x] >= threshold] or [max(named, key=lambda x: total[x] + density[x])]
-        kept = bytearray(n)
-        for x in passing:
-            begin, end = span(x)
-            if tree.tag[x] == "main" and any(x < y < end and tree.tag[y] == "article" for y in passing):
-                kept[begin:end] = bytes(a | b for a, b in zip(kept[begin:end], marked[begin:end], strict=True))
-            else:
-                kept[begin:end] = b"\1" * (end - begin)
-        marked = kept
+    # a block of nothing but links (density 0, two or more of them) is a menu, wherever it stands
+    links = [0] * n
+    for node in range(n - 1, 0, -1):
+        links[tree.parent[node]] += links[node] + (tree.tag[node] == "a")
+    for node in range(1, n):
+        if marked[node] and box[node] == node and density[node] == 0 and links[node] > 1:
+            begin, end = node, tree.end[node] or n
+            marked[begin:end] = bytes(end - begin)
+    return marked
+
+
+def main_text(page: str) -> str:
+    """The article's text: blocks in page order, joined by one space; '' if there is none."""
+    tree = parse(page)
+    gone = _dropped(tree)
+    marked = choose(tree, gone, *densities(tree, gone))
     return " ".join("".join(piece for node, piece in tree.pieces if marked[node] and not gone[node]).split())
 
 

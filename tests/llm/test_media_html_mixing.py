@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import tarfile
 import zlib
@@ -52,9 +53,50 @@ def test_main_text(part, around, holder):
     assert html_density.main_text(page) == text
 
 
-def test_short_article_among_dense_blocks():
-    around = "<div>" + "some words that are not the article at all " * 6 + "</div>"
-    assert html_density.main_text(f"<body>{around}<article><p>Short.</p></article>{around}</body>") == "Short."
+def naive(page):
+    """Densities of a page straight from their definition, node by node; pages of plain blocks and links only."""
+    tree = html_density.parse(page)
+    n, gone = len(tree.tag), html_density._dropped(tree)
+    inside = lambda x: range(x, tree.end[x] or n)
+    up = lambda x: [] if not x else [tree.parent[x], *up(tree.parent[x])]
+    size = lambda nodes: sum(len("".join(t.split())) for x, t in tree.pieces if x in nodes and not gone[x])
+    linked = {x for x in range(n) if "a" in [tree.tag[y] for y in [x, *up(x)]]}
+    ratio = size(linked) / max(1, size(range(n)))
+    density = []
+    for x in range(n):
+        below = [y for y in inside(x) if y != x and not gone[y]]
+        c, lc = size(inside(x)), size(linked & set(inside(x)))
+        t, lt = max(1, len(below)), max(1, sum(tree.tag[y] == "a" for y in below))
+        base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+        density.append(0.0 if not c or gone[x] else c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base))
+    return density, [sum(density[y] for y in range(1, n) if tree.parent[y] == x) for x in range(n)]
+
+
+def test_densities_against_the_definition():
+    rnd = random.Random(9)
+    for _ in range(30):
+        block = lambda depth: f"<div>{''.join(block(depth - 1) for _ in range(rnd.randint(1, 3)))}</div>" if depth else rnd.choice([f"<p>{'word ' * rnd.randint(1, 60)}</p>", "<p>" + "<a href=/x>link here</a> " * rnd.randint(1, 5) + "and text </p>", "<ul><li><a href=/>one</a><li><a href=/>two</a></ul>"])  # noqa: E731, B023
+        page = f"<body>{block(3)}{block(2)}</body>"
+        tree = html_density.parse(page)
+        got, expected = html_density.densities(tree, html_density._dropped(tree)), naive(page)
+        assert got[0] == pytest.approx(expected[0]) and got[1] == pytest.approx(expected[1])
+
+
+BLOCKS = "<body><div><p>{links}</p><p>Two words. {links}</p></div><{holder}><h1>Some title</h1><p>{words}</p><div><p>{words} <i>so</i> <b>it</b> is</p></div></{holder}><div><p>{links} more</p></div></body>"
+
+
+def test_densities_decide(monkeypatch):
+    words, links = "word " * 59 + "end", "".join(f"<a href=/{i}>link {i}</a> " for i in range(30))
+    pages = [BLOCKS.format(words=words, links=links, holder=x) for x in ("article", "main", "div", "section")]
+    assert {html_density.main_text(p) for p in pages} == {f"Some title {words} {words} so it is"}
+    monkeypatch.setattr(html_density, "composite", lambda *_: 1.0)
+    assert all(html_density.main_text(p) != f"Some title {words} {words} so it is" for p in pages)
+
+
+def test_very_long_page():
+    words = "word " * 59 + "end"
+    page = "<body><nav>" + "<a href=/>x</a>" * 2000 + "</nav><div>" + f"<p>{words}</p>" * 20_000 + "</div><footer>end</footer></body>"
+    assert html_density.main_text(page) == " ".join([words] * 20_000)
 
 
 def test_several_articles():
