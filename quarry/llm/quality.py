@@ -60,23 +60,24 @@ def votes_of(text: str) -> list[int]:
     ]
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 300, prior_good: tuple[float, float] = (0.98, 1.0), prior_poor: tuple[float, float] = (0.4, 0.2)) -> tuple[float, np.ndarray, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 500, start_good: float = 0.98, start_poor: float = 0.4, rows: float = 4.0) -> tuple[float, np.ndarray, np.ndarray]:
     """EM over vote patterns (-1: abstains): share of good documents, P(vote 1 | good), P(vote 0 | poor).
 
-    Labellers are taken as independent given the class.  Poor documents are of
-    several kinds, each seen by a few labellers only, so the priors (mean, and
-    weight as a share of the documents) say that a labeller seldom calls a good
-    document poor and misses many poor ones.  Abstaining tells nothing.
+    Labellers are taken as independent given the class; abstaining tells
+    nothing.  EM starts from labellers that seldom call a good document poor
+    and miss many poor ones, which also says which class is the good one.  The
+    start weighs as much as ``rows`` documents and no more, so that a labeller
+    that never votes on a class keeps a defined value; the corpus decides.
     """
     n = counts.sum()
-    good, right_good, right_poor = 0.8, np.full(votes.shape[1], prior_good[0]), np.full(votes.shape[1], prior_poor[0])
+    good, right_good, right_poor = 0.8, np.full(votes.shape[1], start_good), np.full(votes.shape[1], start_poor)
     yes, cast = votes == 1, votes >= 0
     for _ in range(rounds):
         p = posterior(votes, good, right_good, right_poor)
         w1, w0 = counts * p, counts * (1 - p)
-        new_good = (w1.sum() + 8) / (n + 10)
-        new_right = (w1 @ yes + prior_good[0] * prior_good[1] * n) / (w1 @ cast + prior_good[1] * n)
-        new_poor = (w0 @ (cast & ~yes) + prior_poor[0] * prior_poor[1] * n) / (w0 @ cast + prior_poor[1] * n)
+        new_good = (w1.sum() + 0.8 * rows) / (n + rows)
+        new_right = (w1 @ yes + start_good * rows) / (w1 @ cast + rows)
+        new_poor = (w0 @ (cast & ~yes) + start_poor * rows) / (w0 @ cast + rows)
         step = max(abs(new_good - good), np.abs(new_right - right_good).max(initial=0), np.abs(new_poor - right_poor).max(initial=0))
         good, right_good, right_poor = new_good, new_right, new_poor
         if step < 1e-7:
@@ -121,10 +122,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(np.array(z) + self.offset, -30, 30)))
 
 
-def fit_linear(texts: list[str], target: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Adagrad."""
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Adagrad; ``rows`` are those of ``hashed``."""
     rng, weight, seen, offset, seen_offset = np.random.default_rng(seed), np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), 0.0, 1e-6
-    rows = [hashed(t) for t in texts]
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             b, w = rows[i]
@@ -146,15 +146,32 @@ def _votes(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch({n: pa.array(np.ascontiguousarray(rows[:, i])) for i, n in enumerate(NAMES)})
 
 
+def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = [x.decode() for x in text_bytes(batch["_text"])]
+    rows = []
+    for text in texts:
+        b, w = hashed(text)
+        own, slot = np.unique(b, return_inverse=True)  # no more than BUCKETS
+        rows.append((own, np.bincount(slot, w, len(own))))
+    return pa.record_batch(
+        {
+            "votes": pa.array([votes_of(t) for t in texts], pa.list_(pa.int32())),
+            "buckets": pa.array([b for b, _ in rows], pa.list_(pa.int32())),
+            "weights": pa.array([w for _, w in rows], pa.list_(pa.float32())),
+        }
+    )
+
+
 def fit(docs: DataFrame, text: str = "text", id_column: str = "doc_id", fit_rows: int = FIT_ROWS, seed: int = 5) -> Scorer:
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
     voted = map_batches(rows.select("_text"), _votes, ", ".join(f"{n} int" for n in NAMES))
     patterns = voted.groupBy(*NAMES).count().toPandas()  # at most 3^labellers rows
     votes, counts = patterns[NAMES].to_numpy(), patterns["count"].to_numpy(np.float64)
     good, right_good, right_poor = estimate(votes, counts) if len(votes) else (0.5, *np.full((2, len(NAMES)), 0.5))
-    texts = [x or "" for x in bounded_sample(rows, fit_rows, ["_id", "_text"], seed).toPandas()["_text"]]
-    target = posterior(np.array([votes_of(t) for t in texts]).reshape(len(texts), len(NAMES)), good, right_good, right_poor)
-    weight, offset = fit_linear(texts, target, seed=seed)
+    # at most fit_rows rows of BUCKETS numbers, however long the texts are
+    found = map_batches(bounded_sample(rows, fit_rows, ["_id", "_text"], seed), _features, "votes array<int>, buckets array<int>, weights array<float>").toPandas()
+    target = posterior(np.array(found["votes"].tolist()).reshape(len(found), len(NAMES)), good, right_good, right_poor)
+    weight, offset = fit_linear([(np.asarray(b, np.int64), np.asarray(w, np.float64)) for b, w in zip(found["buckets"], found["weights"], strict=True)], target, seed=seed)
     return Scorer(weight, offset, good, right_good, right_poor)
 
 

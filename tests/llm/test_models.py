@@ -93,10 +93,49 @@ def test_em_finds_reliable_labellers():
     assert ((p >= 0.5) == good).mean() > 0.93
 
 
+@pytest.mark.parametrize("share_good", [0.7, 0.4])
+def test_em_recovers_labellers_of_any_accuracy(share_good):
+    rng, right = np.random.default_rng(8), (0.95, 0.9, 0.8, 0.7, 0.6, 0.5)
+    good = rng.random(60_000) < share_good
+    votes = np.stack([np.where(rng.random(len(good)) < r, good, ~good) for r in right], axis=1).astype(int)
+    votes[rng.random(votes.shape) < 0.2] = -1
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, right_good, right_poor = quality.estimate(patterns, counts.astype(float))
+    assert abs(share - share_good) < 0.03
+    assert np.abs(right_good - right).max() < 0.03 and np.abs(right_poor - right).max() < 0.03
+
+
+def test_posterior_against_enumeration():
+    share, right_good, right_poor = 0.6, np.array([0.9, 0.7, 0.55]), np.array([0.8, 0.65, 0.5])
+    for votes in np.array(np.meshgrid(*[[-1, 0, 1]] * 3)).reshape(3, -1).T:
+        good, poor = share, 1 - share
+        for v, g, p in zip(votes, right_good, right_poor, strict=True):
+            good *= {1: g, 0: 1 - g, -1: 1}[int(v)]
+            poor *= {1: 1 - p, 0: p, -1: 1}[int(v)]
+        assert quality.posterior(votes[None, :], share, right_good, right_poor)[0] == pytest.approx(good / (good + poor))
+
+
+def test_em_raises_the_likelihood():
+    rng = np.random.default_rng(3)
+    patterns = np.array(np.meshgrid(*[[-1, 0, 1]] * 4)).reshape(4, -1).T
+    counts = rng.integers(0, 400, len(patterns)).astype(float)
+
+    def likelihood(share, right_good, right_poor):
+        total = 0.0
+        for votes, n in zip(patterns, counts, strict=True):
+            good = share * np.prod([g if v == 1 else 1 - g for v, g in zip(votes, right_good, strict=True) if v >= 0])
+            poor = (1 - share) * np.prod([1 - p if v == 1 else p for v, p in zip(votes, right_poor, strict=True) if v >= 0])
+            total += n * math.log(good + poor)
+        return total
+
+    steps = [likelihood(*quality.estimate(patterns, counts, rounds=k, rows=1e-9)) for k in (1, 2, 5, 20, 100)]
+    assert all(b >= a - 1e-6 for a, b in zip(steps, steps[1:], strict=False))
+
+
 def test_quality_of_documents(spark):
     calm = [text("en", False, 60).capitalize() + "." for _ in range(250)]
     junk = ["%%% ".join(rnd.choice(CALM["en"]) for _ in range(60)) + "***" for _ in range(40)] + ["BUY!! NOW!! " * 20 for _ in range(20)]
-    rows = [(i, t, 1) for i, t in enumerate(calm + junk)] + [(900, None, 1), (901, "", 1), (None, calm[0], 1), (0, calm[0], 1)]
+    rows = [(i, t, 1) for i, t in enumerate(calm + junk)] + [(902, calm[0] * 20_000, 1), (900, None, 1), (901, "", 1), (None, calm[0], 1), (0, calm[0], 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, vote_length int").repartition(3)
     got = quality.grade(docs, quality.fit(docs)).collect()
     assert len(got) == len(rows) and all(0 <= r.quality_score <= 1 for r in got)
