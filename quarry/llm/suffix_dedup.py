@@ -1,33 +1,30 @@
 """Exact substring dedup by prefix-free parsing, distributed over Spark.
 
-A rolling hash over ``TRIGGER`` bytes picks triggers that depend on content
-alone: every window of ``length`` bytes has one trigger, the leftmost smallest
-hash inside it.  Consecutive windows with one trigger form a *phrase*: the text
-that they cover, its trigger in the middle.  Corpus order is needed to a depth
-of ``length`` bytes only, so it is put together from two sorted tables:
-
-* the dictionary: what stands before the trigger of each distinct phrase, in
-  co-lexicographic order, with the common suffix of neighbours;
-* the parse: what follows from the trigger on, in lexicographic order, with
-  the common prefix of neighbours.
-
-A window that starts r bytes before its trigger is the pair (class of the last
-r bytes before it, class of the next length - r bytes); two windows are equal
-exactly if r and both classes are.  In each class the window that starts first
-in the corpus stays, the others are marked.  Bytes are compared, never hashes.
+What is compared are strings of ``length`` bytes, wherever they start.  A
+rolling hash over ``TRIGGER`` bytes picks triggers that depend on content
+alone: every window of ``length`` bytes has one, the leftmost smallest hash
+inside it.  So equal windows have equal triggers, and the corpus can be dealt
+by trigger; text whose triggers occur once goes no further.
+
+What is dealt are units: the text that the windows of one trigger cover.  The
+units of a bucket are put in corpus order by prefix-free parsing
+(``prefix_free``): distinct phrases as a dictionary with its suffix array, the
+parse of their ranks with its own, both combined.  Neighbours in that order
+with ``length`` bytes in common are equal windows; of these the one that starts
+first in the corpus stays, the others go.  Bytes decide, not hashes.
 
 The jobs:
 
-1. per part of the text, triggers are found and counted; those met twice in a
-   part are flagged there, the others are dealt by hash and flagged if two
-   parts have them.  Text that occurs once goes no further.
-2. flagged phrases are resolved within each part first, so that a passage of a
-   hot group leaves a part once; what stays is dealt by trigger and resolved
-   again for the whole corpus.
-3. marked windows are gathered by document and cut out of its text.
+1. the rows are written once in parts of about ``PART`` text bytes, packed.
+2. the triggers of each part are dealt by hash; a part gets back a bit for
+   each of them that some other part has too.
+3. each part resolves the windows that repeat within it, and deals units for
+   those that other parts may have.
+4. units meet by bucket and group of parts, groups of groups and so on: of a
+   passage that every part holds, a group sends one unit on.
+5. the spans that repeat go back to their part, where they are cut out.
 
-Parts hold at most ``PART`` bytes, whatever the length of a text; longer texts
-are cut into overlapping parts.
+Texts move packed, in parts, and only to their own flags and spans.
 """
 
 from __future__ import annotations
@@ -37,51 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import merged_spans, text_bytes, written
+from .prefix_free import rolling, window_classes
 
-#: Bytes of a trigger, and the text bytes handled at a time.
+#: Bytes of a trigger that units are dealt by, and the text bytes handled at a time.
 TRIGGER = 32
 PART = 1 << 20
-#: An odd multiplier for rolling hashes modulo 2^64, its inverse, and a bit mixer (the 64-bit golden ratio).
-BASE = 0x9E3779B97F4A7C15
-MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a hash that triggers are told apart by while they are counted; units are compared by their bytes.
+ID_BITS = 48
+#: Parts whose units meet at a time.
+GROUP = 1024
 LAST = (1 << 63) - 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS, _INVERSE = _powers(BASE, PART + (1 << 17)), _powers(pow(BASE, -1, 1 << 64), PART + (1 << 17))
-#: Random-looking values of the 256 bytes, by a rule.
-_BYTES = (np.arange(1, 257, dtype=np.uint64) * MIX) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE) >> np.uint64(29))
-
-
-def rolling(text: np.ndarray, width: int) -> np.ndarray:
-    """Hash of text[i : i + width] at each i, mixed so that its high bits are evenly spread."""
-    n = len(text)
-    sums = np.zeros(n + 1, np.uint64)
-    values = _BYTES[text]
-    values *= _POWERS[:n]
-    np.cumsum(values, out=sums[1:])
-    h = sums[width:] - sums[:-width]
-    h *= _INVERSE[: n + 1 - width]
-    h ^= h >> np.uint64(32)
-    h *= MIX
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where a trigger is dealt: by its low bits, as triggers are the least in their high ones."""
-    return (h & np.uint64(buckets - 1)).astype(np.int64)
-
-
 class Part:
     """Some documents' bytes, or a section of one; ``base`` is a piece's offset in its document."""
 
@@ -92,13 +60,13 @@ class Part:
         self.length = length
         sizes = np.array([len(p[2]) for p in pieces], np.int64)
         self.start = np.cumsum(sizes) - sizes
-        self._phrases(sizes)
+        self._units(sizes)
 
-    def _phrases(self, sizes: np.ndarray) -> None:
-        """trigger, first, last: positions in ``text`` of each phrase's trigger, first and last window; piece; hash."""
+    def _units(self, sizes: np.ndarray) -> None:
+        """trigger, first, last: positions in ``text`` of each unit's trigger, first and last window; piece; id."""
         span, n = self.length - TRIGGER + 1, len(self.text)
         self.trigger = self.first = self.last = self.piece = np.zeros(0, np.int64)
-        self.hash = np.zeros(0, np.uint64)
+        self.id = np.zeros(0, np.uint64)
         if n < self.length or not (sizes >= self.length).any():
             return
         h = rolling(self.text, TRIGGER)
@@ -118,73 +86,68 @@ class Part:
         new = np.flatnonzero(np.concatenate(([True], trigger[1:] != trigger[:-1])))
         self.trigger, self.first = trigger[new], at[new]
         self.last = at[np.concatenate((new[1:], [len(at)])) - 1]
-        self.hash = h[self.trigger]
+        # the low bits: triggers are the least in their high ones
+        self.id = h[self.trigger] & np.uint64((1 << ID_BITS) - 1)
         self.piece = np.searchsorted(self.start, self.first, "right") - 1
 
 
-def parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, Part]]:
-    """The texts of each batch, whole, in parts of bounded size."""
-    for batch in batches:
-        pieces, size = [], 0
-        texts = (text for at in range(0, batch.num_rows, 256) for text in text_bytes(batch["text"].slice(at, 256)))
-        for row, text in enumerate(texts):
-            for at in range(0, max(1, len(text) - length + 1), PART // 2):
-                piece = text[at : at + PART // 2 + length - 1]
-                if pieces and size + len(piece) > PART:
-                    yield batch, Part(pieces, length)
-                    pieces, size = [], 0
-                pieces.append((row, at, piece))
-                size += len(piece)
-        if pieces:
-            yield batch, Part(pieces, length)
-
-
-def _neighbours(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lexicographic order of equally long byte rows, and the common prefix of each with the one before."""
-    pad = -rows.shape[1] % 8
-    words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    differs = rows[order[1:]] != rows[order[:-1]]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
-    return order, np.concatenate(([0], common))
-
-
-def resolve(before: np.ndarray, after: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> np.ndarray:
-    """Which windows repeat an earlier one: a row for each phrase, a column for each r.
-
-    ``before`` holds the bytes before a trigger, nearest first; ``after`` those
-    from it on.  A phrase owns the windows that start least..most bytes before
-    its trigger.  Rows come in corpus order.  Bytes outside a phrase may hold
-    anything: no window that it owns reaches them.
-    """
-    n, span = len(before), length - TRIGGER + 1
-    repeated = np.zeros((n, span), bool)
-    if n < 2:
-        return repeated
-    order_b, common_b = _neighbours(before)
-    order_a, common_a = _neighbours(after)
-    class_b, class_a = np.empty(n, np.int64), np.empty(n, np.int64)
-    for r in range(span):
-        own = np.flatnonzero((least <= r) & (r <= most))
-        if len(own) < 2:
-            continue
-        class_b[order_b] = np.cumsum(common_b < r)
-        class_a[order_a] = np.cumsum(common_a < length - r)
-        key = class_b[own] * (n + 1) + class_a[own]
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        repeated[own[order[1:][same]], r] = True
-    return repeated
+def sections(texts: list[bytes], length: int) -> Iterator[Part]:
+    """The texts, whole, in parts of bounded size; a long one in several that overlap."""
+    pieces, size = [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), PART // 2):
+            piece = text[at : at + PART // 2 + length - 1]
+            if pieces and size + len(piece) > PART:
+                yield Part(pieces, length)
+                pieces, size = [], 0
+            pieces.append((row, at, piece))
+            size += len(piece)
+    if pieces:
+        yield Part(pieces, length)
+
+
+# ---- rows in parts, and packed arrays
+
+
+def _write_parts(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rng = [], 0, np.random.default_rng()
 
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(rows)
+            return pa.record_batch({"part": pa.array([int(rng.integers(0, 1 << 62))]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, lowest r, highest r) of each run of set columns."""
-    n, width = mask.shape
-    flat = np.zeros((n, width + 2), np.int8)
-    flat[:, 1:-1] = mask
-    step = np.diff(flat, axis=1)
-    row, low = np.nonzero(step == 1)
-    return row, low, np.nonzero(step == -1)[1] - 1
+        for batch in batches:
+            sizes = np.array([len(t) for t in text_bytes(batch["row"].field(text))], np.int64)
+            at = 0
+            while at < batch.num_rows:
+                fit = int(np.searchsorted(np.cumsum(sizes[at:]), PART - size, "right"))
+                if not fit and held:
+                    yield flush()
+                    held, size = [], 0
+                    continue
+                fit = max(1, fit)
+                held.append(batch.slice(at, fit))
+                size += int(sizes[at : at + fit].sum())
+                at += fit
+        if held:
+            yield flush()
+
+    return run
+
+
+def _rows_of(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -195,44 +158,42 @@ def _unpacked(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _spans_batch(keys: tuple[np.ndarray, np.ndarray], begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"join_key": pa.array(keys[0]), "text_hash": pa.array(keys[1]), "begin": pa.array(begin), "end": pa.array(end)})
+def _sorted_packed(ids: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte, which pack well."""
+    steps = np.diff(ids, prepend=ids.dtype.type(0)).astype("<u8")
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T)
+
 
+def _sorted_unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpacked(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel())
 
-SPANS = "join_key long, text_hash long, begin long, end long"
 
+def _dealt(ids: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, indices) of ``ids``, in order of bucket and id."""
+    bucket = (ids & np.uint64(buckets - 1)).astype(np.int64)
+    order = np.lexsort((ids, bucket))
+    ends = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[own[0]]), own) for own in np.split(order, ends) if len(own)]
 
-def _triggers(length: int, buckets: int):
-    """bucket >= 0: hashes and documents to compare with other parts; bucket -1: flagged already."""
 
+def _triggers(text: str, length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in parts(batches, length):
-            if not len(part.hash):
-                continue
-            key = batch["join_key"].to_numpy(zero_copy_only=False)[part.row[part.piece]]
-            bucket = bucket_of(part.hash, buckets)
-            order = np.lexsort((part.hash, bucket))
-            h, key, bucket = part.hash[order], key[order], bucket[order]
-            same = h[1:] == h[:-1]
-            twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            # a hash met twice here goes out once, marked by the missing document
-            once = ~np.concatenate(([False], same))
-            out = [(-1, _packed(h[twice]), _packed(key[twice]), _packed(np.zeros(0, np.uint8)), int(twice.sum()))] if twice.any() else []
-            for ends in np.split(np.flatnonzero(once), np.flatnonzero(np.diff(bucket[once])) + 1):
-                out.append((int(bucket[ends[0]]), _packed(h[ends]), _packed(key[ends]), _packed(twice[ends]), len(ends)))
-            cols = list(zip(*out, strict=True))
-            yield pa.record_batch(
-                {"bucket": pa.array(cols[0], pa.int32()), "hashes": pa.array(cols[1], pa.binary()), "keys": pa.array(cols[2], pa.binary()), "twice": pa.array(cols[3], pa.binary()), "n": pa.array(cols[4], pa.int32())}
-            )
+        for row in _each(batches):
+            found = [part.id for part in sections(text_bytes(_rows_of(row["rows"])["row"].field(text)), length)]
+            ids = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            dealt = _dealt(ids, buckets)
+            if dealt:
+                yield pa.record_batch({"bucket": pa.array([b for b, _ in dealt], pa.int32()), "part": pa.array([row["part"]] * len(dealt)), "ids": pa.array([_sorted_packed(ids[own]) for _, own in dealt], pa.binary())})
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each bucket, from batches sorted by bucket."""
+def _by(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """The rows of each key, from batches sorted by key."""
     rows: list[dict] = []
     for row in (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist()):
-        if rows and row["bucket"] != rows[0]["bucket"]:
+        if rows and any(row[k] != rows[0][k] for k in keys):
             yield rows
             rows = []
         rows.append(row)
@@ -240,148 +201,267 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def _flagged_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            key, h = np.frombuffer(_unpacked(row["keys"]), np.int64), np.frombuffer(_unpacked(row["hashes"]), np.int64)
-            yield pa.record_batch({"join_key": pa.array(key), "hash": pa.array(h)})
-
-
-def _flagged_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_bucket(batches):
-        h = np.concatenate([np.frombuffer(_unpacked(r["hashes"]), np.int64) for r in rows])
-        key = np.concatenate([np.frombuffer(_unpacked(r["keys"]), np.int64) for r in rows])
-        twice = np.concatenate([np.frombuffer(_unpacked(r["twice"]), bool) for r in rows])
-        order = np.argsort(h, kind="stable")
-        h, key, twice = h[order], key[order], twice[order]
-        same = h[1:] == h[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        wanted = shared & ~twice
-        if wanted.any():
-            yield pa.record_batch({"join_key": pa.array(key[wanted]), "hash": pa.array(h[wanted])})
-
-
-def _phrases(length: int, buckets: int):
-    """bucket >= 0: phrases to resolve with other parts; bucket -1: spans found repeated within the part."""
-    span = length - TRIGGER + 1
-    tall, deep, empty = np.arange(1, span, dtype=np.int32), np.arange(length, dtype=np.int32), b""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part and bucket a bit for each of its triggers: whether another part has it."""
+    for rows in _by(batches, "bucket"):
+        own = [_sorted_unpacked(r["ids"]) for r in rows]
+        if len(own) < 2:
+            continue
+        ids = np.concatenate(own)
+        order = np.argsort(ids)
+        same = ids[order[1:]] == ids[order[:-1]]
+        flag = np.zeros(len(ids), bool)
+        flag[order[1:][same]] = flag[order[:-1][same]] = True
+        flags = np.split(flag, np.cumsum([len(x) for x in own])[:-1])
+        some = [i for i, f in enumerate(flags) if f.any()]
+        if some:
+            yield pa.record_batch({"part": pa.array([rows[i]["part"] for i in some]), "bucket": pa.array([rows[i]["bucket"] for i in some], pa.int32()), "bits": pa.array([np.packbits(flags[i]).tobytes() for i in some], pa.binary())})
+
+
+# ---- units: windows that repeat, and those to be compared with other parts
+
+UNITS = "bucket int, grp long, part long, n int, meta binary, texts binary"
+SPANS = "part long, spans binary"
+#: Of a unit: row in its part, order of its document (two numbers), where its trigger stands, and how far before it the first and last of its windows start; in ``META`` order.
+META = ("part", "row", "order_key", "text_hash", "origin", "most", "least")
+
+
+def _span_rows(part: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans packed by part."""
+    order = np.argsort(part, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+    return pa.record_batch({"part": pa.array([int(part[g[0]]) for g in groups]), "spans": pa.array([_packed(row[g], begin[g], end[g]) for g in groups], pa.binary())})
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of set flags."""
+    step = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _firsts(classes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether each window repeats one of a smaller rank; windows of one rank are the same place."""
+    order = np.lexsort((rank, classes))
+    c = classes[order]
+    head = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+    least = np.repeat(rank[order[head]], np.diff(np.concatenate((head, [len(c)]))))
+    out = np.zeros(len(classes), bool)
+    out[order] = rank[order] != least
+    return out
+
+
+def _repeats_within(part: Part, several: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """Flags of the positions of ``part`` where a window starts that repeats one of an earlier place in it."""
+    repeated = np.zeros(len(part.text) + 1, bool)
+    own = np.zeros(len(part.text) + 1, np.int64)
+    np.add.at(own, part.first[several], 1)
+    np.add.at(own, part.last[several] + 1, -1)
+    # windows of neighbouring units make a stretch; those of another piece are no neighbours, as no window starts at a piece's end
+    begin, end = _runs(np.cumsum(own[:-1]) > 0)
+    end = end + length - 1
+    sizes = end - begin
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.repeat(begin - start[:-1], sizes) + np.arange(start[-1])
+    classes = window_classes(part.text[place], start, length)
+    at = np.flatnonzero(classes >= 0)
+    where = place[at]
+    piece = np.searchsorted(part.start, where, "right") - 1
+    repeated[where[_firsts(classes[at], rank[part.row[piece]] << 40 | where - part.start[piece] + part.base[piece])]] = True
+    return repeated
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, part in parts(batches, length):
-            if not len(part.hash):
-                continue
-            row = part.row[part.piece]
-            flags = batch["flags"]
-            held = np.unique(part.row)
-            listed = [np.asarray(flags[int(x)].values.to_numpy(zero_copy_only=False), np.int64) for x in held]
-            salted = np.arange(batch.num_rows, dtype=np.uint64) * np.uint64(BASE)
-            flagged = np.concatenate([x.view(np.uint64) ^ salted[r] for r, x in zip(held, listed, strict=True)])
-            pick = np.flatnonzero(np.isin(part.hash ^ salted[row], flagged))
-            if not len(pick):
-                continue
-            keys = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("join_key", "order_key", "text_hash")}
-            place = part.base - part.start
-            pick = pick[np.lexsort((part.trigger[pick] + place[part.piece[pick]], keys["text_hash"][row[pick]], keys["order_key"][row[pick]]))]
-            trigger, owner = part.trigger[pick], row[pick]
-            least, most = trigger - part.last[pick], trigger - part.first[pick]
-            at = trigger.astype(np.int32)[:, None]
-            before = part.text[np.maximum(at - tall, 0)]
-            after = part.text[np.minimum(at + deep, len(part.text) - 1)]
-            # a phrase that stands alone here cannot repeat anything here
-            _, group, count = np.unique(part.hash[pick], return_inverse=True, return_counts=True)
-            several = np.flatnonzero(count[group] > 1)
-            repeated = np.zeros((len(pick), span), bool)
-            repeated[several] = resolve(before[several], after[several], least[several], most[several], length)
-            origin = trigger + place[part.piece[pick]]  # of the trigger, in the document
-            run_of, low, high = _ranges(repeated)
-            out = []
-            if len(run_of):
-                blob = _packed(keys["join_key"][owner[run_of]], keys["text_hash"][owner[run_of]], origin[run_of] - high, origin[run_of] - low + length)
-                out.append((-1, blob, empty, empty, len(run_of)))
-            r = np.arange(span)
-            open_ = ~repeated & (least[:, None] <= r) & (r <= most[:, None])
-            stay = np.flatnonzero(open_.any(axis=1))
-            least[stay] = open_[stay].argmax(axis=1)
-            most[stay] = span - 1 - open_[stay][:, ::-1].argmax(axis=1)
-            bucket = bucket_of(part.hash[pick], buckets)
-            stay = stay[np.argsort(bucket[stay], kind="stable")]
-            inside_b, inside_a = tall[None, :] <= most[:, None], np.arange(length)[None, :] < length - least[:, None]
-            for ends in np.split(stay, np.flatnonzero(np.diff(bucket[stay])) + 1):
-                if len(ends):
-                    meta = [keys[c][owner[ends]] for c in ("join_key", "order_key", "text_hash")] + [origin[ends], least[ends], most[ends]]
-                    out.append((int(bucket[ends[0]]), _packed(*meta), _packed(before[ends][inside_b[ends]]), _packed(after[ends][inside_a[ends]]), len(ends)))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.record_batch({"bucket": pa.array(cols[0], pa.int32()), "meta": pa.array(cols[1], pa.binary()), "before": pa.array(cols[2], pa.binary()), "after": pa.array(cols[3], pa.binary()), "n": pa.array(cols[4], pa.int32())})
 
-    return run
+def _unit_rows(meta: dict[str, np.ndarray], texts: list[bytes], ids: np.ndarray, grp: int, buckets: int, part: int) -> pa.RecordBatch:
+    dealt = _dealt(ids, buckets)
+    return pa.record_batch(
+        {
+            "bucket": pa.array([b for b, _ in dealt], pa.int32()),
+            "grp": pa.array([grp] * len(dealt), pa.int64()),
+            "part": pa.array([part] * len(dealt), pa.int64()),
+            "n": pa.array([len(own) for _, own in dealt], pa.int32()),
+            "meta": pa.array([_packed(ids[own].astype(np.int64), *[meta[c][own] for c in META]) for _, own in dealt], pa.binary()),
+            "texts": pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(texts[i] for i in own)) for _, own in dealt], pa.binary()),
+        }
+    )
 
 
-def _spans_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            join_key, text_hash, begin, end = np.frombuffer(_unpacked(row["meta"]), np.int64).reshape(4, row["n"])
-            yield _spans_batch((join_key, text_hash), begin, end)
+def _units(text: str, length: int, buckets: int):
+    """bucket >= 0: units to resolve with other parts; bucket -1: spans (in ``meta``) that repeat within the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            rows = _rows_of(row["rows"])
+            found = list(sections(text_bytes(rows["row"].field(text)), length))
+            ids = np.concatenate([p.id for p in found]) if found else np.zeros(0, np.uint64)
+            if not len(ids):
+                continue
+            own, times = np.unique(ids, return_counts=True)
+            across = np.zeros(len(own), bool)
+            bits = {b["bucket"]: b["bits"] for b in row["flags"] or []}
+            for bucket, at in _dealt(own, buckets):
+                if bucket in bits:
+                    across[at] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(at)).astype(bool)
+            order_key, text_hash = (rows[c].to_numpy(zero_copy_only=False) for c in ("order_key", "text_hash"))
+            order = np.lexsort((text_hash, order_key))
+            new = np.concatenate(([0], (order_key[order[1:]] != order_key[order[:-1]]) | (text_hash[order[1:]] != text_hash[order[:-1]])))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.cumsum(new)
+            for part in found:
+                if not len(part.id):
+                    continue
+                of = np.searchsorted(own, part.id)
+                _, inverse, here = np.unique(part.id, return_inverse=True, return_counts=True)
+                several, out = here[inverse] > 1, across[of] | (times[of] > here[inverse])
+                repeated = _repeats_within(part, several, rank, length) if several.any() else np.zeros(len(part.text) + 1, bool)
+                begin, end = _runs(repeated[:-1])
+                if len(begin):
+                    piece = np.searchsorted(part.start, begin, "right") - 1
+                    shift = part.base[piece] - part.start[piece]
+                    spans = _packed(part.row[piece], begin + shift, end - 1 + length + shift)
+                    yield pa.record_batch({"bucket": pa.array([-1], pa.int32()), "grp": pa.array([0], pa.int64()), "part": pa.array([row["part"]], pa.int64()), "n": pa.array([0], pa.int32()), "meta": pa.array([spans], pa.binary()), "texts": pa.array([b""], pa.binary())})
+                # units without the repeated windows at their ends
+                open_at = np.flatnonzero(~repeated)
+                pick = np.flatnonzero(out)
+                first = open_at[np.searchsorted(open_at, part.first[pick])]
+                last = open_at[np.searchsorted(open_at, part.last[pick], "right") - 1]
+                some = (first <= part.last[pick]) & (last >= part.first[pick])
+                pick, first, last = pick[some], first[some], last[some]
+                if not len(pick):
+                    continue
+                at = part.row[part.piece[pick]]
+                shift = part.base[part.piece[pick]] - part.start[part.piece[pick]]
+                meta = {"part": np.full(len(pick), row["part"]), "row": at, "order_key": order_key[at], "text_hash": text_hash[at], "origin": part.trigger[pick] + shift, "most": part.trigger[pick] - first, "least": part.trigger[pick] - last}
+                blob = part.text.tobytes()
+                texts = [blob[b:e] for b, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                yield _unit_rows(meta, texts, part.id[pick], 0, buckets, row["part"])
 
+    return run
 
-def _spans_across(length: int):
-    span = length - TRIGGER + 1
 
-    def filled(blob: bytes, inside: np.ndarray) -> np.ndarray:
-        rows = np.zeros(inside.shape, np.uint8)
-        rows[inside] = np.frombuffer(_unpacked(blob), np.uint8)
-        return rows
+def _resolved(length: int, buckets: int, onward: bool):
+    """Spans that repeat among the units of a bucket and group; with ``onward`` also the units that still have a window that does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
-            metas = [np.frombuffer(_unpacked(r["meta"]), np.int64).reshape(6, r["n"]) for r in rows]
-            join_key, order_key, text_hash, origin, least, most = np.concatenate(metas, axis=1)
-            before = np.concatenate([filled(r["before"], np.arange(1, span)[None, :] <= m[5][:, None]) for r, m in zip(rows, metas, strict=True)])
-            after = np.concatenate([filled(r["after"], np.arange(length)[None, :] < length - m[4][:, None]) for r, m in zip(rows, metas, strict=True)])
-            order = np.lexsort((origin, text_hash, order_key))
-            run_of, low, high = _ranges(resolve(before[order], after[order], least[order], most[order], length))
-            if len(run_of):
-                of = order[run_of]
-                yield _spans_batch((join_key[of], text_hash[of]), origin[of] - high, origin[of] - low + length)
+        for rows in _by(batches, "bucket", "grp"):
+            metas, texts = [], []
+            for r in rows:
+                metas.append(np.frombuffer(_unpacked(r["meta"]), np.int64).reshape(len(META) + 1, r["n"]))
+                blob, at = _unpacked(r["texts"]), 0
+                for size in (metas[-1][6] - metas[-1][7] + length).tolist():
+                    texts.append(blob[at : at + size])
+                    at += size
+            table = np.concatenate(metas, axis=1)
+            ids, meta = table[0].view(np.uint64), dict(zip(META, table[1:], strict=True))
+            n = len(texts)
+            place = np.lexsort((meta["origin"], meta["text_hash"], meta["order_key"]))
+            keys = table[[3, 4, 5]][:, place]
+            rank = np.empty(n, np.int64)
+            rank[place] = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+            # units of one text: the earliest stands for all, the others repeat it whole
+            distinct: dict[tuple, int] = {}
+            of = np.array([distinct.setdefault((t, m), len(distinct)) for t, m in zip(texts, meta["most"].tolist(), strict=True)], np.int64)
+            first = np.full(len(distinct), n, np.int64)
+            np.minimum.at(first, of, rank)
+            lead = rank == first[of]
+            strings = [t for t, _ in distinct]
+            sizes = np.array([len(t) for t in strings], np.int64)
+            start = np.concatenate(([0], np.cumsum(sizes)))
+            repeated = np.zeros(start[-1], bool)
+            most = np.array([m for _, m in distinct], np.int64)
+            if len(strings) > 1:
+                classes = window_classes(np.frombuffer(b"".join(strings), np.uint8), start, length)
+                at = np.flatnonzero(classes >= 0)
+                string = np.searchsorted(start, at, "right") - 1
+                # a window's place: its document, then where in it the window starts
+                doc = _document_ranks(meta, of, lead, len(strings))
+                begins = doc[1][string] - most[string] + at - start[string]
+                repeated[at[_firsts(classes[at], doc[0][string] << 40 | begins)]] = True
+            windows = sizes - length + 1
+            whole = np.flatnonzero(~lead)
+            begin = [meta["origin"][whole] - meta["most"][whole]]
+            end = [meta["origin"][whole] - meta["least"][whole] + length]
+            who = [whole]
+            b, e = _runs(repeated)
+            string = np.searchsorted(start, b, "right") - 1
+            leaders = np.flatnonzero(lead)
+            by = leaders[np.argsort(of[leaders], kind="stable")]
+            low, high = np.searchsorted(of[by], string), np.searchsorted(of[by], string, "right")
+            each = np.repeat(np.arange(len(b)), high - low)
+            unit = by[np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low) + np.arange(len(each))] if len(each) else np.zeros(0, np.int64)
+            shift = meta["origin"][unit] - meta["most"][unit] - start[string[each]]
+            begin.append(b[each] + shift)
+            end.append(e[each] - 1 + length + shift)
+            who.append(unit)
+            who, begin, end = map(np.concatenate, (who, begin, end))
+            if len(who):
+                spans = _span_rows(meta["part"][who], meta["row"][who], begin, end)
+                k = spans.num_rows
+                yield pa.record_batch({"bucket": pa.array([-1] * k, pa.int32()), "grp": pa.array([0] * k, pa.int64()), "part": spans["part"], "n": pa.array([0] * k, pa.int32()), "meta": spans["spans"], "texts": pa.array([b""] * k, pa.binary())})
+            if onward:
+                inside = np.zeros(len(repeated), bool)
+                inside[np.repeat(start[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)] = True
+                open_at = np.append(np.flatnonzero(inside & ~repeated), len(repeated))
+                head = open_at[np.searchsorted(open_at, start[:-1])] - start[:-1]
+                tail = open_at[np.searchsorted(open_at, start[1:]) - 1] - start[:-1]
+                stay = leaders[head[of[leaders]] < windows[of[leaders]]]
+                if len(stay):
+                    left, right = head[of[stay]], tail[of[stay]]
+                    some = {c: v[stay] for c, v in meta.items()}
+                    some["least"], some["most"] = some["most"] - right, some["most"] - left
+                    yield _unit_rows(some, [texts[i][a : b + length] for i, a, b in zip(stay.tolist(), left.tolist(), right.tolist(), strict=True)], ids[stay], rows[0]["grp"], buckets, 0)
 
     return run
 
 
-def keyed(docs: DataFrame, text: str, id_column: str, extra: list[Column]) -> DataFrame:
-    """Rows with the keys used here: rows without an id come last and are joined by their text."""
-    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    number = F.col(id_column).cast("long")
-    keys = [F.coalesce(number, text_hash).alias("join_key"), F.coalesce(number, F.lit(LAST)).alias("order_key"), text_hash.alias("text_hash")]
-    return docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
+def _document_ranks(meta: dict[str, np.ndarray], of: np.ndarray, lead: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct unit the rank of its first place's document, and where the trigger stands there."""
+    order = np.lexsort((meta["text_hash"], meta["order_key"]))
+    key, text = meta["order_key"][order], meta["text_hash"][order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
+    doc, origin = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    leaders = np.flatnonzero(lead)
+    doc[of[leaders]], origin[of[leaders]] = rank[leaders], meta["origin"][leaders]
+    return doc, origin
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(join_key, text_hash, spans array<struct<begin, end>>) of each document with bytes to remove.
+# ---- the operator
 
-    The spans cover every ``length``-byte string that also starts earlier; they
-    may overlap.  Keys are those of ``keyed``.
-    """
-    spark = docs.sparkSession
-    buckets = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    rows = keyed(docs, text, id_column, [])
-    met = written(rows.mapInArrow(_triggers(length, buckets), "bucket int, hashes binary, keys binary, twice binary, n int"), "triggers")
-    dealt = met.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    flags = dealt.mapInArrow(_flagged_across, "join_key long, hash long").union(met.where("bucket < 0").mapInArrow(_flagged_here, "join_key long, hash long"))
-    flags = flags.groupBy("join_key").agg(F.collect_list("hash").alias("flags"))
-    again = rows.join(flags, "join_key")
-    found = written(again.mapInArrow(_phrases(length, buckets), "bucket int, meta binary, before binary, after binary, n int"), "phrases")
-    dealt = found.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    spans = dealt.mapInArrow(_spans_across(length), SPANS).union(found.where("bucket < 0").mapInArrow(_spans_here, SPANS))
-    return written(spans.groupBy("join_key", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-
-
-def cut(text: bytes, spans: list[dict] | None, whole_characters: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and its maximal removed runs.
+
+def parts_of(docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """(part, rows): the rows of ``docs`` packed, about ``PART`` text bytes at a time, with the keys that order documents."""
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keys = [F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("order_key"), text_hash.alias("text_hash")]
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *keys)
+    return written(rows.mapInArrow(_write_parts(text), "part long, rows binary"), "parts")
+
+
+def repeated_spans(parts: DataFrame, length: int, text: str) -> DataFrame:
+    """(part, spans array<binary>): packed (row, begin, end) of the spans to remove; they may overlap."""
+    n = parts.count()
+    buckets = 1 << (max(16, min(n // 2, GROUP), n // GROUP) - 1).bit_length()
+    met = parts.mapInArrow(_triggers(text, length, buckets), "bucket int, part long, ids binary")
+    flags = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, bucket int, bits binary")
+    flags = flags.groupBy("part").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
+    found = written(parts.join(flags, "part", "left").mapInArrow(_units(text, length, buckets), UNITS), "units")
+    spans = found.where("bucket < 0").select("part", F.col("meta").alias("spans"))
+    groups, group = -(-n // GROUP), F.xxhash64("part")
+    while True:
+        dealt = found.where("bucket >= 0").withColumn("grp", F.pmod(group, F.lit(max(1, groups))))
+        dealt = dealt.repartition("bucket", "grp").sortWithinPartitions("bucket", "grp")
+        found = written(dealt.mapInArrow(_resolved(length, buckets, groups > 1), UNITS), "resolved")
+        spans = spans.union(found.where("bucket < 0").select("part", F.col("meta").alias("spans")))
+        if groups <= 1:
+            return spans.groupBy("part").agg(F.collect_list("spans").alias("spans"))
+        groups, group = -(-groups // GROUP), F.col("grp")
+
+
+def cut(text: bytes, begin: np.ndarray, end: np.ndarray, whole_characters: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text without the given spans, and its maximal removed runs.
 
     With ``whole_characters`` a run gives back the bytes of UTF-8 characters
     that it covers in part, so that the rest is valid text.
     """
-    begin, end = merged_spans(np.array([s["begin"] for s in spans or []], np.int64), np.array([s["end"] for s in spans or []], np.int64))
+    begin, end = merged_spans(np.asarray(begin, np.int64), np.asarray(end, np.int64))
     runs, left, at = [], [], 0
     for b, e in zip(begin.tolist(), end.tolist(), strict=True):
         if whole_characters:
@@ -407,20 +487,26 @@ def dedup(docs: DataFrame, length: int = 100, text: str = "text", id_column: str
     of their text; rows that share an id are ordered by that hash too, and rows
     equal in id and text count as one document (each gets its result).  All
     columns of ``docs`` are kept, except that kept and removed replace columns
-    of those names.
+    of those names.  ``length`` is at least the ``TRIGGER`` bytes.
     """
-    spans = repeated_spans(docs, length, text, id_column)
-    columns = [c for c in docs.columns if c not in ("kept", "removed")]
-    rows = keyed(docs, text, id_column, [F.struct(*[F.col(c) for c in columns]).alias("row")]).drop("order_key")
-    joined = rows.join(spans, ["join_key", "text_hash"], "left").select("text", "spans", "row")
+    if length < TRIGGER:
+        raise ValueError(f"strings of under {TRIGGER} bytes have no trigger")
+    rows = docs.select(*[c for c in docs.columns if c not in ("kept", "removed")])
+    parts = parts_of(rows, text, id_column)
+    joined = parts.join(repeated_spans(parts, length, text), "part", "left").select("rows", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            cuts = [cut(t, s, whole_characters) for t, s in zip(text_bytes(batch["text"]), batch["spans"].to_pylist(), strict=True)]
+        for found in _each(batches):
+            batch = _rows_of(found["rows"])
+            spans = [np.frombuffer(_unpacked(s), np.int64).reshape(3, -1) for s in found["spans"] or []]
+            row, begin, end = np.concatenate(spans, axis=1) if spans else np.zeros((3, 0), np.int64)
+            order = np.argsort(row, kind="stable")
+            at = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            cuts = [cut(t, begin[order[at[i] : at[i + 1]]], end[order[at[i] : at[i + 1]]], whole_characters) for i, t in enumerate(text_bytes(batch["row"].field(text)))]
             removed = [[{"begin": b, "end": e} for b, e in runs] for _, runs in cuts]
             yield pa.record_batch({"row": batch["row"], "kept": pa.array([k for k, _ in cuts], pa.binary()), "removed": pa.array(removed, kind)})
 
-    row = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"row {row}, kept binary, removed array<struct<begin: long, end: long>>")
+    out = joined.mapInArrow(run, f"row {rows.schema.simpleString()}, kept binary, removed array<struct<begin: long, end: long>>")
     return out.select("row.*", "kept", "removed")
+

@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 import pytest
-from quarry.llm import suffix_dedup
+from quarry.llm import prefix_free, suffix_dedup
 
 
 def brute(rows, length):
@@ -61,5 +62,52 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
 
 def test_whole_characters_give_valid_text():
     text = "é".encode() * 4
-    kept, runs = suffix_dedup.cut(text, [{"begin": 1, "end": 5}], whole_characters=True)
+    kept, runs = suffix_dedup.cut(text, [1], [5], whole_characters=True)
     assert runs == [(2, 4)] and kept.decode() == "é" * 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_corpus_order_against_sorting(seed):
+    rnd = random.Random(seed)
+    for _ in range(30):
+        alphabet, length = rnd.choice([b"a", b"ab", b"abc\0", bytes(range(256))]), rnd.choice([8, 9, 20, 57, 100])
+        some = lambda n: bytes(rnd.choice(alphabet) for _ in range(rnd.randint(0, n)))  # noqa: E731, B023
+        base, strings = some(400), []
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randint(0, len(base))
+            strings.append(some(150) + base[at : at + rnd.randint(0, 300)] + some(150))
+        start = np.cumsum([0, *map(len, strings)])
+        text = np.frombuffer(b"".join(strings), np.uint8)
+        order, common = prefix_free.corpus_order(text, start, length)
+        ends = np.repeat(start[1:], np.diff(start))
+        suffixes = [text[p : ends[p]].tobytes()[:length] for p in order]
+        assert sorted(order.tolist()) == [p for p in range(len(text)) if p + length <= ends[p]] and suffixes == sorted(suffixes)
+        for a, b, n in zip(suffixes, suffixes[1:], common[1:], strict=False):
+            assert a[:n] == b[:n] and (n == length or a[n] != b[n])
+        classes = prefix_free.window_classes(text, start, length)
+        assert len({(text[p : p + length].tobytes(), classes[p]) for p in order}) == len({text[p : p + length].tobytes() for p in order}) == len({classes[p] for p in order})
+
+
+def test_repeated_text_is_sorted_once():
+    rnd = random.Random(1)
+    once = bytes(rnd.randrange(97, 123) for _ in range(20_000))
+    sizes, init = [], prefix_free.Dictionary.__init__
+    prefix_free.Dictionary.__init__ = lambda self, phrases, depth: (sizes.append(sum(map(len, phrases))), init(self, phrases, depth))[1]
+    try:
+        for copies in (1, 30):
+            prefix_free.window_classes(np.frombuffer(once * copies, np.uint8), np.arange(copies + 1) * len(once), 100)
+    finally:
+        prefix_free.Dictionary.__init__ = init
+    assert sizes[1] == sizes[0]
+
+
+@pytest.mark.parametrize("size", [600, 5_000])
+def test_small_parts_and_groups_of_groups(spark, monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "PART", size)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts = suffix_dedup.parts_of(docs, "text", "doc_id")
+    assert parts.count() > 9
+    out = [bytes(r.kept) for r in suffix_dedup.dedup(docs, 100).orderBy("doc_id").collect()]
+    assert out == brute(rows, 100)
