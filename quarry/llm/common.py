@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in local tests.
+#: Used only where the session runs in one process and names no shared folder, as in local tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
@@ -37,7 +41,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(session.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -65,19 +80,30 @@ def bounded_sample(df: DataFrame, rows: int, keys: list[str], seed: int) -> Data
     """At most ``rows`` rows by a seeded hash of ``keys``, in its order.
 
     A threshold on the hash leaves about twice as many before they are ordered,
-    so that tasks and driver never hold more than that in all.
+    so that tasks and driver never hold more than that in all.  Rows equal in
+    ``keys`` have one mark; which of them are taken at the cut is open.
     """
     share = min(1.0, 2 * rows / max(1, df.count()))
     mark = F.xxhash64(F.lit(seed), *keys)
     return df.withColumn("_mark", mark).where(F.pmod("_mark", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("_mark", *keys).limit(rows).drop("_mark")
 
 
+#: Rows that one window of a rank holds, on average, where a single key has them all.
+WINDOW_ROWS = 1 << 16
+
+
+def salts_for(rows: int) -> int:
+    """Salts that keep the windows of ``rows`` rows of one key bounded."""
+    return max(256, -(-rows // WINDOW_ROWS))
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], rank: str, salts: int = 256) -> DataFrame:
     """Number the rows of each key from 0 without bringing a key into one task.
 
     The order is by salt (a hash of the order columns), then by those columns
     within the salt, so it depends on the rows alone.  A key's rows are spread
-    over ``salts`` windows; only counts by (key, salt) are summed up.
+    over ``salts`` windows; only counts by (key, salt) are summed up.  Which of
+    rows that are equal in ``keys`` and ``order`` comes first is open.
     """
     from pyspark.sql import Window
 

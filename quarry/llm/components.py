@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import discard, map_batches, written
 
 
 def _forest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -43,9 +43,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends are dropped, loops and repeated links have no effect, an empty
     table gives an empty result.
     """
-    sides = links.where("u IS NOT NULL AND v IS NOT NULL")
-    loops = sides.select(F.col("u").alias("node")).union(sides.select(F.col("v").alias("node")))
-    stars = written(thinned(sides.where("u <> v")).distinct(), "links")
+    sides = written(links.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL"), "links")  # links are worked out once
+    stars = written(thinned(sides.where("u <> v")).distinct(), "stars")
     state = (-1, None)
     for _ in range(max_rounds):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,7 +52,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         centre = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(centre, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        stars = written(small.where("u <> v").distinct(), "stars")
+        last, stars = stars, written(small.where("u <> v").distinct(), "stars")
+        discard(last)
         n, mark = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if (n, mark) == state:
             break
@@ -62,5 +62,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     rooted = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    alone = loops.distinct().join(rooted.union(roots), "node", "left_anti").select("node", F.col("node").alias("root"))
+    loops = sides.where("u = v").select(F.col("u").alias("node")).distinct()
+    alone = loops.join(rooted.union(roots), "node", "left_anti").select("node", F.col("node").alias("root"))
     return rooted.union(roots).union(alone)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_rank
+from .common import salted_rank, salts_for
 
 #: Budget (tokens) that the dynamic program fits at first; larger rests shrink by whole documents.
 EXACT_BUDGET = 8192
@@ -142,14 +142,17 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5, 2, 1), s
     Sources go by code point, null last, and get the weights in turn.  Equal
     rows may be told apart by nothing: which of them is taken is then open,
     and makes no difference.  A source of size 0 has target 0 and its documents
-    are not taken.  An empty table gives an empty result.  ``docs`` should be a
+    are not taken; nor are documents of size 0, which add nothing.  Weights
+    take the sources one by one, so these, a number each, come to the driver:
+    ``source`` should name collections, not addresses.  An empty table gives an
+    empty result.  ``docs`` should be a
     written table or a scan: it is read for the histogram and for the choice.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "times")]
     rows = docs.select(*columns, F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     histogram = rows.groupBy(F.col(source).alias("_source"), "size").agg(F.count(F.lit(1)).alias("_n"))
-    per_source = histogram.groupBy("_source").agg(F.sum(F.col("size") * F.col("_n")).alias("n")).orderBy(F.col("_source").asc_nulls_last()).collect()  # a row for each source
+    per_source = histogram.groupBy("_source").agg(F.sum(F.col("size") * F.col("_n")).alias("n"), F.max("_n").alias("most")).orderBy(F.col("_source").asc_nulls_last()).collect()  # a row for each source
     goals = targets([(r["_source"], int(r["n"])) for r in per_source], weights, share, most)
     plan = spark.createDataFrame([(r["_source"], int(r["n"]), float(t)) for r, t in zip(per_source, goals, strict=True)], "_source string, source_size long, target double")
     known = histogram.join(F.broadcast(plan), histogram["_source"].eqNullSafe(plan["_source"])).select(plan["*"], "size", "_n")
@@ -164,7 +167,8 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5, 2, 1), s
     chosen = known.groupBy("_source").applyInPandas(choose, "_source string, size long, source_size long, target double, _times long, _extra long")
     order = F.xxhash64(F.lit(seed), F.col(id_column)).alias("_order")
     ids = rows.select("*", order)
-    ranked = salted_rank(ids, [source, "size"], ["_order", id_column], "_rank")
+    salts = salts_for(max((int(r["most"]) for r in per_source), default=0))
+    ranked = salted_rank(ids, [source, "size"], ["_order", id_column], "_rank", salts)
     on = ranked[source].eqNullSafe(chosen["_source"]) & (ranked["size"] == chosen["size"])
     times = (chosen["_times"] + (F.col("_rank") < chosen["_extra"]).cast("long")).alias("times")
     return ranked.join(chosen, on).select(*[ranked[c] for c in [*columns, "size"]], "source_size", "target", times)

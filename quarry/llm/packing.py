@@ -25,21 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import salted_rank, text_bytes, written
+from .common import salted_rank, salts_for, text_bytes, written
 
 _encoders: dict[str, Callable[[list[str]], list[list[int]]]] = {}
-#: Texts on which the two libraries must agree before the faster one is used.
-PROBES = ["It's  a\ttest,\n\n 1234 km\u00a0away", " \u00e9t\u00e9 \u4e2d\u6587 \U0001f600!!", "<|endoftext|> x  ", "\u0085a\x1c b"]
+#: Texts on which the two libraries must agree before the faster one is used, besides what is known of the file.
+PROBES = ["It's  a\ttest,\n\n 1234 km\u00a0away", " \u00e9t\u00e9 \u4e2d\u6587 \U0001f600!!", "<|endoftext|", "\u0085a\x1c b"]
 
 
 def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """The ids that ``tokenizers`` gives for the file at ``path``.
+    """The ids that ``tokenizers`` gives for the file at ``path``, in its default setting.
 
-    A plain byte-level BPE is run by tiktoken over the file's own vocabulary,
-    which is several times as fast and gives the same ids; that is checked on ``PROBES`` and on the special tokens, else ``tokenizers`` runs.
+    A plain byte-level BPE, whose merges are its tokens in order, is run by
+    tiktoken over the file's own vocabulary, which is several times as fast and
+    gives the same ids.  Texts that hold an added token, such as an end mark,
+    and files of any other kind go to ``tokenizers``.
     """
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def slow(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -47,17 +48,23 @@ def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     try:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {t["content"] for t in model["added_tokens"] if t["special"]}
+        added = [t["content"] for t in model["added_tokens"]]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in visible)}
-        ranks = {bytes(letters[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
+        vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
+        ordered = all(vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] == 256 + k for k, m in enumerate(merges))
+        plain = model["normalizer"] is None and model["pre_tokenizer"]["type"] == "ByteLevel" and not model["pre_tokenizer"]["add_prefix_space"]
+        ranks = {bytes(letters[c] for c in token): rank for token, rank in vocabulary.items() if token not in added}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        probes = [*PROBES, *special]
-        if [fast.encode_ordinary(x) for x in probes] == slow(probes):
-            return lambda texts: list(map(fast.encode_ordinary, texts))
+        if not (ordered and plain and [fast.encode_ordinary(x) for x in PROBES] == slow(PROBES)):
+            return slow
     except (KeyError, TypeError, ValueError):
-        pass
-    return slow
+        return slow
+
+    def mixed(texts: list[str]) -> list[list[int]]:
+        return [slow([t])[0] if any(x in t for x in added) else fast.encode_ordinary(t) for t in texts]
+
+    return mixed
 
 
 def encode(texts: list[str], tokenizer_path: str) -> list[list[int]]:
@@ -220,25 +227,27 @@ def plan(histogram: np.ndarray, capacity: int = 1024, grid: int = 4) -> list[tup
     return rows
 
 
-def assign(parts: DataFrame, capacity: int = 1024, salts: int = 256) -> DataFrame:
+def assign(parts: DataFrame, capacity: int = 1024) -> DataFrame:
     """``parts`` with sequence_id and offset; needs doc_id, copy, start and length columns.
 
     Full pieces are sequences of their own and come after the packed ones.
     Ranks are dealt over salted windows: a length that a third of all documents
-    share does not meet in one task.  ``parts`` should be a written table: it
-    is read for the histogram and again for the ranks.
+    share does not meet in one task.  Which of rows equal in doc_id, copy and
+    start gets which place is open; each gets its own.  ``parts`` should be a
+    written table: it is read for the histogram and again for the ranks.
     """
     spark = parts.sparkSession
     short, full = parts.where(F.col("length") < capacity), parts.where(F.col("length") == capacity)
-    histogram = np.zeros(capacity - 1, np.int64)
-    for row in short.groupBy("length").count().collect():  # capacity - 1 rows at most
-        histogram[row["length"] - 1] = row["count"]
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in parts.groupBy("length").count().collect():  # capacity rows at most
+        counts[row["length"]] = row["count"]
+    histogram = counts[1:capacity]
     rows = plan(histogram, capacity)
     packed = max((r[3] + -(-r[2] // r[4]) for r in rows), default=0)
     schema = "_length long, _first long, _items long, _sequence long, _each long, _slot long"
     places = spark.createDataFrame(rows, schema)
     order = ["doc_id", "copy", "start"]
-    ranked = salted_rank(short, ["length"], order, "_rank", salts)
+    ranked = salted_rank(short, ["length"], order, "_rank", salts_for(int(histogram.max(initial=0))))
     inside = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_items"))
     nth = F.col("_rank") - F.col("_first")
     # the places are bounded by the number of lengths, about two rows for each
@@ -247,7 +256,7 @@ def assign(parts: DataFrame, capacity: int = 1024, salts: int = 256) -> DataFram
         (F.col("_sequence") + F.floor(nth / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_slot") + F.col("length") * (nth % F.col("_each"))).cast("long").alias("offset"),
     )
-    alone = salted_rank(full.withColumn("_all", F.lit(0)), ["_all"], order, "_rank", 32 * salts)
+    alone = salted_rank(full.withColumn("_all", F.lit(0)), ["_all"], order, "_rank", 32 * salts_for(int(counts[capacity]) // 32))
     alone = alone.select(*parts.columns, (F.col("_rank") + F.lit(packed)).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return put.union(alone)
 

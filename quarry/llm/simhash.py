@@ -13,7 +13,7 @@ one is at home and the other a replica.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import combinations, islice
 
@@ -21,10 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_batches, text_bytes, written
+from .common import bounded_sample, discard, map_batches, text_bytes, written
 from .components import connected_components, thinned
 
 BLOCK = 23
@@ -33,6 +34,7 @@ RADIUS = 3
 GOLAY = 0b110001110101
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 SHINGLE_BLOCK = 1 << 18
+LAST = (1 << 63) - 1
 
 xxh = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -195,12 +197,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
 # ---- near copies by similarity: fingerprints join groups early, prefixes of the shingle sets propose every other pair
 
 #: Fingerprints (of words, by different seeds) that propose pairs, and their threshold on the anchor bits.
-TABLES, SLACK = 6, 2
-#: Share of the bits of all fingerprints in which texts of similarity 0.8 hardly ever differ.
-FAR = 0.2
+TABLES, SLACK = 2, 2
+#: Bits, of 64, in which fingerprints of similar texts seldom differ: pairs that do are left to the prefixes.
+NEAR = 10
 #: Texts whose shingles are counted, and how many frequent shingles at most are put last: cost depends on it, results do not.
 COUNTED_TEXTS, LAST_SHINGLES = 8192, 100_000
-#: Bounds of the bits that mark the texts whose shingle sets are wanted.
+#: Bounds of the bits that mark the texts that are wanted.
 MARK_BITS = (1 << 16, 1 << 26)
 
 
@@ -276,33 +278,45 @@ def _marks(nodes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _shingle_sets(words: int, marks) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Shingle sets of the texts whose node is marked."""
+def _marked_texts(marks) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """The words of the texts whose node is marked, packed: a third of the size of their shingles' hashes or less."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bit = batch["node"].to_numpy() % (8 * len(marks.value))
         batch = batch.filter(pa.array(marks.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 == 1))
-        sets = [_shingle_set(text, words).tobytes() for text in text_bytes(batch["text"])]
-        return pa.record_batch({"node": batch["node"], "shingles": pa.array(sets, pa.binary())})
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pa.record_batch({"node": batch["node"], "packed": pa.array([pack(b" ".join(t.lower().split())) for t in text_bytes(batch["text"])], pa.binary())})
 
     return run
 
 
-def _similar(at_least: float) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= at_least * max(len(x), len(y)) else 0
-            keep.append(bool(both) and both >= at_least * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
-        return pa.record_batch({"u": batch["u"].filter(mask), "v": batch["v"].filter(mask)})
+def _similar(words: int, at_least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Those of the pairs (u, v, a, b) whose texts are similar enough; the texts of the last few u are kept at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, held = zstandard.ZstdDecompressor(), {}
+
+        def shingles(packed: bytes) -> np.ndarray:
+            return _shingle_set(unpack.decompress(packed), words)
+
+        for batch in batches:
+            keep = []
+            for u, a, b in zip(batch["u"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                if u not in held:
+                    while len(held) >= 8:
+                        del held[next(iter(held))]
+                    held[u] = shingles(a)
+                x, y = held[u], shingles(b)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= at_least * max(len(x), len(y)) else 0
+                keep.append(bool(both) and both >= at_least * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch({"u": batch["u"].filter(mask), "v": batch["v"].filter(mask)})
 
     return run
 
 
 def _table_anchors(batches):
-    """(place, node) for all anchors of all tables within covering radius plus half the threshold.
+    """(place, node, fp) for all anchors of all tables within covering radius plus half the threshold.
 
     Of two fingerprints within the threshold, one half-way between them has its
     home within the radius; so both reach that anchor.  A place is an anchor
@@ -313,60 +327,83 @@ def _table_anchors(batches):
             part = batch.slice(at, 4096)
             fps = part["fps"].flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES)
             for t in range(TABLES):
-                row, anchor = anchors(np.ascontiguousarray(fps[:, t]), SLACK // 2)
-                yield pa.record_batch({"place": pa.array(anchor | t << 2 * BLOCK), "node": part["node"].take(pa.array(row))})
+                own = np.ascontiguousarray(fps[:, t])
+                row, anchor = anchors(own, SLACK // 2)
+                yield pa.record_batch({"place": pa.array(anchor | t << 2 * BLOCK), "node": part["node"].take(pa.array(row)), "fp": pa.array(own[row])})
 
 
 def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): texts, by node (long), that share a chain of links of at least ``similarity``.
 
     ``texts`` has node and text; rows of one node hold one text.  Links are all
-    pairs whose Jaccard similarity over distinct shingles is high enough.
-    Fingerprints come first: at each anchor the smallest node is compared to all
-    others, so a group of copies costs in proportion to its size.  Then every
-    pair of different classes is compared whose shingle sets share enough of
-    their prefixes, which no similar pair fails to do: no link between classes
-    is missed.  Texts themselves are never dealt out, and shingle sets only of
-    those that are compared.
+    pairs whose Jaccard similarity over distinct shingles is high enough; a
+    pair is compared unless a chain of links joins it already.
+
+    1. fingerprints: at each anchor the smallest node is compared to all others
+       whose fingerprint is near, so a group of copies costs in proportion to
+       its size.
+    2. prefixes of the shingle sets, of which similar sets share a part: at
+       each shingle the smallest node is compared to those of other classes.
+    3. every pair of different classes that shares enough of its prefixes: no
+       link between classes is missed.
+
+    Texts are dealt packed, and only those that are compared.
     """
     spark = texts.sparkSession
     last = spark.sparkContext.broadcast(_frequent(texts, words))
     sketched = map_batches(texts.select("node", "text"), _sketch(words, similarity, last), "node long, fps array<long>, size long, keys array<long>")
     sketches = written(sketched.groupBy("node").agg(F.min(F.struct("fps", "size", "keys")).alias("s")).select("node", "s.*"), "sketches")
-    places = sketches.select("node", "fps").mapInArrow(_table_anchors, "place long, node long")
-    shared = places.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    bits = F.lit(0)
-    for t in range(TABLES):
-        bits = bits + F.bit_count(F.col("a")[t].bitwiseXOR(F.col("b")[t]))
-    fps = lambda node, name: sketches.select(F.col("node").alias(node), F.col("fps").alias(name))
-    met = places.join(shared, "place").where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    near = bits <= int(FAR * 64 * TABLES)
-    star = written(met.join(fps("u", "a"), "u").join(fps("v", "b"), "v").where(near).select("u", "v"), "candidates")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a written table) that are similar enough."""
-        marks = spark.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
-        held = map_batches(texts.select("node", "text"), _shingle_sets(words, marks), "node long, shingles binary")
-        sets = written(held.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
-        side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
-        return map_batches(pairs.join(side("u", "a"), "u").join(side("v", "b"), "v"), _similar(similarity), "u long, v long")
 
-    first = written(verified(star), "links")
+    def verified(proposed: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) that are similar enough, as a written table."""
+        pairs = written(proposed.select("u", "v").distinct(), "pairs")
+        marks = spark.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+        held = map_batches(texts.select("node", "text"), _marked_texts(marks), "node long, packed binary")
+        held = held.groupBy("node").agg(F.min("packed").alias("packed"))
+        side = lambda node, name: held.select(F.col("node").alias(node), F.col("packed").alias(name))
+        both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b")
+        found = written(both.mapInArrow(_similar(words, similarity), "u long, v long"), "links")
+        discard(pairs)
+        return found
+
+    places = sketches.select("node", "fps").mapInArrow(_table_anchors, "place long, node long, fp long")
+    centres = places.groupBy("place").agg(F.min(F.struct("node", "fp")).alias("c"), F.max("node").alias("most")).where("c.node < most").select("place", "c")
+    near = F.bit_count(F.col("c.fp").bitwiseXOR(F.col("fp"))) <= NEAR
+    first = verified(places.join(centres, "place").where((F.col("node") > F.col("c.node")) & near).select(F.col("c.node").alias("u"), F.col("node").alias("v")))
     roots = written(connected_components(first), "roots")
-    keyed = sketches.select("node", "size", F.explode("keys").alias("key"))
-    held = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    rooted = written(held, "prefixes").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    # keys whose texts are all of one class have nothing left to compare
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = written(rooted.join(mixed, "key", "left_semi"), "open")
-    end = lambda node, size, root: open_.select("key", F.col("node").alias(node), F.col("size").alias(size), F.col("root").alias(root))
-    sizes = F.least("su", "sv") >= F.greatest("su", "sv") * similarity - 1e-9
-    pairs = end("u", "su", "ru").join(end("v", "sv", "rv"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & sizes)
-    counted = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("su").alias("su"), F.min("sv").alias("sv"))
-    # what the prefixes of both do not share lies behind the end of one of them
-    most = F.col("n") + F.ceil(F.greatest("su", "sv") * similarity - 1e-9) - 1
-    rest = counted.where(most >= (F.col("su") + F.col("sv")) * (similarity / (1 + similarity)) - 1e-6).select("u", "v")
-    return connected_components(first.union(verified(written(rest, "rest"))))
+
+    keyed = sketches.select("node", F.explode("keys").alias("key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "node")
+    held = written(shared, "prefixes")
+
+    def open_keys(roots: DataFrame) -> DataFrame:
+        """(key, node, root) of the keys whose texts are of several classes; the others have nothing left to compare."""
+        rooted = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root")).alias("c")).where("low <> high").select("key", "c")
+        return written(rooted.join(several, "key"), "open")
+
+    sizes = sketches.select("node", "size")
+    size_of = lambda node, name: sizes.select(F.col("node").alias(node), F.col("size").alias(name))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs, a row for each shingle that their prefixes share, that may be similar enough by numbers."""
+        counted = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).join(size_of("u", "su"), "u").join(size_of("v", "sv"), "v")
+        least, most = F.least("su", "sv"), F.greatest("su", "sv")
+        # what the prefixes of both do not share lies behind the end of one of them
+        common = F.col("n") + F.ceil(most * similarity - 1e-9) - 1
+        return counted.where((least >= most * similarity - 1e-9) & (common >= (F.col("su") + F.col("sv")) * (similarity / (1 + similarity)) - 1e-6))
+
+    met = open_keys(roots)
+    star = met.where(F.col("root") != F.col("c.root")).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
+    second = verified(possible(star))
+    discard(met, roots)
+    joined = first.union(second)
+    met = open_keys(written(connected_components(joined), "roots"))
+    end = lambda node, root: met.select("key", F.col("node").alias(node), F.col("root").alias(root))
+    rest = end("u", "ru").join(end("v", "rv"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
+    third = verified(possible(rest))
+    discard(met, held, sketches)
+    return connected_components(joined.union(third))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -376,13 +413,22 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Null texts count as empty, and texts without words are copies of one
     another.  A row without an id stays only if its group has no other; of rows
     equal in id and text one stays.  All columns of ``docs`` are kept.
+
+    A text's node is a hash of it.  Texts that differ but share one, as a
+    second hash shows, keep the links of one of them; the others stay.
     """
-    number, node = F.col(id_column).cast("long"), F.xxhash64(F.coalesce(F.nullif(F.trim(F.col(text)), F.lit("")), F.lit("")))
-    keys = written(docs.select(number.alias("_id"), node.alias("_node")), "text-keys")
-    least = keys.groupBy("_node").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("least"))
+    number = F.col(id_column).cast("long")
+    own = F.when(F.length(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r"))) > 0, F.col(text)).otherwise("")
+    node, check = F.xxhash64(own), F.xxhash64(F.lit(1), F.reverse(own))
+    groups = docs.select(number.alias("_id"), node.alias("_node"), check.alias("_check")).groupBy("_node", "_check")
+    groups = written(groups.agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("least")), "texts")
     found = similar_texts(docs.select(node.alias("node"), F.col(text).alias("text")), words, similarity)
-    classed = least.join(found, F.col("_node") == F.col("node"), "left").select("_node", "least", F.coalesce("root", "_node").alias("root"))
-    stays = classed.groupBy("root").agg(F.min(F.struct("least", "_node")).alias("s")).select(F.col("s._node").alias("_n"), F.col("s.least.id").alias("_i"))
-    kept = docs.withColumns({"_id": number, "_node": node}).join(stays, (F.col("_node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_i")))
-    first = Window.partitionBy("_node", "_id").orderBy(*[F.col(c) for c in docs.columns if dict(docs.dtypes)[c] in ("string", "bigint", "int")])
+    named = groups.withColumn("_main", F.min("_check").over(Window.partitionBy("_node")))
+    classed = named.join(found, F.col("_node") == F.col("node"), "left").select("_node", "_check", "least", F.when(F.col("_check") == F.col("_main"), F.coalesce("root", "_node")).alias("root"), F.when(F.col("_check") != F.col("_main"), F.col("_check")).alias("apart"))
+    stays = classed.groupBy("root", "apart", F.when(F.col("apart").isNotNull(), F.col("_node")).alias("_n")).agg(F.min(F.struct("least", "_node", "_check")).alias("s"))
+    stays = stays.select(F.col("s._node").alias("_node"), F.col("s._check").alias("_check"), F.coalesce("s.least.id", F.lit(LAST)).alias("_key"), F.col("s.least.none").alias("_none"))
+    rows = docs.withColumns({"_node": node, "_check": check, "_key": F.coalesce(number, F.lit(LAST)), "_none": number.isNull()})
+    kept = rows.join(stays, ["_node", "_check", "_key", "_none"])
+    order = [F.col(c) for c in docs.columns if dict(docs.dtypes)[c] in ("string", "bigint", "int")]
+    first = Window.partitionBy("_node", "_check", "_key", "_none").orderBy(*order)
     return kept.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)

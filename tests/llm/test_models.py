@@ -45,6 +45,48 @@ def test_blocks_of_a_text_score_like_the_whole():
         toxicity.BLOCK_WORDS = small
 
 
+def test_score_against_a_naive_convolution():
+    rng = np.random.default_rng(2)
+    model = toxicity.start_model(rng)
+    model.bias = [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    texts = [" ".join(rnd.choice(["alpha", "beta", "Gamma", "delta's", "x1"]) for _ in range(n)) for n in (0, 1, 2, 3, 17)]
+    for text_, got in zip(texts, toxicity.score(model, texts), strict=True):
+        words = toxicity.words_of(text_)
+        vectors = [np.mean([model.embedding[b] for b in toxicity.features(w)], axis=0) for w in words] or [np.zeros(toxicity.DIM)]
+        z = model.offset
+        for k, width in enumerate(toxicity.WIDTHS):
+            padded = vectors + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+            for f in range(toxicity.FILTERS):
+                best = max(sum(padded[at + j] @ model.filters[k][j][:, f] for j in range(width)) for at in range(len(vectors)))
+                z += max(0.0, best + model.bias[k][f]) * model.weight[k * toxicity.FILTERS + f]
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_training_lowers_the_loss_and_ties_do_not_matter():
+    texts = [text("en", y := i % 2 == 0, 12) for i in range(200)]
+    labels = np.array([i % 2 == 0 for i in range(200)], np.float32)
+    loss = lambda m: -np.mean(np.log(np.where(labels == 1, p := toxicity.score(m, texts), 1 - p)))
+    few, many = (toxicity.train(texts, labels, ["en"] * 200, epochs=n) for n in (1, 12))
+    assert loss(many) < loss(few) < 0.7
+    assert np.array_equal(toxicity.score(many, texts), toxicity.score(toxicity.train(texts, labels, ["en"] * 200, epochs=12), texts))
+
+
+def test_thresholds_by_language():
+    scores = np.concatenate([np.linspace(0.3, 0.4, 30), np.linspace(0.0, 0.2, 70), np.linspace(0.8, 0.9, 30), np.linspace(0.5, 0.7, 70), [0.1] * 5])
+    labels = np.concatenate([np.ones(30), np.zeros(70), np.ones(30), np.zeros(70), np.ones(5)])
+    langs = ["en"] * 100 + ["de"] * 100 + ["fr"] * 5
+    found = toxicity.calibrate(scores, labels, langs)
+    assert 0.2 < found["en"] < 0.3 and 0.7 < found["de"] < 0.8 and "fr" not in found and "" in found
+    assert toxicity.calibrate(scores[-5:], labels[-5:], langs[-5:]) == {"": 0.5}
+
+
+def test_an_id_with_both_labels_is_toxic(spark):
+    docs = spark.createDataFrame([(i, text("en", i % 2 == 0), "en") for i in range(300)], "doc_id long, text string, lang string")
+    once = [(i, int(i % 2 == 0)) for i in range(300)]
+    score = lambda rows: [r.toxic_score for r in toxicity.classify(docs, toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"), F.lit(True))).orderBy("doc_id").collect()]
+    assert score(once) == score([*once[::-1], *[(i, 0) for i in range(0, 300, 2)]])
+
+
 def test_language_model_against_plain_counts(spark):
     words = [f"w{i}" for i in range(3000)]
     docs = [(i, " ".join(rnd.choice(words[: 20 if rnd.random() < 0.7 else 3000]) for _ in range(rnd.randint(0, 200)))) for i in range(80)]

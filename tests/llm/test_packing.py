@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -48,7 +49,6 @@ def test_packing_is_a_lossless_round_trip(spark):
     docs = spark.createDataFrame([(i if i != 6 else 7, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int")
     rows = packing.pack(docs.repartition(3), PATH).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     whole, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         assert len(r.ids) == 4 * r.length
@@ -67,6 +67,25 @@ def test_packing_is_a_lossless_round_trip(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_ids_are_those_of_the_unchanged_tokenizer():
+    tokenizer, rnd = Tokenizer.from_file(PATH), random.Random(4)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "word", "'s", "123", "é", "中", "\u0085", "\U0001f600", "\t", "...", " the"]
+    texts = ["<|endoftext|> a", "a<|endoftext|>b", *("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(800))]
+    assert packing.encode(texts, PATH) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.encode(["<|endoftext|> a"], PATH) == [[50256, 257]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sequences_are_near_the_lower_bound(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.minimum(1023, (rng.gamma(1.3, 180, 40_000)).astype(int) + 1)
+    lengths = np.concatenate([[512, x - 512] if x > 512 else [x] for x in lengths])
+    histogram = np.bincount(lengths[lengths > 0], minlength=1024)[1:1024]
+    sequences = max(s + -(-n // each) for _, _, n, s, each, _ in packing.plan(histogram))
+    least = int(np.ceil(histogram @ np.arange(1, 1024) / 1024))
+    assert least <= sequences <= 1.01 * least + 5
+
+
 def test_query_digest(spark):
     from quarry.llm.queries import op5_cutting_stock_packing
 

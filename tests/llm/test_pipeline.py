@@ -4,7 +4,7 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 import pytest
-from quarry.llm import simhash
+from quarry.llm import mixing, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,6 +72,40 @@ def test_similar_sets_share_a_prefix():
     assert not len(simhash.prefix(x[:0], 0.8, last))
 
 
+def odd_documents(spark):
+    long = "lorem ipsum dolor sit amet " * 40
+    rows = [(1, "one plain text of some words", "en", "s", 28), (1, "one plain text of some words", "en", "s", 28), (1, "one plain text of some words", "en", "s", 28), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    rows += [(None, "no id at all", None, None, 5), (4, " \n\t ", "de", "s", 4), (5, long, "en", "t", len(long)), (6, long + "end", "en", "t", len(long) + 3), (7, "word " * 300_000, "en", "t", 1_500_000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    docs = odd_documents(spark)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, DATA).collect()
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+        if name == names[0]:
+            assert len(rows) == 10
+        elif name == names[1]:  # texts without words are copies of one another, and 6 is a near copy of 5
+            assert ids == [(False, 1), (False, 2), (False, 5), (False, 7), (True, 0)]
+        elif name == names[2]:
+            assert {i for none, i in ids if not none} == {1, 2, 3, 4, 5, 6, 7} and len(rows) == 10
+        elif name == names[3]:
+            assert not {2, 3, 4} & {r.doc_id for r in rows} and sum(r.doc_id == 1 for r in rows) <= 6
+        else:
+            assert sum(r.length for r in rows) == sum({(r.doc_id, r.start, r.offset, r.sequence_id): r.length for r in rows}.values())
+
+
+def test_rows_that_repeat_share_what_the_mix_takes(spark):
+    rows = [(1, "a b c d e", "en", "s", 9)] * 5 + [(2, "a b c d e f g", "en", "t", 13)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.source for r in corpus_pipeline.mixed(spark, docs, DATA).collect()]
+    goals = dict(zip("st", mixing.targets([("s", 25), ("t", 21)]), strict=True))
+    assert abs(5 * got.count("s") - goals["s"]) <= 5 and abs(7 * got.count("t") - goals["t"]) <= 7
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     out, docs = [spark.read.parquet(f"{DATA}/documents.parquet")], None
