@@ -60,13 +60,19 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: Rows that a task turns into Python objects at a time.
+SLICE_ROWS = 512
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of a single batch."""
+    """``mapInArrow`` for a function of a single batch, which gets ``SLICE_ROWS`` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                if (out := function(batch.slice(at, SLICE_ROWS))) is not None:
+                    yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

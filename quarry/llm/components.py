@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, written
+from .common import discard, written
 
 
 def _forest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -33,8 +33,8 @@ def _forest(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def thinned(links: DataFrame) -> DataFrame:
-    """Links (u, v) with those left out that close a cycle within one Arrow batch."""
-    return map_batches(links.select("u", "v"), _forest, "u long, v long")
+    """Links (u, v) with those left out that close a cycle within some thousand of them."""
+    return links.select("u", "v").mapInArrow(lambda batches: map(_forest, batches), "u long, v long")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -299,7 +299,7 @@ def _similar(words: int, at_least: float) -> Callable[[Iterator[pa.RecordBatch]]
         def shingles(packed: bytes) -> np.ndarray:
             return _shingle_set(unpack.decompress(packed), words)
 
-        for batch in batches:
+        for batch in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
             keep = []
             for u, a, b in zip(batch["u"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
                 if u not in held:

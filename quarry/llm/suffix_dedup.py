@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ TRIGGER = 32
 PART = 1 << 20
 #: Bits of a hash that triggers are told apart by while they are counted; units are compared by their bytes.
 ID_BITS = 48
+#: Bytes of units put in order at a time, besides those of one trigger.
+SORTED = 1 << 19
 #: Parts whose units meet at a time.
 GROUP = 1024
 LAST = (1 << 63) - 1
@@ -121,7 +124,7 @@ def _write_parts(text: str):
             return pa.record_batch({"part": pa.array([int(rng.integers(0, 1 << 62))]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         for batch in batches:
-            sizes = np.array([len(t) for t in text_bytes(batch["row"].field(text))], np.int64)
+            sizes = pa.compute.binary_length(batch["row"].field(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
             while at < batch.num_rows:
                 fit = int(np.searchsorted(np.cumsum(sizes[at:]), PART - size, "right"))
@@ -220,17 +223,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- units: windows that repeat, and those to be compared with other parts
 
+#: bucket -1: ``meta`` holds spans of one part; else units, ``n`` of them, with ``META`` and their texts.
 UNITS = "bucket int, grp long, part long, n int, meta binary, texts binary"
-SPANS = "part long, spans binary"
-#: Of a unit: row in its part, order of its document (two numbers), where its trigger stands, and how far before it the first and last of its windows start; in ``META`` order.
+#: Of a unit: its part and row, order of its document (two numbers), where its trigger stands, and how far before it the first and last of its windows start.
 META = ("part", "row", "order_key", "text_hash", "origin", "most", "least")
 
 
-def _span_rows(part: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Spans packed by part."""
-    order = np.argsort(part, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-    return pa.record_batch({"part": pa.array([int(part[g[0]]) for g in groups]), "spans": pa.array([_packed(row[g], begin[g], end[g]) for g in groups], pa.binary())})
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of the tuples of ``keys``, the first of most weight."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +246,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _firsts(classes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def _later(classes: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Whether each window repeats one of a smaller rank; windows of one rank are the same place."""
     order = np.lexsort((rank, classes))
     c = classes[order]
@@ -250,24 +257,83 @@ def _firsts(classes: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats_within(part: Part, several: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Flags of the positions of ``part`` where a window starts that repeats one of an earlier place in it."""
-    repeated = np.zeros(len(part.text) + 1, bool)
-    own = np.zeros(len(part.text) + 1, np.int64)
-    np.add.at(own, part.first[several], 1)
-    np.add.at(own, part.last[several] + 1, -1)
-    # windows of neighbouring units make a stretch; those of another piece are no neighbours, as no window starts at a piece's end
-    begin, end = _runs(np.cumsum(own[:-1]) > 0)
-    end = end + length - 1
-    sizes = end - begin
-    start = np.concatenate(([0], np.cumsum(sizes)))
-    place = np.repeat(begin - start[:-1], sizes) + np.arange(start[-1])
-    classes = window_classes(part.text[place], start, length)
-    at = np.flatnonzero(classes >= 0)
-    where = place[at]
-    piece = np.searchsorted(part.start, where, "right") - 1
-    repeated[where[_firsts(classes[at], rank[part.row[piece]] << 40 | where - part.start[piece] + part.base[piece])]] = True
-    return repeated
+def resolve(ids: np.ndarray, texts: list[bytes], document: np.ndarray, origin: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of some units repeat one that starts earlier, in another unit or the same document.
+
+    Units of one text have the same windows: the earliest stands for all, the
+    others repeat it whole.  Only triggers that have several texts left need
+    these in corpus order, as equal windows have equal triggers and no two
+    windows of one unit are equal.  Returns (unit, begin, end) of the runs of
+    repeated windows, begin and end counted in windows, and for each unit its
+    first and last window that does not repeat (none: first > last).
+    """
+    n = len(texts)
+    windows = np.fromiter(map(len, texts), np.int64, n) - length + 1
+    distinct: dict[tuple, int] = {}
+    of = np.array([distinct.setdefault((t, m), len(distinct)) for t, m in zip(texts, most.tolist(), strict=True)], np.int64)
+    place = _ranks(document, origin)
+    least = np.full(len(distinct), n, np.int64)
+    np.minimum.at(least, of, place)
+    lead = place == least[of]
+    # the distinct texts, and the place of the earliest unit of each
+    one = np.zeros(len(distinct), np.int64)
+    one[of[lead]] = np.flatnonzero(lead)
+    trigger = np.unique(ids[one], return_inverse=True)[1] if len(one) else one
+    some = np.flatnonzero(np.bincount(trigger)[trigger] > 1) if len(one) else one
+    some = some[np.argsort(trigger[some], kind="stable")]
+    strings = [texts[i] for i in one[some]]
+    start = np.concatenate(([0], np.cumsum([len(t) for t in strings], dtype=np.int64)))
+    repeated = np.zeros(start[-1] + 1, bool)
+    # whole triggers at a time, about SORTED bytes of them
+    ends = np.append(np.flatnonzero(np.diff(trigger[some])) + 1, len(some))
+    low = 0
+    while low < len(some):
+        high = int(ends[min(np.searchsorted(ends, max(low + 1, np.searchsorted(start, start[low] + SORTED))), len(ends) - 1)])
+        own = start[low : high + 1] - start[low]
+        classes = window_classes(np.frombuffer(b"".join(strings[low:high]), np.uint8), own, length)
+        at = np.flatnonzero(classes >= 0)
+        string = np.searchsorted(own, at, "right") - 1
+        who = one[some[low + string]]
+        repeated[start[low] + at[_later(classes[at], document[who] << 40 | origin[who] - most[who] + at - own[string])]] = True
+        low = high
+    # the runs of each string belong to all its leading units, which are one place
+    begin, end = _runs(repeated)
+    string = np.searchsorted(start, begin, "right") - 1
+    first, last = np.zeros(len(distinct), np.int64), windows[one] - 1
+    if len(strings):
+        inside = np.zeros(len(repeated), bool)
+        inside[:-1] = np.arange(start[-1]) - np.repeat(start[:-1], np.diff(start)) < np.repeat(windows[one[some]], np.diff(start))
+        open_at = np.flatnonzero(np.append(inside[:-1] & ~repeated[:-1], True))
+        first[some] = open_at[np.searchsorted(open_at, start[:-1])] - start[:-1]
+        before = np.searchsorted(open_at, start[1:]) - 1
+        last[some] = np.where(before >= 0, open_at[before], -1) - start[:-1]
+        gone = first[some] >= windows[one[some]]
+        first[some], last[some] = np.where(gone, 1, first[some]), np.where(gone, 0, last[some])
+    leaders = np.flatnonzero(lead)
+    by = leaders[np.argsort(of[leaders], kind="stable")]
+    low, high = np.searchsorted(of[by], some[string]), np.searchsorted(of[by], some[string], "right")
+    each = np.repeat(np.arange(len(begin)), high - low)
+    unit = by[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(len(each))] if len(each) else np.zeros(0, np.int64)
+    whole = np.flatnonzero(~lead)
+    runs = np.concatenate((whole, unit)), np.concatenate((np.zeros(len(whole), np.int64), (begin - start[string])[each])), np.concatenate((windows[whole], (end - start[string])[each]))
+    return *runs, np.where(lead, first[of], 1), np.where(lead, last[of], 0)
+
+
+def _span_rows(part: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans as rows of ``UNITS``, packed by part."""
+    order = np.argsort(part, kind="stable")
+    groups = [g for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(g)]
+    k = len(groups)
+    return pa.record_batch(
+        {
+            "bucket": pa.array([-1] * k, pa.int32()),
+            "grp": pa.array([0] * k, pa.int64()),
+            "part": pa.array([int(part[g[0]]) for g in groups], pa.int64()),
+            "n": pa.array([len(g) for g in groups], pa.int32()),
+            "meta": pa.array([_packed(row[g], begin[g], end[g]) for g in groups], pa.binary()),
+            "texts": pa.array([b""] * k, pa.binary()),
+        }
+    )
 
 
 def _unit_rows(meta: dict[str, np.ndarray], texts: list[bytes], ids: np.ndarray, grp: int, buckets: int, part: int) -> pa.RecordBatch:
@@ -279,69 +345,74 @@ def _unit_rows(meta: dict[str, np.ndarray], texts: list[bytes], ids: np.ndarray,
             "part": pa.array([part] * len(dealt), pa.int64()),
             "n": pa.array([len(own) for _, own in dealt], pa.int32()),
             "meta": pa.array([_packed(ids[own].astype(np.int64), *[meta[c][own] for c in META]) for _, own in dealt], pa.binary()),
-            "texts": pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(texts[i] for i in own)) for _, own in dealt], pa.binary()),
+            "texts": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(texts[i] for i in own)) for _, own in dealt], pa.binary()),
         }
     )
 
 
+def _compared(ids: np.ndarray, texts: list[bytes], meta: dict[str, np.ndarray], document: np.ndarray, length: int) -> tuple[pa.RecordBatch, np.ndarray, list[bytes], dict[str, np.ndarray]]:
+    """Spans of the windows that repeat, and the units that still have one that does not, cut to these."""
+    unit, begin, end, first, last = resolve(ids, texts, document, meta["origin"], meta["most"], length)
+    at = meta["origin"][unit] - meta["most"][unit]
+    spans = _span_rows(meta["part"][unit], meta["row"][unit], at + begin, at + end - 1 + length)
+    stay = np.flatnonzero(first <= last)
+    left = {c: v[stay] for c, v in meta.items()}
+    left["least"], left["most"] = left["most"] - last[stay], left["most"] - first[stay]
+    return spans, stay, [texts[i][a : b + length] for i, a, b in zip(stay.tolist(), first[stay].tolist(), last[stay].tolist(), strict=True)], left
+
+
 def _units(text: str, length: int, buckets: int):
-    """bucket >= 0: units to resolve with other parts; bucket -1: spans (in ``meta``) that repeat within the part."""
+    """Spans that repeat within a part, and units to resolve with other parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
             rows = _rows_of(row["rows"])
+            order_key, text_hash = (rows[c].to_numpy(zero_copy_only=False) for c in ("order_key", "text_hash"))
+            document = _ranks(order_key, text_hash)
+            ids, texts, metas = [], [], []
+            # which triggers another part has; those that this one has twice are compared here
+            flagged = {b["bucket"]: b["bits"] for b in row["flags"] or []}
             found = list(sections(text_bytes(rows["row"].field(text)), length))
-            ids = np.concatenate([p.id for p in found]) if found else np.zeros(0, np.uint64)
-            if not len(ids):
-                continue
-            own, times = np.unique(ids, return_counts=True)
+            own, times = np.unique(np.concatenate([p.id for p in found]), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             across = np.zeros(len(own), bool)
-            bits = {b["bucket"]: b["bits"] for b in row["flags"] or []}
             for bucket, at in _dealt(own, buckets):
-                if bucket in bits:
-                    across[at] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=len(at)).astype(bool)
-            order_key, text_hash = (rows[c].to_numpy(zero_copy_only=False) for c in ("order_key", "text_hash"))
-            order = np.lexsort((text_hash, order_key))
-            new = np.concatenate(([0], (order_key[order[1:]] != order_key[order[:-1]]) | (text_hash[order[1:]] != text_hash[order[:-1]])))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.cumsum(new)
+                if bucket in flagged:
+                    across[at] = np.unpackbits(np.frombuffer(flagged[bucket], np.uint8), count=len(at)).astype(bool)
             for part in found:
-                if not len(part.id):
-                    continue
                 of = np.searchsorted(own, part.id)
-                _, inverse, here = np.unique(part.id, return_inverse=True, return_counts=True)
-                several, out = here[inverse] > 1, across[of] | (times[of] > here[inverse])
-                repeated = _repeats_within(part, several, rank, length) if several.any() else np.zeros(len(part.text) + 1, bool)
-                begin, end = _runs(repeated[:-1])
-                if len(begin):
-                    piece = np.searchsorted(part.start, begin, "right") - 1
-                    shift = part.base[piece] - part.start[piece]
-                    spans = _packed(part.row[piece], begin + shift, end - 1 + length + shift)
-                    yield pa.record_batch({"bucket": pa.array([-1], pa.int32()), "grp": pa.array([0], pa.int64()), "part": pa.array([row["part"]], pa.int64()), "n": pa.array([0], pa.int32()), "meta": pa.array([spans], pa.binary()), "texts": pa.array([b""], pa.binary())})
-                # units without the repeated windows at their ends
-                open_at = np.flatnonzero(~repeated)
-                pick = np.flatnonzero(out)
-                first = open_at[np.searchsorted(open_at, part.first[pick])]
-                last = open_at[np.searchsorted(open_at, part.last[pick], "right") - 1]
-                some = (first <= part.last[pick]) & (last >= part.first[pick])
-                pick, first, last = pick[some], first[some], last[some]
+                pick = np.flatnonzero(across[of] | (times[of] > 1))
                 if not len(pick):
                     continue
-                at = part.row[part.piece[pick]]
+                at, blob = part.row[part.piece[pick]], part.text.tobytes()
                 shift = part.base[part.piece[pick]] - part.start[part.piece[pick]]
-                meta = {"part": np.full(len(pick), row["part"]), "row": at, "order_key": order_key[at], "text_hash": text_hash[at], "origin": part.trigger[pick] + shift, "most": part.trigger[pick] - first, "least": part.trigger[pick] - last}
-                blob = part.text.tobytes()
-                texts = [blob[b:e] for b, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
-                yield _unit_rows(meta, texts, part.id[pick], 0, buckets, row["part"])
+                trigger, first, last = part.trigger[pick], part.first[pick], part.last[pick]
+                ids.append(part.id[pick])
+                metas.append(np.stack((np.full(len(pick), row["part"]), at, order_key[at], text_hash[at], trigger + shift, trigger - first, trigger - last)))
+                texts += [blob[b:e] for b, e in zip(first.tolist(), (last + length).tolist(), strict=True)]
+            if not texts:
+                continue
+            ids, meta = np.concatenate(ids), dict(zip(META, np.concatenate(metas, axis=1), strict=True))
+            spans, stay, texts, meta = _compared(ids, texts, meta, document[meta["row"]], length)
+            yield spans
+            out = np.flatnonzero(across[np.searchsorted(own, ids[stay])])
+            if len(out):
+                yield _unit_rows({c: v[out] for c, v in meta.items()}, [texts[i] for i in out], ids[stay][out], 0, buckets, row["part"])
 
     return run
 
 
 def _resolved(length: int, buckets: int, onward: bool):
-    """Spans that repeat among the units of a bucket and group; with ``onward`` also the units that still have a window that does not."""
+    """Spans, those that came and those that repeat among the units of a bucket and group; with ``onward`` also the units left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by(batches, "bucket", "grp"):
+        def spans_apart() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = pa.compute.less(batch["bucket"], 0)
+                passed.append(batch.filter(spans))
+                yield batch.filter(pa.compute.invert(spans))
+
+        passed: list[pa.RecordBatch] = []
+        for rows in _by(spans_apart(), "bucket", "grp"):
             metas, texts = [], []
             for r in rows:
                 metas.append(np.frombuffer(_unpacked(r["meta"]), np.int64).reshape(len(META) + 1, r["n"]))
@@ -351,79 +422,17 @@ def _resolved(length: int, buckets: int, onward: bool):
                     at += size
             table = np.concatenate(metas, axis=1)
             ids, meta = table[0].view(np.uint64), dict(zip(META, table[1:], strict=True))
-            n = len(texts)
-            place = np.lexsort((meta["origin"], meta["text_hash"], meta["order_key"]))
-            keys = table[[3, 4, 5]][:, place]
-            rank = np.empty(n, np.int64)
-            rank[place] = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-            # units of one text: the earliest stands for all, the others repeat it whole
-            distinct: dict[tuple, int] = {}
-            of = np.array([distinct.setdefault((t, m), len(distinct)) for t, m in zip(texts, meta["most"].tolist(), strict=True)], np.int64)
-            first = np.full(len(distinct), n, np.int64)
-            np.minimum.at(first, of, rank)
-            lead = rank == first[of]
-            strings = [t for t, _ in distinct]
-            sizes = np.array([len(t) for t in strings], np.int64)
-            start = np.concatenate(([0], np.cumsum(sizes)))
-            repeated = np.zeros(start[-1], bool)
-            most = np.array([m for _, m in distinct], np.int64)
-            if len(strings) > 1:
-                classes = window_classes(np.frombuffer(b"".join(strings), np.uint8), start, length)
-                at = np.flatnonzero(classes >= 0)
-                string = np.searchsorted(start, at, "right") - 1
-                # a window's place: its document, then where in it the window starts
-                doc = _document_ranks(meta, of, lead, len(strings))
-                begins = doc[1][string] - most[string] + at - start[string]
-                repeated[at[_firsts(classes[at], doc[0][string] << 40 | begins)]] = True
-            windows = sizes - length + 1
-            whole = np.flatnonzero(~lead)
-            begin = [meta["origin"][whole] - meta["most"][whole]]
-            end = [meta["origin"][whole] - meta["least"][whole] + length]
-            who = [whole]
-            b, e = _runs(repeated)
-            string = np.searchsorted(start, b, "right") - 1
-            leaders = np.flatnonzero(lead)
-            by = leaders[np.argsort(of[leaders], kind="stable")]
-            low, high = np.searchsorted(of[by], string), np.searchsorted(of[by], string, "right")
-            each = np.repeat(np.arange(len(b)), high - low)
-            unit = by[np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low) + np.arange(len(each))] if len(each) else np.zeros(0, np.int64)
-            shift = meta["origin"][unit] - meta["most"][unit] - start[string[each]]
-            begin.append(b[each] + shift)
-            end.append(e[each] - 1 + length + shift)
-            who.append(unit)
-            who, begin, end = map(np.concatenate, (who, begin, end))
-            if len(who):
-                spans = _span_rows(meta["part"][who], meta["row"][who], begin, end)
-                k = spans.num_rows
-                yield pa.record_batch({"bucket": pa.array([-1] * k, pa.int32()), "grp": pa.array([0] * k, pa.int64()), "part": spans["part"], "n": pa.array([0] * k, pa.int32()), "meta": spans["spans"], "texts": pa.array([b""] * k, pa.binary())})
-            if onward:
-                inside = np.zeros(len(repeated), bool)
-                inside[np.repeat(start[:-1], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)] = True
-                open_at = np.append(np.flatnonzero(inside & ~repeated), len(repeated))
-                head = open_at[np.searchsorted(open_at, start[:-1])] - start[:-1]
-                tail = open_at[np.searchsorted(open_at, start[1:]) - 1] - start[:-1]
-                stay = leaders[head[of[leaders]] < windows[of[leaders]]]
-                if len(stay):
-                    left, right = head[of[stay]], tail[of[stay]]
-                    some = {c: v[stay] for c, v in meta.items()}
-                    some["least"], some["most"] = some["most"] - right, some["most"] - left
-                    yield _unit_rows(some, [texts[i][a : b + length] for i, a, b in zip(stay.tolist(), left.tolist(), right.tolist(), strict=True)], ids[stay], rows[0]["grp"], buckets, 0)
+            spans, stay, texts, meta = _compared(ids, texts, meta, _ranks(meta["order_key"], meta["text_hash"]), length)
+            yield spans
+            if onward and len(stay):
+                yield _unit_rows(meta, texts, ids[stay], rows[0]["grp"], buckets, 0)
+            yield from passed
+            passed.clear()
+        yield from passed
 
     return run
 
 
-def _document_ranks(meta: dict[str, np.ndarray], of: np.ndarray, lead: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct unit the rank of its first place's document, and where the trigger stands there."""
-    order = np.lexsort((meta["text_hash"], meta["order_key"]))
-    key, text = meta["order_key"][order], meta["text_hash"][order]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
-    doc, origin = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    leaders = np.flatnonzero(lead)
-    doc[of[leaders]], origin[of[leaders]] = rank[leaders], meta["origin"][leaders]
-    return doc, origin
-
-
 # ---- the operator
 
 
@@ -442,16 +451,15 @@ def repeated_spans(parts: DataFrame, length: int, text: str) -> DataFrame:
     met = parts.mapInArrow(_triggers(text, length, buckets), "bucket int, part long, ids binary")
     flags = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, bucket int, bits binary")
     flags = flags.groupBy("part").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
-    found = written(parts.join(flags, "part", "left").mapInArrow(_units(text, length, buckets), UNITS), "units")
-    spans = found.where("bucket < 0").select("part", F.col("meta").alias("spans"))
+    found = parts.join(flags, "part", "left").mapInArrow(_units(text, length, buckets), UNITS)
     groups, group = -(-n // GROUP), F.xxhash64("part")
     while True:
-        dealt = found.where("bucket >= 0").withColumn("grp", F.pmod(group, F.lit(max(1, groups))))
+        # spans of a part pass through, spread over all tasks
+        dealt = found.withColumn("grp", F.when(F.col("bucket") < 0, F.col("part")).otherwise(F.pmod(group, F.lit(max(1, groups)))))
         dealt = dealt.repartition("bucket", "grp").sortWithinPartitions("bucket", "grp")
-        found = written(dealt.mapInArrow(_resolved(length, buckets, groups > 1), UNITS), "resolved")
-        spans = spans.union(found.where("bucket < 0").select("part", F.col("meta").alias("spans")))
+        found = dealt.mapInArrow(_resolved(length, buckets, groups > 1), UNITS)
         if groups <= 1:
-            return spans.groupBy("part").agg(F.collect_list("spans").alias("spans"))
+            return found.groupBy("part").agg(F.collect_list("meta").alias("spans"))
         groups, group = -(-groups // GROUP), F.col("grp")
 
 
