@@ -13,21 +13,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.labels import classify, roman
+from quarry.functions.labels import classify, parse_segment, plain, references, scan
 from quarry.functions.text import fragment_of, is_structural
 from quarry.operators.temporal import validity
 from quarry.operators.tree import prune_empty
 from quarry.schema import BY_NAME, COMPONENT
 from quarry.sources.html import blocks
 
-#: The heading of the transitional part, anchors of articles, cross-references.
-SECOND_PART = re.compile(r"ATO\s+DAS\s+DISPOSI[ÇC][ÕO]ES\s+CONSTITUCIONAIS", re.I)
-ARTICLE_ANCHOR = re.compile(r"art\.?\d+", re.I)
-LINK = r"(?iu)\bart(?:s|igos?)?\.?\s*(\d[\d.]*)\s*[º°o]?(?:\s*,?\s*§\s*(\d+))?(?:\s*,?\s*([IVXLCDM]{1,8})\b(?![a-zà-ú]))?"
+#: Fixed value: the heading of the transitional part, in plain letters.
+SECOND_PART = "ato das disposicoes constitucionais"
 
 NODES = "norm_urn string, pos int, path string, parent_path string, base_path string, type string, label string, text string, ordinal int, note string, action string, year int, struck boolean"
 
 
+def is_article_anchor(name: str) -> bool:
+    """Whether an anchor is that of an article: art12, art.12 and the like."""
+    tokens = [t for t in scan(name) if t.raw != "."]
+    return len(tokens) > 1 and tokens[0].plain == "art" and tokens[1].kind == "number" and tokens[1].begin <= 4
+
+
 class Fold:
     """One norm's blocks, in order, to nodes."""
 
@@ -53,15 +57,15 @@ class Fold:
 
     def add(self, block: dict) -> None:
         text = block["text"]
-        if SECOND_PART.match(text) and self.last_article and not self.root:
+        if plain(text).startswith(SECOND_PART) and self.last_article and not self.root:
             self.root, self.stack, self.last_article = COMPONENT, [], 0
             return
         label = classify(text)
         if label is None:
             return self._continue(text)
         if label.type == "artigo":
-            number = int(re.match(r"art(\d+)", label.segment)[1])
-            if number < self.last_article and not any(ARTICLE_ANCHOR.match(a) for a in block["anchors"]):
+            number = parse_segment(label.segment)[1]
+            if number < self.last_article and not any(is_article_anchor(a) for a in block["anchors"]):
                 return self._continue(text)  # prose that begins with "Art."
             self.last_article = max(self.last_article, number)
         level = BY_NAME[label.type].level
@@ -125,20 +129,7 @@ def links(provision: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<target: string, text: string>>")
     def found(texts: pd.Series) -> pd.Series:
-        pattern = re.compile(LINK.replace("(?iu)", ""), re.I)
-
-        def each(text: str | None) -> list[dict]:
-            out = []
-            for m in pattern.finditer(text or ""):
-                parts = [f"art{int(m[1].replace('.', ''))}"]
-                if m[2]:
-                    parts.append(f"par{int(m[2])}")
-                if m[3] and (value := roman(m[3])) is not None:
-                    parts.append(f"inc{value}")
-                out.append({"target": "_".join(parts), "text": " ".join(m[0].split())})
-            return out
-
-        return texts.map(each)
+        return texts.map(lambda text: [{"target": target, "text": said} for target, said in references(text or "")])
 
     listed = provision.select("id", "norm_urn", F.posexplode(found("text")).alias("_n", "_l"))
     target = F.concat("norm_urn", F.lit("!"), F.col("_l.target"))
