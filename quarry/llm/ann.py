@@ -4,8 +4,9 @@ On a bounded sample: a graph of nearest neighbours, cut into balanced parts;
 then a small classifier that learns from a vector in which parts its neighbours
 lie.  The classifier puts every row into its most probable part, and routes a
 query to its several most probable ones, where all rows are ranked by their
-exact inner product.  How many parts are probed is set on held-out queries of
-the sample, by their recall against brute force.
+exact inner product.  A query probes parts until their probabilities add up to
+a mass that is set on held-out queries of the sample, by their recall against
+brute force; so a query that the classifier is sure of probes few.
 
 The model alone is fitted on the driver; rows are indexed and searched in
 blocks of bounded size, dealt by part, block of rows and block of queries.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, written
 
-#: Bound of the sample that the index is fitted on.
-SAMPLE_ROWS = 8192
+#: The sample that the index is fitted on: rows at least and at most, rows for each part; and rows of a part that are aimed at.
+SAMPLE_ROWS, MOST_SAMPLE_ROWS, SAMPLE_OF_PART, PART_ROWS = 8192, 65_536, 64, 1500
 BLOCK_ROWS = 4096
 
 
@@ -37,7 +38,7 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int = 1
+    mass: float = 1.0
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0)
@@ -45,20 +46,35 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.hidden(x) @ self.w2 + self.b2
 
-    def ranked(self, x: np.ndarray, k: int) -> np.ndarray:
-        """The k most probable parts of each vector, the best first."""
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :k]
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of each vector, the most probable first, and the probability of all before each."""
+        z = self.scores(x)
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        order = np.argsort(-z, axis=1, kind="stable")
+        own = np.take_along_axis(z, order, 1)
+        return order, np.cumsum(own, axis=1) - own
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) of the most probable part of each vector."""
+        return np.arange(len(x)), self.scores(x).argmax(axis=1)
+
+    def probed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) of all parts that each query probes, one at least."""
+        order, before = self.ranked(x)
+        row, place = np.nonzero(before < max(self.mass, 1e-12))
+        return row, order[row, place]
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the k others of largest inner product."""
     out = np.empty((len(x), k), np.int64)
-    for at in range(0, len(x), 1024):
-        near = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        near = x[at : at + 256] @ x.T
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
         order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-        out[at : at + 1024] = np.take_along_axis(top, order, 1)
+        out[at : at + 256] = np.take_along_axis(top, order, 1)
     return out
 
 
@@ -98,9 +114,10 @@ def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rng: np.random.
     return part
 
 
-def fit_router(x: np.ndarray, wanted: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 40, rate: float = 3e-3) -> Router:
-    """Cross entropy against the share of each part among a vector's neighbours; Adam."""
-    dim, parts = x.shape[1], wanted.shape[1]
+def fit_router(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.Generator, hidden: int = 128, epochs: int = 40, rate: float = 3e-3) -> Router:
+    """Cross entropy against the share of each part among a vector's own and its neighbours' (``near``, own first); Adam."""
+    dim = x.shape[1]
+    weight = np.concatenate(([0.2], np.full(near.shape[1] - 1, 0.8 / max(1, near.shape[1] - 1))))
     p = [rng.normal(0, (2 / dim) ** 0.5, (dim, hidden)), np.zeros(hidden), rng.normal(0, (1 / hidden) ** 0.5, (hidden, parts)), np.zeros(parts)]
     scale = np.sqrt((x**2).mean() + 1e-12)
     first, second, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -112,7 +129,9 @@ def fit_router(x: np.ndarray, wanted: np.ndarray, rng: np.random.Generator, hidd
             h = np.maximum(xb @ p[0] + p[1], 0)
             z = h @ p[2] + p[3]
             z = np.exp(z - z.max(axis=1, keepdims=True))
-            dz = (z / z.sum(axis=1, keepdims=True) - wanted[b]) / len(b)
+            dz = z / z.sum(axis=1, keepdims=True)
+            np.subtract.at(dz, (np.arange(len(b))[:, None], near[b]), weight)
+            dz /= len(b)
             dh = (dz @ p[2].T) * (h > 0)
             step += 1
             for i, g in enumerate((xb.T @ dh, dh.sum(0), h.T @ dz, dz.sum(0))):
@@ -122,26 +141,27 @@ def fit_router(x: np.ndarray, wanted: np.ndarray, rng: np.random.Generator, hidd
     return Router(p[0] / scale, *p[1:])
 
 
-def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.97, seed: int = 11) -> Router:
-    """Router for the sample ``x`` (distinct rows), its number of probes set to reach ``recall``."""
+def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = 0.93, seed: int = 11) -> Router:
+    """Router for the sample ``x`` (distinct rows), the mass it probes set to reach ``recall``."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x) - 1)
     if k < 1 or parts < 2:
         return Router(np.zeros((x.shape[1] if x.ndim == 2 else 1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = neighbour_graph(x, k)
     part = balanced_parts(graph, x, parts, rng)
-    wanted = np.zeros((len(x), parts))
-    np.add.at(wanted, (np.arange(len(x))[:, None], part[graph]), 1)
-    np.add.at(wanted, (np.arange(len(x)), part), k / 4)
-    wanted /= wanted.sum(axis=1, keepdims=True)
+    near = np.concatenate((part[:, None], part[graph]), axis=1)
     held = rng.random(len(x)) < 0.1
-    router = fit_router(x[~held], wanted[~held], rng)
-    at = router.ranked(x, 1)[:, 0]
-    ranked = router.ranked(x[held], parts)
-    place = np.argsort(ranked, axis=1)  # of each part among a query's probes
-    needed = np.take_along_axis(place, at[graph[held]], 1)
-    found = [(needed < m).mean() if held.any() else 1.0 for m in range(1, parts + 1)]
-    router.probes = next((m for m, r in enumerate(found, 1) if r >= recall), parts)
+    epochs = max(10, 40 * 8192 // max(8192, len(x)))
+    router = fit_router(x[~held], near[~held], parts, rng, epochs=epochs)
+    home = router.home(x)[1]
+    needed = []
+    for at in np.array_split(np.flatnonzero(held), -(-int(held.sum()) // 1024) or 1):
+        order, before = router.ranked(x[at])
+        mass = np.empty_like(before)
+        np.put_along_axis(mass, order, before, 1)  # of the parts that come before each
+        needed.append(np.take_along_axis(mass, home[graph[at]], 1).ravel())
+    needed = np.concatenate(needed)
+    router.mass = float(np.quantile(needed, recall, method="higher")) + 1e-9 if len(needed) else 1.0
     return router
 
 
@@ -159,7 +179,7 @@ def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, recall: float = 0.97, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None, recall: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of ``vectors`` found for each of ``queries``.
 
     Nearness is the inner product in double precision, ties go to the smaller
@@ -167,8 +187,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
     or hold null or non-finite components take no part, nor do vectors of
     another dimension than the most frequent one.  Of rows with one vector the
     k + 1 of smallest id are candidates: no other can be among the k nearest.
-    Rows repeated with one id count once.  ``parts`` grows with the rows by
-    default, up to 256.
+    Rows repeated with one id count once, with the least of their vectors.
+    ``parts`` grows with the rows by default, PART_ROWS to each, and the sample
+    with the parts, both up to what MOST_SAMPLE_ROWS allow.  ``recall`` is what
+    the mass is set for; parts and mass are those of the sample, and the share
+    of the rows that is compared follows from how far neighbours lie apart.
     """
     spark = vectors.sparkSession
     base = valid(vectors, id_column, vector_column)
@@ -177,30 +200,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, parts: int | Non
     if sizes is None:
         return spark.createDataFrame([], schema)
     dim = sizes["dim"]
-    parts = parts or 1 << max(3, min(8, round(np.log2(max(1, sizes["n"] / 2000)))))
+    parts = parts or 1 << max(3, min(int(np.log2(MOST_SAMPLE_ROWS / SAMPLE_OF_PART)), round(np.log2(max(1, sizes["n"] / PART_ROWS)))))
     fits = F.size("vector") == dim
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
-    rows = base.where(fits).dropDuplicates(["vec_id"]).withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1).drop("_n")
-    asked = valid(queries, id_column, vector_column).where(fits).dropDuplicates(["vec_id"])
-    sample = bounded_sample(base.where(fits), SAMPLE_ROWS, ["vec_id"], seed).toPandas()
+    single = lambda df: df.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = single(base.where(fits)).withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1).drop("_n")
+    asked = single(valid(queries, id_column, vector_column).where(fits))
+    sample = bounded_sample(base.where(fits), min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, SAMPLE_OF_PART * parts)), ["vec_id"], seed).toPandas()
     x = np.unique(_matrix(sample["vector"], dim), axis=0)
     x = x[np.random.default_rng(seed).permutation(len(x))]
     router = fit(x, parts if len(x) >= 4 * parts else 1, k, recall, seed)
     shared = spark.sparkContext.broadcast(router)  # a few 10,000 numbers
 
-    def route(probes: int):
+    def route(rule: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    part = shared.value.ranked(_matrix(batch["vector"], dim), probes)
-                    at = np.repeat(np.arange(batch.num_rows), part.shape[1])
-                    yield pa.record_batch({"part": pa.array(part.ravel(), pa.int64()), "vec_id": batch["vec_id"].take(pa.array(at)), "vector": batch["vector"].take(pa.array(at))})
+            for batch in (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024)):
+                at, part = getattr(shared.value, rule)(_matrix(batch["vector"], dim))
+                yield pa.record_batch({"part": pa.array(part, pa.int64()), "vec_id": batch["vec_id"].take(pa.array(at)), "vector": batch["vector"].take(pa.array(at))})
 
         return run
 
     routed = "part long, vec_id long, vector array<double>"
-    indexed = written(rows.mapInArrow(route(1), routed), "ann-rows")
-    probing = written(asked.mapInArrow(route(router.probes), routed), "ann-queries")
+    indexed = written(rows.mapInArrow(route("home"), routed), "ann-rows")
+    probing = written(asked.mapInArrow(route("probed"), routed), "ann-queries")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """Rows of each part in blocks by a hash of their id; (part, n): how many blocks."""

@@ -62,3 +62,31 @@ def test_parts_are_balanced():
     graph = ann.neighbour_graph(x, 10)
     part = ann.balanced_parts(graph, x, 8, np.random.default_rng(0))
     assert np.bincount(part, minlength=8).max() <= 1.1 * len(x) / 8 + 1
+
+
+def test_recall_and_share_probed_on_embeddings(spark):
+    data = "/root/testdata/sf0.1/embeddings.parquet"
+    frame = spark.read.parquet(data).select("vec_id", "embedding")
+    rows = frame.orderBy("vec_id").toPandas()
+    x, ids = np.stack(rows["embedding"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
+    queries = np.flatnonzero(ids % 20 == 0)
+    got = ann.search(frame, frame.where("vec_id % 20 = 0"), k=20).toPandas().groupby("query_id")["vec_id"].apply(set)
+    found = 0
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        found += len(got[ids[q]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert found / (20 * len(queries)) >= 0.9
+    router = ann.fit(np.unique(x, axis=0)[np.random.default_rng(1).permutation(len(np.unique(x, axis=0)))], 8)
+    home = np.bincount(router.home(x)[1], minlength=8)
+    row, part = router.probed(x[queries])
+    share = home[part].sum() / (len(x) * len(queries))
+    print("share of the rows compared", share)
+    assert share < 0.9
+
+
+def test_repeated_ids_keep_the_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.7, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(frame, frame.where("vec_id = 0"), k=2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 0.7), (1, 0.5)]
