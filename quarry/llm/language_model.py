@@ -115,8 +115,8 @@ def start_model(counts: np.ndarray, seed: int = 13) -> Model:
     return Model(small(CLASSES + 1, DIM), small(CLASSES, DIM), bias, np.ones((CONTEXT, DIM), np.float32))
 
 
-def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The two classes before each token; ``sizes`` are the tokens of each text."""
+def contexts(classes: np.ndarray, sizes: np.ndarray, before: list[np.ndarray] | None = None) -> np.ndarray:
+    """The two classes before each token; ``sizes`` are the tokens of each text, ``before`` the classes that a later section of a text follows."""
     start = np.cumsum(sizes) - sizes
     out = np.full((len(classes), CONTEXT), BEGIN, np.int32)
     out[1:, 0] = classes[:-1]
@@ -125,6 +125,11 @@ def contexts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out[start, 1] = BEGIN
     second = start[sizes > 1] + 1
     out[second, 1] = BEGIN
+    for at, n, own in zip(start.tolist(), sizes.tolist(), before or [], strict=False):
+        if len(own):
+            out[at, 0] = own[-1]
+            out[at + 1 : at + min(n, 2), 1] = own[-1]
+            out[at, 1] = own[-2] if len(own) > 1 else BEGIN
     return out
 
 
@@ -162,8 +167,8 @@ class Trainer:
         self.seen_m += d_mix**2
         m.mix -= self.rate * 0.1 * d_mix / np.sqrt(self.seen_m)
 
-    def run(self, classes: np.ndarray, sizes: np.ndarray) -> None:
-        context = contexts(classes, sizes)
+    def run(self, classes: np.ndarray, sizes: np.ndarray, before: list[np.ndarray] | None = None) -> None:
+        context = contexts(classes, sizes, before)
         order = self.rng.permutation(-(-len(classes) // STEP))
         for k in order:
             self.step(context[k * STEP : (k + 1) * STEP], classes[k * STEP : (k + 1) * STEP])
@@ -174,14 +179,14 @@ class Trainer:
 
 def _write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of bounded size: the texts of some documents, longer ones cut after a word."""
-    schema = {"part": pa.string(), "row": pa.list_(pa.int64()), "doc_id": pa.list_(pa.int64()), "train": pa.list_(pa.bool_()), "last": pa.list_(pa.bool_()), "texts": pa.binary()}
+    schema = {"part": pa.string(), "row": pa.list_(pa.int64()), "doc_id": pa.list_(pa.int64()), "train": pa.list_(pa.bool_()), "last": pa.list_(pa.bool_()), "before": pa.list_(pa.binary()), "texts": pa.binary()}
     import uuid
 
     own: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        cols = [[x] for x in zip(*((r, i, t, e) for r, i, t, e, _ in own), strict=True)]
+        cols = [[x] for x in zip(*((r, i, t, e, b) for r, i, t, e, b, _ in own), strict=True)]
         data = [[uuid.uuid4().hex], *[[list(c[0])] for c in cols], [_pack(b"\0\n".join(x for *_, x in own))]]
         return pa.record_batch({c: pa.array(v, k) for (c, k), v in zip(schema.items(), data, strict=True)})
 
@@ -189,15 +194,16 @@ def _write_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
             for row, doc_id, train, text in zip(piece["row"].to_pylist(), piece["doc_id"].to_pylist(), piece["train"].to_pylist(), text_bytes(piece["text"]), strict=True):
-                words = b" ".join(text.lower().split())
+                words, before = b" ".join(text.lower().split()), b""
                 while True:
                     cut = words.find(b" ", PART) if len(words) > PART else -1
                     now, words = (words, b"") if cut < 0 else (words[:cut], words[cut + 1 :])
                     if own and size + len(now) > PART:
                         yield flush()
                         own, size = [], 0
-                    own.append((row, doc_id, train, cut < 0, now))
+                    own.append((row, doc_id, train, cut < 0, before, now))
                     size += len(now) + 16
+                    before = b" ".join(now.rsplit(b" ", CONTEXT)[-CONTEXT:])
                     if cut < 0:
                         break
     if own:
@@ -320,14 +326,15 @@ def _train(shared, seed: int):
         trainer, tokens = None, 0
         for batch in batches:
             for row, texts in _parts_of(batch):
-                mine = [t for t, train in zip(texts, row["train"], strict=True) if train and t]
+                kept = [i for i, train in enumerate(row["train"]) if train and texts[i]]
+                mine = [texts[i] for i in kept]
                 if not mine:
                     continue
                 if trainer is None:
                     noise = (known.counts + 1.0) / (known.counts + 1.0).sum()
                     trainer = Trainer(Model.unflat(model.flat()), noise, seed)
                 classes = known.classes([w for t in mine for w in t])
-                trainer.run(classes, np.array([len(t) for t in mine]))
+                trainer.run(classes, np.array([len(t) for t in mine]), [known.classes(row["before"][i].split()) for i in kept])
                 tokens += len(classes)
         if tokens:
             blocks = np.array_split(trainer.model.flat(), BLOCKS)
@@ -370,7 +377,7 @@ def _score(shared, buckets: int):
                 sizes = np.array([len(t) for t in texts])
                 filled = np.flatnonzero(sizes)
                 classes = known.classes(words)
-                log = log_prob(contexts(classes, sizes[filled]), classes) / np.log(10)
+                log = log_prob(contexts(classes, sizes[filled], [known.classes(row["before"][i].split()) for i in filled]), classes) / np.log(10)
                 rare = classes >= FREQUENT
                 log[rare] += np.log10(c[rare] + 1.0) - shared_norm[classes[rare] - FREQUENT]
                 start = (np.cumsum(sizes) - sizes)[filled]
@@ -404,22 +411,24 @@ def perplexity(docs: DataFrame, learn: Column, text: str = "text", id_column: st
     both learn from the rows for which ``learn`` holds.  Null texts count as
     empty: they have the end alone.  Rows are told apart by a number of their
     own, so repeated or null ids do no harm; an empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read.  The counts depend on the rows alone;
+    the neural model also on which parts of the corpus a task trains on, so
+    another split of the input changes ``score`` a little.
     """
     spark = docs.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    parts = written(rows.mapInArrow(_write_parts, "part string, row array<long>, doc_id array<long>, train array<boolean>, last array<boolean>, texts binary"), "lm-parts")
+    parts = written(rows.mapInArrow(_write_parts, "part string, row array<long>, doc_id array<long>, train array<boolean>, last array<boolean>, before array<binary>, texts binary"), "lm-parts")
     words = parts.select("part", "train", "last", "texts").mapInArrow(_count_words(buckets), "part string, bucket int, words binary, counts binary")
     dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     sums = written(dealt.mapInArrow(_sum_words, "part string, bucket int, counts binary, tokens array<long>, types array<long>, top array<struct<word: binary, n: long>>"), "lm-counts")
     known = vocabulary(sums)
     first = spark.sparkContext.broadcast((start_model(known.counts, seed), known))  # bounded by CLASSES x DIM
-    copies = parts.select("train", "last", "texts").mapInArrow(_train(first, seed), "block int, tokens long, values array<float>")
+    copies = parts.select("train", "last", "before", "texts").mapInArrow(_train(first, seed), "block int, tokens long, values array<float>")
     blocks = copies.repartition(BLOCKS, "block").mapInArrow(_average, "block int, tokens long, values array<float>").orderBy("block").collect()  # BLOCKS rows
     model = Model.unflat(np.concatenate([np.array(b["values"], np.float32) for b in blocks])) if blocks else first.value[0]
     fitted = spark.sparkContext.broadcast((model, known))
     back = sums.where("part IS NOT NULL").groupBy("part").agg(F.collect_list(F.struct("bucket", "counts")).alias("sums"))
-    scored = parts.join(back, "part").select("row", "doc_id", "train", "last", "texts", "sums").mapInArrow(_score(fitted, buckets), "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = parts.join(back, "part").select("row", "doc_id", "train", "last", "before", "texts", "sums").mapInArrow(_score(fitted, buckets), "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select("doc_id", "train", "n_tokens", "n_known", F.lit(known.total_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -110,6 +110,24 @@ def test_class_probabilities_add_up():
     assert np.exp(model.log_prob(context, np.arange(language_model.CLASSES))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_normalised_scores_against_a_direct_softmax():
+    rng = np.random.default_rng(4)
+    model = language_model.start_model(rng.integers(0, 500, language_model.CLASSES))
+    model.vectors, model.out, model.mix = (rng.normal(size=a.shape).astype(np.float32) for a in (model.vectors, model.out, model.mix))
+    context, target = rng.integers(0, language_model.CLASSES + 1, (200, 2)), rng.integers(0, language_model.CLASSES, 200)
+    z = sum(model.vectors[context[:, j]] * model.mix[j] for j in range(2)).astype(float) @ model.out.T.astype(float) + model.bias
+    direct = z[np.arange(200), target] - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - z.max(axis=1)
+    assert np.allclose(language_model.Normalised(model)(context, target), direct, atol=1e-4)
+
+
+def test_sections_of_a_long_text_go_on_where_the_last_one_ended():
+    words = rnd.choices(range(50), k=300)
+    whole = language_model.contexts(np.array(words, np.int32), np.array([300]))
+    cut = [0, 1, 2, 120, 300]
+    before = [np.array(words[max(0, a - 2) : a], np.int32) for a in cut[:-1]]
+    assert np.array_equal(language_model.contexts(np.array(words, np.int32), np.diff(cut), before), whole)
+
+
 def test_model_learns_what_follows_what():
     classes = np.tile(np.array([0, 1, 2, 3], np.int32), 20_000)
     counts = np.bincount(classes, minlength=language_model.CLASSES)
