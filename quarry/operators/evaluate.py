@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import without_versions
+
 #: Cut-offs, characters per token, least output tokens, price factor of cached input.
 KS, CHARS_PER_TOKEN, MIN_OUTPUT, CACHED = (5, 10, 20), 3.0, 500, 0.1
 
@@ -19,11 +21,53 @@ def hits(expected: DataFrame, rankings: DataFrame) -> DataFrame:
 
 
 def recall_and_mrr(found: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """(item, recall_k..., mrr): k counts passages; an item without expectations has no row here."""
+    """(item, recall_k..., mrr): k counts passages; items without expectations are added by ``with_nothing_expected``."""
     share = [F.round(F.avg((F.coalesce("position", F.lit(1 << 30)) <= k).cast("double")), 6).alias(f"recall_{k}") for k in ks]
     return found.groupBy("item").agg(*share, F.round(F.coalesce(1.0 / F.min("position"), F.lit(0.0)), 6).alias("mrr"))
 
 
+def with_nothing_expected(measured: DataFrame, items: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """Measures of all ``items``: one that expects nothing has found all of it (1.0)."""
+    names = [*[f"recall_{k}" for k in ks], "mrr"]
+    return items.select("item").distinct().join(measured, "item", "left").select("item", *[F.coalesce(n, F.lit(1.0)).alias(n) for n in names])
+
+
+def citation_accuracy(cited: DataFrame, expected: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, cited, right, accuracy): the share of an item's distinct citations that lie within what it expects; null without any.
+
+    cited: item, cited; expected: item, expected.  Wordings do not matter.  A
+    citation lies within an expected provision if that is one of the ids that
+    stand above it, so this is a join on ids, of which each has a few above it.
+    """
+    own = cited.select("item", without_versions(F.col("cited")).alias("cited")).where("cited IS NOT NULL").distinct()
+    parts = F.split("cited", "_")
+    above = own.select("item", "cited", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("expected"))
+    right = above.join(expected.select("item", without_versions(F.col("expected")).alias("expected")).distinct(), ["item", "expected"], "left_semi").select("item", "cited").distinct()
+    counts = lambda df, name: df.groupBy("item").agg(F.count(F.lit(1)).alias(name))
+    both = items.select("item").distinct().join(counts(own, "cited"), "item", "left").join(counts(right, "right"), "item", "left").na.fill(0, ["cited", "right"])
+    return both.withColumn("accuracy", F.round(F.col("right") / F.nullif(F.col("cited"), F.lit(0)), 6))
+
+
+def abstention(items: DataFrame, group: list[str] = []) -> DataFrame:  # noqa: B006
+    """How answers abstain (abstained boolean) where they should (should boolean): rates by ``group``, null where nothing counts."""
+    rate = lambda among, c: F.round(F.avg(F.when(among, c.cast("double"))), 6)
+    should, did = F.col("should"), F.col("abstained")
+    return items.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("items"), F.sum(should.cast("long")).alias("unanswerable"), rate(should, did).alias("abstained_rightly"), rate(~should, did).alias("abstained_wrongly"), F.round(F.avg((should == did).cast("double")), 6).alias("agreement")
+    )
+
+
+def differences(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., kind): what both have, what is missing and what was not expected; each key once."""
+    both = expected.select(*keys, F.lit(1).alias("_e")).unionByName(found.select(*keys, F.lit(2).alias("_e"))).groupBy(*keys).agg(F.sum_distinct(F.col("_e")).alias("_s"))
+    return both.select(*keys, F.element_at(F.array(F.lit("missing"), F.lit("unexpected"), F.lit("both")), F.col("_s").cast("int")).alias("kind"))
+
+
+def models_used(calls: DataFrame) -> DataFrame:
+    """The distinct models of some calls, in order, as one list."""
+    return calls.agg(F.array_sort(F.collect_set("model")).alias("models"))
+
+
 def missing(found: DataFrame, k: int) -> DataFrame:
     return found.where(F.coalesce("position", F.lit(1 << 30)) > k).select("item", "expected")
 
@@ -37,9 +81,11 @@ def report(items: DataFrame, group: str, measures: list[str]) -> DataFrame:
 
 def price(prices: DataFrame, calls: DataFrame) -> DataFrame:
     """Each call with the price row of the longest prefix of its model; null if there is none."""
-    both = calls.join(F.broadcast(prices), F.startswith(calls["model"], prices["prefix"]), "left")
-    best = both.groupBy(*[calls[c] for c in calls.columns]).agg(F.max_by(F.struct(prices["input"], prices["output"]), F.length(prices["prefix"])).alias("_p"))
-    return best.select(*calls.columns, F.col("_p.input").alias("input_price"), F.col("_p.output").alias("output_price"))
+    # prefixes of the few distinct models are matched by equality, not each model against each prefix
+    models = calls.select("model").distinct()
+    parts = models.select("model", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("model"), F.lit(1))), lambda n: F.substring(F.col("model"), F.lit(1), n))).alias("prefix"))
+    best = parts.join(prices, "prefix").groupBy(F.col("model").alias("_m")).agg(F.max_by(F.struct("input", "output"), F.length("prefix")).alias("_p"))
+    return calls.join(best, F.col("model") == F.col("_m"), "left").select(*calls.columns, F.col("_p.input").alias("input_price"), F.col("_p.output").alias("output_price"))
 
 
 def cost(tokens_in: Column, tokens_cached: Column, tokens_out: Column, input_price: Column, output_price: Column) -> Column:
@@ -56,6 +102,11 @@ def estimated_tokens(characters: Column) -> Column:
     return F.floor(characters / CHARS_PER_TOKEN).cast("long")
 
 
+def estimated_output(characters: Column) -> Column:
+    """Tokens that an answer is reckoned to take: those of its text, a fixed number at least."""
+    return F.greatest(estimated_tokens(characters), F.lit(MIN_OUTPUT).cast("long"))
+
+
 def validate_gold(gold: DataFrame, provisions: DataFrame) -> DataFrame:
     """(id, fault, expected) of items that contradict themselves or the corpus.
 

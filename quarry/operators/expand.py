@@ -79,27 +79,31 @@ def expand(hits: DataFrame, nodes: DataFrame, at: Column, level: str = "article"
     """(query_id, rank, target_path, text, provisions, score, fusion_score, rerank_score): passages of all queries.
 
     hits: query_id, norm_urn, path, rank, score, rerank_score.  A target is
-    kept even if it is no longer in force; what lies below it is filtered.
-    Groups come in the order of their best hit.
+    kept even if it is no longer in force; what lies below it is filtered, by
+    ``at`` or, if the hits have a column date, by that of their query.  Groups
+    come in the order of their best hit.
     """
+    dated = "date" in hits.columns
     placed = document_order(nodes, ["norm_urn"])
     targets = with_targets(nodes, level).select("norm_urn", "path", "target_path")
     found = hits.join(targets, ["norm_urn", "path"])
-    groups = found.groupBy("query_id", "norm_urn", "target_path").agg(
+    groups = found.groupBy("query_id", "norm_urn", "target_path", *(["date"] if dated else [])).agg(
         F.min("rank").alias("_best"), F.max("score").alias("fusion_score"), F.max("rerank_score").alias("rerank_score"), F.collect_set("path").alias("_hits")
     )
     wanted = groups.select("norm_urn", F.col("target_path").alias("path")).distinct()
     if level == "none":
         members = wanted.select("norm_urn", F.col("path").alias("root"), "path")
     else:
-        members = subtree(nodes, wanted, in_force(at), ["norm_urn"]).unionByName(wanted.select("norm_urn", F.col("path").alias("root"), "path"))
+        members = subtree(nodes, wanted, None if dated else in_force(at), ["norm_urn"]).unionByName(wanted.select("norm_urn", F.col("path").alias("root"), "path"))
     rows = members.join(placed, ["norm_urn", "path"]).where(has_content(F.col("text")) | (F.col("path") == F.col("root")))
     lines = groups.join(rows.withColumnRenamed("root", "target_path"), ["norm_urn", "target_path"])
+    if dated:
+        lines = lines.where(in_force(F.col("date")) | (F.col("path") == F.col("target_path")))
     lines = lines.withColumn("line", line_of(F.col("type"), F.col("label"), F.col("text")))
     reserved = (F.col("path") == F.col("target_path")) | F.array_contains("_hits", F.col("path"))
     group = ["query_id", "norm_urn", "target_path"]
     marked = with_marks(budget(lines, group, ["doc_key"], F.length("line") + 1, reserved, limit), group, ["doc_key"])
     texts = passages(marked, group, ["doc_key"], ids="id")
     by_query = Window.partitionBy("query_id").orderBy("_best", "norm_urn", "target_path")
-    out = texts.join(groups.drop("_hits"), group).withColumn("rank", F.row_number().over(by_query))
+    out = texts.join(groups.drop("_hits", "date"), group).withColumn("rank", F.row_number().over(by_query))
     return out.withColumn("score", F.coalesce("rerank_score", "fusion_score")).drop("_best")

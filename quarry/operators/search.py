@@ -18,16 +18,49 @@ K1, B, AVERAGE = 1.2, 0.75, 256.0
 BLOCK = 4096
 
 
-def postings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: Callable[[Column], Column] = tokens) -> DataFrame:
-    """(id, term, tf, length): a row for each distinct term of a document."""
+#: Rows of a table that is sent to all tasks; a larger one is shuffled.
+SENT_ROWS = 500_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to be small; else as it is."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def stems(stop: frozenset[str] = frozenset(), endings: str = "(?:amente|mente|ações|ação|ões|ães|ais|éis|eis|is|es|os|as|s|o|a|e)$") -> Callable[[Column], Column]:
+    """Words without ``stop`` words, and without an ending where four letters or more are left: a light stemmer for Portuguese, in the JVM."""
+    return lambda text: F.transform(F.filter(tokens(text), lambda w: ~w.isin(*stop) if stop else F.lit(True)), lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(?<=....)" + endings, "")).otherwise(w))
+
+
+def asked_terms(queries: DataFrame, words: Callable[[Column], Column] = tokens, *columns: str) -> DataFrame:
+    """(query_id, columns..., term): the distinct terms of each query."""
+    return queries.select("query_id", *columns, F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+
+
+def postings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: Callable[[Column], Column] = tokens, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): a row for each distinct term of a document; of ``terms`` alone, if given.
+
+    Terms that no query has are left out before anything is grouped; ``length``
+    counts all words.
+    """
     listed = docs.select(F.col(id_column).alias("id"), words(F.col(text)).alias("_w")).select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
+    if terms is not None:
+        listed = listed.join(sent(terms.select("term").distinct()), "term", "left_semi").select("id", "length", "term")
     return listed.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
 
 
 def idf(posts: DataFrame, documents: int | Column) -> DataFrame:
     """(term, df, idf) over the whole collection."""
     n = F.lit(documents) if isinstance(documents, int) else documents
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    # all columns are named, so that this reads the rows of the postings that their weights read, and they are made once
+    return posts.groupBy("term").agg(F.count(F.when((F.col("tf") > 0) & (F.col("length") > 0), 1)).alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+
+
+def weighed(posts: DataFrame, documents: int, asked: DataFrame, k1: float = K1, b: float = B, average: float = AVERAGE) -> DataFrame:
+    """(term, id, w): the weight of each posting of the terms that are asked for."""
+    rare = idf(posts, documents).join(asked.select("term").distinct(), "term", "left_semi")
+    w = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
+    return posts.join(rare, "term").select("term", "id", w.alias("w"))
 
 
 def bm25(queries: DataFrame, posts: DataFrame, documents: int, k: int = LEG, k1: float = K1, b: float = B, average: float = AVERAGE, allowed: Column | None = None, words: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -35,10 +68,11 @@ def bm25(queries: DataFrame, posts: DataFrame, documents: int, k: int = LEG, k1:
 
     Each distinct query term counts once.  Weights come from the whole
     collection; ``allowed`` (on query_id and id) filters before the ranking.
+    ``posts`` may be those of the queries' terms alone.
     """
-    weights = posts.join(idf(posts, documents), "term").select("term", "id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))).alias("w"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    hits = asked.join(weights, "term")
+    asked = asked_terms(queries, words)
+    weights = weighed(posts, documents, asked, k1, b, average)
+    hits = weights.join(sent(asked), "term")
     if allowed is not None:
         hits = hits.where(allowed)
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
@@ -52,15 +86,18 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = LEG, allowed: Column
     blocks by a hash, and every pair of blocks is one product of matrices with
     its own k best; only those are ranked together.  ``allowed`` is a condition
     on columns group of both sides, compared for equality inside the blocks if
-    both have a column of that name.  ``same_id`` keeps a query's own id.
+    both have a column of that name, and a query's day is held against the
+    days [from_day, to_day) of a row if both have them, before anything is cut.
+    ``same_id`` keeps a query's own id.
     """
     grouped = "group" in queries.columns and "group" in vectors.columns
+    dated = "day" in queries.columns and {"from_day", "to_day"} <= set(vectors.columns)
     extra = ["group"] if grouped else []
     rows, asks = (max(1, -(-df.count() // BLOCK)) for df in (vectors, queries))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(spread("id", rows).cast("int").alias("rb"), each(asks).alias("qb"), "id", "vector", *extra)
-    right = queries.select(each(rows).alias("rb"), spread("query_id", asks).cast("int").alias("qb"), "query_id", "vector", *extra)
+    left = vectors.select(spread("id", rows).cast("int").alias("rb"), each(asks).alias("qb"), "id", "vector", *extra, *(["from_day", "to_day"] if dated else []))
+    right = queries.select(each(rows).alias("rb"), spread("query_id", asks).cast("int").alias("qb"), "query_id", "vector", *extra, *(["day"] if dated else []))
 
     def compare(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id", kind="stable")
@@ -73,6 +110,9 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = LEG, allowed: Column
                 near = np.round(q[at : at + 256] @ m.T, 6)
                 if grouped:
                     near[ask["group"].to_numpy()[at : at + 256, None] != own["group"].to_numpy()[None]] = -np.inf
+                if dated:
+                    day = ask["day"].to_numpy()[at : at + 256, None]
+                    near[(day < own["from_day"].to_numpy()[None]) | (day >= own["to_day"].to_numpy()[None])] = -np.inf
                 if not same_id:
                     near[asked[at : at + 256, None] == ids[None]] = -np.inf
                 best = np.argsort(-near, axis=1, kind="stable")[:, :k]
@@ -103,6 +143,11 @@ def rerank(candidates: DataFrame, score: Column, k: int = FINAL * 2) -> DataFram
     return top_k(scored, ["query_id"], [F.desc(F.coalesce("rerank_score", F.lit(0.0))), F.asc("fusion_rank")], k)
 
 
+def rerank_text(label: Column, text: Column) -> Column:
+    """What a reranker reads: the full label, then the text."""
+    return F.concat_ws("\n", label, text)
+
+
 def overlap_score(question: Column, passage: Column) -> Column:
     """Share of the question's distinct words that a passage has: a scorer that needs no model."""
     asked = F.array_distinct(tokens(question))
@@ -142,7 +187,7 @@ def hashed_encoder(dimension: int = 64):
 
 def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, documents: int, leg: int = LEG, fused: int = FUSED, posts: DataFrame | None = None) -> DataFrame:
     """Both legs over the same documents, then fusion.  queries: query_id, text, vector; docs: doc_id, text; vectors: id, vector."""
-    posts = postings(docs) if posts is None else posts
+    posts = postings(docs, terms=asked_terms(queries)) if posts is None else posts
     sparse = bm25(queries, posts, documents, leg)
     dense = cosine(queries.select("query_id", "vector"), vectors, leg)
     return fuse([dense, sparse], fused)

@@ -16,9 +16,9 @@ def in_force(at: Column, start: str | Column = "valid_from", end: str | Column =
     return begun if include_revoked else begun & (end.isNull() | (end > at))
 
 
-def search_filter(at: Column, norms: list[str] | None = None, types: list[str] | None = None, include_revoked: bool = False) -> Column:
-    """Predicate of a search leg: in force, and of the wanted norms and types."""
-    wanted = in_force(at, include_revoked=include_revoked)
+def search_filter(at: Column | None, norms: list[str] | None = None, types: list[str] | None = None, include_revoked: bool = False) -> Column:
+    """Predicate of a search leg: in force (at any time, without ``at``), and of the wanted norms and types."""
+    wanted = F.lit(True) if at is None else in_force(at, include_revoked=include_revoked)
     if norms:
         wanted = wanted & F.col("norm_urn").isin(*norms)
     if types:

@@ -10,11 +10,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import cite, expand, search
-from quarry.operators.temporal import search_filter
+from quarry.functions.text import day_number, day_or_far
+from quarry.operators.temporal import in_force, search_filter
 
 #: Limits of a request, and what is said without any candidate.
 MAX_TOKENS, PROMPT_VERSION = 8192, "v1"
@@ -82,30 +83,48 @@ def system_prompt(date: str, native: bool) -> str:
     return "\n".join(rules if native else [*rules, "Depois de cada afirmação, indique o trecho como [D1]."])
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, date, settings: Settings = Settings(), norms: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
-    """Passages of questions (query_id, text, vector) that share a reference date.
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, date: Column | None = None, settings: Settings = Settings(), norms: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """Passages of questions (query_id, text, vector) at one reference date, or each at its own (a column date).
 
     chunks: chunk_no, provision_id, norm_urn, path, type, text, valid_from, revoked_on; vectors: chunk_no, vector.
     The filter on time, norms and types comes before each leg is cut.
     """
+    asked_at = questions if date is None else questions.withColumn("date", date)
     live = chunks.where(search_filter(date, norms, types))
-    whole = search.postings(chunks, "text", "chunk_no")
-    posts, idf = whole.join(live.select(F.col("chunk_no").alias("id")), "id", "left_semi"), search.idf(whole, chunks.count())
-    asked = questions.select("query_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    w = F.col("idf") * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("length") / search.AVERAGE))
-    scored = asked.join(posts, "term").join(idf, "term").groupBy("query_id", "id").agg(F.round(F.sum(w), 6).alias("score"))
+    asked = search.asked_terms(asked_at, search.tokens, "date")
+    posts = search.postings(chunks, "text", "chunk_no", terms=asked)
+    window = live.select(F.col("chunk_no").alias("id"), "valid_from", "revoked_on")
+    # weights count all chunks, ranks those alone that were in force on the question's day
+    hits = search.weighed(posts, chunks.count(), asked).join(window, "id").join(search.sent(asked), "term").where(in_force(F.col("date")))
+    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     sparse = search.top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], settings.leg_k)
-    held = vectors.join(live.select("chunk_no"), "chunk_no", "left_semi").select(F.col("chunk_no").alias("id"), "vector")
-    dense = search.cosine(questions.select("query_id", "vector"), held, settings.leg_k)
+    first = F.coalesce(day_number(F.col("valid_from")), F.lit(0)).alias("from_day")
+    held = vectors.join(live.select("chunk_no", first, day_or_far(F.col("revoked_on")).alias("to_day")), "chunk_no").select(F.col("chunk_no").alias("id"), "vector", "from_day", "to_day")
+    dense = search.cosine(asked_at.select("query_id", "vector", day_number(F.col("date")).alias("day")), held, settings.leg_k)
     fused = search.fuse([dense, sparse], settings.search_k)
     hydrated = fused.join(chunks.select(F.col("chunk_no").alias("id"), "norm_urn", "path", F.col("text").alias("passage")), "id")
-    ask = questions.select("query_id", F.col("text").alias("question"))
+    ask = asked_at.select("query_id", "date", F.col("text").alias("question"))
     score = search.overlap_score(F.col("question"), F.col("passage")) if settings.rerank else F.lit(None)
     ranked = search.rerank(hydrated.join(ask, "query_id"), score, settings.final_k * 2)
-    out = expand.expand(ranked.select("query_id", "norm_urn", "path", "rank", "score", "rerank_score"), nodes, date, settings.level, settings.max_chars)
+    out = expand.expand(ranked.select("query_id", "date", "norm_urn", "path", "rank", "score", "rerank_score"), nodes, F.col("date"), settings.level, settings.max_chars)
     return out.where(F.col("rank") <= settings.final_k)
 
 
+def unanswered(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests, each once, whose answer is not stored."""
+    return requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]).join(cache.select("request_sha"), "request_sha", "left_anti")
+
+
+def cited(answers: DataFrame, passages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(query_id, span_id, id, quoted): the provisions that the quotations of answers come from.
+
+    passages: query_id, rank, text; lines: query_id, ref, id, start, end.
+    """
+    quotes = answers.select("query_id", F.posexplode("quotes").alias("span_id", "q")).select("query_id", "span_id", "q.ref", "q.quoted", "q.from", "q.to")
+    known = passages.select("query_id", F.concat(F.lit("D"), F.col("rank").cast("string")).alias("ref"), "text")
+    return cite.resolve(quotes, known, lines)
+
+
 def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: str, cache: DataFrame | None = None) -> DataFrame:
     """(query_id, request_sha, answer, abstention, quotes): one row for each question.
 
@@ -129,10 +148,8 @@ def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: st
             yield pd.DataFrame({"request_sha": batch["request_sha"], "answer": [a for a, _ in made], "quotes": [q for _, q in made]})
 
     requests = asked.mapInPandas(keyed, "query_id long, question string, documents array<struct<ref: string, text: string>>, request_sha string")
-    payable = requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"])
     stored = cache.select("request_sha", "answer", "quotes") if cache is not None else None
-    if stored is not None:
-        payable = payable.join(stored, "request_sha", "left_anti")
+    payable = requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]) if stored is None else unanswered(requests, stored)
     made = payable.mapInPandas(sent, kind)
     known = made if stored is None else made.unionByName(stored)
     both = requests.join(known, "request_sha", "left")

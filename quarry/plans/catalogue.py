@@ -143,8 +143,12 @@ UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey, n_regionkey, 1, n_na
 UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/c' || c_custkey, n_regionkey, 1, n_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def q_doc_order(spark, sf_dir):
     """Reading order: ranges of the key give the partitions, counts of earlier ones the start of each."""
+    from quarry.sources.store import Store
+
     placed = tree.document_order(_tree(spark, sf_dir)).repartitionByRange("doc_key").sortWithinPartitions("doc_key")
-    numbered = placed.select("path", "doc_key", F.spark_partition_id().alias("_p"))
+    store = Store.scratch(spark)  # ranges are written once: both readers below see the same
+    store.rewrite("order", placed.select("path", "doc_key", F.spark_partition_id().alias("_p")))
+    numbered = store.read("order")
     inner = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("doc_key")))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
     starts = numbered.groupBy("_p").count().withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_p", "_from")
@@ -230,9 +234,10 @@ def q_sha_keys(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+@query(f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT doc_id, lower(sha1(unhex('{X.POINT_NAMESPACE.replace("-", "")}') || encode('doc:' || doc_id))) AS h FROM documents)""")
 def q_uuid5(spark, sf_dir):
-    """Point ids; compared with Python's uuid5 in the tests."""
+    """Point ids; compared with Python's uuid5 in the tests too."""
     return t(spark, sf_dir, "documents").select("doc_id", X.uuid5(F.concat(F.lit("doc:"), "doc_id")).alias("point_id"))
 
 
@@ -291,7 +296,7 @@ scored AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75
 SELECT query_id, id AS doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 10""")
 def q_bm25_topk(spark, sf_dir):
     docs, asked = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25(asked, search.postings(docs), docs.count(), k=10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return search.bm25(asked, search.postings(docs, terms=search.asked_terms(asked)), docs.count(), k=10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 _COSINE = """dense AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
@@ -329,16 +334,14 @@ def _legs(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
     docs, vectors = t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _vectors(spark, sf_dir)
     asked = _asked(vectors.withColumnRenamed("label", "group"))
     texts = docs.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), "text", F.col("lang").alias("ql"))
-    posts, n = search.postings(docs), docs.count()
+    posts, n = search.postings(docs, terms=search.asked_terms(texts)), docs.count()
     if not filtered:
         return search.fuse([search.cosine(asked.drop("group"), vectors.drop("label"), search.LEG), search.bm25(texts.drop("ql"), posts, n)])
     dense = search.cosine(asked, vectors.withColumnRenamed("label", "group"), search.LEG)
     # one leg for each language: the filter comes before the cut
-    tagged = posts.join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
-    weights = tagged.join(search.idf(posts, n), "term")
-    terms = texts.select("query_id", F.col("ql").alias("lang"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    w = F.col("idf") * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("length") / search.AVERAGE))
-    scored = terms.join(weights, ["term", "lang"]).groupBy("query_id", "id").agg(F.round(F.sum(w), 6).alias("score"))
+    terms = search.asked_terms(texts.withColumnRenamed("ql", "lang"), X.tokens, "lang")
+    tagged = search.weighed(posts, n, terms).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
+    scored = tagged.join(search.sent(terms), ["term", "lang"]).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return search.fuse([dense, ordered.top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], search.LEG)])
 
 
@@ -500,6 +503,150 @@ def q_cost_null_poison(spark, sf_dir):
     return priced.groupBy(F.col("model").alias("source")).agg(F.sum("tokens").alias("tokens"), F.round(evaluate.total_or_null(evaluate.cost(F.col("tokens"), zero, zero, F.col("input_price"), F.col("output_price"))), 9).alias("cost"))
 
 
+# ---- labels, references and ids over texts that are put together from the tables
+
+_ART = "'Art. ' || CASE WHEN l_orderkey > 999 THEN format('{:,}', l_orderkey) ELSE CAST(l_orderkey AS VARCHAR) END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, 'paragrafo' AS type, 'par' || l_linenumber || 'a' AS segment, '§ ' || l_linenumber || 'º-A' AS label, l_returnflag AS rest FROM lineitem WHERE l_linenumber % 3 = 0
+UNION ALL SELECT l_orderkey, l_linenumber, 'artigo', 'art' || l_orderkey, replace({_ART}, ',', '.') || CASE WHEN l_orderkey < 10 THEN 'º' ELSE '' END, l_returnflag FROM lineitem WHERE l_linenumber % 3 = 1
+UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, NULL, NULL FROM lineitem WHERE l_linenumber % 3 = 2""")
+def q_labels_of_blocks(spark, sf_dir):
+    """Every line item as a block: paragraphs, articles, and prose that mentions one."""
+    from quarry.functions.labels import classified
+
+    n, key = F.col("l_linenumber").cast("string"), F.col("l_orderkey").cast("string")
+    block = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("§ "), n, F.lit("º-A. "), "l_returnflag")).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("Art. "), X.dotted(F.col("l_orderkey")), F.lit(".  "), "l_returnflag")).otherwise(F.concat(F.lit("na forma do art. "), key))
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", classified(block).alias("l"))
+    return rows.select("l_orderkey", "l_linenumber", "l.type", "l.segment", "l.label", F.col("l.text").alias("rest"))
+
+
+@query("""SELECT 'o' || l_orderkey || '_' || l_linenumber AS origin_id, 'n!art' || l_orderkey || '_par' || l_linenumber AS target_urn, 'art. ' || l_orderkey || ', § ' || l_linenumber AS original_text FROM lineitem
+UNION SELECT 'o' || l_orderkey || '_' || l_linenumber, 'n!art' || l_partkey || '_inc4', 'artigo ' || l_partkey || ', IV' FROM lineitem""")
+def q_text_references(spark, sf_dir):
+    """References in a sentence about each line item."""
+    from quarry.plans.parse import links
+
+    key, n, part = (F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))
+    text = F.concat(F.lit("Na forma do art. "), key, F.lit(", § "), n, F.lit(" desta lei, e do artigo "), part, F.lit(", IV, aplica-se."))
+    return links(t(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), key, F.lit("_"), n).alias("id"), F.lit("n").alias("norm_urn"), text.alias("text")))
+
+
+@query("""SELECT o_orderkey, 'federal' AS sphere, 'lei' AS type, CAST(o_orderdate AS DATE) AS date, CAST(o_custkey AS VARCHAR) AS number, 'art' || o_orderkey || '_inc2' AS fragment, 'urn:lex:br:federal:lei:' || strftime(o_orderdate, '%Y-%m-%d') || ';' || o_custkey AS norm FROM orders""")
+def q_urn_parts(spark, sf_dir):
+    """An id for every order, taken apart again."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    urn = F.concat(F.lit("urn:lex:br:federal:lei:"), day, F.lit(";"), "o_custkey", F.lit("!art"), "o_orderkey", F.lit("_inc2"))
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", urn.alias("u")).select("o_orderkey", X.urn_parts(F.col("u")).alias("p"), X.norm_of(F.col("u")).alias("norm"))
+    return rows.select("o_orderkey", "p.sphere", "p.type", "p.date", "p.number", "p.fragment", "norm")
+
+
+# ---- lookups
+
+
+def _lines_as_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as ids below their order; every second wording is a superseded one."""
+    version = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("@"), "l_linenumber")).otherwise("")
+    return t(spark, sf_dir, "lineitem").select(F.concat(F.lit("n!o"), "l_orderkey", F.lit("_s"), F.col("l_suppkey") % 3, version).alias("id"), "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("SELECT 'n!o' || l_orderkey AS prefix, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT'")
+def q_ids_below(spark, sf_dir):
+    from quarry.operators import lookup
+
+    urgent = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("n!o"), "o_orderkey").alias("prefix"))
+    return lookup.below(_lines_as_ids(spark, sf_dir), urgent).select("prefix", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark) OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def q_rows_by_id(spark, sf_dir):
+    from quarry.operators import lookup
+
+    wanted = t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("doc_id")).union(t(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+    return lookup.by_ids(t(spark, sf_dir, "documents"), wanted, "doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey = m THEN 2147483647 ELSE o_orderkey END) AS INT) AS nth
+FROM (SELECT *, max(o_orderkey) OVER (PARTITION BY o_custkey) AS m FROM orders) JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
+def q_wordings(spark, sf_dir):
+    """Orders as wordings of their customer's id: the last is current, the others carry a version."""
+    from quarry.operators import lookup
+
+    orders = t(spark, sf_dir, "orders")
+    last = orders.groupBy(F.col("o_custkey").alias("c")).agg(F.max("o_orderkey").alias("m"))
+    version = F.when(F.col("o_orderkey") == F.col("m"), "").otherwise(F.concat(F.lit("@"), "o_orderkey"))
+    rows = orders.join(last, F.col("o_custkey") == F.col("c")).select(F.concat(F.lit("n!c"), "o_custkey", version).alias("id"), "o_custkey", "o_orderkey")
+    wanted = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("n!c"), "c_custkey", F.lit("@7")).alias("id"))
+    return lookup.wordings(rows, wanted).select("o_custkey", "o_orderkey", "nth")
+
+
+@query("SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -2) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def q_rows_with_defaults(spark, sf_dir):
+    from quarry.operators import lookup
+
+    return lookup.with_defaults(t(spark, sf_dir, "documents").select("doc_id", "lang"), t(spark, sf_dir, "labels"), "doc_id", {"quality": -1, "toxic": -2})
+
+
+# ---- evaluation of answers
+
+
+@query("""SELECT lang, count(*) AS items, sum(toxic) AS unanswerable, round(avg(CASE WHEN toxic = 1 THEN CAST(quality = 0 AS INT) END), 6) AS abstained_rightly,
+round(avg(CASE WHEN toxic = 0 THEN CAST(quality = 0 AS INT) END), 6) AS abstained_wrongly, round(avg(CAST((toxic = 1) = (quality = 0) AS INT)), 6) AS agreement FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def q_abstention(spark, sf_dir):
+    """Labels as items: toxic ones should not be answered, poor ones were not."""
+    items = t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels"), "doc_id")
+    return evaluate.abstention(items.select("lang", (F.col("toxic") == 1).alias("should"), (F.col("quality") == 0).alias("abstained")), ["lang"])
+
+
+@query("""WITH cited AS (SELECT DISTINCT o_custkey AS item, o_orderstatus || '_' || substr(o_orderpriority, 1, 1) AS c FROM orders)
+SELECT c_custkey AS item, count(c) AS cited, count(CASE WHEN substr(c, 1, 1) = 'F' OR c = 'O_1' THEN 1 END) AS "right", round(count(CASE WHEN substr(c, 1, 1) = 'F' OR c = 'O_1' THEN 1 END) / nullif(count(c), 0), 6) AS accuracy
+FROM customer LEFT JOIN cited ON item = c_custkey GROUP BY c_custkey""")
+def q_citation_accuracy(spark, sf_dir):
+    """Orders as citations of their customer: status and priority; all of F and O_1 are expected."""
+    items = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"))
+    cited = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "@3").otherwise(""), F.lit("_"), F.substring("o_orderpriority", 1, 1)).alias("cited"))
+    expected = items.select("item", F.explode(F.array(F.lit("F"), F.lit("O@2_1"))).alias("expected"))
+    return evaluate.citation_accuracy(cited, expected, items)
+
+
+@query("""SELECT key, CASE WHEN a AND b THEN 'both' WHEN a THEN 'missing' ELSE 'unexpected' END AS kind FROM (SELECT key, bool_or(s = 1) AS a, bool_or(s = 2) AS b
+FROM (SELECT c_nationkey AS key, 1 AS s FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT s_nationkey, 2 FROM supplier) GROUP BY key)""")
+def q_differences(spark, sf_dir):
+    expected = t(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("key"))
+    return evaluate.differences(expected, t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key")), ["key"])
+
+
+@query("SELECT DISTINCT sha256(text) AS request_sha FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL)")
+def q_unanswered(spark, sf_dir):
+    from quarry.plans.answer import unanswered
+
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("request_sha"))
+    return unanswered(docs, docs.join(t(spark, sf_dir, "labels"), "doc_id", "left_semi").where("request_sha IS NOT NULL")).select("request_sha")
+
+
+@query("SELECT list_sort(list(DISTINCT source)) AS models FROM documents WHERE source IS NOT NULL")
+def q_models_used(spark, sf_dir):
+    return evaluate.models_used(t(spark, sf_dir, "documents").select(F.col("source").alias("model")))
+
+
+@query("SELECT doc_id, CAST(greatest(floor(n_chars / 3.0), 500) AS BIGINT) AS tokens, md5('Doc ' || doc_id || chr(10) || coalesce(text, '')) AS rerank_md5 FROM documents")
+def q_rerank_text(spark, sf_dir):
+    """What a reranker reads of each document, and the output that it is reckoned to take."""
+    text = search.rerank_text(F.concat(F.lit("Doc "), "doc_id"), F.coalesce("text", F.lit("")))
+    return t(spark, sf_dir, "documents").select("doc_id", evaluate.estimated_output(F.col("n_chars")).alias("tokens"), F.md5(text).alias("rerank_md5"))
+
+
+@query("""WITH dense AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
+/ sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 6) AS score
+FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id % 97 >= e.vec_id % 61 AND q.vec_id % 97 < e.vec_id % 61 + 30)
+SELECT query_id, id AS vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM dense QUALIFY rank <= 10""")
+def q_cosine_at_each_day(spark, sf_dir):
+    """Nearest vectors that are in force on the day of each query: the filter comes before the cut."""
+    vectors = _vectors(spark, sf_dir).drop("label")
+    dated = vectors.withColumns({"from_day": F.col("id") % 61, "to_day": F.col("id") % 61 + 30})
+    return search.cosine(_asked(vectors).withColumn("day", F.col("query_id") % 97), dated, k=10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
 # ---- sets and stores
 
 
@@ -521,7 +668,7 @@ def q_cache_misses(spark, sf_dir):
     return docs.join(stored, "request_sha", "left_anti").select("doc_id", "request_sha")
 
 
-@query()
+@query("SELECT doc_id, lang AS norm_urn, CASE WHEN lang = 'de' THEN -n_chars ELSE n_chars END AS n_chars FROM documents")
 def q_replace_partition(spark, sf_dir):
     """Documents stored by language, one language written again: see the tests for what must not change."""
     from quarry.sources.store import Store

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schema
 from quarry.operators.ordered import first_of, upsert
 
+#: Used only where the session runs in one process and names no shared folder, as in local tests.
 LOCAL = "/tmp/checkpoints"
 
 
@@ -25,7 +27,10 @@ class Store:
     @staticmethod
     def scratch(spark: SparkSession) -> Store:
         """A new store in the folder that driver and executors share."""
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = named or LOCAL
         return Store(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
 
     def path(self, name: str) -> str:
@@ -40,7 +45,12 @@ class Store:
         """A table; a known one that was never written is empty, an unknown one is an error."""
         if not self.exists(name) and name in self.KINDS:
             return self.spark.createDataFrame([], self.KINDS[name])
-        return self.spark.read.parquet(self.path(name))
+        try:
+            return self.spark.read.parquet(self.path(name))
+        except AnalysisException as error:  # a known table that has no row, and so no file, is empty
+            if name in self.KINDS and error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+                return self.spark.createDataFrame([], self.KINDS[name])
+            raise
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Rows of the norms in ``rows`` take the place of what those norms had; others stay.
@@ -67,8 +77,17 @@ class Store:
         jvm = self.spark._jvm
         old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (self.path(name), beside))
         system = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        system.delete(old, True)
-        system.rename(new, old)
+        # the old table is moved aside, not deleted, before the new one takes its place: no crash between loses both
+        aside = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.{name}-before-{uuid.uuid4().hex}")
+        had = system.exists(old)
+        if had:
+            system.rename(old, aside)
+        if not system.rename(new, old):
+            if had:
+                system.rename(aside, old)
+            raise RuntimeError(f"{name} could not be moved into place")
+        if had:
+            system.delete(aside, True)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         self.rewrite(name, upsert(self.read(name), rows, keys))
@@ -85,6 +104,13 @@ class Store:
         others = links.join(norms, own == F.col("norm_urn"), "left_anti")
         self.rewrite("xref", resolve_links(others.withColumns({"target_id": F.lit(None).cast("string"), "resolved": F.lit(False)}), self.read("provision")))
 
+    def drop_norm(self, norm: str) -> int:
+        """Takes a norm's provisions and outgoing links away; links to it are open again."""
+        n = self.drop("provision", norm)
+        others = self.read("xref").where(F.substring_index("origin_id", "!", 1) != norm)
+        self.rewrite("xref", resolve_links(others, self.read("provision")))
+        return n
+
     def put_links(self, rows: DataFrame) -> int:
         """Upsert by (origin, target, text), the later row wins; how many were sent."""
         self.upsert("xref", rows, ["origin_id", "target_urn", "original_text"])

@@ -24,7 +24,11 @@ def replace_batch(store: Store) -> Callable[[DataFrame, int], None]:
         try:
             if latest.isEmpty():
                 return
-            store.replace("provision", provisions(latest))
+            fresh = provisions(latest)
+            store.put_provisions(fresh)
+            # a norm that has no provisions any more keeps none; a batch brings few norms
+            for row in latest.select("norm_urn").join(fresh.select("norm_urn").distinct(), "norm_urn", "left_anti").toLocalIterator():
+                store.drop_norm(row["norm_urn"])
             own = store.read("provision").join(latest.select("norm_urn"), "norm_urn", "left_semi")
             store.put_links(links(own).withColumns({"target_id": F.lit(None).cast("string"), "resolved": F.lit(False)}).select("origin_id", "target_urn", "target_id", "original_text", "resolved"))
             store.resolve_pending()
