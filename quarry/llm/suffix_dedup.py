@@ -50,6 +50,8 @@ ID_BITS = 48
 SORTED = 1 << 19
 #: Parts whose units meet at a time.
 GROUP = 1024
+#: Parts for each task that resolves their units, so that tasks stay of one size.
+TASK_PARTS = 16
 LAST = (1 << 63) - 1
 
 
@@ -447,16 +449,17 @@ def parts_of(docs: DataFrame, text: str, id_column: str) -> DataFrame:
 def repeated_spans(parts: DataFrame, length: int, text: str) -> DataFrame:
     """(part, spans array<binary>): packed (row, begin, end) of the spans to remove; they may overlap."""
     n = parts.count()
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_PARTS)
     buckets = 1 << (max(16, min(n // 2, GROUP), n // GROUP) - 1).bit_length()
     met = parts.mapInArrow(_triggers(text, length, buckets), "bucket int, part long, ids binary")
-    flags = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, bucket int, bits binary")
+    flags = met.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "part long, bucket int, bits binary")
     flags = flags.groupBy("part").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
     found = parts.join(flags, "part", "left").mapInArrow(_units(text, length, buckets), UNITS)
     groups, group = -(-n // GROUP), F.xxhash64("part")
     while True:
         # spans of a part pass through, spread over all tasks
         dealt = found.withColumn("grp", F.when(F.col("bucket") < 0, F.col("part")).otherwise(F.pmod(group, F.lit(max(1, groups)))))
-        dealt = dealt.repartition("bucket", "grp").sortWithinPartitions("bucket", "grp")
+        dealt = dealt.repartition(tasks, "bucket", "grp").sortWithinPartitions("bucket", "grp")
         found = dealt.mapInArrow(_resolved(length, buckets, groups > 1), UNITS)
         if groups <= 1:
             return found.groupBy("part").agg(F.collect_list("meta").alias("spans"))
