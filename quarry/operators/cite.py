@@ -30,6 +30,11 @@ def resolve(quotes: DataFrame, passages: DataFrame, lines: DataFrame) -> DataFra
     return placed.unionByName(whole)
 
 
+def ref(rank: Column) -> Column:
+    """How a passage is called in requests and answers: D1 for the first."""
+    return F.concat(F.lit("D"), rank.cast("string"))
+
+
 def anchors(answer: Column) -> Column:
     """Distinct [Dn] marks in order."""
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[(D\d+)\]"), 1))

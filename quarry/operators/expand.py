@@ -75,6 +75,16 @@ def overlap(spans: DataFrame, lines: DataFrame, key: list[str], order: list[str]
     return best.where("_n = 1").drop("_n")
 
 
+def first_seen(hits: DataFrame, query: list[str], group: list[str], more: list[Column] = []) -> DataFrame:  # noqa: B006
+    """Groups of the ranked hits of each query: best (the first rank), score (the highest), found (hits), and ``more``."""
+    return hits.groupBy(*query, *group).agg(F.min("rank").alias("best"), F.max("score").alias("score"), F.count(F.lit(1)).alias("found"), *more)
+
+
+def in_order_of_best(groups: DataFrame, query: list[str], group: list[str]) -> DataFrame:
+    """Adds rank: groups of a query in the order of their best hit, ties by ``group``."""
+    return groups.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy("best", *group)))
+
+
 def expand(hits: DataFrame, nodes: DataFrame, at: Column, level: str = "article", limit: int = MAX_CHARS) -> DataFrame:
     """(query_id, rank, target_path, text, provisions, score, fusion_score, rerank_score): passages of all queries.
 
@@ -87,9 +97,8 @@ def expand(hits: DataFrame, nodes: DataFrame, at: Column, level: str = "article"
     placed = document_order(nodes, ["norm_urn"])
     targets = with_targets(nodes, level).select("norm_urn", "path", "target_path")
     found = hits.join(targets, ["norm_urn", "path"])
-    groups = found.groupBy("query_id", "norm_urn", "target_path", *(["date"] if dated else [])).agg(
-        F.min("rank").alias("_best"), F.max("score").alias("fusion_score"), F.max("rerank_score").alias("rerank_score"), F.collect_set("path").alias("_hits")
-    )
+    own = ["norm_urn", "target_path", *(["date"] if dated else [])]
+    groups = first_seen(found, ["query_id"], own, [F.max("rerank_score").alias("rerank_score"), F.collect_set("path").alias("_hits")]).withColumnRenamed("score", "fusion_score").drop("found")
     wanted = groups.select("norm_urn", F.col("target_path").alias("path")).distinct()
     if level == "none":
         members = wanted.select("norm_urn", F.col("path").alias("root"), "path")
@@ -104,6 +113,5 @@ def expand(hits: DataFrame, nodes: DataFrame, at: Column, level: str = "article"
     group = ["query_id", "norm_urn", "target_path"]
     marked = with_marks(budget(lines, group, ["doc_key"], F.length("line") + 1, reserved, limit), group, ["doc_key"])
     texts = passages(marked, group, ["doc_key"], ids="id")
-    by_query = Window.partitionBy("query_id").orderBy("_best", "norm_urn", "target_path")
-    out = texts.join(groups.drop("_hits", "date"), group).withColumn("rank", F.row_number().over(by_query))
-    return out.withColumn("score", F.coalesce("rerank_score", "fusion_score")).drop("_best")
+    out = in_order_of_best(texts.join(groups.drop("_hits", "date"), group), ["query_id"], ["norm_urn", "target_path"])
+    return out.withColumn("score", F.coalesce("rerank_score", "fusion_score")).drop("best")

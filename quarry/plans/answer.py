@@ -121,7 +121,7 @@ def cited(answers: DataFrame, passages: DataFrame, lines: DataFrame) -> DataFram
     passages: query_id, rank, text; lines: query_id, ref, id, start, end.
     """
     quotes = answers.select("query_id", F.posexplode("quotes").alias("span_id", "q")).select("query_id", "span_id", "q.ref", "q.quoted", "q.from", "q.to")
-    known = passages.select("query_id", F.concat(F.lit("D"), F.col("rank").cast("string")).alias("ref"), "text")
+    known = passages.select("query_id", cite.ref(F.col("rank")).alias("ref"), "text")
     return cite.resolve(quotes, known, lines)
 
 
@@ -132,7 +132,7 @@ def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: st
     ``cache`` (request_sha, answer, quotes) are not sent again.
     """
     system = system_prompt(date, backend.native_citations)
-    docs = F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("D"), F.col("rank").cast("string")).alias("ref"), "text")))
+    docs = F.sort_array(F.collect_list(F.struct("rank", cite.ref(F.col("rank")).alias("ref"), "text")))
     asked = questions.select("query_id", F.col("text").alias("question")).join(passages.groupBy("query_id").agg(docs.alias("documents")), "query_id", "left")
     kind = "request_sha string, answer string, quotes array<struct<ref: string, quoted: string, from: long, to: long>>"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import cite, evaluate, expand, ordered, search, temporal, tree
+from quarry.operators import cite, evaluate, expand, lookup, ordered, search, temporal, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,27 +74,27 @@ def q_as_of_join(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def q_semi(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return lookup.by_ids(t(spark, sf_dir, "documents").select("doc_id", "lang"), t(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def q_anti(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return lookup.without(t(spark, sf_dir, "documents").select("doc_id", "lang"), t(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def q_left_fallback(spark, sf_dir):
-    joined = t(spark, sf_dir, "documents").select("doc_id").join(t(spark, sf_dir, "labels"), "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    return lookup.with_defaults(t(spark, sf_dir, "documents").select("doc_id"), t(spark, sf_dir, "labels"), "doc_id", {"quality": -1, "toxic": -1})
 
 
 @query("SELECT l.doc_id, CAST(row_number() OVER (ORDER BY d.n_chars DESC, l.doc_id) AS INT) AS rank, d.lang, l.quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id QUALIFY rank <= 50")
 def q_hydrate(spark, sf_dir):
     """The 50 longest labelled documents: a top-k report, hydrated after the cut."""
     docs, labels = t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels")
-    top = docs.select("doc_id", "n_chars").join(labels.select("doc_id"), "doc_id", "left_semi").orderBy(F.desc("n_chars"), "doc_id").limit(50)
+    top = lookup.by_ids(docs.select("doc_id", "n_chars"), labels, "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(50)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    return ranked.join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id").select("doc_id", "rank", "lang", "quality")
+    shown = lookup.hydrate(lookup.hydrate(ranked, docs.select("doc_id", "lang"), "doc_id"), labels.select("doc_id", "quality"), "doc_id")
+    return shown.select("doc_id", "rank", "lang", "quality")
 
 
 @query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, b.text) AS INT) AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -225,13 +225,12 @@ def q_normalise(spark, sf_dir):
 @query("""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path,
 regexp_extract(url, '\\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages""")
 def q_url_parts(spark, sf_dir):
-    part = lambda p, n: F.regexp_extract("url", p, 1).alias(n)
-    return t(spark, sf_dir, "pages").select("page_id", part(r"^([a-z]+)://", "scheme"), part(r"^[a-z]+://([^/]+)", "host"), part(r"^[a-z]+://[^/]+([^?#]*)", "path"), part(r"\?([^#]*)", "query"), part(r"#(.*)$", "fragment"))
+    return t(spark, sf_dir, "pages").select("page_id", X.url_parts(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
 def q_sha_keys(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return t(spark, sf_dir, "documents").select("doc_id", X.text_key(F.col("text")).alias("text_sha256"))
 
 
 @query(f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
@@ -429,9 +428,8 @@ _BY_SOURCE = f"WITH hits AS ({_rrf_sql(False)}), grouped AS (SELECT query_id, so
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = q_rrf_hybrid(spark, sf_dir).join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    grouped = hits.groupBy("query_id", "source").agg(F.min("rank").alias("best"), F.max("score").alias("score"), F.count(F.lit(1)).alias("found"))
-    return grouped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best")))
+    hits = lookup.hydrate(q_rrf_hybrid(spark, sf_dir), t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return expand.in_order_of_best(expand.first_seen(hits, ["query_id"], ["source"]), ["query_id"], ["source"])
 
 
 @query(f"{_BY_SOURCE} SELECT query_id, source, score, found, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best) AS INT) AS rank FROM grouped")
@@ -441,7 +439,7 @@ def q_first_seen_groups(spark, sf_dir):
 
 @query(f"{_BY_SOURCE} SELECT query_id, 'D' || row_number() OVER (PARTITION BY query_id ORDER BY best) AS ref, source FROM grouped")
 def q_refs(spark, sf_dir):
-    return _by_source(spark, sf_dir).select("query_id", F.concat(F.lit("D"), "rank").alias("ref"), "source")
+    return _by_source(spark, sf_dir).select("query_id", cite.ref(F.col("rank")).alias("ref"), "source")
 
 
 # ---- evaluation: labels of neighbours are what a search should find
@@ -620,7 +618,7 @@ def q_differences(spark, sf_dir):
 def q_unanswered(spark, sf_dir):
     from quarry.plans.answer import unanswered
 
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("request_sha"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", X.text_key(F.col("text")).alias("request_sha"))
     return unanswered(docs, docs.join(t(spark, sf_dir, "labels"), "doc_id", "left_semi").where("request_sha IS NOT NULL")).select("request_sha")
 
 
@@ -656,16 +654,16 @@ UNION ALL SELECT 'either', key FROM (SELECT c_nationkey AS key FROM customer WHE
 def q_setops(spark, sf_dir):
     a = t(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("key"))
     b = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))
-    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "key")
-    return named(a.intersect(b), "both").union(named(a.subtract(b), "only customers")).union(named(a.union(b).distinct(), "either"))
+    named = evaluate.differences(a, b, ["key"]).replace({"missing": "only customers"}, subset=["kind"])
+    kinds = F.when(F.col("kind") == "unexpected", F.array(F.lit("either"))).otherwise(F.array(F.lit("either"), F.col("kind")))
+    return named.select(F.explode(kinds).alias("kind"), "key")
 
 
 @query("SELECT doc_id, sha256(text) AS request_sha FROM documents WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d JOIN labels l ON l.doc_id = d.doc_id)")
 def q_cache_misses(spark, sf_dir):
     """Requests whose answer is not stored: texts of labelled documents stand for the store."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("request_sha"))
-    stored = docs.join(t(spark, sf_dir, "labels"), "doc_id", "left_semi").select("request_sha").distinct()
-    return docs.join(stored, "request_sha", "left_anti").select("doc_id", "request_sha")
+    docs = t(spark, sf_dir, "documents").select("doc_id", X.text_key(F.col("text")).alias("request_sha"))
+    return lookup.without(docs, lookup.by_ids(docs, t(spark, sf_dir, "labels"), "doc_id"), "request_sha").select("doc_id", "request_sha")
 
 
 @query("SELECT doc_id, lang AS norm_urn, CASE WHEN lang = 'de' THEN -n_chars ELSE n_chars END AS n_chars FROM documents")
