@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import cite, expand, search
+from quarry.operators import cite, expand, lookup, naming, search
 from quarry.functions.text import day_number, day_or_far
 from quarry.operators.temporal import in_force, search_filter
 
@@ -83,6 +83,26 @@ def system_prompt(date: str, native: bool) -> str:
     return "\n".join(rules if native else [*rules, "Depois de cada afirmação, indique o trecho como [D1]."])
 
 
+def rendered(documents: list[dict], question: str) -> str:
+    """A request as one text, for backends that take no documents: each passage with where it is from, then the question."""
+    shown = [f'<passage ref="{d["ref"]}" title="{d["title"]}" {d["context"]}>\n{d["text"]}\n</passage>' for d in documents]
+    return "\n\n".join([*shown, question])
+
+
+def with_context(passages: DataFrame, nodes: DataFrame, norms: DataFrame) -> DataFrame:
+    """Adds provision_id, full_label and source_url: which provision a passage is, what it is called and where it is published."""
+    place = ["norm_urn", "target_path"]
+    ids = nodes.select("norm_urn", F.col("path").alias("target_path"), F.col("id").alias("provision_id"))
+    labels = naming.full_labels(nodes).withColumnRenamed("path", "target_path")
+    return naming.with_source_url(passages.join(ids, place, "left").join(labels, place, "left"), norms)
+
+
+def cache_use(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """(requests, stored, sent): of the requests that need an answer, how many have one and how many different ones are sent."""
+    asked = requests.where("request_sha IS NOT NULL").join(cache.select("request_sha", F.lit(True).alias("_s")).distinct(), "request_sha", "left")
+    return asked.agg(F.count(F.lit(1)).alias("requests"), F.count("_s").alias("stored"), F.count_distinct(F.when(F.col("_s").isNull(), F.col("request_sha"))).alias("sent"))
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, date: Column | None = None, settings: Settings = Settings(), norms: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
     """Passages of questions (query_id, text, vector) at one reference date, or each at its own (a column date).
 
@@ -112,7 +132,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes:
 
 def unanswered(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests, each once, whose answer is not stored."""
-    return requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]).join(cache.select("request_sha"), "request_sha", "left_anti")
+    return lookup.without(requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]), cache, "request_sha")
 
 
 def cited(answers: DataFrame, passages: DataFrame, lines: DataFrame) -> DataFrame:
@@ -128,17 +148,21 @@ def cited(answers: DataFrame, passages: DataFrame, lines: DataFrame) -> DataFram
 def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: str, cache: DataFrame | None = None) -> DataFrame:
     """(query_id, request_sha, answer, abstention, quotes): one row for each question.
 
-    A question without passages is answered without the backend; requests in
+    Passages with the columns of ``with_context`` tell the backend their title
+    and source.  A question without passages is answered without the backend; requests in
     ``cache`` (request_sha, answer, quotes) are not sent again.
     """
     system = system_prompt(date, backend.native_citations)
-    docs = F.sort_array(F.collect_list(F.struct("rank", cite.ref(F.col("rank")).alias("ref"), "text")))
+    title, context = F.lit(""), F.lit("")
+    if {"provision_id", "full_label", "source_url"} <= set(passages.columns):
+        title, context = F.coalesce("full_label", F.lit("")), F.concat(F.lit("fonte: "), F.coalesce("source_url", F.lit("")), F.lit(" | id: "), F.coalesce("provision_id", F.lit("")))
+    docs = F.sort_array(F.collect_list(F.struct("rank", cite.ref(F.col("rank")).alias("ref"), title.alias("title"), context.alias("context"), "text")))
     asked = questions.select("query_id", F.col("text").alias("question")).join(passages.groupBy("query_id").agg(docs.alias("documents")), "query_id", "left")
     kind = "request_sha string, answer string, quotes array<struct<ref: string, quoted: string, from: long, to: long>>"
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bodies = [[{"ref": d["ref"], "text": d["text"]} for d in ds] if ds is not None else [] for ds in batch["documents"]]
+            bodies = [[{k: d[k] for k in ("ref", "title", "context", "text")} for d in ds] if ds is not None else [] for ds in batch["documents"]]
             shas = [request_key(system, b, q) if b else None for b, q in zip(bodies, batch["question"], strict=True)]
             yield batch.assign(documents=bodies, request_sha=shas)
 
@@ -147,7 +171,7 @@ def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: st
             made = [backend.generate(system, list(d), q) for d, q in zip(batch["documents"], batch["question"], strict=True)]
             yield pd.DataFrame({"request_sha": batch["request_sha"], "answer": [a for a, _ in made], "quotes": [q for _, q in made]})
 
-    requests = asked.mapInPandas(keyed, "query_id long, question string, documents array<struct<ref: string, text: string>>, request_sha string")
+    requests = asked.mapInPandas(keyed, "query_id long, question string, documents array<struct<ref: string, title: string, context: string, text: string>>, request_sha string")
     stored = cache.select("request_sha", "answer", "quotes") if cache is not None else None
     payable = requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]) if stored is None else unanswered(requests, stored)
     made = payable.mapInPandas(sent, kind)

@@ -648,6 +648,37 @@ def q_cosine_at_each_day(spark, sf_dir):
 # ---- sets and stores
 
 
+@query("""SELECT lang || '!' || doc_id AS provision_id, lang AS norm_urn, CAST(datediff('day', DATE '0001-01-01', DATE '1990-09-11') + 1 AS INT) AS valid_from_day,
+sha256('Art. ' || doc_id || ' ' || CASE WHEN lang = 'de' THEN 'neu ' ELSE '' END || text) AS text_sha256 FROM documents WHERE trim(text) <> ''""")
+def q_index_replaced(spark, sf_dir):
+    """Documents as articles of a norm for each language, indexed; then one norm's texts change and it is indexed again."""
+    from quarry import schema
+    from quarry.plans import index
+    from quarry.sources.store import Store
+
+    store, docs = Store.scratch(spark), t(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    own = {"id": F.concat("lang", F.lit("!"), "doc_id"), "norm_urn": F.col("lang"), "type": F.lit("artigo"), "label": F.concat(F.lit("Art. "), "doc_id"), "path": F.concat(F.lit("art"), "doc_id"), "text": F.col("text")}
+    rows = docs.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.PROVISION])
+    known = {"urn": F.col("lang"), "published": F.lit("1990-09-11")}
+    store.put_norms(docs.select("lang").distinct().select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.NORM]))
+    store.replace("provision", rows)
+    encode = search.hashed_encoder(16)
+    index.build(store, encode, "hashed", 16, rows.select("norm_urn"))
+    changed = rows.where("norm_urn = 'de'").withColumn("text", F.when(F.trim("text") != "", F.concat(F.lit("neu "), "text")).otherwise(F.col("text")))
+    store.replace("provision", changed)
+    index.build(store, encode, "hashed", 16, changed.select("norm_urn"))
+    return store.read("chunk").select("provision_id", "norm_urn", "valid_from_day", "text_sha256")
+
+
+@query("""SELECT count(*) AS requests, count(CASE WHEN s THEN 1 END) AS stored, count(DISTINCT CASE WHEN NOT s THEN h END) AS sent
+FROM (SELECT sha256(text) AS h, sha256(text) IN (SELECT sha256(d.text) FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL) AS s FROM documents WHERE text IS NOT NULL)""")
+def q_cache_use(spark, sf_dir):
+    from quarry.plans.answer import cache_use
+
+    docs = t(spark, sf_dir, "documents").select("doc_id", X.text_key(F.col("text")).alias("request_sha"))
+    return cache_use(docs, lookup.by_ids(docs, t(spark, sf_dir, "labels"), "doc_id"))
+
+
 @query("""SELECT 'both' AS kind, key FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9900 INTERSECT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'only customers', key FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'either', key FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9900 UNION SELECT s_nationkey FROM supplier)""")

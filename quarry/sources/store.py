@@ -19,7 +19,7 @@ LOCAL = "/tmp/checkpoints"
 class Store:
     """Tables under one folder.  Norm tables: provision, xref, chunk; whole tables: norm, ingest_log."""
 
-    KINDS = {"norm": schema.NORM, "provision": schema.PROVISION, "xref": schema.XREF, "ingest_log": schema.INGEST_LOG}
+    KINDS = {"norm": schema.NORM, "provision": schema.PROVISION, "xref": schema.XREF, "ingest_log": schema.INGEST_LOG, "chunk": schema.CHUNK}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -142,11 +142,14 @@ class Store:
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(record)
         return meta
 
+    def count(self, name: str, norm: str | None = None) -> int:
+        """Rows of a table, or of one norm in it."""
+        rows = self.read(name)
+        return (rows if norm is None else rows.where(F.col("norm_urn") == norm)).count()
+
     def status(self) -> DataFrame:
         """(table, rows) of all that is there."""
-        counts = [(n, self.read(n).count()) for n in self.KINDS]
-        counts.append(("chunk", self.read("chunk").count() if self.exists("chunk") else 0))
-        return self.spark.createDataFrame(counts, "table string, rows long")
+        return self.spark.createDataFrame([(n, self.count(n)) for n in self.KINDS], "table string, rows long")
 
 
 def resolve_links(links: DataFrame, provisions: DataFrame) -> DataFrame:

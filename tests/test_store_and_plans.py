@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from quarry import schema
 from quarry.operators import search
-from quarry.plans import answer, parse
+from quarry.plans import answer, index, parse
 from quarry.sources import gold, html, raw
 from quarry.sources.store import Store
 from quarry.streaming.ingest import ingest_stream
@@ -77,6 +77,28 @@ def test_store_replaces_norms_and_keeps_links_right(spark, tmp_path):
     assert {r.table: r.rows for r in store.status().collect()}["norm"] == 1
 
 
+def test_index_is_replaced_norm_by_norm(spark, tmp_path):
+    store, encode = Store(spark, f"file://{tmp_path}/s"), search.hashed_encoder(8)
+    none = [None] * 4
+    store.put_norms(spark.createDataFrame([(CF, "constituicao", "1988", 1988, D(1988, 10, 5), "CF/88", *none[:3]), (CDC, "lei", "8078", 1990, D(1990, 9, 11), *none)], schema.NORM))
+    store.put_provisions(parse.provisions(documents(spark)))
+    store.put_provisions(parse.provisions(documents(spark, "<p>Art. 1º um</p><p>Art. 2º dois</p>", CDC)))
+    both = spark.createDataFrame([(CF,), (CDC,)], "norm_urn string")
+    report = {r.norm_urn: (r.chunks, r.removed) for r in index.build(store, encode, "m", 8, both).collect()}
+    assert report[CDC] == (2, 0) and report[CF][0] == store.count("chunk", CF) > 0
+    store.put_provisions(parse.provisions(documents(spark, "<p>Art. 1º um, de novo</p>", CDC)))
+    cdc = both.where(F.col("norm_urn") == CDC)
+    assert [tuple(r) for r in index.build(store, encode, "m", 8, cdc).collect()] == [(CDC, 1, 2)]
+    assert store.count("chunk", CF) == report[CF][0] and len(store.read("chunk").first().vector) == 8
+    store.drop("provision", CDC)  # nothing left: nothing is found any more
+    assert [tuple(r) for r in index.build(store, encode, "m", 8, cdc).collect()] == [(CDC, 0, 1)] and store.count("chunk", CDC) == 0
+    with pytest.raises(schema.UnknownNorm):
+        index.build(store, encode, "m", 8, spark.createDataFrame([("other",)], "norm_urn string"))
+    with pytest.raises(schema.IncompatibleIndex):
+        index.build(store, encode, "m", 16, both)
+    assert index.build(store, encode, "m", 8).count() == 0  # none was ingested by the log
+
+
 def test_raw_documents_and_orphans(spark, tmp_path):
     folder = f"file://{tmp_path}/raw"
     raw.save(spark, folder, CDC, "http://x", "text/html", "é".encode("cp1252"))
@@ -134,6 +156,17 @@ def test_questions_are_answered_at_their_date(spark, tmp_path):
         def generate(self, *_):
             raise AssertionError("a stored request is not sent again")
 
+    class Watched(answer.Extractive):
+        def generate(self, system, docs, question):
+            return answer.rendered(docs, question), []
+
+    norms = spark.createDataFrame([], schema.NORM)
+    placed = answer.with_context(old, nodes, norms)
+    shown = {r.query_id: r.answer for r in answer.answer(asked, placed, Watched(), "2010-01-01").collect()}
+    assert f"fonte: {schema.CATALOGUE[0][3]} | id: {CF}!art6@2>" in shown[2] and 'title="Constituição Federal de 1988, Art. 6º"' in shown[2] and shown[2].endswith("moradia educação")
+    used = answer.cache_use(first, first.where("query_id = 1")).first()
+    assert (used.requests, used.stored, used.sent) == (2, 1, 1)
+
     again = answer.answer(asked, old, Unused(), "2010-01-01", cache=first)
     assert {r.query_id: r.answer for r in again.collect()} == {k: r.answer for k, r in rows.items()}
     for bad in (("ab", "2020-01-01", 5), ("abc", None, 5), ("abc", "2020-01-01", 21)):
