@@ -55,7 +55,7 @@ def stop_words() -> list[str]:
     return sorted({*STOP, *OTHER_FORMS, *(s + e for s in PAST_STEMS for e in PAST_ENDINGS)})
 
 
-# ---- the stemmer: regions and suffixes by regular expressions, whose leftmost match at the end is the longest
+# ---- the stemmer
 
 _V, _C = f"[{VOWELS}]", f"[^{VOWELS}]"
 FIRST_REGION = f"^.*?{_V}{_C}"
@@ -63,12 +63,13 @@ SECOND_REGION = f"^.*?{_V}{_C}.*?{_V}{_C}"
 VERB_REGION = f"^(?:.{_C}.*?{_V}|{_V}{_V}.*?{_C}|{_C}{_V}.)"
 
 
-def ending(suffixes) -> str:
-    return f"(?:{'|'.join(suffixes)})$"
-
-
-def _found(word: Column, pattern: str) -> Column:
-    return F.regexp_extract(word, pattern, 0)
+def _longest(word: Column, suffixes) -> Column:
+    """The longest of ``suffixes`` that the word ends with, empty if none: a lookup for each length, not a try of each suffix."""
+    by_length: dict[int, list[str]] = {}
+    for s in suffixes:
+        by_length.setdefault(len(s), []).append(s)
+    found = [F.when(F.right(word, F.lit(n)).isin(*by_length[n]), F.right(word, F.lit(n))) for n in sorted(by_length, reverse=True)]
+    return F.coalesce(*found, F.lit(""))
 
 
 def _let(value: Column, body) -> Column:
@@ -81,42 +82,37 @@ def _cut(word: Column, suffix: Column) -> Column:
 
 def _begins(word: Column, pattern: str) -> Column:
     """How many letters come before a region; all of them where there is none."""
-    head = F.char_length(_found(word, pattern))
-    return F.when(head > 0, head).otherwise(F.char_length(word))
+    return F.coalesce(F.nullif(F.char_length(F.regexp_extract(word, pattern, 0)), F.lit(0)), F.char_length(word))
 
 
 def _standard(word: Column, one: Column, two: Column, verb: Column) -> Column:
     """Stage 1: the longest suffix of all decides what is done; the word as it is if its region forbids it."""
     every = [*DELETED, *REPLACED, *COMPOUND, *AFTER_E]
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for s, before in COMPOUND.items():
+        alike.setdefault(before, []).append(s)
 
     def by(suffix: Column) -> Column:
-        stem = _cut(word, suffix)
-        left = F.char_length(stem)
+        left = _cut(word, suffix)
+        also = F.coalesce(*[F.when(suffix.isin(*same), _longest(left, before)) for before, same in alike.items()], F.lit(""))
+        return _let(F.struct(suffix.alias("s"), left.alias("left"), also.alias("also")), decided)
 
-        def compound(before: tuple[str, ...], region: Column) -> Column:
-            also = _found(stem, ending(before))
-            rest = _cut(stem, also)
-            # at before iv goes only if it is in the region too; iv alone may go without it
-            rest = F.when((also == "ativ") & (F.char_length(rest) < two), _cut(stem, F.lit("iv"))).otherwise(rest)
-            inside = F.when(also == "ativ", left - 2 >= two).otherwise(F.char_length(rest) >= two)
-            return F.when(left < region, word).when((also != "") & inside, rest).otherwise(stem)
+    def decided(x: Column) -> Column:
+        s, left, also = x["s"], x["left"], x["also"]
+        n, region = F.char_length(left), F.when(s == "amente", one).when(s.isin(*AFTER_E), verb).otherwise(two)
+        # at before iv goes only if it is in the region too; iv alone may go without it
+        further = F.coalesce(*[F.when(n - k >= two, F.lit(k)) for k in (4, 2)], F.lit(0))
+        more = F.when(also == "ativ", further).when(n - F.char_length(also) >= two, F.char_length(also)).otherwise(F.lit(0))
+        new = F.coalesce(*[F.when(s.isin(*[k for k, v in REPLACED.items() if v == r]), F.lit(r)) for r in dict.fromkeys(REPLACED.values())], F.when(s.isin(*AFTER_E), F.lit("ir")), F.lit(""))
+        kept = (s == "") | (n < region) | (s.isin(*AFTER_E) & ~left.endswith("e"))
+        return F.when(kept, word).otherwise(F.concat(F.substring(left, F.lit(1), n - more), new))
 
-        out = F.when(suffix == "", word)
-        for s, before in COMPOUND.items():
-            out = out.when(suffix == s, compound(before, one if s == "amente" else two))
-        for s in AFTER_E:
-            out = out.when(suffix == s, F.when((left >= verb) & stem.endswith("e"), F.concat(stem, F.lit("ir"))).otherwise(word))
-        for s, new in REPLACED.items():
-            out = out.when(suffix == s, F.when(left >= two, F.concat(stem, F.lit(new))).otherwise(word))
-        return out.otherwise(F.when(left >= two, stem).otherwise(word))
-
-    return _let(_found(word, ending(every)), by)
+    return _let(_longest(word, every), by)
 
 
 def _within(word: Column, verb: Column, suffixes) -> Column:
     """The word without the longest of ``suffixes`` that lies in the verb region."""
-    region = F.substring(word, verb + 1, F.char_length(word))
-    return _cut(word, _found(region, ending(suffixes)))
+    return _let(F.substring(word, verb + 1, F.char_length(word)), lambda region: _cut(word, _longest(region, suffixes)))
 
 
 def stem(word: Column) -> Column:
@@ -145,16 +141,25 @@ def stem(word: Column) -> Column:
     return F.replace(F.replace(_let(apart, staged), F.lit("a~"), F.lit("ã")), F.lit("o~"), F.lit("õ"))
 
 
-def analysed(text: Column) -> Column:
-    """The stems of a text's words in order: runs of letters, digits and underscores, without stop words and those over ``MOST_LETTERS``; null has none."""
+def kept_words(text: Column) -> Column:
+    """A text's words in order: runs of letters, digits and underscores in lower case, without stop words and those over ``MOST_LETTERS``; null has none."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
-    kept = F.filter(words, lambda w: (w != "") & (F.char_length(w) <= MOST_LETTERS) & ~w.isin(*stop_words()))
-    return F.transform(kept, stem)
+    return F.filter(words, lambda w: (w != "") & (F.char_length(w) <= MOST_LETTERS) & ~w.isin(*stop_words()))
+
+
+def analysed(text: Column) -> Column:
+    """The stems of a text's words."""
+    return F.transform(kept_words(text), stem)
 
 
 # ---- the same in SQL, stage by stage, for comparison
 
 
+def ending(suffixes) -> str:
+    """A pattern whose leftmost match is the longest of ``suffixes``."""
+    return f"(?:{'|'.join(suffixes)})$"
+
+
 def stem_sql(words: str) -> str:
     """A query (word, stem) over the column word of the table expression ``words``, in DuckDB's SQL."""
     found = lambda w, pattern: f"regexp_extract({w}, '{pattern}', 0)"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import portuguese
 from quarry.functions.text import tokens
 from quarry.operators.ordered import top_k
 
@@ -27,26 +29,43 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
-def stems(stop: frozenset[str] = frozenset(), endings: str = "(?:amente|mente|ações|ação|ões|ães|ais|éis|eis|is|es|os|as|s|o|a|e)$") -> Callable[[Column], Column]:
-    """Words without ``stop`` words, and without an ending where four letters or more are left: a light stemmer for Portuguese, in the JVM."""
-    return lambda text: F.transform(F.filter(tokens(text), lambda w: ~w.isin(*stop) if stop else F.lit(True)), lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(?<=....)" + endings, "")).otherwise(w))
+@dataclass(frozen=True)
+class Analysis:
+    """How texts become terms: the words that count, and what each of them is reduced to (nothing: itself)."""
 
+    name: str
+    words: Callable[[Column], Column]
+    fold: Callable[[Column], Column] | None = None
 
-def asked_terms(queries: DataFrame, words: Callable[[Column], Column] = tokens, *columns: str) -> DataFrame:
+
+LETTERS = Analysis("letters", tokens)
+PORTUGUESE = Analysis("portuguese", portuguese.kept_words, portuguese.stem)
+
+
+def asked_terms(queries: DataFrame, analysis: Analysis = LETTERS, *columns: str) -> DataFrame:
     """(query_id, columns..., term): the distinct terms of each query."""
-    return queries.select("query_id", *columns, F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    listed = queries.select("query_id", *columns, F.explode(F.array_distinct(analysis.words(F.col("text")))).alias("term"))
+    return listed if analysis.fold is None else listed.withColumn("term", analysis.fold(F.col("term"))).distinct()
 
 
-def postings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: Callable[[Column], Column] = tokens, terms: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, length): a row for each distinct term of a document; of ``terms`` alone, if given.
+def postings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", analysis: Analysis = LETTERS, terms: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, term, tf, length, more...): a row for each distinct term of a document; of ``terms`` alone, if given.
 
     Terms that no query has are left out before anything is grouped; ``length``
-    counts all words.
+    counts all words.  Words are counted before they are folded, so that one is
+    folded once for a document, however often it holds it.
     """
-    listed = docs.select(F.col(id_column).alias("id"), words(F.col(text)).alias("_w")).select("id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
-    if terms is not None:
-        listed = listed.join(sent(terms.select("term").distinct()), "term", "left_semi").select("id", "length", "term")
-    return listed.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
+    listed = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("_w")).select("id", *more, F.size("_w").alias("length"), F.explode("_w").alias("term"))
+    wanted = sent(terms.select("term").distinct()) if terms is not None else None
+    if wanted is not None and analysis.fold is None:
+        listed = listed.join(wanted, "term", "left_semi")
+    found = listed.groupBy("id", *more, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
+    if analysis.fold is None:
+        return found
+    folded = found.withColumn("term", analysis.fold(F.col("term")))
+    if wanted is not None:
+        folded = folded.join(wanted, "term", "left_semi")
+    return folded.groupBy("id", *more, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
 
 
 def idf(posts: DataFrame, documents: int | Column) -> DataFrame:
@@ -63,14 +82,14 @@ def weighed(posts: DataFrame, documents: int, asked: DataFrame, k1: float = K1,
     return posts.join(rare, "term").select("term", "id", w.alias("w"))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, documents: int, k: int = LEG, k1: float = K1, b: float = B, average: float = AVERAGE, allowed: Column | None = None, words: Callable[[Column], Column] = tokens) -> DataFrame:
+def bm25(queries: DataFrame, posts: DataFrame, documents: int, k: int = LEG, k1: float = K1, b: float = B, average: float = AVERAGE, allowed: Column | None = None, analysis: Analysis = LETTERS) -> DataFrame:
     """(query_id, id, score, rank): the k best documents for each of ``queries`` (query_id, text).
 
     Each distinct query term counts once.  Weights come from the whole
     collection; ``allowed`` (on query_id and id) filters before the ranking.
     ``posts`` may be those of the queries' terms alone.
     """
-    asked = asked_terms(queries, words)
+    asked = asked_terms(queries, analysis)
     weights = weighed(posts, documents, asked, k1, b, average)
     hits = weights.join(sent(asked), "term")
     if allowed is not None:

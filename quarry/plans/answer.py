@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import cite, expand, lookup, naming, search
 from quarry.functions.text import day_number, day_or_far
+from quarry.operators import cite, expand, lookup, naming, search
 from quarry.operators.temporal import in_force, search_filter
+from quarry.plans import terms
+from quarry.sources.store import Tables
 
 #: Limits of a request, and what is said without any candidate.
 MAX_TOKENS, PROMPT_VERSION = 8192, "v1"
@@ -103,19 +105,22 @@ def cache_use(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.agg(F.count(F.lit(1)).alias("requests"), F.count("_s").alias("stored"), F.count_distinct(F.when(F.col("_s").isNull(), F.col("request_sha"))).alias("sent"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, date: Column | None = None, settings: Settings = Settings(), norms: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, date: Column | None = None, settings: Settings = Settings(), norms: list[str] | None = None, types: list[str] | None = None, index: Tables | None = None, analysis: search.Analysis = search.PORTUGUESE) -> DataFrame:
     """Passages of questions (query_id, text, vector) at one reference date, or each at its own (a column date).
 
     chunks: chunk_no, provision_id, norm_urn, path, type, text, valid_from, revoked_on; vectors: chunk_no, vector.
-    The filter on time, norms and types comes before each leg is cut.
+    The filter on time, norms and types comes before each leg is cut.  ``index``
+    has the stored postings of the chunks (``terms.build``, by chunk_no), of which
+    only those of the questions' terms are read; without it they are made from
+    the chunks.
     """
     asked_at = questions if date is None else questions.withColumn("date", date)
     live = chunks.where(search_filter(date, norms, types))
-    asked = search.asked_terms(asked_at, search.tokens, "date")
-    posts = search.postings(chunks, "text", "chunk_no", terms=asked)
+    asked = search.asked_terms(asked_at, analysis, "date")
+    posts = search.postings(chunks, "text", "chunk_no", analysis, terms=asked) if index is None else terms.postings(index, asked)
     window = live.select(F.col("chunk_no").alias("id"), "valid_from", "revoked_on")
     # weights count all chunks, ranks those alone that were in force on the question's day
-    hits = search.weighed(posts, chunks.count(), asked).join(window, "id").join(search.sent(asked), "term").where(in_force(F.col("date")))
+    hits = search.weighed(posts, chunks.count() if index is None else terms.documents(index), asked).join(window, "id").join(search.sent(asked), "term").where(in_force(F.col("date")))
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     sparse = search.top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], settings.leg_k)
     first = F.coalesce(day_number(F.col("valid_from")), F.lit(0)).alias("from_day")

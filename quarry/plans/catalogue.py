@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.functions.portuguese import MOST_LETTERS, stem, stem_sql, stop_words
 from quarry.operators import cite, evaluate, expand, lookup, ordered, search, temporal, tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +274,7 @@ def q_block_extract(spark, sf_dir):
 # ---- retrieval
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
 _POSTS = f"""words AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents),
 posts AS (SELECT id, term, count(*) AS tf, any_value(n) AS length FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM words) GROUP BY id, term),
 dfs AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM posts GROUP BY term)"""
@@ -338,7 +340,7 @@ def _legs(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
         return search.fuse([search.cosine(asked.drop("group"), vectors.drop("label"), search.LEG), search.bm25(texts.drop("ql"), posts, n)])
     dense = search.cosine(asked, vectors.withColumnRenamed("label", "group"), search.LEG)
     # one leg for each language: the filter comes before the cut
-    terms = search.asked_terms(texts.withColumnRenamed("ql", "lang"), X.tokens, "lang")
+    terms = search.asked_terms(texts.withColumnRenamed("ql", "lang"), search.LETTERS, "lang")
     tagged = search.weighed(posts, n, terms).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
     scored = tagged.join(search.sent(terms), ["term", "lang"]).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return search.fuse([dense, ordered.top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], search.LEG)])
@@ -697,6 +699,40 @@ def q_cache_misses(spark, sf_dir):
     return lookup.without(docs, lookup.by_ids(docs, t(spark, sf_dir, "labels"), "doc_id"), "request_sha").select("doc_id", "request_sha")
 
 
+# ---- the stored inverted index
+
+
+@query(stem_sql(f"(SELECT DISTINCT unnest({_TOKENS}) AS word FROM documents)"))
+def q_stems(spark, sf_dir):
+    """The stem of every word of the texts."""
+    words = t(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", stem(F.col("word")).alias("stem"))
+
+
+@query(f"""WITH texts AS (SELECT doc_id AS id, CASE WHEN source = (SELECT min(source) FROM documents) THEN text || ' ' || lang ELSE text END AS text FROM documents),
+stemmed AS ({stem_sql(f"(SELECT DISTINCT unnest({_WORDS}) AS word FROM (SELECT text FROM texts UNION ALL SELECT text FROM benchmark))")}),
+kept AS (SELECT word, stem FROM stemmed WHERE length(word) <= {MOST_LETTERS} AND word NOT IN ({", ".join(f"'{w}'" for w in stop_words())})),
+words AS (SELECT id, stem AS term FROM (SELECT id, unnest({_WORDS}) AS word FROM texts) JOIN kept USING (word)),
+lengths AS (SELECT id, count(*) AS length FROM words GROUP BY id),
+posts AS (SELECT id, term, count(*) AS tf, any_value(length) AS length FROM words JOIN lengths USING (id) GROUP BY id, term),
+dfs AS (SELECT term, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM posts GROUP BY term),
+asked AS (SELECT DISTINCT query_id, stem AS term FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS word FROM benchmark) JOIN kept USING (word)),
+scored AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / 256.0))), 6) AS score FROM asked JOIN posts USING (term) JOIN dfs USING (term) GROUP BY query_id, id)
+SELECT query_id, id AS doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 10""")
+def q_indexed_bm25(spark, sf_dir):
+    """Documents indexed by source, one source written again with other texts, then searched through the buckets of the asked terms."""
+    from quarry.plans import terms
+    from quarry.sources.store import Store
+
+    store, docs = Store.scratch(spark), t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("norm_urn"), "text", "lang")
+    terms.build(store, docs)
+    first = docs.agg(F.min("norm_urn").alias("norm_urn"))
+    changed = docs.join(F.broadcast(first), "norm_urn").withColumn("text", F.concat("text", F.lit(" "), "lang"))
+    terms.build(store, changed)
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return terms.bm25(store, asked, k=10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query("SELECT doc_id, lang AS norm_urn, CASE WHEN lang = 'de' THEN -n_chars ELSE n_chars END AS n_chars FROM documents")
 def q_replace_partition(spark, sf_dir):
     """Documents stored by language, one language written again: see the tests for what must not change."""

@@ -26,14 +26,10 @@ def build(store: Store, encode: Callable[[str], Column], model: str, dimension:
     wanted = (store.read("ingest_log") if norms is None else norms).select("norm_urn").distinct()
     if unknown := wanted.join(known, F.col("norm_urn") == F.col("urn"), "left_anti").first():
         raise schema.UnknownNorm(f"{unknown['norm_urn']} is not stored")
-    counted = lambda name: lookup.by_ids(store.read("chunk"), wanted, "norm_urn").groupBy("norm_urn").agg(F.count(F.lit(1)).alias(name))
-    store.rewrite("chunks-before", counted("removed"))
-    mark = uuid.uuid4().hex
+    before = lookup.by_ids(store.live("chunk"), wanted, "norm_urn").select("norm_urn", F.col("rows").alias("removed"))
     chunks = chunk.strategy(strategy)(lookup.by_ids(store.read("provision"), wanted, "norm_urn"), known)
-    encoded = chunks.withColumns({"vector": encode("indexed_text").cast("array<float>"), "build": F.lit(mark)})
-    store.replace("chunk", encoded.select(*schema.CHUNK.fieldNames()))
-    # rows of an earlier build are those of norms that no chunk came for
-    for row in lookup.by_ids(store.read("chunk"), wanted, "norm_urn").where(F.col("build") != mark).select("norm_urn").distinct().toLocalIterator():
-        store.drop("chunk", row["norm_urn"])
-    report = wanted.join(counted("chunks"), "norm_urn", "left").join(store.read("chunks-before"), "norm_urn", "left")
+    encoded = chunks.withColumns({"vector": encode("indexed_text").cast("array<float>"), "build": F.lit(uuid.uuid4().hex)})
+    store.replace("chunk", encoded.select(*schema.CHUNK.fieldNames()), wanted)
+    after = store.live("chunk").select("norm_urn", F.col("rows").alias("chunks"))
+    report = wanted.join(after, "norm_urn", "left").join(before, "norm_urn", "left")
     return report.na.fill(0, ["chunks", "removed"]).select("norm_urn", "chunks", "removed")

@@ -46,6 +46,8 @@ PROVISION = _struct(id=_s, norm_urn=_s, parent_id=_s, type=_s, label=_s, ordinal
 XREF = _struct(origin_id=_s, target_urn=_s, target_id=_s, original_text=_s, resolved=T.BooleanType())
 INGEST_LOG = _struct(norm_urn=_s, source_sha256=_s, at=T.TimestampType())
 CHUNK = _struct(chunk_id=_s, provision_id=_s, path=_s, type=_s, valid_from_day=_i, revoked_on_day=_i, text_sha256=_s, vector=T.ArrayType(T.FloatType()), build=_s, norm_urn=_s)
+POSTING = _struct(id=T.LongType(), term=_s, tf=T.LongType(), length=T.LongType(), norm_urn=_s, bucket=_i)
+INDEXED = _struct(documents=T.LongType(), norm_urn=_s)
 BLOCK = _struct(pos=_i, text=_s, struck=T.BooleanType(), anchors=T.ArrayType(_s), note=_s, action=_s, year=_i)
 GOLD = _struct(id=_s, mecanismo=_s, pergunta=_s, data_referencia=_d, dispositivos_esperados=T.ArrayType(_s), deve_abster=T.BooleanType(), notas=_s)
 
@@ -73,6 +75,10 @@ class IncompatibleIndex(QuarryError):
     """An index was built by another model or with another dimension."""
 
 
+class Conflict(QuarryError):
+    """Another commit was made since this one began."""
+
+
 class UnknownNorm(QuarryError):
     """A norm is asked for that the store does not have."""
 

@@ -24,15 +24,13 @@ def replace_batch(store: Store) -> Callable[[DataFrame, int], None]:
         try:
             if latest.isEmpty():
                 return
-            fresh = provisions(latest)
-            store.put_provisions(fresh)
-            # a norm that has no provisions any more keeps none; a batch brings few norms
-            for row in latest.select("norm_urn").join(fresh.select("norm_urn").distinct(), "norm_urn", "left_anti").toLocalIterator():
-                store.drop_norm(row["norm_urn"])
-            own = store.read("provision").join(latest.select("norm_urn"), "norm_urn", "left_semi")
-            store.put_links(links(own).withColumns({"target_id": F.lit(None).cast("string"), "resolved": F.lit(False)}).select("origin_id", "target_urn", "target_id", "original_text", "resolved"))
-            store.resolve_pending()
-            store.log(latest.select("norm_urn", F.sha2("html", 256).alias("source_sha256"), F.col("at").cast("timestamp").alias("at")))
+            norms, own = latest.select("norm_urn"), provisions(latest)
+            with store.commit() as changes:  # a reader sees the whole batch or nothing of it
+                changes.put_provisions(own, norms)
+                kept = changes.read("provision").join(norms, "norm_urn", "left_semi")
+                changes.put_links(links(kept).withColumns({"target_id": F.lit(None).cast("string"), "resolved": F.lit(False)}).select("origin_id", "target_urn", "target_id", "original_text", "resolved"))
+                changes.resolve_pending()
+                changes.log(latest.select("norm_urn", F.sha2("html", 256).alias("source_sha256"), F.col("at").cast("timestamp").alias("at")))
         finally:
             latest.unpersist()
 
