@@ -96,7 +96,7 @@ def knapsack(lengths: np.ndarray, supply: np.ndarray, budget: int, over: int = 0
 def _fit(lengths: np.ndarray, supply: np.ndarray, goal: int, reserve: int) -> np.ndarray:
     """An even share of each length and single documents up to the last ``reserve`` tokens, which the knapsack fits."""
     total = int((lengths * supply).sum())
-    counts = supply * max(0, goal - reserve) // total
+    counts = np.array([int(n) * max(0, goal - reserve) // total for n in supply], np.int64)  # of Python's integers: the product is beyond 64 bits
     rest = goal - int((counts * lengths).sum())
     for k in np.argsort(lengths, kind="stable")[::-1]:
         if rest <= reserve:
@@ -132,6 +132,8 @@ def fit(lengths: np.ndarray, supply: np.ndarray, budget: float) -> np.ndarray:
         if best[0] <= min(goal % unit, -goal % unit) or reserve >= goal:
             break
         reserve *= 8
+    if (best[1] < 0).any() or (best[1] > stock).any():
+        raise ArithmeticError("more documents of a length than there are, or fewer than none")
     counts[used] = best[1]
     return counts
 

@@ -15,6 +15,7 @@ best fit first, and the last of them cut.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ _encoders: dict[str, Callable[[list[str]], list[list[int]]]] = {}
 #: Texts on which the two libraries must agree before the faster one is used, besides what is known of the file.
 PROBES = ["It's  a\ttest,\n\n 1234 km\u00a0away", " \u00e9t\u00e9 \u4e2d\u6587 \U0001f600!!", "<|endoftext|", "\u0085a\x1c b"]
 
+#: A run of blanks for each of which tiktoken's pattern takes stack; it overflows at some hundred thousands.
+LONG_BLANKS = re.compile(r"\s{50000}")
+
 
 def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """The ids that ``tokenizers`` gives for the file at ``path``, in its default setting.
@@ -38,7 +42,7 @@ def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     A plain byte-level BPE, whose merges are its tokens in order, is run by
     tiktoken over the file's own vocabulary, which is several times as fast and
     gives the same ids.  Texts that hold an added token, such as an end mark,
-    and files of any other kind go to ``tokenizers``.
+    or a very long run of blanks, and files of any other kind go to ``tokenizers``.
     """
     tokenizer = Tokenizer.from_file(path)
 
@@ -61,8 +65,11 @@ def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     except (KeyError, TypeError, ValueError):
         return slow
 
+    def by_slow(text: str) -> bool:
+        return any(x in text for x in added) or LONG_BLANKS.search(text) is not None
+
     def mixed(texts: list[str]) -> list[list[int]]:
-        return [slow([t])[0] if any(x in t for x in added) else fast.encode_ordinary(t) for t in texts]
+        return [slow([t])[0] if by_slow(t) else fast.encode_ordinary(t) for t in texts]
 
     return mixed
 

@@ -188,3 +188,15 @@ def test_word_counts(spark):
     texts = [None, "", " ", "a", " a b ", "a\tb\nc\x0b\x0cd", "é f", "x  y"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mixing.word_count(F.col("t")).alias("n")).collect()
     assert [r.n for r in rows] == [0, 0, 0, 1, 2, 4, 1, 2]
+
+
+@pytest.mark.parametrize("scale", [10**7, 10**10])
+def test_mix_of_ten_trillion_tokens(scale):
+    lengths = np.array([7, 200, 1000, 20_000])
+    supply = np.array([12 * scale, scale, 1200 * scale // 1000, scale // 1000])
+    total = int((lengths * supply).sum())
+    for budget in (total // 2, total // 3 + 5):
+        counts = mixing.fit(lengths, supply, budget)
+        assert ((counts >= 0) & (counts <= supply)).all()
+        assert abs(int((counts * lengths).sum()) - budget) <= 1000
+        assert abs(counts / supply - budget / total).max() < 0.01

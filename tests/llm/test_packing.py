@@ -93,3 +93,9 @@ def test_query_digest(spark):
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id = 0").first().text
     ids = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0]
     assert row.ids_crc32 == zlib.crc32(struct.pack(f"<{row.length}I", *ids[: row.length])) and row.doc_tokens == len(ids)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "x " + " \t" * 600_000 + "y", " " * 400_000], ids=["blanks", "newlines", "letters", "mixed", "hard blanks"])
+def test_long_runs_have_the_ids_of_tokenizers(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encode([text, "a b"], path) == [e.ids for e in Tokenizer.from_file(path).encode_batch([text, "a b"], add_special_tokens=False)]
