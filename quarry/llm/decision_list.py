@@ -258,9 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     more than ``rows`` times over are cut at ``rows`` in all.
     """
     found = statistics(labelled_sample(docs.select(id_column, text), labels, id_column, label, rows, seed), text)
-    if unless is not None:
-        found = found.where(~unless)
-    ordered = found.select("_label", *[feature(n).alias(n) for n in FEATURES]).orderBy(F.xxhash64(F.lit(seed), "_label", *FEATURES), *FEATURES).limit(rows).collect()
+    # left out in the driver: as a filter it would go below the join, and count the words of all documents
+    out = (F.lit(False) if unless is None else unless).alias("_out")
+    ordered = found.select("_label", out, *[feature(n).alias(n) for n in FEATURES]).orderBy(F.xxhash64(F.lit(seed), "_label", *FEATURES), *FEATURES).limit(rows).collect()
+    ordered = [r for r in ordered if not r["_out"]]
     poor = np.array([r["_label"] == 0 for r in ordered], bool)
     return learn({n: np.array([r[n] for r in ordered], np.float64) for n in FEATURES}, poor, seed)
 
