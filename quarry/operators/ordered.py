@@ -1,30 +1,83 @@
-"""Order-sensitive operators: ordinals, running maxima, islands, flags, latest and first rows."""
+"""Order-sensitive operators: ordinals, running maxima, islands, flags, latest and first rows.
+
+What runs over the rows of a key in their order is one window, as long as no key
+has more than ``HOT_ROWS`` rows.  Beyond that it is a scan in two levels: rows
+are dealt by ranges of key and order, so that a key's rows lie in as many
+partitions as they fill; each range is scanned by itself, the totals of a key's
+ranges are scanned in turn, and what came before a range is added to its rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key that a single task may scan.
+HOT_ROWS = 1_000_000
+
+
+def hottest(df: DataFrame, keys: list[str]) -> int:
+    """How many rows the most frequent key has."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], name: str = "_range") -> DataFrame:
+    """``df`` dealt by ranges of key and order, numbered in that order; written once, so that all readers see the same ranges."""
+    from quarry.sources.store import Store
+
+    store = Store.scratch(df.sparkSession)
+    store.rewrite("ranges", df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()))
+    return store.read("ranges")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, merge: Callable[[str], Column], both: Callable[[Column, Column], Column], name: str, upto: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``merge`` of ``value`` over a key's rows up to this one (``upto`` 0) or the one before it (-1).
+
+    ``both`` puts two results of ``merge`` together; null is that of no value.
+    Null keys are a key; rows equal in key and order come in any order.
+    """
+    valued = df.withColumn("_value", value)
+    if hottest(df, keys) <= hot_rows:
+        rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+        return valued.withColumn(name, merge("_value").over(rows)).drop("_value")
+    placed = in_ranges(valued, keys, order)
+    inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    totals = placed.groupBy("_range", *keys).agg(merge("_value").alias("_total"))
+    carried = totals.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], merge("_total").over(before).alias("_carried"))
+    scanned = placed.withColumn("_inside", merge("_value").over(inside))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    own, carry = F.col("_inside"), F.col("_carried")
+    result = F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(both(carry, own))
+    return scanned.join(carried, on).withColumn(name, result).select(*df.columns, name)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
 
-def sibling_ordinal(df: DataFrame, parent: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*parent).orderBy(*order)))
+def sibling_ordinal(df: DataFrame, parent: list[str], order: list[str], name: str = "ordinal", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Numbers the rows of each parent from 1."""
+    return running(df, parent, order, F.lit(1), F.sum, _plus, name, hot_rows=hot_rows).withColumn(name, F.col(name).cast("int"))
 
 
-def running_max_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "max_before") -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.max(value).over(before))
+def running_max_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "max_before", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The largest value of a key's earlier rows; null for the first."""
+    return running(df, keys, order, F.col(value), F.max, F.greatest, name, upto=-1, hot_rows=hot_rows)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Numbers runs of rows, each from a row for which ``starts`` holds; 0 before the first."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(starts.cast("long")).over(upto))
+    return running(df, keys, order, starts.cast("long"), F.sum, _plus, name, hot_rows=hot_rows)
 
 
-def flag_from(df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str = "seen") -> DataFrame:
+def flag_from(df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str = "seen", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Whether ``flag`` has held in this row or an earlier one."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.max(F.coalesce(flag, F.lit(False))).over(upto))
+    return running(df, keys, order, F.coalesce(flag, F.lit(False)), F.max, lambda a, b: a | b, name, hot_rows=hot_rows)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -699,6 +699,25 @@ def q_cache_misses(spark, sf_dir):
     return lookup.without(docs, lookup.by_ids(docs, t(spark, sf_dir, "labels"), "doc_id"), "request_sha").select("doc_id", "request_sha")
 
 
+# ---- a key that holds half of all rows
+
+_HALF = "(SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS user_id) FROM events)"
+
+
+@query(f"""SELECT event_id, row_number() OVER w AS ordinal, max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS max_before,
+CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island, bool_or(event_type = 'purchase') OVER (w ROWS UNBOUNDED PRECEDING) AS seen
+FROM {_HALF} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def q_hot_key_windows(spark, sf_dir):
+    """Scans in two levels, whatever the size, over events of which one user has half."""
+    events = t(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    keys, order = ["user_id"], ["ts", "event_id"]
+    out = ordered.sibling_ordinal(events, keys, order, hot_rows=0)
+    out = ordered.running_max_before(out, keys, order, "value", hot_rows=0)
+    out = ordered.islands(out, keys, order, F.col("event_type") == "signup", hot_rows=0)
+    out = ordered.flag_from(out, keys, order, F.col("event_type") == "purchase", hot_rows=0)
+    return out.select("event_id", F.col("ordinal").cast("long").alias("ordinal"), "max_before", "island", "seen")
+
+
 # ---- the stored inverted index
 
 
