@@ -320,6 +320,15 @@ def q_cosine_topk(spark, sf_dir):
     return search.cosine(_asked(vectors), vectors, k=10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
+@query(ORACLE["q_cosine_topk"])
+def q_vector_index_topk(spark, sf_dir):
+    """The same rows from an index of parts, of which those are skipped that cannot hold a near vector."""
+    from quarry.plans.vectors import VectorIndex
+
+    vectors = _vectors(spark, sf_dir).drop("label")
+    return VectorIndex.build(vectors).search(_asked(vectors), k=10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
 def _rrf_sql(filtered: bool) -> str:
     d = " WHERE ql = el" if filtered else ""
     s = " JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = id AND b.lang = a.lang" if filtered else ""
