@@ -33,28 +33,38 @@ def with_nothing_expected(measured: DataFrame, items: DataFrame, ks: tuple[int,
 
 
 def citation_accuracy(cited: DataFrame, expected: DataFrame, items: DataFrame) -> DataFrame:
-    """(item, cited, right, accuracy): the share of an item's distinct citations that lie within what it expects; null without any.
+    """(item, cited, right, accuracy): the share of an item's citations that lie within what it expects; 0.0 without any, for an answer must cite.
 
-    cited: item, cited; expected: item, expected.  Wordings do not matter.  A
+    cited: item, cited; expected: item, expected.  Each citation counts, also
+    where two name one provision; null ones do not.  Wordings do not matter.  A
     citation lies within an expected provision if that is one of the ids that
     stand above it, so this is a join on ids, of which each has a few above it.
     """
-    own = cited.select("item", without_versions(F.col("cited")).alias("cited")).where("cited IS NOT NULL").distinct()
+    own = cited.select("item", without_versions(F.col("cited")).alias("cited")).where("cited IS NOT NULL").groupBy("item", "cited").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("cited", "_")
-    above = own.select("item", "cited", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("expected"))
-    right = above.join(expected.select("item", without_versions(F.col("expected")).alias("expected")).distinct(), ["item", "expected"], "left_semi").select("item", "cited").distinct()
-    counts = lambda df, name: df.groupBy("item").agg(F.count(F.lit(1)).alias(name))
+    above = own.select("item", "cited", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))).alias("expected"))
+    right = above.join(expected.select("item", without_versions(F.col("expected")).alias("expected")).distinct(), ["item", "expected"], "left_semi").select("item", "cited", "n").distinct()
+    counts = lambda df, name: df.groupBy("item").agg(F.sum("n").alias(name))
     both = items.select("item").distinct().join(counts(own, "cited"), "item", "left").join(counts(right, "right"), "item", "left").na.fill(0, ["cited", "right"])
-    return both.withColumn("accuracy", F.round(F.col("right") / F.nullif(F.col("cited"), F.lit(0)), 6))
+    return both.withColumn("accuracy", F.coalesce(F.round(F.col("right") / F.nullif(F.col("cited"), F.lit(0)), 6), F.lit(0.0)))
+
+
+def rates(items: DataFrame, group: list[str], measures: dict[str, tuple[Column, Column]], empty: dict[str, float | None] | None = None) -> DataFrame:
+    """(group..., items, measures...): for each measure (among, of) the mean of ``of`` over the rows for which ``among`` holds, in one pass.
+
+    Where no row counts, a measure is what ``empty`` says, 0.0 if it says nothing.
+    """
+    unset = empty or {}
+    mean = lambda name, among, of: F.round(F.coalesce(F.avg(F.when(among, of.cast("double"))), F.lit(unset.get(name, 0.0)).cast("double")), 6).alias(name)
+    return items.groupBy(*group).agg(F.count(F.lit(1)).alias("items"), *[mean(n, *m) for n, m in measures.items()])
 
 
 def abstention(items: DataFrame, group: list[str] = []) -> DataFrame:  # noqa: B006
-    """How answers abstain (abstained boolean) where they should (should boolean): rates by ``group``, null where nothing counts."""
-    rate = lambda among, c: F.round(F.avg(F.when(among, c.cast("double"))), 6)
+    """How answers abstain (abstained boolean) where they should (should boolean): rates by ``group``, 0.0 where nothing counts."""
     should, did = F.col("should"), F.col("abstained")
-    return items.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("items"), F.sum(should.cast("long")).alias("unanswerable"), rate(should, did).alias("abstained_rightly"), rate(~should, did).alias("abstained_wrongly"), F.round(F.avg((should == did).cast("double")), 6).alias("agreement")
-    )
+    measures = {"abstained_rightly": (should, did), "abstained_wrongly": (~should, did), "agreement": (F.lit(True), should == did), "_share": (F.lit(True), should)}
+    found = rates(items, group, measures)
+    return found.withColumn("unanswerable", F.round(F.col("_share") * F.col("items")).cast("long")).select(*group, "items", "unanswerable", "abstained_rightly", "abstained_wrongly", "agreement")
 
 
 def differences(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

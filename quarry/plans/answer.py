@@ -129,7 +129,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes:
     fused = search.fuse([dense, sparse], settings.search_k)
     hydrated = fused.join(chunks.select(F.col("chunk_no").alias("id"), "norm_urn", "path", F.col("text").alias("passage")), "id")
     ask = asked_at.select("query_id", "date", F.col("text").alias("question"))
-    score = search.overlap_score(F.col("question"), F.col("passage")) if settings.rerank else F.lit(None)
+    score = F.lit(None)
+    if settings.rerank:  # a reranker reads where a passage is from, too
+        hydrated = hydrated.join(naming.full_labels(nodes), ["norm_urn", "path"], "left")
+        score = search.overlap_score(F.col("question"), search.rerank_text(F.col("full_label"), F.col("passage")))
     ranked = search.rerank(hydrated.join(ask, "query_id"), score, settings.final_k * 2)
     out = expand.expand(ranked.select("query_id", "date", "norm_urn", "path", "rank", "score", "rerank_score"), nodes, F.col("date"), settings.level, settings.max_chars)
     return out.where(F.col("rank") <= settings.final_k)
@@ -150,38 +153,65 @@ def cited(answers: DataFrame, passages: DataFrame, lines: DataFrame) -> DataFram
     return cite.resolve(quotes, known, lines)
 
 
-def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: str, cache: DataFrame | None = None) -> DataFrame:
-    """(query_id, request_sha, answer, abstention, quotes): one row for each question.
+def with_names(citations: DataFrame, nodes: DataFrame, norms: DataFrame) -> DataFrame:
+    """Citations (id, ...) with full_label and source_url of the provision that is cited, which may lie inside the passage; null for an unknown id."""
+    places = nodes.select(F.col("id"), "norm_urn", "path").join(naming.full_labels(nodes), ["norm_urn", "path"])
+    named = naming.with_source_url(places.select("id", "norm_urn", "full_label"), norms).select("id", "full_label", "source_url")
+    return citations.join(named, "id", "left")
 
-    Passages with the columns of ``with_context`` tell the backend their title
-    and source.  A question without passages is answered without the backend; requests in
-    ``cache`` (request_sha, answer, quotes) are not sent again.
+
+DOCUMENT = "struct<ref: string, title: string, context: string, text: string>"
+
+
+def requests(questions: DataFrame, passages: DataFrame, backend: Backend, date: str | None = None) -> DataFrame:
+    """(query_id, question, system, documents, request_sha, characters): what would be sent for each question, at its own date (a column) or at one.
+
+    A question without passages has no request_sha: nothing is sent for it.
     """
-    system = system_prompt(date, backend.native_citations)
     title, context = F.lit(""), F.lit("")
     if {"provision_id", "full_label", "source_url"} <= set(passages.columns):
         title, context = F.coalesce("full_label", F.lit("")), F.concat(F.lit("fonte: "), F.coalesce("source_url", F.lit("")), F.lit(" | id: "), F.coalesce("provision_id", F.lit("")))
     docs = F.sort_array(F.collect_list(F.struct("rank", cite.ref(F.col("rank")).alias("ref"), title.alias("title"), context.alias("context"), "text")))
-    asked = questions.select("query_id", F.col("text").alias("question")).join(passages.groupBy("query_id").agg(docs.alias("documents")), "query_id", "left")
-    kind = "request_sha string, answer string, quotes array<struct<ref: string, quoted: string, from: long, to: long>>"
+    day = (F.col("date") if date is None else F.lit(date)).cast("string").alias("day")
+    asked = questions.select("query_id", F.col("text").alias("question"), day).join(passages.groupBy("query_id").agg(docs.alias("documents")), "query_id", "left")
+    native = backend.native_citations
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bodies = [[{k: d[k] for k in ("ref", "title", "context", "text")} for d in ds] if ds is not None else [] for ds in batch["documents"]]
-            shas = [request_key(system, b, q) if b else None for b, q in zip(bodies, batch["question"], strict=True)]
-            yield batch.assign(documents=bodies, request_sha=shas)
+            systems = [system_prompt(day, native) for day in batch["day"]]
+            shas = [request_key(y, b, q) if b else None for y, b, q in zip(systems, bodies, batch["question"], strict=True)]
+            sizes = [len(y) + len(q) + sum(len(v) for d in b for v in d.values()) for y, b, q in zip(systems, bodies, batch["question"], strict=True)]
+            yield pd.DataFrame({"query_id": batch["query_id"], "question": batch["question"], "system": systems, "documents": bodies, "request_sha": shas, "characters": sizes})
+
+    return asked.mapInPandas(keyed, f"query_id long, question string, system string, documents array<{DOCUMENT}>, request_sha string, characters long")
+
+
+def stored_by(cache: DataFrame, backend: Backend) -> DataFrame:
+    """What a cache (request_sha, backend, answer, quotes) has of one backend: answers of another are not its own."""
+    return cache.where(F.col("backend") == backend.name).select("request_sha", "answer", "quotes").dropDuplicates(["request_sha"])
+
+
+def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: str | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """(query_id, request_sha, backend, answer, abstention, quotes): one row for each question, answered at its own date or at one for all.
+
+    Passages with the columns of ``with_context`` tell the backend their title
+    and source.  A question without passages is answered without the backend; requests in
+    ``cache`` (request_sha, backend, answer, quotes) that this backend answered are not sent again.
+    """
+    kind = "request_sha string, answer string, quotes array<struct<ref: string, quoted: string, from: long, to: long>>"
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [backend.generate(system, list(d), q) for d, q in zip(batch["documents"], batch["question"], strict=True)]
+            made = [backend.generate(y, list(d), q) for y, d, q in zip(batch["system"], batch["documents"], batch["question"], strict=True)]
             yield pd.DataFrame({"request_sha": batch["request_sha"], "answer": [a for a, _ in made], "quotes": [q for _, q in made]})
 
-    requests = asked.mapInPandas(keyed, "query_id long, question string, documents array<struct<ref: string, title: string, context: string, text: string>>, request_sha string")
-    stored = cache.select("request_sha", "answer", "quotes") if cache is not None else None
-    payable = requests.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]) if stored is None else unanswered(requests, stored)
+    asked = requests(questions, passages, backend, date)
+    stored = stored_by(cache, backend) if cache is not None else None
+    payable = asked.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]) if stored is None else unanswered(asked, stored)
     made = payable.mapInPandas(sent, kind)
     known = made if stored is None else made.unionByName(stored)
-    both = requests.join(known, "request_sha", "left")
+    both = asked.join(known, "request_sha", "left")
     text = F.coalesce("answer", F.lit(NO_CANDIDATES))
     why = F.when(F.col("request_sha").isNull(), "no candidates").when(cite.abstains(text), "insufficient context")
-    return both.select("query_id", "request_sha", text.alias("answer"), why.alias("abstention"), "quotes")
+    return both.select("query_id", "request_sha", F.lit(backend.name).alias("backend"), text.alias("answer"), why.alias("abstention"), "quotes")

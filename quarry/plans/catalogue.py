@@ -493,11 +493,9 @@ def q_missing(spark, sf_dir):
 FROM documents d JOIN labels l USING (doc_id) GROUP BY d.lang""")
 def q_abstention_rates(spark, sf_dir):
     joined = t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(t(spark, sf_dir, "labels"), "doc_id")
-    rate = lambda c: F.round(F.avg(c), 6)
-    return joined.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), rate("toxic").alias("toxic_rate"), rate(F.when(F.col("toxic") == 0, F.col("quality"))).alias("quality_if_clean"),
-        F.round(F.coalesce(F.avg(F.when(F.col("n_chars") > 5000, F.col("toxic"))), F.lit(0.0)), 6).alias("long_toxic_rate"),
-    )
+    toxic, clean = F.col("toxic"), F.col("toxic") == 0
+    measures = {"toxic_rate": (F.lit(True), toxic), "quality_if_clean": (clean, F.col("quality")), "long_toxic_rate": (F.col("n_chars") > 5000, toxic)}
+    return evaluate.rates(joined, ["lang"], measures, {"quality_if_clean": None, "toxic_rate": None}).withColumnRenamed("items", "n")
 
 
 @query("""SELECT d.source, CAST(sum(floor(n_chars / 3.0)) AS BIGINT) AS tokens, CASE WHEN bool_or(p.price IS NULL) THEN NULL ELSE round(sum(floor(n_chars / 3.0) * p.price / 1000000), 9) END AS cost
@@ -512,6 +510,39 @@ def q_cost_null_poison(spark, sf_dir):
     return priced.groupBy(F.col("model").alias("source")).agg(F.sum("tokens").alias("tokens"), F.round(evaluate.total_or_null(evaluate.cost(F.col("tokens"), zero, zero, F.col("input_price"), F.col("output_price"))), 9).alias("cost"))
 
 
+@query(f"""WITH {_COSINE}, {_RANKED}, {_FOUND} SELECT CASE WHEN grouping(mechanism) = 1 THEN 'all' ELSE 'group' END AS level, mechanism, count(*) AS items,
+round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_20), 6) AS recall_20, round(avg(mrr), 6) AS mrr
+FROM measured JOIN (SELECT vec_id, 'm' || label AS mechanism FROM embeddings WHERE vec_id % 100 <> 0) ON vec_id = query_id GROUP BY GROUPING SETS ((), (mechanism))""")
+def q_gold_report(spark, sf_dir):
+    """A gold run over neighbours as passages: a neighbour shows a wording of its label; every fifth item is one to abstain from."""
+    from quarry.plans import gold_run
+
+    vectors = _vectors(spark, sf_dir)
+    label = lambda c: F.concat(F.lit("n!l"), c.cast("string"))
+    own = F.col("label")
+    asked = _asked(vectors).select("query_id", "vector", F.col("query_id").cast("string").alias("item"), F.concat(F.lit("m"), "label").alias("mechanism"), F.array(label(own), label((own + 1) % 10)).alias("expected"), (F.col("query_id") % 100 == 0).alias("should_abstain"))
+    near = search.cosine(asked.select("query_id", "vector"), vectors.drop("label"), k=20, same_id=False).join(vectors.select("id", "label"), "id")
+    passages = near.select("query_id", "rank", F.array(F.concat(label(own), F.lit("@2"))).alias("provisions"))
+    return gold_run.report(gold_run.measured(asked, passages))
+
+
+@query("""WITH each AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN sha256(coalesce(text, '')) END AS k, n_chars FROM documents), cache AS (SELECT DISTINCT k FROM each JOIN labels USING (doc_id) WHERE toxic = 0),
+once AS (SELECT k, any_value(n_chars) AS n FROM each WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM cache WHERE k IS NOT NULL) GROUP BY k)
+SELECT (SELECT count(*) FROM each) AS questions, (SELECT count(*) FROM each WHERE k IS NULL) AS no_candidates, (SELECT count(*) FROM each WHERE k IN (SELECT k FROM cache)) AS stored, count(*) AS payable,
+round(sum((floor(n / 3.0) * 3.0 + 500 * 15.0) / 1000000), 9) AS least_cost, round(sum((floor(n / 3.0) * 3.0 + 8192 * 15.0) / 1000000), 9) AS most_cost FROM once""")
+def q_cost_estimate(spark, sf_dir):
+    """Documents as requests, those of every tenth without passages; labelled clean ones were answered before, some by another backend."""
+    from quarry.plans import answer, gold_run
+
+    docs = t(spark, sf_dir, "documents")
+    key = F.when(F.col("doc_id") % 10 != 3, F.sha2(F.coalesce("text", F.lit("")), 256))
+    sent = docs.select(F.col("doc_id").alias("query_id"), key.alias("request_sha"), F.col("n_chars").alias("characters"))
+    labelled = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("toxic") == 0, F.lit("extractive")).otherwise("other").alias("backend"))
+    cache = sent.where("request_sha IS NOT NULL").join(labelled, "query_id").select("request_sha", "backend", F.lit("").alias("answer"), F.lit(None).cast("array<string>").alias("quotes"))
+    prices = spark.createDataFrame([("m", 3.0, 15.0)], "prefix string, input double, output double")
+    return gold_run.estimate(sent, cache, answer.Extractive(), "m-1", prices)
+
+
 # ---- labels, references and ids over texts that are put together from the tables
 
 _ART = "'Art. ' || CASE WHEN l_orderkey > 999 THEN format('{:,}', l_orderkey) ELSE CAST(l_orderkey AS VARCHAR) END"
@@ -599,16 +630,16 @@ def q_rows_with_defaults(spark, sf_dir):
 # ---- evaluation of answers
 
 
-@query("""SELECT lang, count(*) AS items, sum(toxic) AS unanswerable, round(avg(CASE WHEN toxic = 1 THEN CAST(quality = 0 AS INT) END), 6) AS abstained_rightly,
-round(avg(CASE WHEN toxic = 0 THEN CAST(quality = 0 AS INT) END), 6) AS abstained_wrongly, round(avg(CAST((toxic = 1) = (quality = 0) AS INT)), 6) AS agreement FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+@query("""SELECT lang, count(*) AS items, sum(toxic) AS unanswerable, coalesce(round(avg(CASE WHEN toxic = 1 THEN CAST(quality = 0 AS INT) END), 6), 0.0) AS abstained_rightly,
+coalesce(round(avg(CASE WHEN toxic = 0 THEN CAST(quality = 0 AS INT) END), 6), 0.0) AS abstained_wrongly, round(avg(CAST((toxic = 1) = (quality = 0) AS INT)), 6) AS agreement FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
 def q_abstention(spark, sf_dir):
     """Labels as items: toxic ones should not be answered, poor ones were not."""
     items = t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels"), "doc_id")
     return evaluate.abstention(items.select("lang", (F.col("toxic") == 1).alias("should"), (F.col("quality") == 0).alias("abstained")), ["lang"])
 
 
-@query("""WITH cited AS (SELECT DISTINCT o_custkey AS item, o_orderstatus || '_' || substr(o_orderpriority, 1, 1) AS c FROM orders)
-SELECT c_custkey AS item, count(c) AS cited, count(CASE WHEN substr(c, 1, 1) = 'F' OR c = 'O_1' THEN 1 END) AS "right", round(count(CASE WHEN substr(c, 1, 1) = 'F' OR c = 'O_1' THEN 1 END) / nullif(count(c), 0), 6) AS accuracy
+@query("""WITH cited AS (SELECT o_custkey AS item, o_orderstatus || '_' || substr(o_orderpriority, 1, 1) AS c FROM orders)
+SELECT c_custkey AS item, count(c) AS cited, count(CASE WHEN substr(c, 1, 1) = 'F' OR c = 'O_1' THEN 1 END) AS "right", coalesce(round(count(CASE WHEN substr(c, 1, 1) = 'F' OR c = 'O_1' THEN 1 END) / nullif(count(c), 0), 6), 0.0) AS accuracy
 FROM customer LEFT JOIN cited ON item = c_custkey GROUP BY c_custkey""")
 def q_citation_accuracy(spark, sf_dir):
     """Orders as citations of their customer: status and priority; all of F and O_1 are expected."""

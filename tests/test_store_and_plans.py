@@ -164,11 +164,21 @@ def test_questions_are_answered_at_their_date(spark, tmp_path):
     placed = answer.with_context(old, nodes, norms)
     shown = {r.query_id: r.answer for r in answer.answer(asked, placed, Watched(), "2010-01-01").collect()}
     assert f"fonte: {schema.CATALOGUE[0][3]} | id: {CF}!art6@2>" in shown[2] and 'title="Constituição Federal de 1988, Art. 6º"' in shown[2] and shown[2].endswith("moradia educação")
+    dated = answer.requests(asked.withColumn("date", F.when(F.col("query_id") == 1, "2010-01-01").otherwise("2011-02-03")), old, answer.Extractive()).collect()
+    assert {r.query_id: r.request_sha for r in dated}[1] == rows[1].request_sha != rows[2].request_sha and "2011-02-03" in {r.query_id: r.system for r in dated}[2]
     used = answer.cache_use(first, first.where("query_id = 1")).first()
     assert (used.requests, used.stored, used.sent) == (2, 1, 1)
 
     again = answer.answer(asked, old, Unused(), "2010-01-01", cache=first)
     assert {r.query_id: r.answer for r in again.collect()} == {k: r.answer for k, r in rows.items()}
+
+    class Other(answer.Extractive):
+        name = "other"
+
+        def generate(self, *_):
+            return "from another backend", []
+
+    assert {r.answer for r in answer.answer(asked, old, Other(), "2010-01-01", cache=first).collect()} == {"from another backend"}
     for bad in (("ab", "2020-01-01", 5), ("abc", None, 5), ("abc", "2020-01-01", 21)):
         with pytest.raises(ValueError):
             answer.check_question(*bad)
