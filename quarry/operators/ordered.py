@@ -101,3 +101,23 @@ def in_groups_joined(df: DataFrame, keys: list[str], order: list[str], text: str
     """Texts of each group joined in order."""
     items = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["_t"]), separator).alias(name))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Numbers all rows from 1 in one order: ranges of it give the partitions, counts of earlier ranges where each starts."""
+    placed = in_ranges(df, [], order)
+    inner = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    starts = placed.groupBy("_range").count().withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_range", "_from")
+    return inner.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_from") + F.col("_n")).cast("long").alias(name))
+
+
+def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], name: str = "position") -> DataFrame:
+    """The n-th row of one table beside the n-th of another, each in its own order; another number of rows is an error.
+
+    Rows equal in all of their order columns come in any order.  The tables have no column in common.
+    """
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"{n} rows cannot be put beside {m}")
+    return numbered(left, left_order, name).join(numbered(right, right_order, name), name)

@@ -144,16 +144,8 @@ UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey, n_regionkey, 1, n_na
 UNION ALL SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/c' || c_custkey, n_regionkey, 1, n_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def q_doc_order(spark, sf_dir):
     """Reading order: ranges of the key give the partitions, counts of earlier ones the start of each."""
-    from quarry.sources.store import Store
-
-    placed = tree.document_order(_tree(spark, sf_dir)).repartitionByRange("doc_key").sortWithinPartitions("doc_key")
-    store = Store.scratch(spark)  # ranges are written once: both readers below see the same
-    store.rewrite("order", placed.select("path", "doc_key", F.spark_partition_id().alias("_p")))
-    numbered = store.read("order")
-    inner = numbered.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("doc_key")))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
-    starts = numbered.groupBy("_p").count().withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_p", "_from")
-    return inner.join(F.broadcast(starts), "_p").select("path", (F.col("_from") + F.col("_n")).cast("long").alias("position"))
+    placed = tree.document_order(_tree(spark, sf_dir)).select("path", "doc_key")
+    return ordered.numbered(placed, ["doc_key"]).select("path", "position")
 
 
 _RICH = "c_mktsegment = 'BUILDING' AND c_acctbal > 9000"
@@ -739,6 +731,31 @@ def q_cache_misses(spark, sf_dir):
     return lookup.without(docs, lookup.by_ids(docs, t(spark, sf_dir, "labels"), "doc_id"), "request_sha").select("doc_id", "request_sha")
 
 
+@query("""WITH names AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 5 = 0),
+texts AS (SELECT p_partkey, p_name || ', Art. ' || p_size AS text FROM part),
+met AS (SELECT p_partkey, name FROM texts LEFT JOIN names ON starts_with(text, name || ' ') OR starts_with(text, name || ',') QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(name) DESC) = 1)
+SELECT p_partkey, 'urn:' || name AS found, CASE WHEN name IS NULL THEN 'no known name' END AS reason, trim(replace(replace(lower(substr(text, coalesce(length(name), 0) + 1)), ',', ''), '.', '')) AS rest FROM met JOIN texts USING (p_partkey)""")
+def q_names_at_start(spark, sf_dir):
+    """Labels that start with the name of a part: the longest known name, what follows it, or why there is none."""
+    part = t(spark, sf_dir, "part")
+    firsts = part.where("p_partkey % 2 = 0").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    names = firsts.unionByName(part.where("p_partkey % 5 = 0").select(F.col("p_name").alias("name"))).select("name", F.concat(F.lit("urn:"), "name").alias("urn"))
+    texts = part.select("p_partkey", F.concat("p_name", F.lit(", Art. "), "p_size").alias("text"))
+    return lookup.named_at_start(texts, names).select("p_partkey", "found", "reason", F.array_join("rest", " ").alias("rest"))
+
+
+@query("""SELECT position, o_orderkey, event_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders)
+JOIN (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events WHERE event_id < (SELECT count(*) FROM orders)) USING (position)""")
+def q_zipped(spark, sf_dir):
+    """The n-th dearest order beside the n-th event of as many."""
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("_price"))
+    n = orders.count()
+    events = t(spark, sf_dir, "events").where(F.col("event_id") < n).select("event_id", "ts")
+    held = ordered.numbered(events, ["ts", "event_id"]).where(F.col("position") <= n).drop("position")
+    firsts = orders if held.count() == n else ordered.numbered(orders, ["_price", "o_orderkey"]).where(F.col("position") <= held.count()).drop("position")
+    return ordered.zipped(firsts, held, ["_price", "o_orderkey"], ["ts", "event_id"]).select("position", "o_orderkey", "event_id")
+
+
 # ---- a key that holds half of all rows
 
 _HALF = "(SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS user_id) FROM events)"

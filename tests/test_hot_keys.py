@@ -37,3 +37,24 @@ def test_a_hot_key_is_spread(events):
     assert ordered.hottest(events, ["user"]) > 1400
     sizes = [r["count"] for r in ordered.in_ranges(events, ["user"], ["at", "id"]).groupBy("_range").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_rows_of_two_tables_side_by_side(spark, events):
+    left = events.where("value IS NOT NULL").select("id", "value")
+    right = left.select((-F.col("id")).alias("other"))
+    both = ordered.zipped(left, right, ["value", "id"], ["other"]).collect()
+    by_value, by_other = left.orderBy("value", "id").collect(), right.orderBy("other").collect()
+    assert sorted((r.position, r.id, r.other) for r in both) == [(i + 1, a.id, b.other) for i, (a, b) in enumerate(zip(by_value, by_other, strict=True))]
+    with pytest.raises(ValueError, match="beside"):
+        ordered.zipped(left, right.limit(5), ["value", "id"], ["other"])
+    assert ordered.zipped(left.limit(0), right.limit(0), ["value"], ["other"]).collect() == []
+
+
+def test_the_longest_name_at_the_start(spark):
+    from quarry.operators import lookup
+
+    names = spark.createDataFrame([("CDC", "urn:cdc"), ("Código Civil", "urn:cc"), ("código", "urn:c"), ("CC", "urn:b"), ("cc", "urn:a"), ("", "urn:none"), (None, "urn:null")], "name string, urn string")
+    texts = spark.createDataFrame([(1, "CODIGO CIVIL, art. 206"), (2, "Código de obras"), (3, "cc"), (4, "cdcx art. 1"), (5, ""), (6, None), (3, "cc")], "id int, text string")
+    got = sorted((r.id, r.found, " ".join(r.rest), r.reason) for r in lookup.named_at_start(texts, names).collect())
+    assert got == [(1, "urn:cc", "art 206", None), (2, "urn:c", "de obras", None), (3, "urn:a", "", None), (3, "urn:a", "", None), (4, None, "cdcx art 1", "no known name"), (5, None, "", "empty"), (6, None, "", "empty")]
+    assert {r.reason for r in lookup.named_at_start(texts, names.limit(0)).collect()} == {"no known name", "empty"}
