@@ -1,116 +1,100 @@
 """Documents to provisions: blocks, labels, the fold into a tree, validity, links.
 
-Blocks and labels are cut in parallel; the fold is order-dependent within one
-norm and runs there, norm by norm; validity, pruning and links are windows and
-joins again.
+Blocks and labels are cut row by row; the tree, its wordings, validity, pruning
+and links are windows and joins.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.labels import classify, parse_segment, plain, references, scan
-from quarry.functions.text import fragment_of, is_structural
+from quarry.functions.labels import classified, references
+from quarry.functions.text import fragment_of, is_structural, normalise
 from quarry.operators.temporal import validity
 from quarry.operators.tree import prune_empty
-from quarry.schema import BY_NAME, COMPONENT
+from quarry.schema import BY_NAME, COMPONENT, STRUCTURAL, VERSION
 from quarry.sources.html import blocks
 
 #: Fixed value: the heading of the transitional part, in plain letters.
 SECOND_PART = "ato das disposicoes constitucionais"
 
-NODES = "norm_urn string, pos int, path string, parent_path string, base_path string, type string, label string, text string, ordinal int, note string, action string, year int, struck boolean"
-
-
-def is_article_anchor(name: str) -> bool:
-    """Whether an anchor is that of an article: art12, art.12 and the like."""
-    tokens = [t for t in scan(name) if t.raw != "."]
-    return len(tokens) > 1 and tokens[0].plain == "art" and tokens[1].kind == "number" and tokens[1].begin <= 4
-
-
-class Fold:
-    """One norm's blocks, in order, to nodes."""
-
-    def __init__(self) -> None:
-        self.nodes: list[dict] = []
-        self.live: dict[str, dict] = {}
-        self.children: dict[str | None, int] = {}
-        self.stack: list[tuple[int, dict]] = []
-        self.root = ""
-        self.last_article = 0
-        self.current: dict | None = None
-
-    def _path(self, node: dict | None) -> str | None:
-        """Paths are put together at the end, so that marking a wording as superseded reaches all below it."""
-        if node is None:
-            return None
-        above = self._path(node["above"]) if node["above"] else node["root"]
-        return f"{above}/{node['segment']}" if above else node["segment"]
-
-    def _continue(self, text: str) -> None:
-        if self.current is not None and text:
-            self.current["text"] = f"{self.current['text']} {text}".strip()
-
-    def add(self, block: dict) -> None:
-        text = block["text"]
-        if plain(text).startswith(SECOND_PART) and self.last_article and not self.root:
-            self.root, self.stack, self.last_article = COMPONENT, [], 0
-            return
-        label = classify(text)
-        if label is None:
-            return self._continue(text)
-        if label.type == "artigo":
-            number = parse_segment(label.segment)[1]
-            if number < self.last_article and not any(is_article_anchor(a) for a in block["anchors"]):
-                return self._continue(text)  # prose that begins with "Art."
-            self.last_article = max(self.last_article, number)
-        level = BY_NAME[label.type].level
-        while self.stack and self.stack[-1][0] >= level:
-            self.stack.pop()
-        above = self.stack[-1][1] if self.stack else None
-        node = {**block, "type": label.type, "label": label.label, "text": label.text, "segment": label.segment, "above": above, "root": self.root}
-        path = self._path(node)
-        before = self.live.get(path)
-        if before is not None and BY_NAME[label.type].structural:
-            node = before  # a heading met again, as in a table of contents
-        else:
-            if before is not None:
-                version = sum(1 for n in self.nodes if n["base"] == path and "@" in n["segment"]) + 1
-                below = [n for n in self.nodes if self._path(n).startswith(path + "/")]
-                before["segment"] += f"@{version}"
-                for n in below:
-                    self.live[self._path(n)] = n
-            parent = id(above) if above else None
-            self.children[parent] = self.children.get(parent, 0) + 1
-            node |= {"ordinal": self.children[parent], "base": path}
-            self.nodes.append(node)
-            self.live = {p: n for p, n in self.live.items() if p != path and not p.startswith(path + "/")} if before is not None else self.live
-            self.live[path] = node
-        self.stack.append((level, node))
-        self.current = node
-
-    def rows(self, norm: str) -> list[dict]:
-        keep = ("pos", "type", "label", "text", "ordinal", "note", "action", "year", "struck")
-        return [{"norm_urn": norm, "path": self._path(n), "parent_path": self._path(n["above"]), "base_path": re.sub(r"@\d+$", "", self._path(n)), **{k: n[k] for k in keep}} for n in self.nodes]
+#: An anchor of an article: art12, art.12 and the like.
+ARTICLE_ANCHOR = "(?i)^art[. ]?[0-9]"
+LEVELS = sorted({k.level for k in BY_NAME.values()})
+
+
+def _placed(cut: DataFrame) -> DataFrame:
+    """Blocks with what they open: type, label, rest, segment, level (null: text that goes on), chain, whole and owner.
+
+    chain are the blocks (pos, segment) that are open above, the outermost
+    first: the last of each level, if none of an outer level came after it.
+    whole is the path that they spell, and owner the last block that opened anything.
+    """
+    rows = cut.withColumn("_l", classified(F.col("text"))).withColumns({"type": F.col("_l.type"), "segment": F.col("_l.segment")})
+    number = F.when(F.col("type") == "artigo", F.regexp_extract("segment", "^[a-z]+([0-9]+)", 1).cast("int"))
+    earlier = lambda *keys: Window.partitionBy("norm_urn", *keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # articles are numbered anew behind the first heading of the second part that follows an article
+    numbered = rows.withColumn("number", number)
+    heads = F.startswith(normalise(F.col("text")), F.lit(SECOND_PART)) & (F.max("number").over(earlier()) > 0)
+    turned = numbered.withColumn("_turn", F.min(F.when(heads, F.col("pos"))).over(Window.partitionBy("norm_urn")))
+    parts = turned.withColumn("second", F.coalesce(F.col("pos") > F.col("_turn"), F.lit(False))).where(F.col("_turn").isNull() | (F.col("pos") != F.col("_turn")))
+    # an article below one that was met before is prose, unless the page has an anchor for it
+    lower = (F.col("number") < F.max("number").over(earlier("second"))) & ~F.exists("anchors", lambda a: a.rlike(ARTICLE_ANCHOR))
+    level = F.create_map(*[F.lit(x) for k in BY_NAME.values() for x in (k.name, k.level)])[F.col("type")]
+    opens = parts.withColumn("level", F.when(F.coalesce(lower, F.lit(False)), F.lit(None)).otherwise(level))
+    last = {n: F.max(F.when(F.col("level") == n, F.struct("pos", "segment"))).over(earlier("second")) for n in LEVELS}
+    held = opens.withColumns({f"_last{n}": c for n, c in last.items()})
+    outer = lambda n: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"_last{m}.pos"), F.lit(-1)) for m in LEVELS if m < n])
+    open_above = [F.when((F.col(f"_last{n}.pos") > outer(n)) & (F.lit(n) < F.col("level")), F.col(f"_last{n}")) for n in LEVELS]
+    chain = F.filter(F.array(*open_above), lambda x: x.isNotNull())
+    spelt = held.withColumn("chain", chain).withColumn("owner", F.max(F.when(F.col("level").isNotNull(), F.col("pos"))).over(Window.partitionBy("norm_urn").orderBy("pos")))
+    whole = F.concat_ws("/", F.when(F.col("second"), F.lit(COMPONENT)), F.transform("chain", lambda x: x["segment"]), "segment")
+    return spelt.withColumn("whole", whole).drop(*[f"_last{n}" for n in LEVELS], "_turn", "number")
 
 
 def nodes(cut: DataFrame) -> DataFrame:
-    """Blocks (norm_urn, pos, text, struck, anchors, note, action, year) to tree nodes, superseded wordings marked @N."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state = Fold()
-        for block in group.sort_values("pos").to_dict("records"):
-            state.add(block | {"anchors": list(block["anchors"])})
-        columns = [c.strip().split(" ")[0] for c in NODES.split(",")]
-        out = pd.DataFrame(state.rows(group["norm_urn"].iloc[0]), columns=columns)
-        out["year"] = out["year"].astype("Int32")
-        return out
-
-    return cut.groupBy("norm_urn").applyInPandas(fold, NODES)
+    """Blocks (norm_urn, pos, text, struck, anchors, note, action, year) to tree nodes, superseded wordings marked @N.
+
+    All windows and joins.  A structural heading that is met again is the node
+    it was.  Of the blocks that open one segment below one node the last is the
+    current wording; each earlier one is marked with how many of its path were
+    superseded by then.  Text that opens nothing goes on in the node before it.
+    """
+    from quarry.sources.store import Store
+
+    store = Store.scratch(cut.sparkSession)
+    store.rewrite("placed", _placed(cut))  # written once: the joins below read it again and again
+    placed = store.read("placed")
+    opened = placed.where(F.col("level").isNotNull())
+    first = F.min("pos").over(Window.partitionBy("norm_urn", "whole"))
+    known = opened.withColumn("node", F.when(F.col("type").isin(*STRUCTURAL), first).otherwise(F.col("pos")))
+    ident = known.select("norm_urn", F.col("pos").alias("_at"), F.col("node").alias("_node"))
+    as_node = lambda rows, at, name: rows.join(ident.select("norm_urn", F.col("_at").alias(at), F.col("_node").alias(name)), ["norm_urn", at], "left")
+
+    own = known.where("node = pos").withColumn("_up", F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.transform("chain", lambda x: x["pos"])), -1))
+    below = as_node(own, "_up", "parent")
+    siblings = Window.partitionBy("norm_urn", "second", "parent", "segment").orderBy("pos")
+    worded = below.withColumn("_next", F.when(~F.col("type").isin(*STRUCTURAL), F.lead("pos").over(siblings)))
+    nth = F.row_number().over(Window.partitionBy("norm_urn", "whole", F.col("_next").isNotNull()).orderBy("_next"))
+    marked = worded.withColumn("final", F.when(F.col("_next").isNull(), F.col("segment")).otherwise(F.concat("segment", F.lit(VERSION), nth)))
+    ordered = marked.withColumn("ordinal", F.row_number().over(Window.partitionBy("norm_urn", "parent").orderBy("pos")))
+
+    above = as_node(ordered.select("norm_urn", "pos", F.posexplode("chain").alias("_n", "_a")).select("norm_urn", "pos", "_n", F.col("_a.pos").alias("_block")), "_block", "_of")
+    finals = ordered.select("norm_urn", F.col("pos").alias("_of"), "final")
+    spelt = above.join(finals, ["norm_urn", "_of"]).groupBy("norm_urn", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "final"))), lambda x: x["final"]).alias("_above"))
+    more = as_node(placed.where(F.col("level").isNull() & (F.col("text") != "")), "owner", "node").where(F.col("node").isNotNull())
+    gone_on = more.groupBy("norm_urn", F.col("node").alias("pos")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("_more"))
+
+    full = ordered.join(spelt, ["norm_urn", "pos"], "left").join(gone_on, ["norm_urn", "pos"], "left")
+    head = F.concat_ws("/", F.when(F.col("second"), F.lit(COMPONENT)), F.col("_above"))
+    under = lambda segment: F.when(head == "", F.col(segment)).otherwise(F.concat(head, F.lit("/"), segment))
+    text = F.when(F.col("_more").isNull(), F.col("_l.text")).otherwise(F.btrim(F.concat_ws(" ", "_l.text", "_more")))
+    return full.select(
+        "norm_urn", F.col("pos").cast("int").alias("pos"), under("final").alias("path"), F.when(F.size("chain") > 0, head).alias("parent_path"), under("segment").alias("base_path"),
+        "type", F.col("_l.label").alias("label"), text.alias("text"), F.col("ordinal").cast("int").alias("ordinal"), "note", "action", F.col("year").cast("int").alias("year"), "struck",
+    )
 
 
 def provisions(documents: DataFrame) -> DataFrame:
