@@ -97,6 +97,22 @@ def nodes(cut: DataFrame) -> DataFrame:
     )
 
 
+def warnings(cut: DataFrame) -> DataFrame:
+    """(norm_urn, pos, reason, text): blocks that the tree takes for something else than they look like.
+
+    An article whose number goes back is prose; a structural heading that is met
+    again opens nothing new; text before the first node belongs to none.
+    """
+    placed = _placed(cut)
+    first = F.min(F.when(F.col("type").isin(*STRUCTURAL), F.col("pos"))).over(Window.partitionBy("norm_urn", "whole", F.col("level").isNull()))
+    reason = (
+        F.when((F.col("type") == "artigo") & F.col("level").isNull(), "article number goes back")
+        .when(F.col("type").isin(*STRUCTURAL) & (F.col("pos") > first), "heading met again")
+        .when(F.col("level").isNull() & F.col("owner").isNull() & (F.col("text") != ""), "text before the first provision")
+    )
+    return placed.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("norm_urn", F.col("pos").cast("int").alias("pos"), "reason", "text")
+
+
 def provisions(documents: DataFrame) -> DataFrame:
     """Documents (norm_urn, published, html) to provisions as the store keeps them."""
     cut = blocks(documents.select("norm_urn", "html"), ["norm_urn"])

@@ -59,11 +59,21 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, r"^[a-z]+:/*", "/")
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
+def quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, urn, reason) of what ``load`` cannot give: documents without a record, records without a document, documents that differ from theirs."""
+    both = files(spark, folder).join(records(spark, folder), _plain(F.col("path")) == _plain(F.col("_path")), "full")
+    reason = F.when(F.col("_path").isNull(), "no record").when(F.col("path").isNull(), "no document").when(F.sha2("content", 256) != F.col("sha256"), "differs from its record")
+    return both.select(F.coalesce("path", "_path").alias("path"), "urn", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def load(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     """(urn, url, content, content_type, sha256, fetched_at) of documents with a record, in order of path.
 
-    A document that is not what its record says makes the read fail.
+    A document that is not what its record says makes the read fail; if
+    ``strict``, so does anything else that is in ``quarantine``.
     """
+    if strict and (found := quarantine(spark, folder).orderBy("path").first()):
+        raise DownloadFailed(f"{found['path']}: {found['reason']}")
     both = files(spark, folder).join(records(spark, folder), _plain(F.col("path")) == _plain(F.col("_path")))
     same = F.sha2("content", 256) == F.col("sha256")
     checked = F.when(same, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("document differs from its record: "), F.col("urn"))))

@@ -1,5 +1,6 @@
 """The tree of a norm from windows: wordings below superseded ones, headings met again, the second part, many blocks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.plans import parse
@@ -39,3 +40,31 @@ def test_a_norm_of_many_blocks(spark):
     cut = spark.range(n).select(F.lit("n").alias("norm_urn"), F.col("id").cast("int").alias("pos"), text.alias("text"), F.lit(False).alias("struck"), F.array().cast("array<string>").alias("anchors"), *[F.lit(None).cast(k).alias(c) for c, k in (("note", "string"), ("action", "string"), ("year", "int"))])
     found = parse.nodes(cut).agg(F.count(F.lit(1)), F.count_if(F.endswith("path", F.lit("/inc1@1"))), F.max("ordinal")).first()
     assert tuple(found) == (n, n // 3, n // 3)
+
+
+def test_warnings(spark):
+    blocks = ["before", "TÍTULO I", "Art. 2º a", "TÍTULO I", "Art. 1º cited", "goes on"]
+    cut = spark.createDataFrame([("n", at, b, False, [], None, None, None) for at, b in enumerate(blocks)], SCHEMA)
+    got = sorted((r.pos, r.reason) for r in parse.warnings(cut).collect())
+    assert got == [(0, "text before the first provision"), (3, "heading met again"), (4, "article number goes back")]
+
+
+def test_quarantine(spark, tmp_path):
+    from quarry import schema
+    from quarry.sources import raw
+
+    folder = f"file://{tmp_path}"
+    urns = [entry[0] for entry in schema.CATALOGUE]
+    for urn in urns:
+        raw.save(spark, folder, urn, "http://x", "text/html", b"text")
+    assert raw.quarantine(spark, folder).count() == 0 and raw.load(spark, folder, strict=True).count() == 3
+    names = [raw.file_name(u) + ".htm" for u in urns]
+    (tmp_path / "lost.htm").write_bytes(b"x")
+    for name in (names[0], names[1]):
+        (tmp_path / f".{name}.crc").unlink(missing_ok=True)
+    (tmp_path / names[0]).write_bytes(b"changed")
+    (tmp_path / names[1]).unlink()
+    got = {r.path.rpartition("/")[2]: (r.urn, r.reason) for r in raw.quarantine(spark, folder).collect()}
+    assert got == {"lost.htm": (None, "no record"), names[0]: (urns[0], "differs from its record"), names[1]: (urns[1], "no document")}
+    with pytest.raises(schema.DownloadFailed, match="record|document"):
+        raw.load(spark, folder, strict=True)
