@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,6 +184,50 @@ def model_scorer(score: Callable[[list[str], list[str]], list[float]], batch: in
     return run
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """A model that turns texts into vectors, documents and queries each in their own way.
+
+    Texts of a task are taken ``window`` at a time, sorted by length and given
+    to the model ``batch`` at a time, so that a batch has texts of about one
+    length; vectors come back in the order of their rows.  A null text has no vector.
+    """
+
+    name: str
+    dimension: int
+    documents: Callable[[list[str]], np.ndarray]
+    queries: Callable[[list[str]], np.ndarray]
+    window: int = 512
+    batch: int = 32
+
+    def document(self, text: str | Column) -> Column:
+        return self._column(self.documents)(text)
+
+    def query(self, text: str | Column) -> Column:
+        return self._column(self.queries)(text)
+
+    def _column(self, encode: Callable[[list[str]], np.ndarray]):
+        window, batch, dimension = self.window, self.batch, self.dimension
+
+        @F.pandas_udf("array<float>")
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in texts:
+                rows, out = part.tolist(), [None] * len(part)
+                known = [i for i, x in enumerate(rows) if x is not None]
+                for at in range(0, len(known), window):
+                    order = sorted(known[at : at + window], key=lambda i: -len(rows[i]))
+                    for start in range(0, len(order), batch):
+                        some = order[start : start + batch]
+                        found = np.asarray(encode([rows[i] for i in some]), np.float32)
+                        if found.shape != (len(some), dimension):
+                            raise ValueError(f"the model gave {found.shape} for {len(some)} texts of dimension {dimension}")
+                        for i, v in zip(some, found, strict=True):
+                            out[i] = v.tolist()
+                yield pd.Series(out, dtype=object)
+
+        return run
+
+
 def hashed_encoder(dimension: int = 64):
     """A deterministic text encoder for tests and offline use: hashed words, signed and normalised."""
 
