@@ -12,10 +12,12 @@ from quarry.plans.parse import links, provisions
 from quarry.sources.store import Store
 
 
-def replace_batch(store: Store) -> Callable[[DataFrame, int], None]:
+def replace_batch(store: Store, described: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Writes a batch of documents (norm_urn, published, html, at); the latest of a norm counts.
 
     A batch that runs again writes the same rows to the same partitions.
+    ``described`` makes rows of the table of norms from the batch.  The log has
+    the hash of the text, or that of the raw document if the batch has one (sha256).
     """
 
     def run(batch: DataFrame, _: int) -> None:
@@ -26,11 +28,14 @@ def replace_batch(store: Store) -> Callable[[DataFrame, int], None]:
                 return
             norms, own = latest.select("norm_urn"), provisions(latest)
             with store.commit() as changes:  # a reader sees the whole batch or nothing of it
+                if described:
+                    changes.upsert("norm", described(latest), ["urn"])
                 changes.put_provisions(own, norms)
                 kept = changes.read("provision").join(norms, "norm_urn", "left_semi")
                 changes.put_links(links(kept).withColumns({"target_id": F.lit(None).cast("string"), "resolved": F.lit(False)}).select("origin_id", "target_urn", "target_id", "original_text", "resolved"))
                 changes.resolve_pending()
-                changes.log(latest.select("norm_urn", F.sha2("html", 256).alias("source_sha256"), F.col("at").cast("timestamp").alias("at")))
+                digest = F.col("sha256") if "sha256" in batch.columns else F.sha2("html", 256)
+                changes.log(latest.select("norm_urn", digest.alias("source_sha256"), F.col("at").cast("timestamp").alias("at")))
         finally:
             latest.unpersist()
 
