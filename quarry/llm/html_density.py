@@ -2,10 +2,12 @@
 
 For every DOM node: characters per tag, adjusted by how much of its text is in
 links; then the sum of its children's densities.  The subtree of the largest
-sum is content, and so is the best subtree of any node as dense as the thinnest
-node on the way from the body to it.  Nothing but the densities chooses between
-elements; what is never article text, which they cannot know (scripts, forms,
-menus, notices, comments of readers, ...), is taken out of the tree first.
+sum is content; the thinnest node on the way from the body to it sets a
+threshold.  Another subtree joins if it is as dense and its own sum is near the
+largest.  Only what is no text of a page at all (scripts, form controls, hidden
+elements, ...) is taken out of the tree; elements and names that tell of menus,
+notices, comments and the like lower the density of a block, no more: it stays
+if it is as dense as the threshold, or its sum near the largest, even so.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +27,15 @@ from .common import text_bytes
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-#: Elements that are no article text wherever they stand.
-DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math form button select textarea input fieldset dialog nav footer aside menu audio video map noembed noframes title".split())
+#: Elements that are no text of a page.
+DROPPED = frozenset("head script style noscript template iframe object embed svg canvas math form button select textarea input fieldset dialog audio video map noembed noframes title".split())
+#: Elements that surround an article as a rule.
+AROUND = frozenset("nav footer aside menu".split())
+#: What remains of the density of text in blocks that tell by element, role or name that they surround an article.
+LOWERED = 0.02
+#: The share of the largest sum that another subtree needs.
+NEAR = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
 #: Words of class and id names that mark what surrounds an article.
 NAMES = frozenset(
@@ -48,7 +58,7 @@ ENDS = {
 }
 
 TOKEN = re.compile(
-    r"<!--(?P<note>.*?)(?:-->|\Z)|<[!?](?P<decl>[^>]*)>"
+    r"<!--(?:-?>|(?P<note>.*?)(?:--!?>|\Z))|<[!?](?P<decl>[^>]*)>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[\"'])*+)>",
     re.S,
 )
@@ -56,37 +66,37 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORD = re.compile(r"[a-z]+")
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    """Whether an element is none of the article by its name, role, class or id, or is hidden."""
+def _judged(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is no text of the page (by its name, or hidden), and whether it tells that it surrounds an article."""
     if tag in DROPPED:
-        return True
-    if not attrs or tag in KEPT and "hidden" not in attrs:
-        return False
+        return True, False
+    if not attrs:
+        return False, tag in AROUND
     names = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attrs)}
-    if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower():
-        return True
-    if names.get("role", "").lower() in ROLES:
-        return True
-    return not NAMES.isdisjoint(WORD.findall(f"{names.get('class', '')} {names.get('id', '')}".lower()))
+    hidden = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
+    told = names.get("role", "").lower() in ROLES or not NAMES.isdisjoint(WORD.findall(f"{names.get('class', '')} {names.get('id', '')}".lower()))
+    return hidden, tag in AROUND or told and tag not in KEPT
 
 
 class Tree:
     """DOM nodes in page order: a node's subtree is the range up to its ``end``."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.end, self.drop = ["html"], [0], [0], [False]
+        self.tag, self.parent, self.end, self.drop, self.told = ["html"], [0], [0], [False], [False]
         self.pieces: list[tuple[int, str]] = []
 
-    def open(self, tag: str, parent: int, drop: bool) -> int:
+    def open(self, tag: str, parent: int, drop: bool, told: bool) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.end.append(0)
         self.drop.append(drop)
+        self.told.append(told)
         return len(self.tag) - 1
 
 
 def parse(page: str) -> Tree:
     tree, stack, at = Tree(), [0], 0
+    opened: Counter[str] = Counter()  # open elements by name: no walk up the stack for what is not there
 
     def text(part: str) -> None:
         if part:
@@ -95,11 +105,14 @@ def parse(page: str) -> Tree:
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
+            opened[tree.tag[node]] -= 1
             tree.end[node] = len(tree.tag)
             if tree.tag[node] not in INLINE:
                 tree.pieces.append((stack[-1] if stack else 0, " "))
 
     def end_open(closed: frozenset, scope: frozenset) -> None:
+        if not any(opened[t] for t in closed):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = tree.tag[stack[depth]]
             if tag in closed:
@@ -115,14 +128,14 @@ def parse(page: str) -> Tree:
             continue
         tag = match["tag"].lower()
         if match["close"]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if tree.tag[stack[depth]] == tag:
                     pop_to(depth)
                     break
                 if tag in INLINE and tree.tag[stack[depth]] not in INLINE:
                     break
             continue
-        if tag in ("html", "body") and any(tree.tag[n] == tag for n in stack):
+        if tag == "html" or tag == "body" and opened[tag]:
             continue
         if tag in ENDS_P:
             end_open(frozenset(["p"]), SCOPE)
@@ -130,7 +143,7 @@ def parse(page: str) -> Tree:
             end_open(*ENDS[tag])
         if tag not in INLINE:
             tree.pieces.append((stack[-1], " "))
-        node = tree.open(tag, stack[-1], _unwanted(tag, match["attrs"]))
+        node = tree.open(tag, stack[-1], *_judged(tag, match["attrs"]))
         if tag in VOID:
             tree.end[node] = node + 1
         elif tag in RAW:
@@ -139,30 +152,34 @@ def parse(page: str) -> Tree:
             tree.end[node] = node + 1
         else:
             stack.append(node)
+            opened[tag] += 1
     text(page[at:])
     pop_to(0)
     return tree
 
 
 def _dropped(tree: Tree) -> list[bool]:
-    """Nodes outside the article by rule; a named wrapper that holds the article itself stays."""
-    n, inside = len(tree.tag), [False] * len(tree.tag)
-    holds = [False] * n
+    """Nodes that are no text of the page, with all below them."""
+    gone = [False] * len(tree.tag)
+    for node in range(1, len(gone)):
+        gone[node] = gone[tree.parent[node]] or tree.drop[node]
+    return gone
+
+
+def _around(tree: Tree) -> list[bool]:
+    """Nodes that tell that they surround an article; what lies in one of them is not marked by itself."""
+    n = len(tree.tag)
+    holds, in_article, out = [False] * n, [False] * n, [False] * n
     for node in range(n - 1, 0, -1):
-        if holds[node] or tree.tag[node] in ("article", "main") and not tree.drop[node]:
+        if holds[node] or tree.tag[node] in ("article", "main"):
             holds[tree.parent[node]] = True
-    in_article = [False] * n
     for node in range(1, n):
         up, tag = tree.parent[node], tree.tag[node]
         in_article[node] = in_article[up] or tag in ("article", "main")
-        by_rule = tree.drop[node] and (tag in DROPPED or not holds[node])
-        # a page header goes; of an article's own header the headings stay
-        if tag == "header" and not holds[node]:
-            by_rule = by_rule or not in_article[node]
-        elif tree.tag[up] == "header" and in_article[node] and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"):
-            by_rule = True
-        inside[node] = inside[up] or by_rule
-    return inside
+        # a page's header surrounds the article; of an article's own header the headings belong to it
+        header = tag == "header" and not in_article[node] or tree.tag[up] == "header" and in_article[node] and tag not in HEADINGS
+        out[node] = (tree.told[node] or header) and not holds[node]
+    return out
 
 
 def _boxes(tree: Tree) -> list[int]:
@@ -187,16 +204,18 @@ def composite(chars: int, tags: int, link_chars: int, link_tags: int, ratio: flo
 
 
 def densities(tree: Tree, gone: list[bool]) -> tuple[list[float], list[float]]:
-    """Composite density of every node, and the sum over its children."""
+    """Composite density of every node, and the sum over its children; both lowered by the share of text in what surrounds an article."""
     n, box = len(tree.tag), _boxes(tree)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
+    in_link, lowered, around, worth = [False] * n, [False] * n, _around(tree), [0.0] * n
     for node in range(1, n):
+        lowered[node] = lowered[tree.parent[node]] or around[node]
         in_link[node] = in_link[tree.parent[node]] or tree.tag[node] == "a"
     for node, piece in tree.pieces:
         if not gone[node]:
             size = len("".join(piece.split()))
             chars[box[node]] += size
+            worth[box[node]] += size * (LOWERED if lowered[node] else 1)
             if in_link[node]:
                 link_chars[box[node]] += size
     for node in range(n - 1, 0, -1):
@@ -204,6 +223,7 @@ def densities(tree: Tree, gone: list[bool]) -> tuple[list[float], list[float]]:
             continue
         up = box[tree.parent[node]]
         chars[up] += chars[node]
+        worth[up] += worth[node]
         tags[up] += tags[node] + 1
         link_chars[up] += link_chars[node]
         link_tags[up] += link_tags[node] + (tree.tag[node] == "a")
@@ -211,7 +231,7 @@ def densities(tree: Tree, gone: list[bool]) -> tuple[list[float], list[float]]:
     density, total = [0.0] * n, [0.0] * n
     for node in range(n):
         if chars[node] and not gone[node]:
-            density[node] = composite(chars[node], tags[node], link_chars[node], link_tags[node], ratio)
+            density[node] = composite(chars[node], tags[node], link_chars[node], link_tags[node], ratio) * (worth[node] / chars[node])
     for node in range(1, n):
         if box[node] == node:
             total[box[tree.parent[node]]] += density[node]
@@ -222,9 +242,10 @@ def choose(tree: Tree, gone: list[bool], density: list[float], total: list[float
     """A mark for every node that the densities take.
 
     The subtree of the largest sum is content.  The thinnest node on the way
-    from the body to it sets a threshold, and of every other node at least as
-    dense the subtree of its largest sum is content too.  Of equal sums the
-    outermost, then the first in page order, wins.
+    from the body to it sets a threshold.  Of any other node as dense the subtree
+    of its largest sum joins if that sum is near the largest, if the node lies in
+    the same article element, or if it is a heading in a block on that way.  Of
+    equal sums the outermost, then the first in page order, wins.
     """
     n = len(tree.tag)
     best = list(range(n))
@@ -240,19 +261,28 @@ def choose(tree: Tree, gone: list[bool], density: list[float], total: list[float
     upto = next((i for i, x in enumerate(path) if tree.tag[x] == "body"), len(path) - 1)
     box = _boxes(tree)
     threshold = min(density[x] for x in path[: upto + 1] if box[x] == x)
+    near, way = NEAR * total[best[0]], set(path[:upto])
+    own = next((x for x in path[:upto] if tree.tag[x] in ("article", "main")), None)
+    inside = range(own, tree.end[own] or n) if own is not None else range(0)
     marked = bytearray(n)
+
+    def mark(node: int, value: int) -> None:
+        begin, end = node, tree.end[node] or n
+        marked[begin:end] = bytes([value]) * (end - begin)
+
+    mark(best[0], 1)
     for node in range(n):
-        if density[node] > 0 and density[node] >= threshold and not marked[node]:
-            begin, end = best[node], tree.end[best[node]] or n
-            marked[begin:end] = b"\1" * (end - begin)
-    # a block of nothing but links (density 0, two or more of them) is a menu, wherever it stands
-    links = [0] * n
+        if density[node] > 0 and density[node] >= threshold and not marked[node] and not marked[best[node]]:
+            if total[best[node]] >= near or node in inside or tree.tag[node] in HEADINGS and tree.parent[node] in way:
+                mark(best[node], 1)
+    # what surrounds an article stays only if it is as dense or its sum is near, and a block of nothing but links (density 0, two or more of them) is a menu
+    links, around = [0] * n, _around(tree)
     for node in range(n - 1, 0, -1):
         links[tree.parent[node]] += links[node] + (tree.tag[node] == "a")
     for node in range(1, n):
-        if marked[node] and box[node] == node and density[node] == 0 and links[node] > 1:
-            begin, end = node, tree.end[node] or n
-            marked[begin:end] = bytes(end - begin)
+        thin = around[node] and density[box[node]] < threshold and total[best[node]] < near
+        if marked[node] and (thin or box[node] == node and density[node] == 0 and links[node] > 1):
+            mark(node, 0)
     return marked
 
 
@@ -261,7 +291,7 @@ def main_text(page: str) -> str:
     tree = parse(page)
     gone = _dropped(tree)
     marked = choose(tree, gone, *densities(tree, gone))
-    return " ".join("".join(piece for node, piece in tree.pieces if marked[node] and not gone[node]).split())
+    return " ".join("".join(piece for node, piece in tree.pieces if piece == " " or marked[node] and not gone[node]).split())
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -200,3 +200,38 @@ def test_mix_of_ten_trillion_tokens(scale):
         assert ((counts >= 0) & (counts <= supply)).all()
         assert abs(int((counts * lengths).sum()) - budget) <= 1000
         assert abs(counts / supply - budget / total).max() < 0.01
+
+
+def test_densities_decide_on_given_pages(monkeypatch):
+    """With no name and no telling element left, the largest sum alone gives the article; with equal densities it does not."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    whole = [html_density.main_text(p) for p in pages]
+    for page, text in zip(pages, whole, strict=True):
+        assert text == html_density.main_text("<body>" + page[page.index("<article>") : page.index("</article>")])
+    monkeypatch.setattr(html_density, "NAMES", frozenset())
+    bare = [re.sub(r"<(/?)(?:nav|footer|aside|header|article|main)\b", r"<\1div", p) for p in pages]
+    assert sum(html_density.main_text(b) == t for b, t in zip(bare, whole, strict=True)) >= 0.98 * len(pages)
+    monkeypatch.setattr(html_density, "composite", lambda *_: 1.0)
+    assert sum(html_density.main_text(b) == t for b, t in zip(bare, whole, strict=True)) < 0.5 * len(pages)
+
+
+def test_names_do_not_take_an_article_away():
+    text = " ".join(["This is one sentence of the text."] * 50)
+    menu, end = "<nav><ul><li><a href=/>x</a><li><a href=/y>y</a></ul></nav>", "<footer>&copy; site, all rights reserved</footer>"
+    assert html_density.main_text(f'<body>{menu}<div class="share"><p>{text}</p></div><footer>c</footer></body>') == text
+    assert html_density.main_text(f'<body>{menu}<div id="related-work"><h1>Title</h1><p>{text}</p><p>{text}</p></div>{end}</body>') == f"Title {text} {text}"
+    readers = '<section id="comments">' + "<div class=comment><p>A reader says here at some length what they think of it.</p></div>" * 30 + "</section>"
+    for page in (f"<article><h1>Title</h1><p>{text}</p>{readers}</article>", f"<article><h1>Title</h1><p>{text}</p></article>{readers}", f"<div class=page><div><h1>Title</h1><p>{text}</p></div>{readers}</div>"):
+        assert html_density.main_text(f"<body>{menu}{page}{end}</body>") == f"Title {text}"
+    assert html_density.main_text(f"<body>{menu}<article><header><h1>Title</h1><p>By X</p></header><div><p>{text}</p><p>{text}</p></div></article>{end}</body>") == f"Title {text} {text}"
+
+
+def test_comments_and_depth():
+    assert html_density.main_text("<p>a</p><!--> b --><p>c</p>") == "a b --> c"
+    assert html_density.main_text("<p>a</p><!-- > b --!><p>c</p><!-- d") == "a c"
+    deep = "<div>" * 100_000 + "deep" + "</div></span></p>" * 1000
+    assert html_density.main_text(deep) == "deep"
