@@ -6,17 +6,18 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions.text import day_number, day_or_far
 from quarry.operators import cite, expand, lookup, naming, search
 from quarry.operators.temporal import in_force, search_filter
 from quarry.plans import terms
+from quarry.schema import BackendFailed
 from quarry.sources.store import Tables
 
 #: Limits of a request, and what is said without any candidate.
@@ -192,26 +193,60 @@ def stored_by(cache: DataFrame, backend: Backend) -> DataFrame:
     return cache.where(F.col("backend") == backend.name).select("request_sha", "answer", "quotes").dropDuplicates(["request_sha"])
 
 
-def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: str | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """(query_id, request_sha, backend, answer, abstention, quotes): one row for each question, answered at its own date or at one for all.
+@dataclass
+class Calls:
+    """Counters of one run of ``answer``, taken while its rows pass: no second scan.
+
+    They are there once an action on the answers has ended; use one for one run.
+    A task that runs again after its executor was lost may count its rows again.
+    """
+
+    asked: Observation = field(default_factory=Observation)
+    made: Observation = field(default_factory=Observation)
+
+    def counts(self) -> dict[str, int]:
+        """questions; no_candidates and stored among them; different requests that were sent; failed among these."""
+        asked, made = self.asked.get, self.made.get
+        return {n: int(found.get(n) or 0) for found, names in ((asked, ("questions", "no_candidates", "stored")), (made, ("sent", "failed"))) for n in names}
+
+
+def answer(questions: DataFrame, passages: DataFrame, backend: Backend, date: str | None = None, cache: DataFrame | None = None, calls: Calls | None = None, tolerant: bool = False) -> DataFrame:
+    """(query_id, request_sha, backend, answer, abstention, quotes, characters, paid): one row for each question, answered at its own date or at one for all.
 
     Passages with the columns of ``with_context`` tell the backend their title
     and source.  A question without passages is answered without the backend; requests in
     ``cache`` (request_sha, backend, answer, quotes) that this backend answered are not sent again.
+    paid says whether a question's request was sent (true), stored (false) or
+    neither (null).  A backend that fails ends the run; if ``tolerant``, its
+    question has a null answer and the abstention "failed".
     """
     kind = "request_sha string, answer string, quotes array<struct<ref: string, quoted: string, from: long, to: long>>"
 
+    def asked_of(system: str, documents: list[dict], question: str) -> tuple[str | None, list[dict]]:
+        try:
+            return backend.generate(system, documents, question)
+        except BackendFailed:
+            if not tolerant:
+                raise
+            return None, []
+
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [backend.generate(y, list(d), q) for y, d, q in zip(batch["system"], batch["documents"], batch["question"], strict=True)]
+            made = [asked_of(y, list(d), q) for y, d, q in zip(batch["system"], batch["documents"], batch["question"], strict=True)]
             yield pd.DataFrame({"request_sha": batch["request_sha"], "answer": [a for a, _ in made], "quotes": [q for _, q in made]})
 
     asked = requests(questions, passages, backend, date)
     stored = stored_by(cache, backend) if cache is not None else None
     payable = asked.where("request_sha IS NOT NULL").dropDuplicates(["request_sha"]) if stored is None else unanswered(asked, stored)
     made = payable.mapInPandas(sent, kind)
-    known = made if stored is None else made.unionByName(stored)
+    if calls:
+        made = made.observe(calls.made, F.count(F.lit(1)).alias("sent"), F.count_if(F.col("answer").isNull()).alias("failed"))
+    made = made.withColumn("paid", F.lit(True))
+    known = made if stored is None else made.unionByName(stored.withColumn("paid", F.lit(False)))
     both = asked.join(known, "request_sha", "left")
-    text = F.coalesce("answer", F.lit(NO_CANDIDATES))
-    why = F.when(F.col("request_sha").isNull(), "no candidates").when(cite.abstains(text), "insufficient context")
-    return both.select("query_id", "request_sha", F.lit(backend.name).alias("backend"), text.alias("answer"), why.alias("abstention"), "quotes")
+    none = F.col("request_sha").isNull()
+    text = F.when(none, F.lit(NO_CANDIDATES)).otherwise(F.col("answer"))
+    why = F.when(none, "no candidates").when(F.col("answer").isNull(), "failed").when(cite.abstains(text), "insufficient context")
+    if calls:
+        both = both.observe(calls.asked, F.count(F.lit(1)).alias("questions"), F.count_if(none).alias("no_candidates"), F.count_if(~F.col("paid")).alias("stored"))
+    return both.select("query_id", "request_sha", F.lit(backend.name).alias("backend"), text.alias("answer"), why.alias("abstention"), "quotes", "characters", "paid")

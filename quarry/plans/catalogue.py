@@ -713,6 +713,31 @@ def q_cache_use(spark, sf_dir):
     return cache_use(docs, lookup.by_ids(docs, t(spark, sf_dir, "labels"), "doc_id"))
 
 
+@query("""WITH d AS (SELECT d.source, d.lang, l.doc_id IS NOT NULL AS shown FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))
+SELECT count(*) AS questions, count(*) FILTER (NOT shown) AS no_candidates, count(*) FILTER (shown AND lang = 'en') AS stored,
+count(DISTINCT (source, lang)) FILTER (shown AND lang <> 'en') AS sent, count(DISTINCT (source, lang)) FILTER (shown AND lang <> 'en' AND ends_with(source, '1')) AS failed FROM d""")
+def q_answer_calls(spark, sf_dir):
+    """Documents ask by their source and are shown their language, if labelled; what is in English is stored, the backend fails for sources that end in 1.
+
+    The row is what was counted while the answers were made.
+    """
+    from quarry.plans import answer
+
+    class Failing(answer.Extractive):
+        def generate(self, system, documents, question):
+            if question.endswith("1"):
+                raise answer.BackendFailed(question)
+            return super().generate(system, documents, question)
+
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("text"), "lang")
+    shown = lookup.by_ids(docs, t(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id")), "query_id")
+    passages = lambda df: df.select("query_id", F.lit(1).alias("rank"), F.col("lang").alias("text"))
+    backend, calls, day, english = Failing(), answer.Calls(), "2024-01-01", shown.where("lang = 'en'")
+    cache = answer.answer(english, passages(english), answer.Extractive(), day).where("request_sha IS NOT NULL")
+    answer.answer(docs, passages(shown), backend, day, cache, calls, tolerant=True).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([calls.counts()], "questions long, no_candidates long, stored long, sent long, failed long")
+
+
 @query("""SELECT 'both' AS kind, key FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9900 INTERSECT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'only customers', key FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9900 EXCEPT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'either', key FROM (SELECT c_nationkey AS key FROM customer WHERE c_acctbal > 9900 UNION SELECT s_nationkey FROM supplier)""")

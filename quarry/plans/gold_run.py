@@ -68,20 +68,52 @@ def estimate(sent: DataFrame, cache: DataFrame, backend: Backend, model: str, pr
     return counts.crossJoin(F.broadcast(costs)).select("questions", "no_candidates", "stored", "payable", zero("least_cost"), zero("most_cost"))
 
 
+def needs_citations(backend: Backend) -> None:
+    """An error for a backend that does not cite by itself: citations read out of its text would measure the reading."""
+    if not backend.native_citations:
+        raise ValueError(f"{backend.name} does not cite by itself: its citations cannot be measured")
+
+
 def answers_measured(asked: DataFrame, answers: DataFrame, citations: DataFrame, backend: Backend) -> DataFrame:
-    """(items, answered, no_candidates, abstained_rightly, abstained_wrongly, accuracy) of answers, in one row.
+    """(items, answered, failed, no_candidates, abstained, abstained_rightly, abstained_wrongly, accuracy, uncited) of answers, in one row.
 
     citations: query_id, id.  Accuracy is the mean over items that were
-    answered and should be; it needs a backend that cites by itself, for
+    answered and should be, uncited the share of these without any citation; a
+    failed call is no abstention.  Accuracy needs a backend that cites by itself, for
     citations read out of a text would measure the reading.
     """
-    if not backend.native_citations:
-        raise ValueError(f"{backend.name} does not cite by itself: its citations cannot be measured")
+    needs_citations(backend)
     own = asked.join(answers.select("query_id", "abstention"), "query_id")
     cited = citations.join(asked.select("query_id", "item"), "query_id").select("item", F.col("id").alias("cited"))
     wanted = asked.select("item", F.explode("expected").alias("expected"))
-    accuracy = evaluate.citation_accuracy(cited, wanted, asked).select("item", "accuracy")
-    should, did = F.col("should_abstain"), F.col("abstention").isNotNull()
-    measures = {"answered": (F.lit(True), ~did), "no_candidates": (F.lit(True), F.col("abstention") == "no candidates"), "abstained_rightly": (should, did), "abstained_wrongly": (~should, did), "accuracy": (~should & ~did, F.col("accuracy"))}
-    measures["no_candidates"] = (F.lit(True), F.coalesce(measures["no_candidates"][1], F.lit(False)))
+    accuracy = evaluate.citation_accuracy(cited, wanted, asked).select("item", "accuracy", (F.col("cited") == 0).alias("bare"))
+    every, should, why = F.lit(True), F.col("should_abstain"), F.coalesce("abstention", F.lit(""))
+    did = ~why.isin("", "failed")
+    counted = ~should & (why == "")
+    measures = {
+        "answered": (every, why == ""), "failed": (every, why == "failed"), "no_candidates": (every, why == "no candidates"), "abstained": (every, did),
+        "abstained_rightly": (should, did), "abstained_wrongly": (~should, did), "accuracy": (counted, F.col("accuracy")), "uncited": (counted, F.col("bare")),
+    }
     return evaluate.rates(own.join(accuracy, "item"), [], measures)
+
+
+def end_to_end(asked: DataFrame, passages: DataFrame, lines: DataFrame, backend: Backend, model: str, prices: DataFrame, folder: str, cache: DataFrame | None = None, tolerant: bool = False) -> DataFrame:
+    """One row: the measures of ``answers_measured``, then questions, no_candidate_questions, stored, sent, failed_calls, and cost of what was sent.
+
+    Answers are made once and written to ``folder``, where they can serve as the
+    next run's cache; calls are counted while they are made.  The cost is null
+    if the model has no price, 0 if nothing was answered for pay.
+    """
+    needs_citations(backend)
+    spark, calls = asked.sparkSession, answer.Calls()
+    made = answer.answer(asked, passages, backend, cache=cache, calls=calls, tolerant=tolerant)
+    made.write.parquet(folder)
+    answers = spark.read.schema(made.schema).parquet(folder)
+    measures = answers_measured(asked, answers, answer.cited(answers, passages, lines), backend)
+    paid = answers.where("paid AND answer IS NOT NULL").dropDuplicates(["request_sha"]).withColumn("model", F.lit(model))
+    priced = evaluate.price(prices, paid.select("model", "characters", F.length("answer").alias("said")))
+    one = evaluate.cost(evaluate.estimated_tokens(F.col("characters")), F.lit(0), evaluate.estimated_output(F.col("said")), F.col("input_price"), F.col("output_price"))
+    costs = priced.agg(F.when(F.count(F.lit(1)) == 0, F.lit(0.0)).otherwise(F.round(evaluate.total_or_null(one), 9)).alias("cost"))
+    names = {"no_candidates": "no_candidate_questions", "failed": "failed_calls"}
+    counts = [F.lit(n).cast("long").alias(names.get(name, name)) for name, n in calls.counts().items()]
+    return measures.select("*", *counts).crossJoin(F.broadcast(costs))

@@ -80,3 +80,31 @@ def test_answers_are_measured(spark, world):
         gold_run.answers_measured(asked, answers, ids, Plain())
     named = {r.id: (r.full_label, r.source_url) for r in answer.with_names(spark.createDataFrame([("n!art2",), ("gone",)], "id string"), nodes, spark.createDataFrame([], schema.NORM)).collect()}
     assert named["n!art2"][0].endswith("Art. 2") and named["n!art2"][1] == "" and named["gone"] == (None, None)
+
+
+def test_a_run_counts_its_calls(spark, world, tmp_path):
+    asked, _, _, nodes, passages = world
+    prices = spark.createDataFrame([("m", 3.0, 15.0)], "prefix string, input double, output double")
+    lines = passages.select("query_id", F.concat(F.lit("D"), F.col("rank")).alias("ref"), F.element_at("provisions", 1).alias("id"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    shown, lines = (df.where(F.col("query_id") != F.xxhash64(F.lit("d"))) for df in (passages, lines))
+
+    class Failing(answer.Extractive):
+        def generate(self, system, documents, question):
+            if "garantia" in question:
+                raise schema.BackendFailed(question)
+            return super().generate(system, documents, question)
+
+    with pytest.raises(Exception, match="garantia"):
+        answer.answer(asked, shown, Failing()).collect()
+    row = gold_run.end_to_end(asked, shown, lines, Failing(), "m-1", prices, f"{tmp_path}/one", tolerant=True).first()
+    assert (row.questions, row.no_candidate_questions, row.stored, row.sent, row.failed_calls) == (4, 1, 0, 3, 1)
+    assert (row["items"], row.answered, row.failed, row.abstained, row.abstained_rightly, row.abstained_wrongly) == (4, 0.5, 0.25, 0.25, 1.0, 0.0)
+    assert row.cost > 0
+    # what was answered is not paid again; what failed is
+    cache = spark.read.parquet(f"{tmp_path}/one").where("answer IS NOT NULL AND request_sha IS NOT NULL")
+    again = gold_run.end_to_end(asked, shown, lines, answer.Extractive(), "m-1", prices, f"{tmp_path}/two", cache=cache).first()
+    assert (again.stored, again.sent, again.failed_calls, again.answered) == (2, 1, 0, 0.75) and 0 < again.cost < row.cost
+    full = spark.read.parquet(f"{tmp_path}/two").where("request_sha IS NOT NULL")
+    last = gold_run.end_to_end(asked, shown, lines, answer.Extractive(), "unknown", prices, f"{tmp_path}/three", cache=full).first()
+    assert (last.sent, last.cost) == (0, 0.0)
+    assert gold_run.end_to_end(asked, shown, lines, answer.Extractive(), "unknown", prices, f"{tmp_path}/four").first().cost is None
