@@ -1,4 +1,4 @@
-"""Hybrid search: BM25 over postings, exact cosine in blocks, reciprocal-rank fusion, rerank."""
+"""Hybrid search: BM25 and exact cosine in blocks, reciprocal-rank fusion, rerank."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from quarry.operators.ordered import top_k
 LEG, FUSED, FINAL = 150, 50, 8
 K1, B, AVERAGE = 1.2, 0.75, 256.0
 BLOCK = 4096
+#: Of a pair of blocks: terms of documents, terms of queries; documents and queries of a product, pairs that are added up at a time.
+CELL, ASKED, DOCUMENTS, QUERIES, HITS = 8_000_000, 4_000_000, 4096, 256, 1 << 21
+#: A term is a dense row if more than one in so many pairs has it.  Rows of a text that are held for the next batch.
+DENSE, HELD = 32, 1_000_000
 
 
 #: Rows of a table that is sent to all tasks; a larger one is shuffled.
@@ -82,22 +88,260 @@ def weighed(posts: DataFrame, documents: int, asked: DataFrame, k1: float = K1,
     return posts.join(rare, "term").select("term", "id", w.alias("w"))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, documents: int, k: int = LEG, k1: float = K1, b: float = B, average: float = AVERAGE, allowed: Column | None = None, analysis: Analysis = LETTERS) -> DataFrame:
+def bm25(queries: DataFrame, posts: DataFrame | Packed, documents: int, k: int = LEG, k1: float = K1, b: float = B, average: float = AVERAGE, allowed: Column | None = None, analysis: Analysis = LETTERS) -> DataFrame:
     """(query_id, id, score, rank): the k best documents for each of ``queries`` (query_id, text).
 
     Each distinct query term counts once.  Weights come from the whole
     collection; ``allowed`` (on query_id and id) filters before the ranking.
-    ``posts`` may be those of the queries' terms alone.
+    ``posts`` may be those of the queries' terms alone, and packed.
     """
     asked = asked_terms(queries, analysis)
+    if allowed is None:
+        return best_of_blocks(asked, posts if isinstance(posts, Packed) else packed_postings(posts, asked), documents, k, k1, b, average)
+    if isinstance(posts, Packed):
+        raise ValueError("a condition on pairs needs postings as rows")
     weights = weighed(posts, documents, asked, k1, b, average)
-    hits = weights.join(sent(asked), "term")
-    if allowed is not None:
-        hits = hits.where(allowed)
+    hits = weights.join(sent(asked), "term").where(allowed)
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A row for each document with a term that is asked for: (id, more..., length, nos, tfs), and the numbers of the terms: (term, no)."""
+
+    rows: DataFrame
+    terms: DataFrame
+
+
+def numbered_terms(asked: DataFrame) -> DataFrame:
+    """(term, no): the distinct terms of ``asked``, numbered from 1."""
+    from quarry.operators.ordered import numbered
+
+    return numbered(asked.select("term").distinct(), ["term"], "no")
+
+
+def _runs(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (keys..., length, no) in a row for each run of equal keys, its numbers counted; a run of two batches is put together."""
+
+    def pack(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        no = rows["no"].to_numpy()
+        order = np.lexsort((no, run))
+        run, no = run[order], no[order]
+        first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (no[1:] != no[:-1]))))
+        offsets = pa.array(np.concatenate((np.searchsorted(run[first], np.arange(len(starts))), [len(first)])).astype(np.int32))
+        heads = {c: rows[c].take(pa.array(starts)).combine_chunks() for c in [*keys, "length"]}
+        counts = np.diff(np.append(first, len(no))).astype(np.int32)
+        return pa.record_batch({**heads, "nos": pa.ListArray.from_arrays(offsets, pa.array(no[first].astype(np.int32))), "tfs": pa.ListArray.from_arrays(offsets, pa.array(counts))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+            if not rows.num_rows:
+                continue
+            new = np.zeros(rows.num_rows, bool)
+            for c in keys:
+                ends = np.concatenate([x.run_ends.to_numpy() for x in (pc.run_end_encode(part) for part in rows[c].chunks)])
+                new[ends[:-1]] = True
+            starts = np.flatnonzero(new)
+            last = starts[-1] if len(starts) else 0
+            held = rows.slice(last)
+            if last:
+                yield pack(rows.slice(0, last), np.concatenate(([0], starts[:-1])))
+            if held.num_rows > HELD:  # the rest of a very long text is another row, put to this one later
+                yield pack(held, np.array([0]))
+                held = None
+        if held is not None and held.num_rows:
+            yield pack(held, np.array([0]))
+
+    return run
+
+
+def packed(docs: DataFrame, asked: DataFrame, text: str = "text", id_column: str = "doc_id", analysis: Analysis = LETTERS, more: tuple[str, ...] = ()) -> Packed:
+    """The documents' terms that are in ``asked``, packed where the texts are read: no row of a term is shuffled.
+
+    The analysis does not fold words.  A text's words come one after another,
+    so they are counted as runs; should a document come in several rows, these
+    are put together.
+    """
+    if analysis.fold is not None:
+        return packed_postings(postings(docs, text, id_column, analysis, asked, more), asked, more)
+    terms = numbered_terms(asked)
+    keys = ["id", *more]
+    listed = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("_w")).select(*keys, F.size("_w").cast("long").alias("length"), F.explode("_w").alias("term"))
+    found = listed.join(sent(terms), "term").select(*keys, "length", F.col("no").cast("int").alias("no"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in keys)
+    rows = _written(found.mapInArrow(_runs(keys), f"{head}, length long, nos array<int>, tfs array<int>"))
+    if rows.count() != rows.select(*keys).distinct().count():
+        each = rows.select(*keys, "length", F.explode(F.arrays_zip("nos", "tfs")).alias("t")).groupBy(*keys, "t.nos").agg(F.sum("t.tfs").cast("int").alias("tf"), F.first("length").alias("length"))
+        rows = _written(_gathered(each.withColumnRenamed("nos", "no"), keys))
+    return Packed(rows, terms)
+
+
+def _gathered(each: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., length, nos, tfs) of rows (keys..., length, no, tf)."""
+    whole = each.groupBy(*keys).agg(F.first("length").alias("length"), F.collect_list(F.struct("no", "tf")).alias("_t"))
+    return whole.select(*keys, "length", F.col("_t.no").alias("nos"), F.col("_t.tf").alias("tfs"))
+
+
+def packed_postings(posts: DataFrame, asked: DataFrame, more: tuple[str, ...] = ()) -> Packed:
+    """Postings (id, more..., term, tf, length) of the terms of ``asked``, packed."""
+    terms, keys = numbered_terms(asked), ["id", *more]
+    each = posts.join(sent(terms), "term").select(*keys, F.col("length").cast("long").alias("length"), F.col("no").cast("int").alias("no"), F.col("tf").cast("int").alias("tf"))
+    return Packed(_written(_gathered(each, keys)), terms)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written once: what follows reads it again and again."""
+    from quarry.sources.store import Store
+
+    store = Store.scratch(df.sparkSession)
+    store.rewrite("packed", df)
+    return store.read("packed")
+
+
+def best_of_blocks(asked: DataFrame, packed: Packed, documents: int, k: int, k1: float = K1, b: float = B, average: float = AVERAGE) -> DataFrame:
+    """(query_id, id, score, rank): the k documents of the highest BM25 score for each query of ``asked`` (query_id, term).
+
+    Exact, rounded to 6 digits.  Queries and documents that have a term in
+    common are no rows: both sides are cut into blocks, each pair of blocks is
+    scored in one task as products of matrices, and only its k best of each
+    query are ranked together.  If ``asked`` and ``packed`` have a column group, a
+    query is compared to the documents of its group alone; null is no group.
+    """
+    grouped = ["group"] if "group" in asked.columns and "group" in packed.rows.columns else []
+    rows, terms = packed.rows, packed.terms.withColumn("no", F.col("no").cast("int"))
+    wanted = asked.select("query_id", *grouped, "term").distinct().join(sent(terms), "term").select("query_id", *grouped, "no")
+    for c in grouped:
+        rows, wanted = rows.where(F.col(c).isNotNull()), wanted.where(F.col(c).isNotNull())
+    wanted = _written(wanted)
+    frequency = packed.rows.select(F.explode("nos").alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("df"))
+    rare = frequency.select("no", F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    held, cells = rows.agg(F.count(F.lit(1)), F.sum(F.size("nos"))).first()
+    n = max(-(-(cells or 0) // CELL), min(rows.sparkSession.sparkContext.defaultParallelism, -(-held // DOCUMENTS)), 1)
+    m = max(1, -(-wanted.count() // ASKED))
+    spread = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    keys = [*grouped, "rb", "qb"]
+    left = rows.select(*grouped, spread("id", n).alias("rb"), each(m).alias("qb"), "id", "length", "nos", "tfs")
+    dealt = wanted.withColumn("qb", spread("query_id", m))
+    texts = dealt.groupBy(*grouped, "qb", "query_id").agg(F.collect_list("no").alias("nos")).withColumn("idfs", F.lit(None).cast("array<double>"))
+    weights = dealt.select(*grouped, "qb", "no").distinct().join(rare, "no").groupBy(*grouped, "qb", F.pmod("no", F.lit(64))).agg(F.collect_list(F.struct("no", "idf")).alias("_t"))
+    idfs = weights.select(*grouped, "qb", F.lit(None).cast(dict(asked.dtypes)["query_id"]).alias("query_id"), F.col("_t.no").alias("nos"), F.col("_t.idf").alias("idfs"))
+    right = texts.select(*grouped, "qb", "query_id", "nos", "idfs").unionByName(idfs).withColumn("rb", each(n))
+
+    def compare(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        known, texts = ask[ask["idfs"].notna()], ask[ask["idfs"].isna()]
+        if not len(own) or not len(known) or not len(texts):
+            return pd.DataFrame({"query_id": texts["query_id"][:0], "id": own["id"][:0], "score": np.zeros(0)})
+        own = own.sort_values("id", kind="stable")
+        no, idf = np.concatenate(known["nos"].to_numpy()), np.concatenate(known["idfs"].to_numpy())
+        order = np.argsort(no)
+        no, idf = no[order], idf[order]
+
+        def flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(row, place in ``no``, whether it is there) of all numbers of some rows."""
+            row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+            all_of = np.concatenate(lists.to_numpy())
+            place = np.minimum(np.searchsorted(no, all_of), len(no) - 1).astype(np.int32)
+            return row, place, no[place] == all_of
+
+        parts = []
+        for at in range(0, len(own), DOCUMENTS):
+            some = own.iloc[at : at + DOCUMENTS]
+            row, place, there = flat(some["nos"])
+            tf = np.concatenate(some["tfs"].to_numpy())[there]
+            row, place = row[there], place[there]
+            w = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * some["length"].to_numpy()[row] / average))
+            order = np.argsort(place, kind="stable")
+            parts.append((len(some), row[order], place[order], w[order]))
+        ids, starts, found = own["id"].to_numpy(), np.arange(0, len(own), DOCUMENTS), []
+        for at in range(0, len(texts), QUERIES):
+            some = texts.iloc[at : at + QUERIES]
+            row, place, there = flat(some["nos"])
+            best = Best(len(some), k)
+            for start, part in zip(starts, parts, strict=True):
+                best.add(_products(len(some), row[there], place[there], *part), start)
+            row, doc, score = best.taken()
+            found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "id": ids[doc], "score": score}))
+        return pd.concat(found)
+
+    kinds = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["id"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def _products(queries: int, asks: np.ndarray, terms: np.ndarray, documents: int, row: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Scores of all pairs: (asks, terms) are the queries' terms, (row, place, w) the documents' weights by term.
+
+    Terms that many of both sides have are products of dense matrices, the others are added up pair by pair.
+    """
+    out = np.zeros((queries, documents))
+    order = np.argsort(terms, kind="stable")
+    asks, terms = asks[order], terms[order]
+    term, first, times = np.unique(terms, return_index=True, return_counts=True)
+    start, end = np.searchsorted(place, term), np.searchsorted(place, term, side="right")
+    held = end - start
+    many = times * held > out.size / DENSE
+    own = np.flatnonzero(many)
+    for at in range(0, len(own), 512):
+        some = own[at : at + 512]
+        q, d = np.zeros((queries, len(some))), np.zeros((len(some), documents))
+        for j, t in enumerate(some):
+            q[asks[first[t] : first[t] + times[t]], j] = 1
+            d[j, row[start[t] : end[t]]] = w[start[t] : end[t]]
+        out += q @ d
+    few = np.repeat(~many & (held > 0), times)
+    asks, start, held = asks[few], np.repeat(start, times)[few], np.repeat(held, times)[few]
+    if len(asks):
+        upto = np.cumsum(held)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(HITS, upto[-1], HITS)), [len(asks)])))
+        flat = out.ravel()
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            size = held[low:high]
+            at = np.repeat(start[low:high] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            flat += np.bincount(np.repeat(asks[low:high].astype(np.int64) * documents, size) + row[at], w[at], out.size)
+    return out
+
+
+class Best:
+    """The k best columns of each row, of blocks of columns that come in order; equal scores by column, none without a score above 0."""
+
+    def __init__(self, rows: int, k: int):
+        self.rows, self.k = rows, k
+        self.least = np.full(rows, -1.0)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, scores: np.ndarray, start: int) -> None:
+        near = np.where(scores > 0, np.round(scores, 6), -1.0)  # a pair with a term in common may round to 0
+        cut = near.shape[1] - self.k
+        floor = np.partition(near, cut, axis=1)[:, cut] if cut > 0 else np.full(self.rows, -1.0)
+        row, column = np.nonzero((near > self.least[:, None]) & (near >= floor[:, None]))
+        self.found.append((row, column + start, near[row, column]))
+        self.pending += len(row)
+        if self.pending > 4 * self.rows * self.k:
+            self.settle()
+
+    def settle(self) -> None:
+        row, column, score = map(np.concatenate, zip(*self.found, strict=True))
+        order = np.lexsort((column, -score, row))
+        row, column, score = row[order], column[order], score[order]
+        size = np.bincount(row, minlength=self.rows)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        self.least[row[nth == self.k - 1]] = score[nth == self.k - 1]
+        kept = nth < self.k
+        self.found = [(row[kept], column[kept], score[kept])]
+        self.pending = int(kept.sum())
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.settle()
+        return self.found[0]
+
+
 def cosine(queries: DataFrame, vectors: DataFrame, k: int = LEG, allowed: Column | None = None, same_id: bool = True) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of ``vectors`` (id, vector) to each of ``queries`` (query_id, vector).
 
@@ -248,9 +492,9 @@ def hashed_encoder(dimension: int = 64):
     return run
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, documents: int, leg: int = LEG, fused: int = FUSED, posts: DataFrame | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, documents: int, leg: int = LEG, fused: int = FUSED, posts: DataFrame | Packed | None = None) -> DataFrame:
     """Both legs over the same documents, then fusion.  queries: query_id, text, vector; docs: doc_id, text; vectors: id, vector."""
-    posts = postings(docs, terms=asked_terms(queries)) if posts is None else posts
+    posts = packed(docs, asked_terms(queries)) if posts is None else posts
     sparse = bm25(queries, posts, documents, leg)
     dense = cosine(queries.select("query_id", "vector"), vectors, leg)
     return fuse([dense, sparse], fused)

@@ -289,7 +289,7 @@ scored AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75
 SELECT query_id, id AS doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scored QUALIFY rank <= 10""")
 def q_bm25_topk(spark, sf_dir):
     docs, asked = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25(asked, search.postings(docs, terms=search.asked_terms(asked)), docs.count(), k=10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    return search.bm25(asked, search.packed(docs, search.asked_terms(asked)), docs.count(), k=10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 _COSINE = """dense AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
@@ -336,15 +336,15 @@ def _legs(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
     docs, vectors = t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _vectors(spark, sf_dir)
     asked = _asked(vectors.withColumnRenamed("label", "group"))
     texts = docs.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), "text", F.col("lang").alias("ql"))
-    posts, n = search.postings(docs, terms=search.asked_terms(texts)), docs.count()
+    n = docs.count()
     if not filtered:
+        posts = search.packed(docs, search.asked_terms(texts))
         return search.fuse([search.cosine(asked.drop("group"), vectors.drop("label"), search.LEG), search.bm25(texts.drop("ql"), posts, n)])
     dense = search.cosine(asked, vectors.withColumnRenamed("label", "group"), search.LEG)
     # one leg for each language: the filter comes before the cut
-    terms = search.asked_terms(texts.withColumnRenamed("ql", "lang"), search.LETTERS, "lang")
-    tagged = search.weighed(posts, n, terms).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
-    scored = tagged.join(search.sent(terms), ["term", "lang"]).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return search.fuse([dense, ordered.top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], search.LEG)])
+    terms = search.asked_terms(texts.withColumnRenamed("ql", "group"), search.LETTERS, "group")
+    posts = search.packed(docs.withColumnRenamed("lang", "group"), terms, more=("group",))
+    return search.fuse([dense, search.best_of_blocks(terms, posts, n, search.LEG)])
 
 
 @query(_rrf_sql(False))
