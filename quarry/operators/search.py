@@ -58,20 +58,19 @@ def postings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ana
     """(id, term, tf, length, more...): a row for each distinct term of a document; of ``terms`` alone, if given.
 
     Terms that no query has are left out before anything is grouped; ``length``
-    counts all words.  Words are counted before they are folded, so that one is
-    folded once for a document, however often it holds it.
+    counts all words.  An analysis folds each distinct word of all texts once,
+    and the texts' words are looked up.
     """
     listed = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("_w")).select("id", *more, F.size("_w").alias("length"), F.explode("_w").alias("term"))
     wanted = sent(terms.select("term").distinct()) if terms is not None else None
-    if wanted is not None and analysis.fold is None:
+    if analysis.fold is not None:
+        folded = _written(listed.select(F.col("term").alias("_word")).distinct().withColumn("_folded", analysis.fold(F.col("_word"))))
+        if wanted is not None:
+            folded = folded.join(wanted.withColumnRenamed("term", "_folded"), "_folded", "left_semi")
+        listed = listed.join(sent(folded), F.col("term") == F.col("_word")).select("id", *more, "length", F.col("_folded").alias("term"))
+    elif wanted is not None:
         listed = listed.join(wanted, "term", "left_semi")
-    found = listed.groupBy("id", *more, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
-    if analysis.fold is None:
-        return found
-    folded = found.withColumn("term", analysis.fold(F.col("term")))
-    if wanted is not None:
-        folded = folded.join(wanted, "term", "left_semi")
-    return folded.groupBy("id", *more, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    return listed.groupBy("id", *more, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
 
 
 def idf(posts: DataFrame, documents: int | Column) -> DataFrame:

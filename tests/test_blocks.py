@@ -42,3 +42,26 @@ def test_a_group_is_searched_by_itself(spark):
     asked = search.asked_terms(spark.createDataFrame([(7, "casa", "pt"), (8, "casa", None), (9, "verde", "en")], "query_id long, text string, group string"), search.LETTERS, "group")
     found = search.best_of_blocks(asked, search.packed(docs, asked, more=("group",)), 3, 5).collect()
     assert [(r.query_id, r.id, r.rank) for r in found] == [(7, 1, 1)]
+
+
+def test_a_word_is_folded_once_for_all_texts(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def fold(word):
+        calls.add(1)
+        return word[:3]
+
+    docs = spark.createDataFrame([(i, "casas casa rua") for i in range(30)], "doc_id long, text string").repartition(3)
+    found = search.postings(docs, analysis=search.Analysis("x", search.LETTERS.words, fold)).collect()
+    assert sorted({(r.term, r.tf, r.length) for r in found}) == [("cas", 2, 3), ("rua", 1, 3)] and len(found) == 60
+    assert calls.value == 3
+
+
+def test_blocks_of_few_pages_are_held_at_a_time(spark):
+    from quarry.sources import html
+
+    pages = spark.createDataFrame([(i, f"<p>a{i}</p><p>b</p>") for i in range(150)], "page_id long, html string").coalesce(1)
+    assert html.PAGES < 150
+    cut = html.blocks(pages, ["page_id"])
+    assert cut.count() == 300 and cut.where("pos = 1 AND text = 'b'").count() == 150
