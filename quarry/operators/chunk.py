@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import FAR_DATE, FIRST_DATE, day_number, day_or_far, has_content, is_structural, line_of, text_key, uuid5
+from quarry.operators.search import sent
 from quarry.operators.tree import closure, document_order
 
 
@@ -28,7 +29,8 @@ def _trail(nodes: DataFrame) -> DataFrame:
 
 def _rows(base: DataFrame, norms: DataFrame) -> DataFrame:
     start = F.coalesce("valid_from", "published", F.lit(FIRST_DATE).cast("date"))
-    return base.join(norms.select(F.col("urn").alias("norm_urn"), F.coalesce("alias", "urn").alias("_alias"), "published"), "norm_urn").select(
+    named = norms.select(F.col("urn").alias("norm_urn"), F.coalesce("alias", "urn").alias("_alias"), "published")
+    return base.join(sent(named), "norm_urn").select(
         uuid5(F.col("id")).alias("chunk_id"), F.col("id").alias("provision_id"), "norm_urn", "path", "type", "chunk_text",
         F.concat_ws("\n", F.array_join(F.concat(F.array("_alias"), F.coalesce("trail", F.array().cast("array<string>"))), " > "), F.nullif(F.array_join(F.coalesce("above", F.array().cast("array<string>")), "\n"), F.lit("")), F.col("chunk_text")).alias("indexed_text"),
         day_number(start).alias("valid_from_day"), day_or_far(F.col("revoked_on")).alias("revoked_on_day"), text_key(F.col("chunk_text")).alias("text_sha256"),

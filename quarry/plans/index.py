@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import schema
-from quarry.operators import chunk, lookup
+from quarry.operators import chunk, search
 from quarry.sources.store import Store
 
 
@@ -23,11 +23,13 @@ def build(store: Store, encode: Callable[[str], Column], model: str, dimension:
     """
     store.open_index(model, dimension)
     known = store.read("norm")
-    wanted = (store.read("ingest_log") if norms is None else norms).select("norm_urn").distinct()
+    # norms are few beside their rows: dealt by norm, a task would read all rows of one
+    wanted = search.sent((store.read("ingest_log") if norms is None else norms).select("norm_urn").distinct())
+    own = lambda rows: rows.join(wanted, "norm_urn", "left_semi")
     if unknown := wanted.join(known, F.col("norm_urn") == F.col("urn"), "left_anti").first():
         raise schema.UnknownNorm(f"{unknown['norm_urn']} is not stored")
-    before = lookup.by_ids(store.live("chunk"), wanted, "norm_urn").select("norm_urn", F.col("rows").alias("removed"))
-    chunks = chunk.strategy(strategy)(lookup.by_ids(store.read("provision"), wanted, "norm_urn"), known)
+    before = own(store.live("chunk")).select("norm_urn", F.col("rows").alias("removed"))
+    chunks = chunk.strategy(strategy)(own(store.read("provision")), known)
     encoded = chunks.withColumns({"vector": encode("indexed_text").cast("array<float>"), "build": F.lit(uuid.uuid4().hex)})
     store.replace("chunk", encoded.select(*schema.CHUNK.fieldNames()), wanted)
     after = store.live("chunk").select("norm_urn", F.col("rows").alias("chunks"))

@@ -65,3 +65,19 @@ def test_blocks_of_few_pages_are_held_at_a_time(spark):
     assert html.PAGES < 150
     cut = html.blocks(pages, ["page_id"])
     assert cut.count() == 300 and cut.where("pos = 1 AND text = 'b'").count() == 150
+
+
+def test_rows_are_not_dealt_by_their_norm(spark):
+    """Few norms: a shuffle by norm would bring all rows of one into a task, whatever the size that Spark expects."""
+    from quarry import schema
+    from quarry.operators import chunk
+
+    nodes = spark.createDataFrame([], schema.PROVISION)
+    norms = spark.createDataFrame([], schema.NORM)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = chunk.by_provision(nodes, norms)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [norm_urn" in plan
