@@ -6,7 +6,9 @@ and links are windows and joins.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,12 +129,17 @@ def provisions(documents: DataFrame) -> DataFrame:
 def links(provision: DataFrame) -> DataFrame:
     """(origin_id, target_urn, original_text): references in the text to articles of the same norm."""
 
-    @F.pandas_udf("array<struct<target: string, text: string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: [{"target": target, "text": said} for target, said in references(text or "")])
-
-    listed = provision.select("id", "norm_urn", F.posexplode(found("text")).alias("_n", "_l"))
-    target = F.concat("norm_urn", F.lit("!"), F.col("_l.target"))
-    rows = listed.select(F.col("id").alias("origin_id"), target.alias("target_urn"), F.col("_l.text").alias("original_text"), "_n").where("origin_id <> target_urn")
-    first = Window.partitionBy("origin_id", "target_urn", "original_text").orderBy("_n")
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("origin_id", "target_urn", "original_text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, target, said = [], [], []
+            for n, text in enumerate(batch["text"].to_pylist()):
+                for found in dict.fromkeys(references(text or "")):
+                    row.append(n)
+                    target.append(found[0])
+                    said.append(found[1])
+            of = pa.array(row, pa.int32())
+            yield pa.record_batch({"origin_id": batch["id"].take(of), "norm_urn": batch["norm_urn"].take(of), "target": pa.array(target, pa.string()), "original_text": pa.array(said, pa.string())})
+
+    listed = provision.select("id", "norm_urn", "text").mapInArrow(run, "origin_id string, norm_urn string, target string, original_text string")
+    target = F.concat("norm_urn", F.lit("!"), "target")
+    return listed.select("origin_id", target.alias("target_urn"), "original_text").where("origin_id <> target_urn").distinct()

@@ -1,9 +1,11 @@
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import labels as L
 from quarry.functions import text as X
+from quarry.plans import parse
 
 
 @pytest.mark.parametrize(
@@ -90,3 +92,50 @@ def test_ids_versions_days_and_uuids(spark):
 def test_citations_lie_within(spark):
     rows = spark.createDataFrame([("n!art1_inc2", "n!art1", True), ("n!art10", "n!art1", False), ("n!art1", "n!art1_inc2", False), ("n!art6@3", "n!art6", True)], "c string, e string, ok boolean")
     assert all(r.got == r.ok for r in rows.withColumn("got", X.within(F.col("c"), F.col("e"))).collect())
+
+
+def read_by_tokens(text):
+    reader, out = L.Reader(list(L.scan(text))), []
+    while (token := reader.peek()) is not None:
+        reader.at += 1
+        if token.kind != "word" or token.plain not in ("art", "arts", "artigo", "artigos"):
+            continue
+        reader.skip(frozenset("."))
+        number = reader.take("number")
+        if number is None:
+            continue
+        parts = [f"art{number.number}"]
+        if (mark := reader.peek()) and (mark.raw in L.ORDINAL_SIGNS or mark.raw == "o"):
+            reader.at += 1
+        end, back = reader.end(), reader.at
+        reader.take("sign", ",")
+        if reader.take("sign", "§") and (paragraph := reader.take("number")):
+            parts.append(f"par{paragraph.number}")
+            end, back = paragraph.begin + len(paragraph.raw.rstrip(".")), reader.at
+        reader.at = back
+        reader.take("sign", ",")
+        item = reader.take("word")
+        if item is not None and len(item.raw) <= 8 and (value := L.roman(item.raw)) is not None:
+            parts.append(f"inc{value}")
+            end, back = item.end, reader.at
+        reader.at = back
+        out.append(("_".join(parts), " ".join(text[token.begin : end].split())))
+    return out
+
+
+def test_references_are_those_of_the_tokens(monkeypatch):
+    rnd = random.Random(1)
+    latin = ["art", "Arts", "artigo", "ÁRTIGOS", ".", "..", ",", "§", "º", "°", "o", "oo", "5", "12.", "1.234", "007", "²", "IV", "xii", "ÍV", "iiii", "lei", " ", "\xa0", "\n", "-", "µ", "ª", "_", "\x1c", "ß"] + ["art", "5", " ", ".", "§"] * 4
+    other = [*latin, "artİgo", "art́", "٣", "–", "漢", "ſ", "Ⅳ", " ", "​", "𝐚"]
+    texts = ["".join(rnd.choice(other if k % 2 else latin) for _ in range(rnd.randint(1, 14))) for k in range(20_000)]
+    expected = [read_by_tokens(text) for text in texts]
+    assert sum(map(bool, expected)) > 1000
+    monkeypatch.setattr(L, "scan", None)  # no token is made of a text without need
+    assert [L.references(text) for text in texts] == expected
+
+
+def test_links_need_no_sorted_window(spark):
+    rows = spark.createDataFrame([("a", "n", "art. 5 e art. 5"), ("a", "n", "art. 5"), (None, "n", "art. 5"), ("b", None, "art. 5"), ("c", "n", None), ("n!art5", "n", "art. 5")], "id string, norm_urn string, text string")
+    found = parse.links(rows)
+    assert [tuple(r) for r in found.collect()] == [("a", "n!art5", "art. 5")]
+    assert "Window" not in found._jdf.queryExecution().toString()
