@@ -332,6 +332,22 @@ def _table_anchors(batches):
                 yield pa.record_batch({"place": pa.array(anchor | t << 2 * BLOCK), "node": part["node"].take(pa.array(row)), "fp": pa.array(own[row])})
 
 
+def possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) that may be similar enough by numbers.
+
+    ``pairs`` has a row for each shingle that their prefixes share, with the
+    sizes su, sv of both sets and its places pu, pv in their order.  Sizes and
+    places rule most chance pairs out before any row of theirs is counted.
+    """
+    least, most = F.least("su", "sv"), F.greatest("su", "sv")
+    enough = (F.col("su") + F.col("sv")) * (similarity / (1 + similarity)) - 1e-6
+    # up to a shared shingle and behind it, the sets have no more in common than the lesser of both parts
+    around = F.least("pu", "pv") + F.least(F.col("su") - F.col("pu"), F.col("sv") - F.col("pv"))
+    counted = pairs.where((least >= most * similarity - 1e-9) & (around >= enough)).groupBy("u", "v", "su", "sv").agg(F.count(F.lit(1)).alias("n"))
+    # what the prefixes of both do not share lies behind the end of one of them
+    return counted.where(F.col("n") + F.ceil(most * similarity - 1e-9) - 1 >= enough).select("u", "v")
+
+
 def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): texts, by node (long), that share a chain of links of at least ``similarity``.
 
@@ -372,36 +388,25 @@ def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     first = verified(places.join(centres, "place").where((F.col("node") > F.col("c.node")) & near).select(F.col("c.node").alias("u"), F.col("node").alias("v")))
     roots = written(connected_components(first), "roots")
 
-    keyed = sketches.select("node", F.explode("keys").alias("key"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "node")
+    keyed = sketches.select("node", F.col("size").cast("int").alias("size"), F.posexplode("keys").alias("pos", "key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "size", "pos")
     held = written(shared, "prefixes")
 
     def open_keys(roots: DataFrame) -> DataFrame:
-        """(key, node, root) of the keys whose texts are of several classes; the others have nothing left to compare."""
-        rooted = held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root")).alias("c")).where("low <> high").select("key", "c")
+        """(key, node, size, pos, root) of the keys whose texts are of several classes; the others have nothing left to compare."""
+        rooted = held.join(roots, "node", "left").select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root", "size", "pos")).alias("c")).where("low <> high").select("key", "c")
         return written(rooted.join(several, "key"), "open")
 
-    sizes = sketches.select("node", "size")
-    size_of = lambda node, name: sizes.select(F.col("node").alias(node), F.col("size").alias(name))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs, a row for each shingle that their prefixes share, that may be similar enough by numbers."""
-        counted = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).join(size_of("u", "su"), "u").join(size_of("v", "sv"), "v")
-        least, most = F.least("su", "sv"), F.greatest("su", "sv")
-        # what the prefixes of both do not share lies behind the end of one of them
-        common = F.col("n") + F.ceil(most * similarity - 1e-9) - 1
-        return counted.where((least >= most * similarity - 1e-9) & (common >= (F.col("su") + F.col("sv")) * (similarity / (1 + similarity)) - 1e-6))
-
     met = open_keys(roots)
-    star = met.where(F.col("root") != F.col("c.root")).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
-    second = verified(possible(star))
+    star = met.where(F.col("root") != F.col("c.root")).select(F.col("c.node").alias("u"), F.col("node").alias("v"), F.col("c.size").alias("su"), F.col("size").alias("sv"), F.col("c.pos").alias("pu"), F.col("pos").alias("pv"))
+    second = verified(possible(star, similarity))
     discard(met, roots)
     joined = first.union(second)
     met = open_keys(written(connected_components(joined), "roots"))
-    end = lambda node, root: met.select("key", F.col("node").alias(node), F.col("root").alias(root))
-    rest = end("u", "ru").join(end("v", "rv"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
-    third = verified(possible(rest))
+    end = lambda x: met.select("key", F.col("node").alias(x), *(F.col(c).alias(c[0] + x) for c in ("root", "size", "pos")))
+    rest = end("u").join(end("v"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
+    third = verified(possible(rest, similarity))
     discard(met, held, sketches)
     return connected_components(joined.union(third))
 

@@ -72,6 +72,24 @@ def test_similar_sets_share_a_prefix():
     assert not len(simhash.prefix(x[:0], 0.8, last))
 
 
+def test_sizes_and_places_rule_out_no_similar_pair(spark):
+    rnd, rows, similar = np.random.default_rng(4), [], set()
+    last = np.sort(rnd.integers(0, 1 << 62, 20).astype(np.uint64))
+    for k in range(300):
+        n = int(rnd.integers(1, 80))
+        x = np.union1d(rnd.integers(0, 1 << 62, n).astype(np.uint64), rnd.choice(last, n // 6))
+        y = np.union1d(rnd.permutation(x)[: rnd.integers(len(x) * 2 // 3, len(x) + 1)], rnd.integers(0, 1 << 62, rnd.integers(0, n // 6 + 1)).astype(np.uint64))
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            similar.add(k)
+        a, b = (list(simhash.prefix(s, 0.8, last)) for s in (x, y))
+        rows += [(2 * k, 2 * k + 1, len(x), len(y), a.index(key), b.index(key)) for key in set(a) & set(b)]
+    rows += [(1000, 1001, 10, 100, 0, 0), (1002, 1003, 100, 100, 0, 19)]  # by size; by place
+    pairs = spark.createDataFrame(rows, "u long, v long, su int, sv int, pu int, pv int")
+    found = simhash.possible(pairs, 0.8)
+    assert 50 < len(similar) < 250 and similar <= {r.u // 2 for r in found.collect()}
+    assert "Join" not in found._jdf.queryExecution().toString() and not found.where("u >= 1000").count()
+
+
 def odd_documents(spark):
     long = "lorem ipsum dolor sit amet " * 40
     rows = [(1, "one plain text of some words", "en", "s", 28), (1, "one plain text of some words", "en", "s", 28), (1, "one plain text of some words", "en", "s", 28), (2, None, None, None, None), (3, "", "en", "s", 0)]
