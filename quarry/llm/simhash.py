@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import lru_cache, partial, reduce
 from itertools import combinations, islice
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, discard, map_batches, text_bytes, written
+from .common import discard, map_batches, text_bytes, written
 from .components import connected_components, thinned
 
 BLOCK = 23
@@ -200,8 +201,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2, text: s
 TABLES, SLACK = 2, 2
 #: Bits, of 64, in which fingerprints of similar texts seldom differ: pairs that do are left to the prefixes.
 NEAR = 10
-#: Texts whose shingles are counted, and how many frequent shingles at most are put last: cost depends on it, results do not.
-COUNTED_TEXTS, LAST_SHINGLES = 8192, 100_000
+#: Share of all shingles (those of the smallest hashes) that are counted and come first, the rarest before the others: cost depends on it, results do not.
+COUNTED = 0.4
+#: Bits of a text's signature.
+SIGNATURE = 512
 #: Bounds of the bits that mark the texts that are wanted.
 MARK_BITS = (1 << 16, 1 << 26)
 
@@ -228,11 +231,22 @@ def _shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate(list(shingle_hashes(text, words)) or [np.zeros(0, np.uint64)]))
 
 
-def _sketch(words: int, similarity: float, last) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Word fingerprints of each text, its number of distinct shingles, and the prefix of their set."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of hashes, 1 if an odd number of the set have it.
+
+    A shingle that only one of two sets holds changes one bit, so signatures
+    differ in no more bits than the sets do in shingles.
+    """
+    odd = np.bincount((shingles & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sketch(words: int, similarity: float) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Word fingerprints of each text, its numbers of distinct and of counted shingles, their signature and those that its prefix may hold, by hash."""
+    end, none = np.uint64(int(COUNTED * (1 << 64))), np.zeros(0, np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, sizes, keys = [], [], []
+        out, sizes, counted, signs, keys = [], [], [], [], []
         for text in text_bytes(batch["text"]):
             own = list(dict.fromkeys(text.lower().split()))
             rows = []
@@ -242,23 +256,31 @@ def _sketch(words: int, similarity: float, last) -> Callable[[pa.RecordBatch], p
             out.append([int(x) for x in rows])
             shingles = _shingle_set(text, words)
             sizes.append(len(shingles))
-            keys.append(prefix(shingles, similarity, last.value).view(np.int64))
-        return pa.record_batch({"node": batch["node"], "fps": pa.array(out, pa.list_(pa.int64())), "size": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            counted.append(int(np.searchsorted(shingles, end)))
+            signs.append(signature(shingles))
+            keys.append(max(shingles[: counted[-1]], prefix(shingles, similarity, none), key=len).view(np.int64))
+        columns = {"size": pa.array(sizes, pa.int32()), "counted": pa.array(counted, pa.int32()), "sign": pa.array(signs, pa.list_(pa.int64())), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return pa.record_batch({"node": batch["node"], "fps": pa.array(out, pa.list_(pa.int64())), **columns})
 
     return run
 
 
-def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Sorted shingles that several of a bounded sample of texts hold."""
+def prefixes(sketches: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, size, pos): the shingles of each text's prefix that other texts hold too, with their places in its order.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_shingle_set(text, words) for text in text_bytes(batch["text"])]
-        return pa.record_batch({"key": pa.array(np.concatenate(sets).view(np.int64))})
-
-    sample = bounded_sample(texts.select("node", "text"), COUNTED_TEXTS, ["node"], 3)
-    counts = map_batches(sample.repartition(16, "node"), run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = counts.orderBy(F.desc("n"), "key").limit(LAST_SHINGLES).select("key").toPandas()["key"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    The order is one for all texts: counted shingles by the number of texts
+    that hold them, then all others; by hash within these.  The counted ones
+    that a text alone holds come first and make no row, so most prefixes are
+    full before they reach a shingle that is shared by chance.
+    """
+    keyed = sketches.select("node", F.posexplode("keys").alias("pos", "key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    rows = shared.join(sketches.select("node", "size", "counted"), "node").withColumn("late", F.col("pos") >= F.col("counted"))
+    own = Window.partitionBy("node")
+    nth = F.row_number().over(own.orderBy("late", F.when(~F.col("late"), F.col("n")), "pos"))
+    alone = F.col("counted") - F.count(F.when(~F.col("late"), 1)).over(own)
+    placed = rows.withColumn("pos", F.when(F.col("late"), F.col("pos")).otherwise(alone + nth - 1).cast("int"))
+    return placed.where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9)).select("key", "node", "size", "pos")
 
 
 def _marks(nodes: DataFrame) -> np.ndarray:
@@ -360,15 +382,15 @@ def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
        its size.
     2. prefixes of the shingle sets, of which similar sets share a part: at
        each shingle the smallest node is compared to those of other classes.
-    3. every pair of different classes that shares enough of its prefixes: no
-       link between classes is missed.
+    3. every pair of different classes that shares enough of its prefixes and
+       whose signatures differ in few enough bits: no link between classes is
+       missed.
 
     Texts are dealt packed, and only those that are compared.
     """
     spark = texts.sparkSession
-    last = spark.sparkContext.broadcast(_frequent(texts, words))
-    sketched = map_batches(texts.select("node", "text"), _sketch(words, similarity, last), "node long, fps array<long>, size long, keys array<long>")
-    sketches = written(sketched.groupBy("node").agg(F.min(F.struct("fps", "size", "keys")).alias("s")).select("node", "s.*"), "sketches")
+    sketched = map_batches(texts.select("node", "text"), _sketch(words, similarity), "node long, fps array<long>, size int, counted int, sign array<long>, keys array<long>")
+    sketches = written(sketched.groupBy("node").agg(F.min(F.struct("fps", "size", "counted", "sign", "keys")).alias("s")).select("node", "s.*"), "sketches")
 
     def verified(proposed: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) that are similar enough, as a written table."""
@@ -388,9 +410,7 @@ def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     first = verified(places.join(centres, "place").where((F.col("node") > F.col("c.node")) & near).select(F.col("c.node").alias("u"), F.col("node").alias("v")))
     roots = written(connected_components(first), "roots")
 
-    keyed = sketches.select("node", F.col("size").cast("int").alias("size"), F.posexplode("keys").alias("pos", "key"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "node", "size", "pos")
-    held = written(shared, "prefixes")
+    held = written(prefixes(sketches, similarity), "prefixes")
 
     def open_keys(roots: DataFrame) -> DataFrame:
         """(key, node, size, pos, root) of the keys whose texts are of several classes; the others have nothing left to compare."""
@@ -404,10 +424,16 @@ def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     discard(met, roots)
     joined = first.union(second)
     met = open_keys(written(connected_components(joined), "roots"))
-    end = lambda x: met.select("key", F.col("node").alias(x), *(F.col(c).alias(c[0] + x) for c in ("root", "size", "pos")))
-    rest = end("u").join(end("v"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
+    parts = [f"x{k}" for k in range(SIGNATURE // 64)]
+    signs = sketches.select("node", *(F.col("sign")[k].alias(x) for k, x in enumerate(parts)))
+    signed = written(met.drop("c").join(signs, "node"), "open")
+    end = lambda x: signed.select("key", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in parts), *(F.col(c).alias(c[0] + x) for c in ("root", "size", "pos")))
+    # of two similar sets few enough shingles are in one alone
+    apart = reduce(add, (F.bit_count(F.col(x + "u").bitwiseXOR(F.col(x + "v"))) for x in parts))
+    near = apart <= (F.col("su") + F.col("sv")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    rest = end("u").join(end("v"), "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & near)
     third = verified(possible(rest, similarity))
-    discard(met, held, sketches)
+    discard(met, signed, held, sketches)
     return connected_components(joined.union(third))
 
 

@@ -90,6 +90,39 @@ def test_sizes_and_places_rule_out_no_similar_pair(spark):
     assert "Join" not in found._jdf.queryExecution().toString() and not found.where("u >= 1000").count()
 
 
+def test_near_misses_and_rare_shingles(spark, monkeypatch):
+    """60 texts of one base, no two of them similar: fewer rows are matched than there are pairs; the first shingles are the rarest."""
+    rnd, rows, matched = random.Random(6), [], []
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    base = [word() for _ in range(140)]
+    for i in range(60):
+        words = list(base)
+        for at in rnd.sample(range(6, 134), 3):
+            words[at] = word()
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[7][1] + " end"), (101, "of its own " * 3)]
+    possible = simhash.possible
+    monkeypatch.setattr(simhash, "possible", lambda pairs, similarity: matched.append(pairs.count()) or possible(pairs, similarity))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.distinct_documents(docs.repartition(5)).collect()} == survivors(rows)
+    assert sum(matched) < 60 * 59 // 2
+
+    sets = [simhash._shingle_set(t.encode(), 5) for _, t in rows]
+    n = {x: sum(x in own for own in map(set, sets)) for x in np.concatenate(sets)}
+    end = np.uint64(int(simhash.COUNTED * 2**64))
+    expected = set()
+    for i, own in enumerate(sets):
+        order = sorted(own, key=lambda x: (x >= end, n[x] if x < end else 0, x))
+        expected |= {(int(x.view(np.int64)), i, len(own), k) for k, x in enumerate(order[: len(simhash.prefix(own, 0.8, own[:0]))]) if n[x] > 1}
+        for other in sets[:i]:
+            bits = sum(int(x).bit_count() for x in (simhash.signature(own) ^ simhash.signature(other)).view(np.uint64))
+            assert bits <= len(np.setxor1d(own, other))
+    texts = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "node long, text string")
+    schema = "node long, fps array<long>, size int, counted int, sign array<long>, keys array<long>"
+    sketches = simhash.map_batches(texts, simhash._sketch(5, 0.8), schema)
+    assert {tuple(r) for r in simhash.prefixes(sketches, 0.8).collect()} == expected
+
+
 def odd_documents(spark):
     long = "lorem ipsum dolor sit amet " * 40
     rows = [(1, "one plain text of some words", "en", "s", 28), (1, "one plain text of some words", "en", "s", 28), (1, "one plain text of some words", "en", "s", 28), (2, None, None, None, None), (3, "", "en", "s", 0)]
