@@ -284,7 +284,7 @@ def prefixes(sketches: DataFrame, similarity: float) -> DataFrame:
 
 
 def _marks(nodes: DataFrame) -> np.ndarray:
-    """A bit for each remainder of the nodes, packed: texts without theirs are none of them."""
+    """A bit for each remainder of the nodes (distinct), packed: texts without theirs are none of them."""
     bits = min(MARK_BITS[1], max(MARK_BITS[0], 1 << (16 * nodes.count()).bit_length()))
 
     def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
@@ -292,10 +292,10 @@ def _marks(nodes: DataFrame) -> np.ndarray:
         part[own["bit"].to_numpy() % MARK_BITS[0]] = 1
         return pd.DataFrame({"chunk": [key[0]], "bits": [np.packbits(part).tobytes()]})
 
-    bit = F.pmod("node", F.lit(bits))
-    found = nodes.select(bit.alias("bit")).distinct().withColumn("chunk", F.floor(F.col("bit") / MARK_BITS[0])).groupBy("chunk").applyInPandas(pack, "chunk long, bits binary")
+    bit = F.pmod("node", F.lit(bits)).alias("bit")
+    found = nodes.select(bit).withColumn("chunk", F.floor(F.col("bit") / MARK_BITS[0])).groupBy("chunk").applyInPandas(pack, "chunk long, bits binary")
     out = np.zeros((bits // MARK_BITS[0], MARK_BITS[0] // 8), np.uint8)
-    for row in found.toLocalIterator():  # 8 KB each, 1,024 at most
+    for row in found.collect():  # 8 KB each, 1,024 at most; one job, not one for each partition
         out[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
@@ -395,13 +395,15 @@ def similar_texts(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def verified(proposed: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) that are similar enough, as a written table."""
         pairs = written(proposed.select("u", "v").distinct(), "pairs")
-        marks = spark.sparkContext.broadcast(_marks(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+        nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+        marks = spark.sparkContext.broadcast(_marks(nodes))
         held = map_batches(texts.select("node", "text"), _marked_texts(marks), "node long, packed binary")
         held = held.groupBy("node").agg(F.min("packed").alias("packed"))
         side = lambda node, name: held.select(F.col("node").alias(node), F.col("packed").alias(name))
         both = pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b")
         found = written(both.mapInArrow(_similar(words, similarity), "u long, v long"), "links")
-        discard(pairs)
+        discard(pairs, nodes)
+        marks.destroy()
         return found
 
     places = sketches.select("node", "fps").mapInArrow(_table_anchors, "place long, node long, fp long")

@@ -4,7 +4,8 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 import pytest
-from quarry.llm import mixing, simhash
+from pyspark.sql import functions as F
+from quarry.llm import components, mixing, simhash, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -183,3 +184,44 @@ def test_stages_take_effect(stages):
     assert abs(words(mix) / words(cut) - 1.5) < 0.1 or words(mix) / words(cut) < 1.5
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
     assert packed[packed.start == 0].doc_tokens.sum() == packed.length.sum()
+
+
+def test_the_marks_come_in_a_few_jobs_whatever_the_partitions(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("marks", "marks")
+    try:
+        packed = simhash._marks(spark.range(5000).select((F.col("id") * 7 - 900).alias("node")))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    marked = np.flatnonzero(np.unpackbits(packed))
+    assert set(marked) == {(7 * i - 900) % (8 * len(packed)) for i in range(5000)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("marks")) < 10
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    labels, written = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: labels.append(label) or written(df, label))
+    found = lambda links: {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "u long, v long").coalesce(1)).collect()}
+    assert found([(5, 1), (7, 1), (1, 9), (4, 3)]) == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
+    assert labels.count("stars") == 1
+    assert [components.settled(spark.createDataFrame(x, "u long, v long")) for x in ([(2, 1), (3, 1)], [(3, 1), (3, 2)], [(3, 2), (2, 1)], [(4, 3), (9, 4), (2, 1)])] == [True, False, False, False]
+    chain = [(i, i + 1) for i in range(40)]
+    monkeypatch.setattr(components, "thinned", lambda links: links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    assert found(chain) == dict.fromkeys(range(41), 0)
+
+
+def test_the_driver_holds_no_texts_while_it_trains(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'awful' if i % 2 else 'lovely'} w{i % 7} ünïcode {i}", "de") for i in range(60)] + [(60, "", "de"), (61, None, "de")], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks, langs, **more: seen.append((type(texts), list(texts), marks, langs)) or train(texts, marks, langs, **more))
+    model = toxicity.fit(docs, labels, learn=F.lit(True))
+    kind, texts, marks, langs = seen[0]
+    assert kind is toxicity.Lazy
+    assert texts == [r.text for r in docs.where("text IS NOT NULL").orderBy("doc_id").collect()]
+    same = train(texts, marks, langs)
+    assert (same.embedding == model.embedding).all() and same.offset == model.offset and same.thresholds == model.thresholds
