@@ -202,3 +202,35 @@ def test_quality_of_documents(spark):
     by = {r.doc_id: r.quality_score for r in got if r.doc_id is not None}
     assert np.mean([by[i] >= 0.5 for i in range(250)]) > 0.97 and np.mean([by[i] < 0.5 for i in range(250, 310)]) > 0.9
     assert quality.grade(docs.limit(0), quality.fit(docs.limit(0))).count() == 0
+
+
+def test_toxicity_learns_from_rows_beyond_the_drivers_sample(spark, monkeypatch):
+    ids = [r.id for r in spark.range(1500).orderBy(F.xxhash64(F.lit(3), "id")).collect()]
+    early = {*[i for i in ids if i % 3 == 0][:150], *[i for i in ids if i % 3][:150]}
+    rows = []
+    for i in range(1500):
+        words = [rnd.choice(CALM["en"]) for _ in range(30)]
+        if i % 3 == 0:
+            words[rnd.randrange(30)] = "idiot" if i in early else "zounds"
+        rows.append((i, " ".join(words), "en", int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "COPY_ROWS", 400)
+    models = []
+    for n, sent in ((3, toxicity.SENT_LABELS), (5, 10)):
+        monkeypatch.setattr(toxicity, "SENT_LABELS", sent)
+        models.append(toxicity.fit(docs.repartition(n), labels, F.lit(True), rows_per_class=100))
+    asked = [" ".join([*CALM["en"], w, *CALM["en"]]) for w in ("zounds", "idiot", "river")]
+    zounds, idiot, river = toxicity.score(models[0], asked)
+    assert min(zounds, idiot) > 0.5 > river
+    assert np.array_equal(toxicity.score(models[0], asked), toxicity.score(models[1], asked))
+    assert models[0].thresholds == models[1].thresholds and set(models[0].thresholds) == {"", "en"}
+
+
+def test_thresholds_of_counted_scores():
+    rng = np.random.default_rng(2)
+    steps, labels = rng.integers(0, 50, 4000), rng.integers(0, 2, 4000)
+    langs = rng.choice(["en", "de"], 4000)
+    kinds, times = np.unique(np.array([*zip(steps, labels, langs == "en", strict=True)]), axis=0, return_counts=True)
+    counted = toxicity.calibrate(kinds[:, 0] / 50, kinds[:, 1], ["en" if e else "de" for e in kinds[:, 2]], times=times)
+    assert counted == toxicity.calibrate(steps / 50, labels, langs.tolist())
