@@ -21,9 +21,13 @@ LEG, FUSED, FINAL = 150, 50, 8
 K1, B, AVERAGE = 1.2, 0.75, 256.0
 BLOCK = 4096
 #: Of a pair of blocks: terms of documents, terms of queries; documents and queries of a product, pairs that are added up at a time.
-CELL, ASKED, DOCUMENTS, QUERIES, HITS = 8_000_000, 4_000_000, 4096, 256, 1 << 21
-#: A term is a dense row if more than one in so many pairs has it.  Rows of a text that are held for the next batch.
-DENSE, HELD = 32, 1_000_000
+CELL, ASKED, DOCUMENTS, QUERIES, HITS = 8_000_000, 4_000_000, 4096, 1024, 1 << 18
+#: A term is a dense row if more than one in so many pairs has it.  Words of texts that are looked up at a time.
+DENSE, WORDS = 128, 4_000_000
+#: Terms that are sent to all tasks, as one array of texts; more are met in a shuffle of the words.
+SENT_TERMS = 8_000_000
+#: Vectors of a block, which is compared ``BLOCK`` at a time.
+VECTORS = 1 << 15
 
 
 #: Rows of a table that is sent to all tasks; a larger one is shuffled.
@@ -120,60 +124,50 @@ def numbered_terms(asked: DataFrame) -> DataFrame:
     return numbered(asked.select("term").distinct(), ["term"], "no")
 
 
-def _runs(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (keys..., length, no) in a row for each run of equal keys, its numbers counted; a run of two batches is put together."""
+def _counted(shared, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (keys..., length, words) to (keys..., length, nos, tfs): the terms in ``shared`` that a text has, by number, and how often."""
 
-    def pack(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
-        no = rows["no"].to_numpy()
-        order = np.lexsort((no, run))
-        run, no = run[order], no[order]
-        first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (no[1:] != no[:-1]))))
-        offsets = pa.array(np.concatenate((np.searchsorted(run[first], np.arange(len(starts))), [len(first)])).astype(np.int32))
-        heads = {c: rows[c].take(pa.array(starts)).combine_chunks() for c in [*keys, "length"]}
-        counts = np.diff(np.append(first, len(no))).astype(np.int32)
-        return pa.record_batch({**heads, "nos": pa.ListArray.from_arrays(offsets, pa.array(no[first].astype(np.int32))), "tfs": pa.ListArray.from_arrays(offsets, pa.array(counts))})
+    def pack(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        words = part["words"]
+        row = np.repeat(np.arange(part.num_rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        no = pc.index_in(words.flatten(), value_set=shared.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        there = no >= 0
+        pairs, counts = np.unique(row[there] << 32 | no[there] + 1, return_counts=True)
+        row, no = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int32)
+        own = np.unique(row)
+        offsets = pa.array(np.append(np.searchsorted(row, own), len(row)).astype(np.int32))
+        heads = {c: part[c].take(pa.array(own)) for c in [*keys, "length"]}
+        return pa.record_batch({**heads, "nos": pa.ListArray.from_arrays(offsets, pa.array(no)), "tfs": pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
-            if not rows.num_rows:
-                continue
-            new = np.zeros(rows.num_rows, bool)
-            for c in keys:
-                ends = np.concatenate([x.run_ends.to_numpy() for x in (pc.run_end_encode(part) for part in rows[c].chunks)])
-                new[ends[:-1]] = True
-            starts = np.flatnonzero(new)
-            last = starts[-1] if len(starts) else 0
-            held = rows.slice(last)
-            if last:
-                yield pack(rows.slice(0, last), np.concatenate(([0], starts[:-1])))
-            if held.num_rows > HELD:  # the rest of a very long text is another row, put to this one later
-                yield pack(held, np.array([0]))
-                held = None
-        if held is not None and held.num_rows:
-            yield pack(held, np.array([0]))
+            upto = np.cumsum(batch["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(WORDS, upto[-1] if len(upto) else 0, WORDS)) + 1, [batch.num_rows])))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                out = pack(batch.slice(low, high - low))
+                if out.num_rows:
+                    yield out
 
     return run
 
 
 def packed(docs: DataFrame, asked: DataFrame, text: str = "text", id_column: str = "doc_id", analysis: Analysis = LETTERS, more: tuple[str, ...] = ()) -> Packed:
-    """The documents' terms that are in ``asked``, packed where the texts are read: no row of a term is shuffled.
+    """The documents' terms that are in ``asked``, packed where the texts are read: no row is made of a word, and none is shuffled.
 
-    The analysis does not fold words.  A text's words come one after another,
-    so they are counted as runs; should a document come in several rows, these
-    are put together.
+    The analysis does not fold words.  Up to ``SENT_TERMS`` terms are sent to
+    all tasks as one array and looked up there.  Should a document come in
+    several rows, these are put together.
     """
     if analysis.fold is not None:
         return packed_postings(postings(docs, text, id_column, analysis, asked, more), asked, more)
-    terms = numbered_terms(asked)
-    keys = ["id", *more]
-    listed = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("_w")).select(*keys, F.size("_w").cast("long").alias("length"), F.explode("_w").alias("term"))
-    found = listed.join(sent(terms), "term").select(*keys, "length", F.col("no").cast("int").alias("no"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in keys)
-    rows = _written(found.mapInArrow(_runs(keys), f"{head}, length long, nos array<int>, tfs array<int>"))
+    terms = _written(numbered_terms(asked))
+    if terms.count() > SENT_TERMS:
+        return packed_postings(postings(docs, text, id_column, analysis, asked, more), asked, more, terms)
+    keys, context = ["id", *more], docs.sparkSession.sparkContext
+    listed = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("words")).select(*keys, F.size("words").cast("long").alias("length"), "words")
+    held = terms.select("no", "term").toArrow().sort_by("no")["term"].combine_chunks()
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema if f.name in keys)
+    rows = _written(listed.mapInArrow(_counted(context.broadcast(held), keys), f"{head}, length long, nos array<int>, tfs array<int>"))
     if rows.count() != rows.select(*keys).distinct().count():
         each = rows.select(*keys, "length", F.explode(F.arrays_zip("nos", "tfs")).alias("t")).groupBy(*keys, "t.nos").agg(F.sum("t.tfs").cast("int").alias("tf"), F.first("length").alias("length"))
         rows = _written(_gathered(each.withColumnRenamed("nos", "no"), keys))
@@ -186,9 +180,9 @@ def _gathered(each: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, "length", F.col("_t.no").alias("nos"), F.col("_t.tf").alias("tfs"))
 
 
-def packed_postings(posts: DataFrame, asked: DataFrame, more: tuple[str, ...] = ()) -> Packed:
-    """Postings (id, more..., term, tf, length) of the terms of ``asked``, packed."""
-    terms, keys = numbered_terms(asked), ["id", *more]
+def packed_postings(posts: DataFrame, asked: DataFrame, more: tuple[str, ...] = (), terms: DataFrame | None = None) -> Packed:
+    """Postings (id, more..., term, tf, length) of the terms of ``asked``, packed; ``terms`` has their numbers, if there are some."""
+    terms, keys = numbered_terms(asked) if terms is None else terms, ["id", *more]
     each = posts.join(sent(terms), "term").select(*keys, F.col("length").cast("long").alias("length"), F.col("no").cast("int").alias("no"), F.col("tf").cast("int").alias("tf"))
     return Packed(_written(_gathered(each, keys)), terms)
 
@@ -293,7 +287,8 @@ def _products(queries: int, asks: np.ndarray, terms: np.ndarray, documents: int,
             q[asks[first[t] : first[t] + times[t]], j] = 1
             d[j, row[start[t] : end[t]]] = w[start[t] : end[t]]
         out += q @ d
-    few = np.repeat(~many & (held > 0), times)
+    few = np.flatnonzero(np.repeat(~many & (held > 0), times))
+    few = few[np.argsort(asks[few], kind="stable")]  # query by query, so that what is added up lies close together
     asks, start, held = asks[few], np.repeat(start, times)[few], np.repeat(held, times)[few]
     if len(asks):
         upto = np.cumsum(held)
@@ -302,27 +297,33 @@ def _products(queries: int, asks: np.ndarray, terms: np.ndarray, documents: int,
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             size = held[low:high]
             at = np.repeat(start[low:high] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            flat += np.bincount(np.repeat(asks[low:high].astype(np.int64) * documents, size) + row[at], w[at], out.size)
+            own = slice(int(asks[low]) * documents, (int(asks[high - 1]) + 1) * documents)
+            flat[own] += np.bincount(np.repeat((asks[low:high] - asks[low]).astype(np.int64) * documents, size) + row[at], w[at], own.stop - own.start)
     return out
 
 
 class Best:
-    """The k best columns of each row, of blocks of columns that come in order; equal scores by column, none without a score above 0."""
+    """The k best columns of each row, rounded to 6 digits, of blocks of columns that come in order; equal scores by column, none that is not above ``above``."""
 
-    def __init__(self, rows: int, k: int):
+    def __init__(self, rows: int, k: int, above: float = 0.0):
         self.rows, self.k = rows, k
-        self.least = np.full(rows, -1.0)
+        self.above, self.least = above, np.full(rows, -np.inf)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
     def add(self, scores: np.ndarray, start: int) -> None:
-        near = np.where(scores > 0, np.round(scores, 6), -1.0)  # a pair with a term in common may round to 0
-        cut = near.shape[1] - self.k
-        floor = np.partition(near, cut, axis=1)[:, cut] if cut > 0 else np.full(self.rows, -1.0)
-        row, column = np.nonzero((near > self.least[:, None]) & (near >= floor[:, None]))
-        self.found.append((row, column + start, near[row, column]))
+        # what rounds to more than the least of k is above it by less than a digit at most
+        floor, cut = np.maximum(self.least - 1e-6, self.above), scores.shape[1] - self.k
+        open_ = np.flatnonzero(np.isneginf(self.least)) if cut > 0 else []
+        if len(open_):  # no k are known yet: at least the k best of this block, and all that round like the last of them
+            floor[open_] = np.maximum(np.partition(scores[open_], cut, axis=1)[:, cut] - 1e-6, self.above)
+        row, column = np.nonzero(scores > floor[:, None])
+        near = np.round(scores[row, column], 6)
+        kept = near > self.least[row]
+        row, column, near = row[kept], column[kept], near[kept]
+        self.found.append((row, column + start, near))
         self.pending += len(row)
-        if self.pending > 4 * self.rows * self.k:
+        if self.pending > 2 * self.rows * self.k:
             self.settle()
 
     def settle(self) -> None:
@@ -355,7 +356,8 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = LEG, allowed: Column
     grouped = "group" in queries.columns and "group" in vectors.columns
     dated = "day" in queries.columns and {"from_day", "to_day"} <= set(vectors.columns)
     extra = ["group"] if grouped else []
-    rows, asks = (max(1, -(-df.count() // BLOCK)) for df in (vectors, queries))
+    held, asks = vectors.count(), max(1, -(-queries.count() // BLOCK))
+    rows = max(1, -(-held // VECTORS), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-held // BLOCK)))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select(spread("id", rows).cast("int").alias("rb"), each(asks).alias("qb"), "id", "vector", *extra, *(["from_day", "to_day"] if dated else []))
@@ -368,19 +370,23 @@ def cosine(queries: DataFrame, vectors: DataFrame, k: int = LEG, allowed: Column
             m, q = np.stack(own["vector"].to_numpy()).astype(float), np.stack(ask["vector"].to_numpy()).astype(float)
             m, q = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (m, q))
             ids, asked = own["id"].to_numpy(), ask["query_id"].to_numpy()
-            for at in range(0, len(q), 256):
-                near = np.round(q[at : at + 256] @ m.T, 6)
-                if grouped:
-                    near[ask["group"].to_numpy()[at : at + 256, None] != own["group"].to_numpy()[None]] = -np.inf
-                if dated:
-                    day = ask["day"].to_numpy()[at : at + 256, None]
-                    near[(day < own["from_day"].to_numpy()[None]) | (day >= own["to_day"].to_numpy()[None])] = -np.inf
-                if not same_id:
-                    near[asked[at : at + 256, None] == ids[None]] = -np.inf
-                best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(near, best, 1)
-                ok = np.isfinite(score)
-                out.append(pd.DataFrame({"query_id": np.repeat(asked[at : at + 256], ok.sum(axis=1)), "id": ids[best[ok]], "score": score[ok]}))
+            for at in range(0, len(q), QUERIES):
+                some = slice(at, at + QUERIES)
+                best = Best(len(asked[some]), k, -np.inf)
+                for start in range(0, len(m), BLOCK):
+                    part = slice(start, start + BLOCK)
+                    near = q[some] @ m[part].T
+                    near[np.isnan(near)] = -np.inf
+                    if grouped:
+                        near[ask["group"].to_numpy()[some, None] != own["group"].to_numpy()[None, part]] = -np.inf
+                    if dated:
+                        day = ask["day"].to_numpy()[some, None]
+                        near[(day < own["from_day"].to_numpy()[None, part]) | (day >= own["to_day"].to_numpy()[None, part])] = -np.inf
+                    if not same_id:
+                        near[asked[some, None] == ids[None, part]] = -np.inf
+                    best.add(near, start)
+                row, column, score = best.taken()
+                out.append(pd.DataFrame({"query_id": asked[some][row], "id": ids[column], "score": score}))
         return pd.concat(out)
 
     found = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(compare, "query_id long, id long, score double")
