@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,6 +143,60 @@ def stem(word: Column) -> Column:
     return F.replace(F.replace(_let(apart, staged), F.lit("a~"), F.lit("ã")), F.lit("o~"), F.lit("õ"))
 
 
+# ---- the same for one word: a task folds each distinct word of its texts once
+
+_REGIONS = [re.compile(p) for p in (FIRST_REGION, SECOND_REGION, VERB_REGION)]
+
+
+def _ends(suffixes) -> list[tuple[int, frozenset[str]]]:
+    return [(n, frozenset(s for s in suffixes if len(s) == n)) for n in sorted({len(s) for s in suffixes}, reverse=True)]
+
+
+_EVERY, _VERBS, _RESIDUAL = (_ends(x) for x in ([*DELETED, *REPLACED, *COMPOUND, *AFTER_E], VERBS, RESIDUAL))
+_BEFORE = {s: _ends(before) for s, before in COMPOUND.items()}
+
+
+def _ending_of(word: str, ends: list[tuple[int, frozenset[str]]]) -> str:
+    return next((word[-n:] for n, suffixes in ends if word[-n:] in suffixes), "")
+
+
+def _word_standard(word: str, one: int, two: int, verb: int) -> str:
+    s = _ending_of(word, _EVERY)
+    left = word[: len(word) - len(s)]
+    n = len(left)
+    if not s or n < (one if s == "amente" else verb if s in AFTER_E else two) or (s in AFTER_E and not left.endswith("e")):
+        return word
+    also = _ending_of(left, _BEFORE[s]) if s in _BEFORE else ""
+    if also == "ativ":
+        more = next((k for k in (4, 2) if n - k >= two), 0)
+    else:
+        more = len(also) if n - len(also) >= two else 0
+    return left[: n - more] + REPLACED.get(s, "ir" if s in AFTER_E else "")
+
+
+def _word_within(word: str, verb: int, ends: list[tuple[int, frozenset[str]]]) -> str:
+    return word[: len(word) - len(_ending_of(word[verb:], ends))]
+
+
+def stem_word(word: str) -> str:
+    """What ``stem`` gives for one word."""
+    w = word.replace("ã", "a~").replace("õ", "o~")
+    one, two, verb = (len(m[0]) if (m := p.match(w)) else len(w) for p in _REGIONS)
+    x = _word_standard(w, one, two, verb)
+    y = x if x != w else _word_within(w, verb, _VERBS)
+    if y == w:
+        z = _word_within(y, verb, _RESIDUAL)
+    else:
+        z = y[:-1] if y.endswith("ci") and len(y) > verb else y
+    n = len(z)
+    if z.endswith(("e", "é", "ê")):
+        if n - 1 >= verb:
+            z = z[: n - 2] if z[:-1].endswith(("gu", "ci")) and n - 2 >= verb else z[:-1]
+    elif z.endswith("ç"):
+        z = z[:-1] + "c"
+    return z.replace("a~", "ã").replace("o~", "õ")
+
+
 def kept_words(text: Column) -> Column:
     """A text's words in order: runs of letters, digits and underscores in lower case, without stop words and those over ``MOST_LETTERS``; null has none."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")

@@ -24,6 +24,8 @@ BLOCK = 4096
 CELL, ASKED, DOCUMENTS, QUERIES, HITS = 8_000_000, 4_000_000, 4096, 1024, 1 << 18
 #: A term is a dense row if more than one in so many pairs has it.  Words of texts that are looked up at a time.
 DENSE, WORDS = 128, 4_000_000
+#: Words that are folded at a time, and kept with what they are folded to by a task.
+FOLDED, KNOWN = 500_000, 500_000
 #: Terms that are sent to all tasks, as one array of texts; more are met in a shuffle of the words.
 SENT_TERMS = 8_000_000
 #: Vectors of a block, which is compared ``BLOCK`` at a time.
@@ -41,15 +43,16 @@ def sent(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Analysis:
-    """How texts become terms: the words that count, and what each of them is reduced to (nothing: itself)."""
+    """How texts become terms: the words that count, and what each of them is reduced to (nothing: itself), as a column and for one word."""
 
     name: str
     words: Callable[[Column], Column]
     fold: Callable[[Column], Column] | None = None
+    plain: Callable[[str], str] | None = None
 
 
 LETTERS = Analysis("letters", tokens)
-PORTUGUESE = Analysis("portuguese", portuguese.kept_words, portuguese.stem)
+PORTUGUESE = Analysis("portuguese", portuguese.kept_words, portuguese.stem, portuguese.stem_word)
 
 
 def asked_terms(queries: DataFrame, analysis: Analysis = LETTERS, *columns: str) -> DataFrame:
@@ -62,9 +65,22 @@ def postings(docs: DataFrame, text: str = "text", id_column: str = "doc_id", ana
     """(id, term, tf, length, more...): a row for each distinct term of a document; of ``terms`` alone, if given.
 
     Terms that no query has are left out before anything is grouped; ``length``
-    counts all words.  An analysis folds each distinct word of all texts once,
-    and the texts' words are looked up.
+    counts all words.  An analysis that folds a word by itself does so where the
+    texts are read, each distinct word once for many texts, and no row of a
+    posting is shuffled; should a document come in several rows, these are put
+    together.  Another one folds each distinct word of all texts once, and the
+    texts' words are looked up.
     """
+    if analysis.plain is not None:
+        keys = ["id", *more]
+        words = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("words")).select(*keys, F.size("words").cast("long").alias("length"), "words")
+        kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+        found = words.mapInArrow(_folded(keys, analysis.plain), ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "term string, tf long, length long"]))
+        if terms is not None:
+            found = found.join(sent(terms.select("term").distinct()), "term", "left_semi").select(*keys, "term", "tf", "length")
+        if words.select(*keys).count() == words.select(*keys).distinct().count():
+            return found
+        return found.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     listed = docs.select(F.col(id_column).alias("id"), *more, analysis.words(F.col(text)).alias("_w")).select("id", *more, F.size("_w").alias("length"), F.explode("_w").alias("term"))
     wanted = sent(terms.select("term").distinct()) if terms is not None else None
     if analysis.fold is not None:
@@ -124,13 +140,43 @@ def numbered_terms(asked: DataFrame) -> DataFrame:
     return numbered(asked.select("term").distinct(), ["term"], "no")
 
 
+def _slices(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of a batch with about so many words, and the row in which each word is."""
+    sizes = batch["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes)
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(words, upto[-1] if len(upto) else 0, words)) + 1, [batch.num_rows])))
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(low, high - low), np.repeat(np.arange(high - low), sizes[low:high])
+
+
+def _folded(keys: list[str], fold: Callable[[str], str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (keys..., length, words) to (keys..., term, tf, length), a row for each term of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            for part, row in _slices(batch, FOLDED):
+                words = part["words"].flatten().dictionary_encode()
+                if len(known) > KNOWN:
+                    known.clear()
+                stems = [known[w] if w in known else known.setdefault(w, fold(w)) for w in words.dictionary.to_pylist()]
+                terms = pa.array(stems, pa.string()).dictionary_encode()
+                no = terms.indices.to_numpy()[words.indices.to_numpy()].astype(np.int64)
+                pairs, counts = np.unique(row << 32 | no, return_counts=True)
+                own = pa.array(pairs >> 32)
+                heads = {c: part[c].take(own) for c in [*keys, "length"]}
+                out = {**{c: heads[c] for c in keys}, "term": terms.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), "tf": pa.array(counts.astype(np.int64)), "length": heads["length"]}
+                if len(pairs):
+                    yield pa.record_batch(out)
+
+    return run
+
+
 def _counted(shared, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (keys..., length, words) to (keys..., length, nos, tfs): the terms in ``shared`` that a text has, by number, and how often."""
 
-    def pack(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        words = part["words"]
-        row = np.repeat(np.arange(part.num_rows), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        no = pc.index_in(words.flatten(), value_set=shared.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def pack(part: pa.RecordBatch, row: np.ndarray) -> pa.RecordBatch:
+        no = pc.index_in(part["words"].flatten(), value_set=shared.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         there = no >= 0
         pairs, counts = np.unique(row[there] << 32 | no[there] + 1, return_counts=True)
         row, no = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int32)
@@ -141,10 +187,8 @@ def _counted(shared, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            upto = np.cumsum(batch["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(WORDS, upto[-1] if len(upto) else 0, WORDS)) + 1, [batch.num_rows])))
-            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                out = pack(batch.slice(low, high - low))
+            for part, row in _slices(batch, WORDS):
+                out = pack(part, row)
                 if out.num_rows:
                     yield out
 

@@ -19,6 +19,8 @@ from quarry.sources.store import Commit, Store, Tables
 
 #: Folders that terms are dealt to; the number is recorded when an index is made.
 BUCKETS = 64
+#: Documents whose postings one task writes, at least where there are enough for all cores, and at most.
+FEW, MANY = 1_000, 20_000
 
 
 def bucket(term: Column, buckets: int) -> Column:
@@ -46,7 +48,10 @@ def build(store: Store | Commit, docs: DataFrame, norms: DataFrame | None = None
         raise schema.IncompatibleIndex(f"index has other words: {known['analysis']}")
     posts = search.postings(docs, "text", "id", analysis, more=("norm_urn",)).withColumn("bucket", bucket(F.col("term"), known["buckets"]))
     replaced = docs.select("norm_urn") if norms is None else docs.select("norm_urn").unionByName(norms.select("norm_urn"))
-    store.replace("posting", posts.select(*[F.col(f.name).cast(f.dataType) for f in schema.POSTING]).repartition("bucket"), replaced.distinct())
+    # every task writes a file of each bucket it has terms of: postings are not shuffled, and few texts are few tasks
+    n = docs.count()
+    tasks = max(1, -(-n // MANY), min(docs.sparkSession.sparkContext.defaultParallelism, n // FEW))
+    store.replace("posting", posts.select(*[F.col(f.name).cast(f.dataType) for f in schema.POSTING]).coalesce(tasks), replaced.distinct())
     counts = docs.groupBy("norm_urn").agg(F.count(F.lit(1)).alias("documents")).select("documents", "norm_urn")
     store.replace("indexed", counts, replaced.distinct())
 

@@ -45,3 +45,11 @@ def test_analysis(spark):
     got = {r.i: r.w for r in spark.createDataFrame(rows, "i int, t string").select("i", portuguese.analysed(F.col("t")).alias("w")).collect()}
     assert got == {1: ["consumidor", "consumidor", "lei", "nº", "8", "078", "1990"], 2: [], 3: [], 4: ["y" * 40]}
     assert len(portuguese.stop_words()) > 200 and {"tivéssemos", "houvermos", "estivera", "fôssemos"} <= set(portuguese.stop_words())
+
+
+def test_one_word_is_folded_like_a_column(spark):
+    suffixes = [*portuguese.DELETED, *portuguese.REPLACED, *portuguese.COMPOUND, *portuguese.AFTER_E, *portuguese.VERBS, *portuguese.RESIDUAL]
+    heads = ["", "a", "ba", "abe", "contrat", "negociat", "relativ", "nacionalig", "amável", "ci", "segu", "ôi", "operat", "𝒶b", "praç", "Ā_9", "on"]
+    words = sorted({(h + s).replace("a~", "ã").replace("o~", "õ") for h in heads for s in [*suffixes, "", "e", "ê", "ç", "gue", "cie", "ativamente"]} | {*PAIRS})
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {w: portuguese.stem_word(w) for w in words} == {r.word: r.stem for r in frame.select("word", portuguese.stem(F.col("word")).alias("stem")).collect()}

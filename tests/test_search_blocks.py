@@ -70,3 +70,19 @@ def test_cosine_in_blocks_against_all_pairs(spark, monkeypatch, same_id):
         near = sorted((-round(float(unit[q] @ unit[i]), 6) + 0.0, i) for i in range(90) if i % 2 == q % 2 and (same_id or i != q))
         want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(near[:8])]
     assert sorted((r.query_id, r.id, r.rank) for r in got) == sorted((q, i, n) for q, i, _, n in want)
+
+
+def test_folded_postings_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(search, "FOLDED", 30)
+    monkeypatch.setattr(search, "KNOWN", 5)
+    texts = ["contratos e contrato de trabalho", "Trabalhos abusivos; abusiva ABUSIVO", None, "", "de e o", "cláusula " * 70]
+    docs = spark.createDataFrame([(i, f"n{i % 2}", texts[i % 6]) for i in range(24)], "doc_id long, norm_urn string, text string").repartition(3).cache()
+    want = {0: {("contrat", 2, 3), ("trabalh", 1, 3)}, 1: {("trabalh", 1, 4), ("abus", 3, 4)}, 5: {("cláusul", 70, 70)}}
+    found = search.postings(docs, analysis=search.PORTUGUESE, more=("norm_urn",))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    rows = [(r.id, r.norm_urn, r.term, r.tf, r.length) for r in found.collect()]
+    assert sorted(rows) == sorted((i, f"n{i % 2}", *t) for i in range(24) for t in want.get(i % 6, ()))
+    some = search.postings(docs, analysis=search.PORTUGUESE, terms=spark.createDataFrame([("contrat",)], "term string"))
+    assert sorted((r.id, r.tf) for r in some.collect()) == [(i, 2) for i in range(0, 24, 6)]
+    twice = search.postings(docs.where("doc_id = 0").union(docs.where("doc_id = 0")), analysis=search.PORTUGUESE)
+    assert sorted((r.id, r.term, r.tf) for r in twice.collect()) == [(0, "contrat", 4), (0, "trabalh", 2)]
