@@ -31,6 +31,8 @@ LIVE = T.StructType([T.StructField(n, T.StringType()) for n in ("table", "norm_u
 EMPTY = {"number": 0, "live": None, "whole": {}, "schemas": {}, "segments": {}, "norms": {}}
 #: Tables whose segments are cut by another column than the norm.
 CUT_BY = {"posting": "bucket"}
+#: Files of such a segment that a task has open at a time; with more folders the rest is sorted first.
+OPEN_FILES = 256
 
 
 class Files:
@@ -260,6 +262,19 @@ class Commit(Tables):
     def _live_rows(self, name: str) -> DataFrame:
         return self.changed.get(name, self.live(name))
 
+    @contextmanager
+    def _open_files(self, n: int) -> Iterator[None]:
+        """Up to ``n`` folders are written at once by a task, which then need not sort its rows by folder; 0 changes nothing."""
+        key = "spark.sql.maxConcurrentOutputFileWriters"
+        before = self.spark.conf.get(key, None)
+        if n:
+            self.spark.conf.set(key, str(n))
+        try:
+            yield
+        finally:
+            if n:
+                self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
     def _written(self, rows: DataFrame, folder: str, *cut: str) -> None:
         """One job; nobody sees the folder before the commit is done."""
         (rows.write.partitionBy(*cut) if cut else rows.write).parquet(f"{self.root}/{folder}")
@@ -271,7 +286,8 @@ class Commit(Tables):
         """
         segment, cut = uuid.uuid4().hex, CUT_BY.get(name, "norm_urn")
         folder = f"{name}/segment={segment}"
-        self._written(rows, folder, cut)
+        with self._open_files(OPEN_FILES if name in CUT_BY else 0):
+            self._written(rows, folder, cut)
         fields = [f for f in rows.schema.fields if f.name != cut] + [rows.schema[cut]]
         own = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
         added = self.spark.read.schema(own).parquet(f"{self.root}/{folder}").groupBy("norm_urn").agg(F.count(F.lit(1)).alias("rows"))
